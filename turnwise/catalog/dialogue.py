@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..functions import text as X
-from ..operators.ordered import aggregate
 from ..plans.dialogue import (
     FEEDBACK_COLUMNS, TRAJECTORY_COLUMNS, session_feedback, session_trajectory,
 )
@@ -51,20 +50,26 @@ def _labels(spark, sf_dir):
     return turns.selectExpr("session_id", "pos", f"{X.tutor_turn_label('content')} AS label")
 
 
-def bounded_sql(text: str, phrases) -> str:
-    # RE2 has no look-around: pad, then count word-bounded hits phrase by phrase
-    spaced = f"regexp_replace({text}, '([^a-z0-9_])', '\\1\\1', 'g')"
-    one = lambda p: (
-        "len(regexp_extract_all(' ' || " + spaced + " || ' ', "
-        + quoted("[^A-Za-z0-9_]" + p.replace(" ", "  ").replace("'", "''").replace(",", ",,")
-                 + "[^A-Za-z0-9_]") + "))"
+def whole_words_sql(text: str, phrases) -> str:
+    # RE2 has no look-around; a phrase that ends in punctuation takes the next character instead
+    tail = lambda p: r"\b" if p[-1].isalpha() else "($|[^A-Za-z0-9_])"
+    return " + ".join(f"len(regexp_extract_all({text}, {quoted(chr(92) + 'b' + p + tail(p))}))" for p in phrases)
+
+
+def label_whole_words_sql(text: str) -> str:
+    low = f"lower(coalesce({text}, ''))"
+    n = lambda m: f"({whole_words_sql(low, m)})"
+    return (
+        f"CASE WHEN {n(X.CORRECTION_MARKERS)} > {n(X.AFFIRM_MARKERS)} THEN 'correct' "
+        f"WHEN {n(X.AFFIRM_MARKERS)} > 0 THEN 'affirm' "
+        f"WHEN {n(X.REEXPLAIN_MARKERS)} > 0 OR length({low}) > 200 THEN 'reexplain' ELSE 'other' END"
     )
-    return " + ".join(one(p) for p in phrases)
 
 
-@query("tutor_turn_labels_whole_words", "C1 option")
+@query("tutor_turn_labels_whole_words", "C1", f"""
+    SELECT session_id, pos, {label_whole_words_sql('content')} AS label FROM ({SHORT}) WHERE role = 'tutor'""")
 def _labels_bounded(spark, sf_dir):
-    turns = long_utterances(spark, sf_dir)[0].where("role = 'tutor'")
+    turns = short_utterances(spark, sf_dir).where("role = 'tutor'")
     return turns.selectExpr(
         "session_id", "pos", f"{X.tutor_turn_label('content', word_bounded=True)} AS label"
     )

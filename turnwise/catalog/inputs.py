@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.ordered import has_large_groups, with_positions
+from ..operators.ordered import aggregate, has_large_groups, with_positions
+from ..operators.retrieval import unit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,3 +114,100 @@ STOPWORDS = (
     "the", "and", "of", "to", "in", "is", "it", "that", "for", "on", "as", "with", "are",
     "this", "an", "or", "be", "at", "by", "not",
 )
+
+
+def topic_utterances(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bool]:
+    """Long sessions with a sparse clock: three seconds per document id, some unknown."""
+    rows, chunked = long_utterances(spark, sf_dir)
+    clock = "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id * 3D END AS t_seconds"
+    return rows.selectExpr("*", clock), chunked
+
+
+TOPIC = f"""
+    SELECT *, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id * 3.0::DOUBLE END AS t_seconds
+    FROM ({LONG}) AS _long"""
+
+
+def objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").selectExpr(
+        "item_id AS objective_id", "text AS objective_text"
+    )
+
+
+def topic_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which objectives each source is assessed on: two residue classes of the item id.
+
+    Every fifth item is assessed twice, so some pairs have two responses.
+    """
+    sources = table(spark, sf_dir, "documents").groupBy("source").count().selectExpr(
+        "source AS session_id", "count AS n_rows", "CAST(substr(source, 4) AS BIGINT) % 20 AS cls"
+    )
+    items = table(spark, sf_dir, "benchmark").selectExpr(
+        "item_id AS objective_id",
+        "explode(array(item_id % 20, (item_id + 7) % 20)) AS cls",
+    )
+    return sources.join(items, "cls").selectExpr(
+        "session_id", "objective_id", "n_rows",
+        "explode(CASE WHEN objective_id % 5 = 0 THEN array(0, 1) ELSE array(0) END) AS copy",
+    ).selectExpr(
+        "concat_ws('-', session_id, objective_id, copy) AS response_id",
+        "session_id", "objective_id", "n_rows",
+    )
+
+
+TOPIC_RESPONSES = """
+    SELECT source || '-' || item_id || '-' || copy AS response_id, source AS session_id,
+           item_id AS objective_id, n_rows
+    FROM (SELECT source, count(*) AS n_rows, CAST(substr(source, 4) AS BIGINT) % 20 AS cls
+          FROM documents GROUP BY source) AS s
+    JOIN benchmark ON item_id % 20 = cls OR (item_id + 7) % 20 = cls
+    JOIN (SELECT 0 AS copy UNION ALL SELECT 1) AS c ON copy = 0 OR item_id % 5 = 0"""
+
+
+def topic_pairs(responses_: DataFrame) -> DataFrame:
+    return responses_.select("session_id", "objective_id", "n_rows").distinct()
+
+
+def vector_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bool]:
+    """Stored vectors as passages: one session per label, ordered by vector id."""
+    raw = table(spark, sf_dir, "embeddings").selectExpr(
+        "CAST(label AS BIGINT) AS session_id", "vec_id", "embedding"
+    )
+    chunked = has_large_groups(raw)
+    placed = with_positions(raw, ("vec_id",), chunked)
+    return placed.selectExpr(
+        "session_id", "pos AS window_idx", "n_rows AS n_windows",
+        f"{unit('embedding')} AS vector",
+    ), chunked
+
+
+def vector_objectives(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
+    """One objective per label: the normalised mean of its vectors."""
+    means = ", ".join(f"avg(CAST(embedding[{i}] AS DOUBLE))" for i in range(dims))
+    mean = aggregate(
+        table(spark, sf_dir, "embeddings").selectExpr("CAST(label AS BIGINT) AS objective_id", "embedding"),
+        ["objective_id"], f"array({means}) AS vector",
+    )
+    return mean.selectExpr("objective_id", f"{unit('vector')} AS vector")
+
+
+def vector_pairs(windows: DataFrame) -> DataFrame:
+    """Each label's session is assessed on its own and the next label's objective."""
+    return windows.select("session_id").distinct().selectExpr(
+        "session_id", "explode(array(session_id, (session_id + 1) % 10)) AS objective_id"
+    )
+
+
+VECTORS = """
+    vw AS (SELECT CAST(label AS BIGINT) AS session_id,
+                  row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS window_idx,
+                  count(*) OVER (PARTITION BY label) AS n_windows,
+                  list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+    vn AS (SELECT session_id, window_idx, n_windows,
+                  list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM vw),
+    vm AS (SELECT session_id AS objective_id, d, avg(e[d]) AS x
+           FROM vw, (SELECT unnest(range(1, 65)) AS d) GROUP BY ALL),
+    vo0 AS (SELECT objective_id, list(x ORDER BY d) AS e FROM vm GROUP BY objective_id),
+    vo AS (SELECT objective_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS o FROM vo0),
+    vs AS (SELECT session_id, objective_id, window_idx, n_windows, list_inner_product(v, o) AS sim, v
+           FROM vn JOIN vo ON objective_id = session_id OR objective_id = (session_id + 1) % 10)"""

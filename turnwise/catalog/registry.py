@@ -57,7 +57,7 @@ def tidy(df: DataFrame) -> DataFrame:
 def rounded(sql: str, doubles: str | list[str] | tuple[str, ...]) -> str:
     """The same rounding in SQL for the named columns."""
     names = doubles.split() if isinstance(doubles, str) else list(doubles)
-    body = ", ".join(f"round({n}, {PLACES}) + 0.0 AS {n}" for n in names)
+    body = ", ".join(f"CAST(round({n}, {PLACES}) + 0.0 AS DOUBLE) AS {n}" for n in names)
     return f"SELECT * REPLACE ({body}) FROM ({sql}) AS _final"
 
 
