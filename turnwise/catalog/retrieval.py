@@ -93,7 +93,7 @@ LEXICAL = f"""
     wt AS MATERIALIZED ({texts_sql(I.LONG)}),
     pv AS MATERIALIZED ({tfidf_sql('session_id, window_idx', 'SELECT * FROM wt')}),
     ov AS ({tfidf_sql('objective_id', 'SELECT item_id AS objective_id, text AS content FROM benchmark')}),
-    nz AS (SELECT tp.session_id, tp.objective_id, window_idx, sum(pv.weight * ov.weight) AS sim
+    nz AS (SELECT tp.session_id, tp.objective_id, window_idx, round(sum(pv.weight * ov.weight), 9) AS sim
            FROM tp JOIN ov USING (objective_id) JOIN pv ON pv.session_id = tp.session_id AND pv.term = ov.term
            GROUP BY ALL),
     sims AS MATERIALIZED (SELECT tp.session_id, tp.objective_id, wt.window_idx, w_start, w_end, wt.n_rows,
