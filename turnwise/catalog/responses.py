@@ -267,14 +267,13 @@ def _split_groups(spark, sf_dir):
     return FO.split_groups(session_folds(spark, sf_dir), "objective_id")
 
 
+# purging by customer leaves almost nothing here, so a session is four neighbouring orders
 PURGED = f"""{OBJECTIVE_FOLDS},
-    vs AS (SELECT DISTINCT fold AS vf, session_id FROM f), vo AS (SELECT DISTINCT fold AS vf, objective_id FROM f),
+    vs AS (SELECT DISTINCT fold AS vf, response_id // 4 AS g FROM f),
+    vo AS (SELECT DISTINCT fold AS vf, objective_id FROM f),
     p AS (SELECT f.*, t AS train_fold FROM f, (SELECT unnest(range(0, 5)) AS t) WHERE fold <> t
-          AND NOT EXISTS (SELECT 1 FROM vs WHERE vs.vf = t AND vs.session_id = f.session_id)
+          AND NOT EXISTS (SELECT 1 FROM vs WHERE vs.vf = t AND vs.g = f.response_id // 4)
           AND NOT EXISTS (SELECT 1 FROM vo WHERE vo.vf = t AND vo.objective_id = f.objective_id))"""
-# purging by customer leaves almost nothing, so the purge keys on order and month
-PURGED = PURGED.replace("session_id FROM f)", "response_id // 4 AS g FROM f)").replace(
-    "vs.session_id = f.session_id", "vs.g = f.response_id // 4")
 
 
 def order_folds(spark, sf_dir):
@@ -370,20 +369,17 @@ def _outer(spark, sf_dir):
 
 @query("model_fold_encodings", "F8 F7", rounded(f"""
     WITH {SESSION_FOLDS}, o AS (SELECT unnest(range(0, 5)) AS outer_fold),
-    fs AS (SELECT fold, sum(label) AS s, count(*) AS n FROM f GROUP BY fold),
+    fsum AS (SELECT fold, sum(label) AS s, count(*) AS n FROM f GROUP BY fold),
     c AS (SELECT objective_id, fold, sum(label) AS s, count(*) AS n FROM f GROUP BY ALL),
-    combos AS (SELECT a.fold, outer_fold FROM fs AS a, o),
-    rate AS (SELECT combos.fold, outer_fold, sum(s) / sum(n) AS g FROM combos JOIN fs ON fs.fold <> combos.fold AND fs.fold <> outer_fold GROUP BY ALL),
+    combos AS (SELECT a.fold, outer_fold FROM fsum AS a, o),
+    rate AS (SELECT combos.fold, outer_fold, sum(s) / sum(n) AS g FROM combos JOIN fsum ON fsum.fold <> combos.fold AND fsum.fold <> outer_fold GROUP BY ALL),
     cell AS (SELECT x.objective_id, combos.fold, outer_fold, coalesce(sum(c.s), 0) AS s, coalesce(sum(c.n), 0) AS n
              FROM (SELECT DISTINCT objective_id FROM f) AS x CROSS JOIN combos
              LEFT JOIN c ON c.objective_id = x.objective_id AND c.fold <> combos.fold AND c.fold <> outer_fold GROUP BY ALL)
-    SELECT response_id, outer_fold, CASE WHEN f.fold = outer_fold THEN 'validation' ELSE 'train' END AS side,
+    SELECT response_id, cell.outer_fold, CASE WHEN f.fold = cell.outer_fold THEN 'validation' ELSE 'train' END AS side,
            (s + 20 * g) / (n + 20) AS encoding
-    FROM f JOIN cell ON cell.objective_id = f.objective_id AND cell.fold = f.fold JOIN rate USING (fold, outer_fold)""",
-    "encoding").replace("cell.fold = f.fold JOIN rate USING (fold, outer_fold)",
-                        "cell.fold = f.fold JOIN rate ON rate.fold = f.fold AND rate.outer_fold = cell.outer_fold")
-    .replace("SELECT response_id, outer_fold, CASE WHEN f.fold = outer_fold",
-             "SELECT response_id, cell.outer_fold, CASE WHEN f.fold = cell.outer_fold"))
+    FROM f JOIN cell ON cell.objective_id = f.objective_id AND cell.fold = f.fold
+    JOIN rate ON rate.fold = f.fold AND rate.outer_fold = cell.outer_fold""", "encoding"))
 def _model_encodings(spark, sf_dir):
     return EN.model_encodings(session_folds(spark, sf_dir)).select("response_id", "outer_fold", "side", "encoding")
 
