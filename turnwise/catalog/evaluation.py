@@ -398,13 +398,13 @@ def _replay(spark, sf_dir):
 
 @query("prediction_sink", "S9 J9", rounded("""
     SELECT o_orderkey AS pos, o_orderkey AS response_id,
-           greatest(least(coalesce(CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice / 400000.0::DOUBLE - 0.1 END, 0.31), 0.999999), 0.000001) AS probability
+           greatest(least(coalesce(CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice / 399989.0::DOUBLE - 0.1 END, 0.31), 0.999999), 0.000001) AS probability
     FROM orders""", "probability"))
 def _sink(spark, sf_dir):
     rows = table(spark, sf_dir, "orders")
     required = rows.selectExpr("o_orderkey AS response_id", "o_orderkey AS pos")
     made = rows.where("o_orderkey % 13 <> 0").selectExpr(
-        "o_orderkey AS response_id", "o_totalprice / 400000.0D - 0.1D AS probability")
+        "o_orderkey AS response_id", "o_totalprice / 399989.0D - 0.1D AS probability")
     return QU.prediction_sink(required, made, 0.31)
 
 

@@ -1 +1,122 @@
-"""Registered queries."""
+"""Models trained on the given tables (checked by invariants, not by SQL)."""
+
+from __future__ import annotations
+
+from ..functions import text as X
+from ..operators import folds as FO
+from ..operators.ledger import importance_summary
+from ..operators.ordered import aggregate
+from ..plans import learning as LN
+from ..plans.linguistic import utterance_text_counts
+from .inputs import long_utterances, responses, short_utterances, table
+from .registry import query
+
+FEATURES = ("len", "n_words", "repeats", "selfcorr_rate", "filler_rate", "negate_rate", "excl_rate", "false_start_rate")
+K = 3
+
+
+def labelled_texts(spark, sf_dir):
+    """Labelled documents as responses: source = session, language = objective."""
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "CAST(quality AS DOUBLE) AS label")
+    return table(spark, sf_dir, "documents").join(labels, "doc_id").selectExpr(
+        "doc_id AS response_id", "source AS session_id", "lang AS objective_id",
+        "concat(lang, ' text from ', source) AS objective_text", "label", "text",
+    )
+
+
+def document_matrix(spark, sf_dir):
+    texts = labelled_texts(spark, sf_dir)
+    counts = utterance_text_counts(
+        texts.selectExpr("session_id", "response_id AS pos", "'student' AS role", "text AS content")
+    ).selectExpr("pos AS response_id", *FEATURES)
+    return texts.drop("text", "objective_text").join(counts, "response_id")
+
+
+@query("gbt_oof", "M3 F7 F8")
+def _gbt(spark, sf_dir):
+    folds = FO.session_folds(document_matrix(spark, sf_dir), K)
+    return LN.out_of_fold(folds, FEATURES, LN.boosted_trees(8, 3), range(K), k=K)[0]
+
+
+@query("gbt_importance", "M3 A16")
+def _gbt_importance(spark, sf_dir):
+    folds = FO.session_folds(document_matrix(spark, sf_dir), K)
+    gains = LN.out_of_fold(folds, FEATURES, LN.boosted_trees(5, 3), range(K), importance=True, k=K)[1]
+    return importance_summary(gains)
+
+
+@query("text_model_oof", "M4 T17")
+def _text(spark, sf_dir):
+    folds = FO.session_folds(labelled_texts(spark, sf_dir), K)
+    return LN.text_out_of_fold(folds, range(K))
+
+
+def labelled_moves(spark, sf_dir):
+    rows = short_utterances(spark, sf_dir).where("role IN ('tutor', 'student')")
+    return rows.selectExpr("session_id", "pos", "role", "content", f"{X.move_label('role', 'content')} AS move")
+
+
+@query("move_classifier_report", "M5 F13")
+def _move_report(spark, sf_dir):
+    split = LN.cut(FO.group_shuffle_split(labelled_moves(spark, sf_dir)))
+    model = LN.fit_move_classifier(split.where("side = 'train'").drop("side"))
+    return LN.classification_report(LN.predict_moves(model, split.where("side = 'test'").drop("side")))
+
+
+@query("predicted_moves", "M6")
+def _predicted(spark, sf_dir):
+    moves = LN.cut(labelled_moves(spark, sf_dir))
+    model = LN.fit_move_classifier(moves)
+    return LN.predict_moves(model, moves).select("session_id", "pos", "role", "predicted_move")
+
+
+@query("calibration_choice", "M7 M8 M10 E5")
+def _calibration(spark, sf_dir):
+    folds = FO.session_folds(responses(spark, sf_dir), K)
+    return LN.calibration_losses(folds, range(K))
+
+
+@query("domain_folds", "F5")
+def _domains(spark, sf_dir):
+    sizes = aggregate(
+        utterance_text_counts(short_utterances(spark, sf_dir)), ["session_id"],
+        "avg(len) AS mean_len", "sum(n_words) AS n_words", "count(1) AS n", "sum(repeats) AS repeats",
+    )
+    domains = LN.session_domains(sizes, ["mean_len", "n_words", "n", "repeats"], 10)
+    rows = short_utterances(spark, sf_dir).selectExpr(
+        "concat_ws('-', session_id, pos) AS response_id", "session_id",
+        "CASE WHEN role = 'student' THEN 1D ELSE 0D END AS label")
+    return LN.domain_folds(rows, domains, K).select("response_id", "session_id", "domain_id", "fold")
+
+
+@query("text_difficulty_encoding", "F9 F10 U4")
+def _difficulty(spark, sf_dir):
+    rows = LN.cut(FO.session_folds(labelled_texts(spark, sf_dir).drop("text").selectExpr(
+        "response_id", "session_id", "concat_ws('-', objective_id, session_id) AS objective_id",
+        "objective_text", "label"), K))
+    scored = LN.text_difficulty(rows.where("fold <> 0"), rows.where("fold = 0"), inner=K)
+    return scored.select("response_id", "fold", "lo_text_difficulty")
+
+
+@query("fold_safe_pca", "F11")
+def _pca(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id AS response_id", "CAST(label AS BIGINT) AS session_id", "CAST(label % 2 AS DOUBLE) AS label",
+        *[f"CAST(embedding[{i}] AS DOUBLE) AS raw_{i:02d}" for i in range(64)])
+    rows = LN.cut(FO.session_folds(vectors, K))
+    return LN.fold_safe_pca(rows, [f"raw_{i:02d}" for i in range(64)], 0, 8)
+
+
+@query("block_ablation", "E14 E13 E15")
+def _ablation(spark, sf_dir):
+    blocks = {"size": ("len", "n_words"), "fluency": ("repeats", "selfcorr_rate", "filler_rate")}
+    return LN.ablation(document_matrix(spark, sf_dir), blocks, LN.logistic(iterations=10), seeds=(0, 1), k=2)
+
+
+@query("unseen_stress_test", "E20 F12 E12")
+def _stress(spark, sf_dir):
+    # the objective is the last digit of the document id, so a draw leaves other sessions to train on
+    rows = document_matrix(spark, sf_dir).selectExpr(
+        "response_id", "concat_ws('-', session_id, response_id div 40) AS session_id",
+        "response_id div 40 % 10 AS objective_id", "label", *FEATURES)
+    return LN.unseen_stress_test(rows, FEATURES, LN.logistic(iterations=10), draws=2)

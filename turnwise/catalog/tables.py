@@ -1 +1,80 @@
-"""Registered queries."""
+"""Normalised utterances, parsed times, routing by size and the design matrix."""
+
+from __future__ import annotations
+
+from ..functions.scalars import elapsed_seconds
+from ..plans.dialogue import session_feedback
+from ..plans.matrix import build_matrix
+from ..plans.structural import session_structure
+from ..sources.files import full_and_smoke, normalize
+from .dialogue import FBS, base_sql, feedback_sql
+from .inputs import SHORT, short_utterances, table
+from .registry import query, rounded
+from .sessions import STRUCT_COLUMNS, structure_sql
+
+MESSY = """
+    CAST(conv_id AS VARCHAR) AS session_id,
+    CASE WHEN (conv_id + turn) % 9 = 4 THEN 'x' ELSE CAST(7 - turn AS VARCHAR) END AS utterance_id,
+    CASE WHEN (conv_id + turn) % 5 = 2 THEN NULL WHEN turn % 2 = 0 THEN ' ' || upper(role) || '  ' ELSE role END AS role,
+    CASE WHEN (conv_id * turn) % 7 = 3 THEN NULL ELSE text END AS content,
+    CASE WHEN turn % 4 = 3 THEN 'bad' ELSE '0:0' || (turn % 8) || ':' || (10 + conv_id % 50) || CASE WHEN turn % 2 = 1 THEN '.25' ELSE '' END END AS timestamp"""
+TIME_SQL = r"""
+    CASE WHEN regexp_matches({t}, '^\s*(\d+):(\d{{1,2}}):(\d{{1,2}})(?:\.(\d+))?\s*$') THEN
+         CAST(regexp_extract({t}, '^\s*(\d+):(\d{{1,2}}):(\d{{1,2}})(?:\.(\d+))?\s*$', 1) AS DOUBLE) * 3600
+       + CAST(regexp_extract({t}, '^\s*(\d+):(\d{{1,2}}):(\d{{1,2}})(?:\.(\d+))?\s*$', 2) AS DOUBLE) * 60
+       + CAST(regexp_extract({t}, '^\s*(\d+):(\d{{1,2}}):(\d{{1,2}})(?:\.(\d+))?\s*$', 3) AS DOUBLE)
+       + CASE WHEN regexp_extract({t}, '^\s*(\d+):(\d{{1,2}}):(\d{{1,2}})(?:\.(\d+))?\s*$', 4) = '' THEN 0
+              ELSE CAST('0.' || regexp_extract({t}, '^\s*(\d+):(\d{{1,2}}):(\d{{1,2}})(?:\.(\d+))?\s*$', 4) AS DOUBLE) END END"""
+
+
+@query("normalized_utterances", "S5 S6 K1", rounded(f"""
+    WITH m AS (SELECT {MESSY} FROM conversations),
+    n AS (SELECT session_id, utterance_id, lower(trim(coalesce(role, 'unknown'))) AS role, coalesce(content, '') AS content,
+                 try_cast(utterance_id AS DOUBLE) AS utterance_idx, {TIME_SQL.format(t='timestamp')} AS t_seconds FROM m)
+    SELECT session_id, utterance_id, role, md5(content) AS content_md5, utterance_idx, t_seconds,
+           row_number() OVER (PARTITION BY session_id ORDER BY utterance_idx NULLS LAST, t_seconds NULLS LAST,
+                              utterance_id, role, content) - 1 AS pos,
+           count(*) OVER (PARTITION BY session_id) AS n_rows FROM n""", "utterance_idx t_seconds"))
+def _normalized(spark, sf_dir):
+    raw = table(spark, sf_dir, "conversations").selectExpr(
+        *[p.replace("VARCHAR", "STRING") for p in _split(MESSY)])
+    return normalize(raw).selectExpr(
+        "session_id", "utterance_id", "role", "md5(content) AS content_md5", "utterance_idx", "t_seconds", "pos", "n_rows")
+
+
+def _split(text: str) -> list[str]:
+    return [line.strip().rstrip(",") for line in text.strip().splitlines()]
+
+
+STAMP = """CASE event_id % 6 WHEN 0 THEN '0:00:0' || (event_id % 10) WHEN 1 THEN ' ' || (event_id % 30) || ':75:61 '
+    WHEN 2 THEN '1:2:3.' || (event_id % 1000) WHEN 3 THEN 'bad' WHEN 4 THEN '12:00:01:5' ELSE NULL END"""
+
+
+@query("elapsed_times", "S6", rounded(
+    f"SELECT event_id, {TIME_SQL.format(t='s')} AS t_seconds FROM (SELECT event_id, {STAMP} AS s FROM events)", "t_seconds"))
+def _elapsed(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", f"{STAMP} AS s")
+    return rows.selectExpr("event_id", f"{elapsed_seconds('s')} AS t_seconds")
+
+
+@query("full_and_smoke_file", "S2", """
+    WITH s AS (SELECT 'orders_' || o_orderpriority || '.csv' AS source_file, count(*) AS n FROM orders GROUP BY 1)
+    SELECT arg_max(source_file, n) AS full_file, max(n) AS full_rows, arg_min(source_file, n) AS smoke_file, min(n) AS smoke_rows FROM s""")
+def _full_smoke(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("concat('orders_', o_orderpriority, '.csv') AS source_file")
+    return full_and_smoke(rows)
+
+
+@query("design_matrix", "B16 J4", rounded(f"""
+    WITH {base_sql(SHORT, 'session_id')}, st AS ({structure_sql(SHORT)}), fb AS ({feedback_sql('session_id', 'fbs_')}),
+    b AS (SELECT session_id || '-' || pos AS response_id, session_id FROM ({SHORT}) WHERE role = 'student')
+    SELECT b.response_id, st.*, fb.* EXCLUDE (session_id) FROM b JOIN st USING (session_id) JOIN fb USING (session_id)""",
+    STRUCT_COLUMNS + FBS))
+def _matrix(spark, sf_dir):
+    turns = short_utterances(spark, sf_dir)
+    base = turns.where("role = 'student'").selectExpr("concat_ws('-', session_id, pos) AS response_id", "session_id")
+    matrix, features = build_matrix(base, [
+        ("structural", session_structure(turns), "session_id"),
+        ("feedback", session_feedback(turns, chunked=False), "session_id"),
+    ])
+    return matrix.select("response_id", "session_id", *features)

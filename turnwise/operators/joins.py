@@ -140,3 +140,24 @@ def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     rest = [c for c in df.columns if c != key]
     pick = aggregate(df, [key], f"min_by(struct({', '.join(rest)}), struct({order})) AS _row")
     return pick.select(key, "_row.*")
+
+
+def guarded_block_join(base: DataFrame, block: DataFrame, key: str, name: str = "block") -> DataFrame:
+    """Many-to-one left join that fails while running if the block is unsafe.
+
+    The checks ride along: a key repeated in the block, or a base row without any block
+    value, raises as soon as a block column is read.  One pass, no separate audit job.
+    """
+    if key not in block.columns:
+        raise KeyError(f"{name} has no column {key!r}")
+    fresh = [c for c in block.columns if c != key and c not in base.columns]
+    packed = aggregate(
+        block, [key], f"any_value(struct({', '.join(fresh)})) AS _b", "count(1) AS _n",
+        f"bool_and(coalesce({', '.join(f'CAST({c} AS STRING)' for c in fresh)}) IS NULL) AS _void",
+    )
+    joined = base.join(packed, key, "left")
+    safe = (
+        f"CASE WHEN _n > 1 THEN raise_error('{name}: repeated {key}') "
+        f"WHEN _b IS NULL OR _void THEN raise_error('{name}: absent for a row') ELSE _b END AS _b"
+    )
+    return joined.selectExpr(*base.columns, safe).select(*base.columns, "_b.*")

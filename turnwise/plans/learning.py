@@ -1,12 +1,206 @@
-"""Model training and scoring on Spark ML."""
+"""Model training and scoring on Spark ML.
+
+Fits loop over folds on the driver; rows stay distributed.  Frames that are read by several
+fits are written to the reliable checkpoint folder once (``cut``), so neither an executor
+loss nor the next fit replays the feature lineage.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import (
+    IDF, PCA, CountVectorizer, HashingTF, Imputer, Normalizer, RobustScaler, StandardScaler,
+    StringIndexer, VectorAssembler,
+)
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.scalars import calibrated, clip_probability, lit, log_loss, logit, seeded_hash
+from ..functions.text import with_bigrams
+from ..operators.compare import paired_delta, summarize
+from ..operators.encoding import model_encodings
+from ..operators.folds import deal, session_folds
 from ..operators.ordered import aggregate
+from ..operators.stats import auc
+from ..session import cut
+
+Learner = Callable[[], object]
+
+
+def union(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def boosted_trees(iterations: int = 20, depth: int = 4, seed: int = 0, early_stop: bool = True) -> Learner:
+    def make():
+        model = GBTClassifier(
+            labelCol="label", featuresCol="features", maxIter=iterations, maxDepth=depth, seed=seed,
+            subsamplingRate=0.8, stepSize=0.1, cacheNodeIds=False,
+        )
+        return model.setValidationIndicatorCol("is_validation") if early_stop else model
+    return make
+
+
+def logistic(reg: float = 1e-3, elastic: float = 0.0, iterations: int = 50) -> Learner:
+    return lambda: LogisticRegression(
+        labelCol="label", featuresCol="features", regParam=reg, elasticNetParam=elastic, maxIter=iterations
+    )
+
+
+def probability(scored: DataFrame, name: str = "pred") -> DataFrame:
+    return scored.withColumn(name, vector_to_array("probability")[1])
+
+
+def assembled(matrix: DataFrame, features: Sequence[str]) -> Pipeline:
+    """Median-filled, assembled features; the fitted pipeline fixes the feature order."""
+    filled = [f"_f_{c}" for c in features]
+    return Pipeline(stages=[
+        Imputer(strategy="median", inputCols=list(features), outputCols=filled),
+        VectorAssembler(inputCols=filled, outputCol="features"),
+    ])
+
+
+def out_of_fold(
+    matrix: DataFrame, features: Sequence[str], learner: Learner, folds: Sequence[int],
+    encode: bool = True, importance: bool = False, k: int = 5,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Out-of-fold predictions ``response_id, session_id, fold, label, pred``.
+
+    With ``encode`` the objective's leakage-safe encoding for that outer model is added as
+    a feature.  Returns the gains per ``feature, fold`` when asked and available.
+    """
+    doubles = matrix.selectExpr(
+        "response_id", "session_id", "objective_id", "fold", "CAST(label AS DOUBLE) AS label",
+        *[f"CAST({c} AS DOUBLE) AS {c}" for c in features],
+    )
+    ready = cut(doubles)
+    columns = [*features, "lo_prior_enc"] if encode else list(features)
+    encodings = None
+    if encode:
+        encodings = cut(model_encodings(ready, k).selectExpr("response_id", "outer_fold", "encoding AS lo_prior_enc"))
+    scored, gains = [], []
+    for fold in folds:
+        rows = ready.selectExpr("*", f"fold = {fold} AS is_validation")
+        if encodings is not None:
+            rows = rows.join(encodings.where(f"outer_fold = {fold}").drop("outer_fold"), "response_id")
+        shape = assembled(rows, columns).fit(rows.where("NOT is_validation"))
+        vectors = shape.transform(rows).select("response_id", "session_id", "fold", "label", "is_validation", "features")
+        estimator = learner()
+        uses_validation = estimator.hasParam("validationIndicatorCol") and estimator.isSet("validationIndicatorCol")
+        model = estimator.fit(vectors if uses_validation else vectors.where("NOT is_validation"))
+        held = model.transform(vectors.where("is_validation"))
+        scored.append(probability(held).select("response_id", "session_id", "fold", "label", "pred"))
+        if importance and hasattr(model, "featureImportances"):
+            values = model.featureImportances.toArray().tolist()
+            gains += [(c, int(fold), float(v)) for c, v in zip(columns, values)]
+    table = ready.sparkSession.createDataFrame(gains, "feature string, fold int, gain double") if gains else None
+    return union(scored), table
 
 
+# --- text features ---------------------------------------------------------------------
+# Accented Latin letters and their plain forms.
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def hashed_grams(texts: DataFrame, column: str = "text", buckets: int = 2**16) -> DataFrame:
+    """``features``: word 1-2 grams and padded character 3-5 grams, each hashed and unit length."""
+    low = f"translate(lower({column}), '{ACCENTED}', '{PLAIN}')"
+    tokens = f"regexp_extract_all({low}, {lit(chr(92) + 'b' + chr(92) + 'w' + chr(92) + 'w+' + chr(92) + 'b')}, 0)"
+    padded = f"transform(filter(split(lower({column}), {lit(chr(92) + 's+')}), w -> w <> ''), w -> concat(' ', w, ' '))"
+    grams = (
+        "flatten(transform(_words, w -> flatten(transform(filter(array(3, 4, 5), n -> n <= length(w)), "
+        "n -> transform(sequence(1, length(w) - n + 1), i -> substr(w, i, n))))))"
+    )
+    split_up = texts.selectExpr("*", f"{tokens} AS _tokens", f"{padded} AS _words").selectExpr(
+        *texts.columns, f"{with_bigrams('_tokens')} AS _word_grams", f"{grams} AS _char_grams"
+    )
+    stages = Pipeline(stages=[
+        HashingTF(inputCol="_word_grams", outputCol="_wt", numFeatures=buckets),
+        HashingTF(inputCol="_char_grams", outputCol="_ct", numFeatures=buckets),
+        Normalizer(inputCol="_wt", outputCol="_w", p=2.0),
+        Normalizer(inputCol="_ct", outputCol="_c", p=2.0),
+        VectorAssembler(inputCols=["_w", "_c"], outputCol="features"),
+    ])
+    return stages.fit(split_up).transform(split_up).select(*texts.columns, "features")
+
+
+def text_out_of_fold(texts: DataFrame, folds: Sequence[int], column: str = "text",
+                     learner: Learner | None = None, buckets: int = 2**16) -> DataFrame:
+    """Hashed text model, vectorised once for all folds (hashing has no fitted state)."""
+    learner = learner or logistic(reg=1e-3, elastic=0.05, iterations=30)
+    vectors = cut(hashed_grams(texts, column, buckets).select("response_id", "session_id", "fold", "label", "features"))
+    parts = []
+    for fold in folds:
+        model = learner().fit(vectors.where(f"fold <> {fold}"))
+        held = probability(model.transform(vectors.where(f"fold = {fold}")))
+        parts.append(held.select("response_id", "session_id", "fold", "label", "pred"))
+    return union(parts)
+
+
+def gram_stages(vocabulary: int, min_df: float, tokens: str = "grams") -> list:
+    return [
+        CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocabulary, minDF=min_df),
+        IDF(inputCol="_tf", outputCol="_idf"),
+        Normalizer(inputCol="_idf", outputCol="features", p=2.0),
+    ]
+
+
+def word_grams(texts: DataFrame, column: str, name: str = "grams") -> DataFrame:
+    low = f"translate(lower(coalesce({column}, '')), '{ACCENTED}', '{PLAIN}')"
+    tokens = f"regexp_extract_all({low}, {lit(chr(92) + 'b' + chr(92) + 'w' + chr(92) + 'w+' + chr(92) + 'b')}, 0)"
+    return texts.selectExpr("*", f"{tokens} AS _t").selectExpr(*texts.columns, f"{with_bigrams('_t')} AS {name}")
+
+
+def fit_move_classifier(turns: DataFrame, vocabulary: int = 200_000, min_df: float = 2.0):
+    """Role-prefixed text to move: one model serves both role vocabularies."""
+    rows = word_grams(turns.selectExpr("*", "concat(role, ' ', content) AS _said"), "_said")
+    return Pipeline(stages=[
+        StringIndexer(inputCol="move", outputCol="label", handleInvalid="keep", stringOrderType="alphabetAsc"),
+        *gram_stages(vocabulary, min_df),
+        LogisticRegression(regParam=1e-3, maxIter=30),
+    ]).fit(rows)
+
+
+def predict_moves(model, turns: DataFrame) -> DataFrame:
+    """The predicted move of every utterance."""
+    rows = word_grams(turns.selectExpr("*", "concat(role, ' ', content) AS _said"), "_said")
+    if "move" not in rows.columns:
+        rows = rows.withColumn("move", F.lit(None).cast("string"))
+    names = model.stages[0].labels
+    labels = "array(" + ", ".join(f"'{n}'" for n in names) + ")"
+    scored = model.transform(rows)
+    return scored.selectExpr(*turns.columns, f"get({labels}, CAST(prediction AS INT)) AS predicted_move")
+
+
+def classification_report(scored: DataFrame, label: str = "move", predicted: str = "predicted_move") -> DataFrame:
+    """Precision, recall, F1 and support per class plus accuracy and macro F1 rows."""
+    cells = aggregate(scored, [label, predicted], "count(1) AS n")
+    per_true = aggregate(cells, [label], f"sum(n) AS support", f"sum(CASE WHEN {label} <=> {predicted} THEN n ELSE 0 END) AS hit")
+    per_pred = aggregate(cells, [predicted], "sum(n) AS guessed").withColumnRenamed(predicted, label)
+    joined = per_true.join(per_pred, label, "full_outer").fillna(0, subset=["support", "hit", "guessed"])
+    classes = joined.selectExpr(
+        f"{label} AS class", "support",
+        "CASE WHEN guessed = 0 THEN 0D ELSE hit / guessed END AS precision",
+        "CASE WHEN support = 0 THEN 0D ELSE hit / support END AS recall", "hit",
+    ).selectExpr("*", "CASE WHEN precision + recall = 0 THEN 0D ELSE 2 * precision * recall / (precision + recall) END AS f1")
+    overall = aggregate(
+        classes, [], "'(all)' AS class", "sum(support) AS support", "avg(precision) AS precision",
+        "sum(hit) / sum(support) AS recall", "avg(f1) AS f1",
+    )
+    return classes.select("class", "support", "precision", "recall", "f1").unionByName(
+        overall.select("class", "support", "precision", "recall", "f1")
+    )
+
+
+# --- objective text difficulty ---------------------------------------------------------
 def two_class_rows(responses: DataFrame, order: str, key: str = "objective_id",
                    text: str = "objective_text", label: str = "label") -> DataFrame:
     """Each objective once per outcome, weighted by how often it was seen.
@@ -20,3 +214,171 @@ def two_class_rows(responses: DataFrame, order: str, key: str = "objective_id",
     return per.selectExpr(
         key, text, "stack(2, 1L, n * rate, 0L, n * (1D - rate)) AS (y, weight)"
     ).where("weight > 0")
+
+
+def fit_text_difficulty(responses: DataFrame, order: str = "response_id", c: float = 1.0):
+    """Objective description to difficulty: model and the base rate used for blank texts."""
+    rows = word_grams(two_class_rows(responses, order), "objective_text").selectExpr(
+        "*", "CAST(y AS DOUBLE) AS label")
+    facts = aggregate(responses, [], "avg(label) AS rate", "count(distinct objective_id) AS n").first()
+    min_df = float(min(2, max(1, facts["n"] // 10)))
+    weight = aggregate(rows, [], "sum(weight) AS w").first()["w"]
+    stages = [*gram_stages(50_000, min_df),
+              LogisticRegression(weightCol="weight", regParam=1.0 / (c * float(weight)), maxIter=50)]
+    return Pipeline(stages=stages).fit(rows), float(facts["rate"])
+
+
+def apply_text_difficulty(model, base_rate: float, rows: DataFrame, name: str = "lo_text_difficulty") -> DataFrame:
+    """Scored per distinct objective text, then joined back to the responses."""
+    texts = rows.select("objective_text").distinct()
+    scored = probability(model.transform(word_grams(texts, "objective_text")), "_p").selectExpr(
+        "objective_text AS _text", f"CASE WHEN trim(coalesce(objective_text, '')) = '' THEN {base_rate!r}D ELSE _p END AS _p"
+    )
+    joined = rows.join(scored, rows["objective_text"].eqNullSafe(scored["_text"]), "left")
+    return joined.selectExpr(*rows.columns, f"coalesce(_p, {base_rate!r}D) AS {name}")
+
+
+def text_difficulty(train: DataFrame, valid: DataFrame, seed: int = 0, inner: int = 5) -> DataFrame:
+    """Validation rows from the training model, training rows out of objective-grouped folds.
+
+    With fewer than ``2 * inner`` training objectives the base rate is used instead.
+    """
+    model, rate = fit_text_difficulty(train)
+    scored_valid = apply_text_difficulty(model, rate, valid)
+    n = train.select("objective_id").distinct().count()
+    if n < 2 * inner:
+        return scored_valid.unionByName(train.withColumn("lo_text_difficulty", F.lit(rate)))
+    groups = aggregate(train, ["objective_id"], "count(1) AS n")
+    inner_folds = deal(groups, (), inner, seed, "objective_id").withColumnRenamed("fold", "_inner")
+    placed = cut(train.join(inner_folds.select("objective_id", "_inner"), "objective_id"))
+    parts = [scored_valid]
+    for i in range(inner):
+        fitted, base = fit_text_difficulty(placed.where(f"_inner <> {i}"))
+        parts.append(apply_text_difficulty(fitted, base, placed.where(f"_inner = {i}").drop("_inner")))
+    return union([p.select(*parts[0].columns) for p in parts])
+
+
+# --- fold-safe PCA and domains ---------------------------------------------------------
+def fold_safe_pca(rows: DataFrame, columns: Sequence[str], fold: int, components: int, prefix: str = "cont_") -> DataFrame:
+    """Principal components fitted on the fold's training rows, applied to all rows."""
+    stages = Pipeline(stages=[
+        VectorAssembler(inputCols=list(columns), outputCol="_raw"),
+        StandardScaler(inputCol="_raw", outputCol="_centred", withMean=True, withStd=False),
+        PCA(inputCol="_centred", outputCol="_pca", k=components),
+    ])
+    model = stages.fit(rows.where(f"fold <> {fold}"))
+    out = model.transform(rows).withColumn("_v", vector_to_array("_pca"))
+    return out.selectExpr(*[c for c in rows.columns if c not in columns],
+                          *[f"_v[{i}] AS {prefix}{i:02d}" for i in range(components)])
+
+
+def session_domains(sessions: DataFrame, features: Sequence[str], domains: int = 20, seed: int = 0) -> DataFrame:
+    """``session_id, domain_id``: median fill, 10-90 robust scaling, k-means."""
+    doubles = cut(sessions.selectExpr("session_id", *[f"CAST({c} AS DOUBLE) AS {c}" for c in features]))
+    filled = [f"_f_{c}" for c in features]
+    model = Pipeline(stages=[
+        Imputer(strategy="median", inputCols=list(features), outputCols=filled),
+        VectorAssembler(inputCols=filled, outputCol="_raw"),
+        RobustScaler(inputCol="_raw", outputCol="features", lower=0.1, upper=0.9, withCentering=True),
+        KMeans(k=domains, seed=seed, maxIter=20),
+    ]).fit(doubles)
+    return model.transform(doubles).selectExpr("session_id", "CAST(prediction AS BIGINT) AS domain_id")
+
+
+def domain_folds(responses: DataFrame, domains: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
+    """Whole domains per fold, largest first."""
+    rows = responses.join(domains, "session_id")
+    sizes = aggregate(rows, ["domain_id"], "count(1) AS n", "sum(label) AS n_pos")
+    return rows.join(deal(sizes, ("n", "n_pos"), k, seed, "domain_id").select("domain_id", "fold"), "domain_id")
+
+
+# --- calibration -----------------------------------------------------------------------
+def fit_platt(rows: DataFrame, label: str = "label", pred: str = "pred") -> dict:
+    """Logistic regression on logit(p), all but unregularised, as plain numbers."""
+    z = VectorAssembler(inputCols=["z"], outputCol="features").transform(
+        rows.selectExpr(f"{label} AS label", f"{logit(pred)} AS z"))
+    model = LogisticRegression(regParam=1e-9, maxIter=100).fit(z)
+    return {"method": "platt", "coef": float(model.coefficients[0]), "intercept": float(model.intercept)}
+
+
+def fit_isotonic(rows: DataFrame, label: str = "label", pred: str = "pred") -> dict:
+    """Isotonic knots; equal predictions are merged into one weighted point first."""
+    points = aggregate(rows.selectExpr(f"{pred} AS p", f"{label} AS y"), ["p"], "avg(y) AS label", "CAST(count(1) AS DOUBLE) AS weight")
+    model = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight").fit(points)
+    return {"method": "isotonic", "x": [float(v) for v in model.boundaries],
+            "y": [min(1.0, max(0.0, float(v))) for v in model.predictions]}
+
+
+FITTERS: dict[str, Callable[[DataFrame], dict]] = {
+    "none": lambda rows: {"method": "none"}, "platt": fit_platt, "isotonic": fit_isotonic,
+}
+
+
+def calibration_losses(oof: DataFrame, folds: Sequence[int]) -> DataFrame:
+    """Cross-fitted log loss of each calibration method: ``method, logloss, n``."""
+    rows = cut(oof.select("response_id", "fold", "label", "pred"))
+    parts = []
+    for method, fitter in FITTERS.items():
+        for fold in folds:
+            fitted = fitter(rows.where(f"fold <> {fold}"))
+            held = rows.where(f"fold = {fold}").selectExpr(
+                f"'{method}' AS method", "label", f"{clip_probability(calibrated('pred', fitted))} AS p")
+            parts.append(aggregate(held, ["method"], f"sum({log_loss('label', 'p')}) AS s", "count(1) AS n"))
+    return aggregate(union(parts), ["method"], "sum(s) / sum(n) AS logloss", "sum(n) AS n")
+
+
+def choose_calibrator(oof: DataFrame, folds: Sequence[int]) -> tuple[dict, DataFrame]:
+    """The method with least cross-fitted loss, refitted on all rows, and the losses."""
+    losses = calibration_losses(oof, folds)
+    best = losses.orderBy("logloss", "method").first()["method"]
+    return FITTERS[best](oof), losses
+
+
+# --- repeated evaluation ---------------------------------------------------------------
+def run_loss(oof: DataFrame, name: str, seed: int) -> DataFrame:
+    return aggregate(oof, [], f"'{name}' AS name", f"{seed}L AS seed", f"avg({log_loss('label', 'pred')}) AS value")
+
+
+def repeated_scores(matrix: DataFrame, variants: dict[str, Sequence[str]], learner: Learner,
+                    seeds: Sequence[int], k: int = 5, encode: bool = False) -> DataFrame:
+    """Log loss of each feature set under each fold assignment: ``name, seed, value``."""
+    base = cut(matrix)
+    runs = []
+    for seed in seeds:
+        folds = cut(session_folds(base, k, seed))
+        for name, features in variants.items():
+            oof, _ = out_of_fold(folds, features, learner, range(k), encode, k=k)
+            runs.append(run_loss(oof, name, seed))
+    return union(runs)
+
+
+def ablation(matrix: DataFrame, blocks: dict[str, Sequence[str]], learner: Learner,
+             seeds: Sequence[int], k: int = 5) -> DataFrame:
+    """Paired leave-one-block-out: positive means the removed block was contributing."""
+    everything = [c for cols in blocks.values() for c in cols]
+    variants = {"full": everything} | {
+        f"without_{b}": [c for c in everything if c not in cols] for b, cols in blocks.items()
+    }
+    runs = cut(repeated_scores(matrix, variants, learner, seeds, k))
+    return summarize(paired_delta(runs, "full"))
+
+
+def unseen_stress_test(matrix: DataFrame, features: Sequence[str], learner: Learner, draws: int = 5,
+                       fraction: float = 0.25) -> DataFrame:
+    """Model against prior on objectives absent from training, over several draws."""
+    from ..operators.folds import unseen_split
+
+    base = cut(matrix)
+    runs = []
+    for draw in range(draws):
+        split = cut(unseen_split(base, fraction, seed=draw).where("side = 'train' OR scored"))
+        shape = assembled(split, features).fit(split.where("side = 'train'"))
+        vectors = shape.transform(split)
+        model = learner().fit(vectors.where("side = 'train'"))
+        held = probability(model.transform(vectors.where("side <> 'train'"))).select("label", "pred")
+        rate = aggregate(split.where("side = 'train'"), [], "avg(label) AS r").scalar()
+        prior = held.withColumn("pred", rate)
+        runs += [run_loss(held, "model", draw), run_loss(prior, "prior", draw)]
+    both = cut(union(runs))
+    gain = paired_delta(both, "prior").withColumn("name", F.lit("gain"))
+    return summarize(both.unionByName(gain))
