@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from ..functions import text as X
 from ..plans.dialogue import (
-    FEEDBACK_COLUMNS, TRAJECTORY_COLUMNS, session_feedback, session_trajectory,
+    FEEDBACK_COLUMNS, TRAJECTORY_COLUMNS, labelled_turns, session_feedback, session_trajectory,
 )
-from .inputs import LONG, SHORT, long_utterances, short_utterances
+from .inputs import LONG, SHORT, long_rows, numbered, short_utterances
 from .registry import query, rounded
 from .sessions import div, phrases_sql, quoted
 
@@ -111,7 +111,7 @@ MOVES = tuple(dict.fromkeys(X.TUTOR_MOVES + X.STUDENT_MOVES))
     SELECT role, {', '.join(f"count(*) FILTER (move = '{m}') AS {m}" for m in MOVES)}
     FROM m GROUP BY role""")
 def _distribution(spark, sf_dir):
-    moves = long_utterances(spark, sf_dir)[0].selectExpr(
+    moves = long_rows(spark, sf_dir).selectExpr(
         "role", f"{X.move_label('role', 'content')} AS move"
     )
     return moves.groupBy("role").pivot("move", list(MOVES)).count().na.fill(0)
@@ -246,13 +246,13 @@ TRAJ = [f"traj_{c}" for c in TRAJECTORY_COLUMNS]
 @query("session_feedback", "B10 W8 W9 W10 W11 W12",
        rounded(f"WITH {base_sql(LONG, 'session_id')} {feedback_sql('session_id', 'fbs_')}", FBS))
 def _feedback(spark, sf_dir):
-    return session_feedback(*long_utterances(spark, sf_dir))
+    return session_feedback(*numbered(spark, sf_dir, labelled_turns(long_rows(spark, sf_dir), "doc_id")))
 
 
 @query("session_trajectory", "B11 W13 W14 W15 W16 W17 A6 A7",
        rounded(f"WITH {base_sql(LONG, 'session_id')} {trajectory_sql('session_id')}", TRAJ))
 def _trajectory(spark, sf_dir):
-    return session_trajectory(*long_utterances(spark, sf_dir))
+    return session_trajectory(*numbered(spark, sf_dir, labelled_turns(long_rows(spark, sf_dir), "doc_id")))
 
 
 @query("session_feedback_short", "B10",
@@ -281,4 +281,4 @@ def _trajectory_short(spark, sf_dir):
 def _role_profile(spark, sf_dir):
     from ..plans.overview import role_profile
 
-    return role_profile(long_utterances(spark, sf_dir)[0])
+    return role_profile(long_rows(spark, sf_dir))

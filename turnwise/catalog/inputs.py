@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.ordered import aggregate, has_large_groups, with_positions
+from ..operators.ordered import aggregate, has_large_groups, spread, with_positions
 from ..operators.retrieval import unit
 
 
@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def short_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns are numbered from zero without gaps, so ``turn`` is the position."""
-    return table(spark, sf_dir, "conversations").selectExpr(
+    return spread(table(spark, sf_dir, "conversations")).selectExpr(
         "CAST(conv_id AS STRING) AS session_id",
         "turn AS pos",
         "CASE role WHEN 'user' THEN 'student' WHEN 'assistant' THEN 'tutor' "
@@ -37,16 +37,26 @@ SHORT = """
     FROM conversations"""
 
 
-def long_utterances(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bool]:
-    """Utterances in document order, and whether any session is too large for one task."""
-    raw = table(spark, sf_dir, "documents").selectExpr(
+def long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as turns of their source, not numbered yet; ordered by ``doc_id``."""
+    return spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text")).selectExpr(
         "source AS session_id",
         "doc_id",
         "element_at(array('tutor', 'student', 'background'), CAST(doc_id % 3 + 1 AS INT)) AS role",
         "coalesce(text, '') AS content",
     )
-    chunked = has_large_groups(raw)
-    return with_positions(raw, ("doc_id",), chunked), chunked
+
+
+def numbered(spark: SparkSession, sf_dir: str, rows: DataFrame) -> tuple[DataFrame, bool]:
+    """Number (narrowed) document rows and tell whether any session is too large for one task."""
+    keys = table(spark, sf_dir, "documents").selectExpr("source AS session_id")
+    chunked = has_large_groups(keys)
+    return with_positions(rows, ("doc_id",), chunked), chunked
+
+
+def long_utterances(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bool]:
+    """Utterances with their text in document order, and the size flag."""
+    return numbered(spark, sf_dir, long_rows(spark, sf_dir))
 
 
 LONG = """

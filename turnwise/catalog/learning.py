@@ -5,10 +5,10 @@ from __future__ import annotations
 from ..functions import text as X
 from ..operators import folds as FO
 from ..operators.ledger import importance_summary
-from ..operators.ordered import aggregate
 from ..plans import learning as LN
 from ..plans.linguistic import utterance_text_counts
-from .inputs import long_utterances, responses, short_utterances, table
+from ..operators.ordered import aggregate, spread
+from .inputs import responses, short_utterances, table
 from .registry import query
 
 FEATURES = ("len", "n_words", "repeats", "selfcorr_rate", "filler_rate", "negate_rate", "excl_rate", "false_start_rate")
@@ -18,7 +18,7 @@ K = 3
 def labelled_texts(spark, sf_dir):
     """Labelled documents as responses: source = session, language = objective."""
     labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "CAST(quality AS DOUBLE) AS label")
-    return table(spark, sf_dir, "documents").join(labels, "doc_id").selectExpr(
+    return spread(table(spark, sf_dir, "documents")).join(labels, "doc_id").selectExpr(
         "doc_id AS response_id", "source AS session_id", "lang AS objective_id",
         "concat(lang, ' text from ', source) AS objective_text", "label", "text",
     )
@@ -48,7 +48,8 @@ def _gbt_importance(spark, sf_dir):
 @query("text_model_oof", "M4 T17")
 def _text(spark, sf_dir):
     folds = FO.session_folds(labelled_texts(spark, sf_dir), K)
-    return LN.text_out_of_fold(folds, range(K))
+    learner = LN.logistic(reg=1e-3, elastic=0.05, iterations=8, scale=False)
+    return LN.text_out_of_fold(folds, range(K), learner=learner)
 
 
 def labelled_moves(spark, sf_dir):

@@ -10,7 +10,7 @@ from ..operators import joins as JN
 from ..operators import sampling as SA
 from ..operators.ordered import aggregate
 from ..plans import overview as OV
-from .inputs import LONG, RESPONSES, SHORT, long_utterances, responses, short_utterances, table
+from .inputs import LONG, RESPONSES, SHORT, long_rows, responses, short_utterances, table
 from .registry import query, rounded
 
 R = f"r AS MATERIALIZED ({RESPONSES})"
@@ -448,7 +448,7 @@ STATS = """
 @query("session_statistics", "B17 T15 D14", rounded(
     f"WITH u AS (SELECT *, doc_id * 3.0::DOUBLE AS t_seconds FROM ({LONG})) {STATS}", "duration_s"))
 def _session_stats(spark, sf_dir):
-    return OV.session_statistics(long_utterances(spark, sf_dir)[0].selectExpr("*", "doc_id * 3D AS t_seconds"))
+    return OV.session_statistics(long_rows(spark, sf_dir).selectExpr("*", "doc_id * 3D AS t_seconds"))
 
 
 @query("corpus_summary", "B17 A2", rounded(f"""
@@ -459,5 +459,5 @@ def _session_stats(spark, sf_dir):
            avg(x) AS mean, stddev_pop(x) AS std, count(*) AS n, sum(x) AS total FROM l GROUP BY measure""",
     [f"p{q}" for q in (0, 1, 5, 25, 50, 75, 90, 95, 99, 100)] + ["mean", "std", "total"]))
 def _corpus(spark, sf_dir):
-    stats = OV.session_statistics(long_utterances(spark, sf_dir)[0].selectExpr("*", "doc_id * 3D AS t_seconds"))
+    stats = OV.session_statistics(long_rows(spark, sf_dir).selectExpr("*", "doc_id * 3D AS t_seconds"))
     return OV.corpus_summary(stats)

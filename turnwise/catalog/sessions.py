@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from ..functions import text as X
-from ..plans.linguistic import session_linguistics
-from ..plans.structural import session_structure
+from ..plans.linguistic import session_linguistics, utterance_text_counts
+from ..plans.structural import session_structure, turn_lengths
 from ..plans.temporal import session_timing
-from .inputs import LONG, SHORT, TIMED, long_utterances, short_utterances, timed_utterances
+from .inputs import LONG, SHORT, TIMED, long_rows, numbered, short_utterances, timed_utterances
 from .registry import query, robust_sql, rounded
 
 RS = ("median", "trimmean", "iqr", "p90")
@@ -82,7 +82,8 @@ def _structure(spark, sf_dir):
 
 @query("session_structure_long", "B1 A1 W2", rounded(structure_sql(LONG), STRUCT_COLUMNS))
 def _structure_long(spark, sf_dir):
-    return session_structure(*long_utterances(spark, sf_dir))
+    narrow = turn_lengths(long_rows(spark, sf_dir), "doc_id")
+    return session_structure(*numbered(spark, sf_dir, narrow))
 
 
 TIMING_SQL = f"""
@@ -209,4 +210,6 @@ def _linguistics(spark, sf_dir):
 
 @query("session_linguistics_long", "B2 T7 T8 A7 W7", rounded(linguistics_sql(LONG), LING_COLUMNS))
 def _linguistics_long(spark, sf_dir):
-    return session_linguistics(*long_utterances(spark, sf_dir))
+    rows = long_rows(spark, sf_dir)
+    counts, chunked = numbered(spark, sf_dir, utterance_text_counts(rows, "doc_id"))
+    return session_linguistics(rows, chunked, counts)

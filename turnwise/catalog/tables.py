@@ -66,9 +66,9 @@ def _full_smoke(spark, sf_dir):
 
 
 @query("design_matrix", "B16 J4", rounded(f"""
-    WITH {base_sql(SHORT, 'session_id')}, st AS ({structure_sql(SHORT)}), fb AS ({feedback_sql('session_id', 'fbs_')}),
+    WITH {base_sql(SHORT, 'session_id')}, bst AS ({structure_sql(SHORT)}), bfb AS ({feedback_sql('session_id', 'fbs_')}),
     b AS (SELECT session_id || '-' || pos AS response_id, session_id FROM ({SHORT}) WHERE role = 'student')
-    SELECT b.response_id, st.*, fb.* EXCLUDE (session_id) FROM b JOIN st USING (session_id) JOIN fb USING (session_id)""",
+    SELECT b.response_id, bst.*, bfb.* EXCLUDE (session_id) FROM b JOIN bst USING (session_id) JOIN bfb USING (session_id)""",
     STRUCT_COLUMNS + FBS))
 def _matrix(spark, sf_dir):
     turns = short_utterances(spark, sf_dir)

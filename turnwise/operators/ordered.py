@@ -43,10 +43,20 @@ def has_large_groups(df: DataFrame, keys: tuple[str, ...] = ("session_id",),
     return bool(sizes.limit(1).count())
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on an input that has fewer splits than cores.
+
+    Text work is CPU-bound, and a small file with one row group is one task.  Inputs with
+    enough splits are left alone, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def by_position(chunked: bool, keys: tuple[str, ...] = ("session_id",),
-                chunk_rows: int = CHUNK_ROWS) -> Sequence:
+                chunk_rows: int | None = None) -> Sequence:
     """Rows of a group in ``pos`` order, cut every ``chunk_rows`` positions when asked."""
-    return Sequence(keys, ("pos",), (f"pos div {chunk_rows}",) if chunked else ())
+    return Sequence(keys, ("pos",), (f"pos div {chunk_rows or CHUNK_ROWS}",) if chunked else ())
 
 
 def _over(partition: list[str] | tuple[str, ...], order: str = "", frame: str = "") -> str:
@@ -63,15 +73,18 @@ def scan(
     *,
     prev: Mapping[str, str] | None = None,
     running: Mapping[str, str] | None = None,
+    peak: Mapping[str, str] | None = None,
     totals: Mapping[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Add columns that depend on a row's place in its group.
 
     ``prev``     value of an expression on the preceding row (null on the first row);
     ``running``  sum of an expression over all preceding rows (0 on the first row);
+    ``peak``     largest value of an expression over all preceding rows (null if none);
     ``totals``   ``(aggregate, expression)`` over the whole group: sum, min or max.
     """
     prev, running, totals = dict(prev or {}), dict(running or {}), dict(totals or {})
+    peak = dict(peak or {})
     order = ", ".join(seq.order)
     if not seq.chunk:
         rows, before = _over(seq.keys, order), _over(seq.keys, order, BEFORE)
@@ -79,6 +92,7 @@ def scan(
             "*",
             *[f"lag({e}) {rows} AS {n}" for n, e in prev.items()],
             *[f"coalesce(sum({e}) {before}, 0) AS {n}" for n, e in running.items()],
+            *[f"max({e}) {before} AS {n}" for n, e in peak.items()],
             *[f"{a}({e}) {_over(seq.keys)} AS {n}" for n, (a, e) in totals.items()],
         )
 
@@ -86,6 +100,7 @@ def scan(
     cut = df.selectExpr("*", *[f"{e} AS {c}" for e, c in zip(seq.chunk, cells)])
     partition = [*seq.keys, *cells]
     parts = [f"sum({e}) AS _r_{n}" for n, e in running.items()]
+    parts += [f"max({e}) AS _p_{n}" for n, e in peak.items()]
     parts += [f"{a}({e}) AS _t_{n}" for n, (a, e) in totals.items()]
     if prev:
         last = ", ".join(f"'{n}', {e}" for n, e in prev.items())
@@ -95,6 +110,7 @@ def scan(
     carry = summary.selectExpr(
         *partition,
         *[f"coalesce(sum(_r_{n}) {_over(seq.keys, along, BEFORE)}, 0) AS _c_{n}" for n in running],
+        *[f"max(_p_{n}) {_over(seq.keys, along, BEFORE)} AS _q_{n}" for n in peak],
         *([f"lag(_last) {_over(seq.keys, along)} AS _before"] if prev else []),
         *[f"{a}(_t_{n}) {_over(seq.keys)} AS {n}" for n, (a, _) in totals.items()],
     )
@@ -106,6 +122,7 @@ def scan(
             for n, e in prev.items()
         ],
         *[f"_c_{n} + coalesce(sum({e}) {before}, 0) AS {n}" for n, e in running.items()],
+        *[f"greatest(_q_{n}, max({e}) {before}) AS {n}" for n, e in peak.items()],
         *totals,
     )
 
@@ -126,7 +143,7 @@ def neighbours(
     prev: Mapping[str, str],
     chunked: bool,
     keys: tuple[str, ...] = ("session_id",),
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Preceding-row values for a dense 0-based ``pos``.
 
@@ -136,6 +153,7 @@ def neighbours(
     """
     if not chunked:
         return scan(df, by_position(False, keys), prev=prev)
+    chunk_rows = chunk_rows or CHUNK_ROWS
     here = f"pos div {chunk_rows}"
     cut = df.selectExpr(
         "*",
@@ -155,7 +173,7 @@ def with_positions(
     order: tuple[str, ...],
     chunked: bool,
     keys: tuple[str, ...] = ("session_id",),
-    bucket_width: int = CHUNK_ROWS,
+    bucket_width: int | None = None,
     totals: Mapping[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Dense 0-based ``pos`` and group size ``n_rows``; nulls last.
@@ -173,7 +191,7 @@ def with_positions(
     ]
     chunk: tuple[str, ...] = ()
     if chunked:
-        far = 2**62
+        far, bucket_width = 2**62, bucket_width or CHUNK_ROWS
         chunk = (f"coalesce(floor({order[0]} / {bucket_width}), {far})",)
         if len(order) > 1 and types[order[1]] in numeric:
             chunk += (f"CASE WHEN {order[0]} IS NULL THEN "

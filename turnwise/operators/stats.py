@@ -63,6 +63,41 @@ def robust_aggregates(trim: float = 0.1) -> list[str]:
     ]
 
 
+def row_ranks(keys: Seq[str], value: str, tag: str, where: str) -> list[str]:
+    """Per-row tie bounds and group size of ``value`` among the rows of a *small* group.
+
+    Columns ``{tag}_c0, {tag}_c1, {tag}_n``; they share the exchange on the leading key with
+    every other window of the group, so robust statistics cost a sort and no shuffle.
+    """
+    part = f"PARTITION BY {', '.join(keys)}, ({where})"
+    return [
+        f"rank() OVER ({part} ORDER BY {value}) - 1 AS {tag}_c0",
+        f"count(1) OVER ({part} ORDER BY {value} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {tag}_c1",
+        f"count(1) OVER ({part}) AS {tag}_n",
+    ]
+
+
+def robust_rows(value: str, tag: str, where: str, stem: str, trim: float = 0.1) -> list[str]:
+    """The four robust statistics as aggregates over rows that carry ``row_ranks``."""
+    c0, c1, n = f"{tag}_c0", f"{tag}_c1", f"{tag}_n"
+
+    def at(q: float) -> str:
+        spot, top = f"(({n} - 1) * {num(q)})", f"((max(CASE WHEN {where} THEN {n} END) - 1) * {num(q)})"
+        pick = lambda r: f"max(CASE WHEN ({where}) AND {c0} <= {r} AND {r} < {c1} THEN {value} END)"
+        low, high = pick(f"floor{spot}"), pick(f"ceil{spot}")
+        return f"({low} + ({high} - {low}) * ({top} - floor{top}))"
+
+    inside = (
+        f"({where}) AND {c1} - 1 >= ceil(({n} - 1) * {num(trim)}) AND {c0} <= floor(({n} - 1) * {num(1.0 - trim)})"
+    )
+    return [
+        f"coalesce({at(0.5)}, 0D) AS {stem}_median",
+        f"coalesce(avg(CASE WHEN {inside} THEN {value} END), {at(0.5)}, 0D) AS {stem}_trimmean",
+        f"coalesce({at(0.75)} - {at(0.25)}, 0D) AS {stem}_iqr",
+        f"coalesce({at(0.9)}, 0D) AS {stem}_p90",
+    ]
+
+
 def robust_stats(hist: DataFrame, keys: Seq[str], chunked: bool = False, trim: float = 0.1,
                  width: float = 1024.0) -> DataFrame:
     """One row of robust statistics per group of a histogram."""

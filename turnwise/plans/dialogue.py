@@ -1,8 +1,8 @@
 """Tutor-feedback (20 columns) and trajectory (23 columns) features of a stretch of dialogue.
 
 The stretch is a session, or the topic-relevant passages of one.  Walking the turns with
-counters becomes islands: rows share an island while a running count of resetting turns
-stays the same, so a streak is a count per island and needs no per-row state.
+counters needs no per-row state: a running count never falls, so its value at the last
+resetting turn is the running maximum over resetting turns, and a streak is the difference.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.scalars import safe_div
-from ..functions.text import turn_label
+from ..functions import text as X
 from ..operators.ordered import Sequence, aggregate, by_position, scan
 from ..operators.stats import slope
 
@@ -23,63 +23,75 @@ def one_if(condition: str) -> str:
     return f"CASE WHEN {condition} THEN 1L ELSE 0L END"
 
 
-# island counters: how many resetting turns came before the row
-RESETS = {
-    "by_affirm": AFFIRM,
-    "by_correct": CORRECT,
-    "by_any": f"({AFFIRM} OR {CORRECT} OR {REEXPLAIN})",
-    "by_affirm_reexplain": f"({AFFIRM} OR {REEXPLAIN})",
+# running count -> the turns that reset a streak of it
+STREAKS = {
+    "correct_by_affirm": ("n_correct", AFFIRM),
+    "correct_by_praise_or_explain": ("n_correct", f"({AFFIRM} OR {REEXPLAIN})"),
+    "affirm_by_correct": ("n_affirm", CORRECT),
+    "student_by_affirm": ("n_student", AFFIRM),
+    "student_by_any": ("n_student", f"({AFFIRM} OR {CORRECT} OR {REEXPLAIN})"),
 }
 
 
-def labelled_turns(utterances: DataFrame, *extra: str) -> DataFrame:
-    """Narrow rows for the dialogue features; the text is reduced to a label and a length."""
-    return utterances.selectExpr(
-        *extra, "session_id", "pos", "role",
-        "length(coalesce(content, '')) AS len",
-        f"{turn_label('role', 'content')} AS label",
+def labelled_turns(utterances: DataFrame, *keep: str) -> DataFrame:
+    """Narrow rows for the dialogue features; the text is reduced to a label and a length.
+
+    The lower-cased text and the marker counts are columns of their own, so each is
+    evaluated once per tutor turn.  ``keep`` names the order columns (default ``pos``).
+    """
+    keep = keep or ("pos",)
+    staged = utterances.selectExpr(
+        "session_id", *keep, "role", "length(coalesce(content, '')) AS len",
+        "CASE WHEN role = 'tutor' THEN lower(coalesce(content, '')) END AS low",
+    ).selectExpr(
+        "*", f"{X.phrase_count('low', X.CORRECTION_MARKERS)} AS _c",
+        f"{X.phrase_count('low', X.AFFIRM_MARKERS)} AS _a",
+    )
+    explained = f"{X.phrase_count('low', X.REEXPLAIN_MARKERS)} > 0"
+    label = (
+        "CASE WHEN low IS NULL THEN NULL WHEN _c > _a THEN 'correct' WHEN _a > 0 THEN 'affirm' "
+        f"WHEN length(low) > {X.LONG_TURN_CHARS} OR {explained} THEN 'reexplain' ELSE 'other' END"
     )
+    return staged.selectExpr("session_id", *keep, "role", "len", f"{label} AS label")
 
 
 def walked(turns: DataFrame, keys: tuple[str, ...], chunked: bool) -> DataFrame:
-    """Turns with the previous role, island counters, student ordinal and scope size."""
-    seq = by_position(chunked, keys)
-    counters = {name: one_if(test) for name, test in RESETS.items()}
-    return scan(
-        turns,
-        Sequence(keys, ("pos",), seq.chunk),
-        prev={"prev_role": "role"},
-        running={**counters, "student_idx": one_if(STUDENT)},
-        totals={"n": ("sum", "1L")},
+    """Turns with the previous role, counts so far (this row included) and streak bases.
+
+    ``base_*`` is the count at the last resetting turn before the row.
+    """
+    seq = Sequence(keys, ("pos",), by_position(chunked, keys).chunk)
+    flags = {"n_correct": CORRECT, "n_affirm": AFFIRM, "n_student": STUDENT}
+    counted = scan(
+        turns, seq, prev={"prev_role": "role"},
+        running={f"_{n}": one_if(test) for n, test in flags.items()}, totals={"n": ("sum", "1L")},
+    ).selectExpr(
+        *turns.columns, "prev_role", "n", "_n_student AS student_idx",
+        *[f"_{n} + {one_if(test)} AS {n}" for n, test in flags.items()],
     )
+    bases = {f"base_{s}": f"CASE WHEN {reset} THEN {count} END" for s, (count, reset) in STREAKS.items()}
+    return scan(counted, seq, peak=bases)
 
 
-def islands(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Streak and episode statistics per scope."""
-    kinds = ", ".join(f"'{name}', {name}" for name in RESETS)
-    spread = rows.where("role = 'student' OR label IN ('affirm', 'correct', 'reexplain')").selectExpr(
-        *keys, "role", "label", f"stack({len(RESETS)}, {kinds}) AS (kind, island)"
-    )
-    counted = aggregate(
-        spread, [*keys, "kind", "island"],
-        f"count_if{STUDENT} AS n_student", f"count_if{CORRECT} AS n_correct",
-        f"count_if{AFFIRM} AS n_affirm",
-    )
-    kind = lambda k, test="true": f"kind = '{k}' AND {test}"
-    attempted = kind("by_any", "n_affirm > 0 AND n_student > 0")
-    repaired = kind("by_affirm", "n_correct > 0 AND n_affirm > 0")
-    top = lambda k, c: f"coalesce(max(CASE WHEN {kind(k)} THEN {c} END), 0)"
-    return aggregate(
-        counted, keys,
-        f"coalesce(avg(CASE WHEN {attempted} THEN n_student END), 0D) AS mean_attempts",
-        f"coalesce(max(CASE WHEN {attempted} THEN n_student END), 0) AS max_attempts",
+def since(streak: str) -> str:
+    """The streak's count at a row since the last resetting turn before it."""
+    return f"({STREAKS[streak][0]} - coalesce(base_{streak}, 0))"
+
+
+def streak_aggregates() -> list[str]:
+    attempted = f"{AFFIRM} AND {since('student_by_any')} > 0"
+    repaired = f"{AFFIRM} AND {since('correct_by_affirm')} > 0"
+    longest = lambda s, on: f"coalesce(max(CASE WHEN {on} THEN {since(s)} END), 0)"
+    return [
+        f"coalesce(avg(CASE WHEN {attempted} THEN {since('student_by_any')} END), 0D) AS mean_attempts",
+        f"coalesce(max(CASE WHEN {attempted} THEN {since('student_by_any')} END), 0) AS max_attempts",
         f"count_if({attempted}) AS episodes",
         f"count_if({repaired}) AS repairs",
-        f"{top('by_affirm_reexplain', 'n_correct')} AS correction_streak",
-        f"{top('by_affirm', 'n_student')} AS unaffirmed_run",
-        f"{top('by_affirm', 'n_correct')} AS correction_run",
-        f"{top('by_correct', 'n_affirm')} AS affirm_run",
-    )
+        f"{longest('correct_by_praise_or_explain', CORRECT)} AS correction_streak",
+        f"{longest('student_by_affirm', STUDENT)} AS unaffirmed_run",
+        f"{longest('correct_by_affirm', CORRECT)} AS correction_run",
+        f"{longest('affirm_by_correct', AFFIRM)} AS affirm_run",
+    ]
 
 
 THIRDS = (
@@ -104,7 +116,7 @@ def dialogue_base(turns: DataFrame, keys: tuple[str, ...], chunked: bool) -> Dat
             f"count_if(({inside}) AND {STUDENT}) AS student_{i}",
             f"coalesce(sum(CASE WHEN ({inside}) AND {STUDENT} THEN len END), 0) AS chars_{i}",
         ]
-    base = aggregate(
+    return aggregate(
         rows, keys,
         "count(1) AS n",
         "count_if(role = 'tutor') AS n_tutor",
@@ -119,10 +131,7 @@ def dialogue_base(turns: DataFrame, keys: tuple[str, ...], chunked: bool) -> Dat
         f"coalesce(max_by(CASE WHEN {reply} THEN {valence} END, CASE WHEN {reply} THEN pos END), 0D) AS valence",
         f"{steep} AS len_slope", f"{fit} AS len_r2",
         *per_third,
-    )
-    return base.join(islands(rows, keys), list(keys), "left").fillna(
-        0, subset=["mean_attempts", "max_attempts", "episodes", "repairs", "correction_streak",
-                   "unaffirmed_run", "correction_run", "affirm_run"]
+        *streak_aggregates(),
     )
 
 
@@ -207,9 +216,15 @@ TRAJECTORY_COLUMNS = (
 SESSION = ("session_id",)
 
 
-def session_feedback(utterances: DataFrame, chunked: bool, prefix: str = "fbs_") -> DataFrame:
-    return feedback(dialogue_base(labelled_turns(utterances), SESSION, chunked), SESSION, prefix)
+def session_feedback(turns: DataFrame, chunked: bool, prefix: str = "fbs_") -> DataFrame:
+    """``turns`` are utterances or already labelled turns."""
+    return feedback(dialogue_base(_labelled(turns), SESSION, chunked), SESSION, prefix)
+
+
+def session_trajectory(turns: DataFrame, chunked: bool, prefix: str = "traj_") -> DataFrame:
+    return trajectory(dialogue_base(_labelled(turns), SESSION, chunked), SESSION, prefix)
 
 
-def session_trajectory(utterances: DataFrame, chunked: bool, prefix: str = "traj_") -> DataFrame:
-    return trajectory(dialogue_base(labelled_turns(utterances), SESSION, chunked), SESSION, prefix)
+def _labelled(turns: DataFrame) -> DataFrame:
+    return turns.select("session_id", "pos", "role", "len", "label") if "label" in turns.columns \
+        else labelled_turns(turns)

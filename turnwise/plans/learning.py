@@ -48,9 +48,10 @@ def boosted_trees(iterations: int = 20, depth: int = 4, seed: int = 0, early_sto
     return make
 
 
-def logistic(reg: float = 1e-3, elastic: float = 0.0, iterations: int = 50) -> Learner:
+def logistic(reg: float = 1e-3, elastic: float = 0.0, iterations: int = 50, scale: bool = True) -> Learner:
     return lambda: LogisticRegression(
-        labelCol="label", featuresCol="features", regParam=reg, elasticNetParam=elastic, maxIter=iterations
+        labelCol="label", featuresCol="features", regParam=reg, elasticNetParam=elastic, maxIter=iterations,
+        standardization=scale,
     )
 
 
@@ -135,7 +136,7 @@ def hashed_grams(texts: DataFrame, column: str = "text", buckets: int = 2**16) -
 def text_out_of_fold(texts: DataFrame, folds: Sequence[int], column: str = "text",
                      learner: Learner | None = None, buckets: int = 2**16) -> DataFrame:
     """Hashed text model, vectorised once for all folds (hashing has no fitted state)."""
-    learner = learner or logistic(reg=1e-3, elastic=0.05, iterations=30)
+    learner = learner or logistic(reg=1e-3, elastic=0.05, iterations=30, scale=False)
     vectors = cut(hashed_grams(texts, column, buckets).select("response_id", "session_id", "fold", "label", "features"))
     parts = []
     for fold in folds:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.scalars import num, safe_div
 from ..operators.ordered import aggregate, by_position, has_large_groups, neighbours, scan
-from ..operators.stats import ROBUST, histogram, robust_wide, slope
+from ..operators.stats import ROBUST, histogram, robust_rows, robust_wide, row_ranks, slope
 
 MAX_GAP_S = 120.0  # fixed value: largest plausible pause
 LONG_PAUSE_S = 10.0  # fixed value
@@ -39,6 +39,13 @@ def session_timing(
         running={"latency_idx": "CASE WHEN latency IS NOT NULL THEN 1L ELSE 0L END"},
         totals={"t_min": ("min", "t_seconds"), "t_max": ("max", "t_seconds")},
     )
+    stems = {"gap": "temp_gap", "latency": "temp_student_latency"}
+    spread = []
+    if not chunked:
+        for value, stem in stems.items():
+            known = f"{value} IS NOT NULL"
+            placed = placed.selectExpr("*", *row_ranks(["session_id"], value, value, known))
+            spread += robust_rows(value, value, known, stem)
     span = "(t_max - t_min)"
     edges = ["t_min", f"(t_min + {span} / 3)", f"(t_min + 2 * {span} / 3)", "t_max"]
     third = [f"count_if(t_seconds >= {edges[i]} AND t_seconds < {edges[i + 1]})" for i in range(3)]
@@ -59,13 +66,15 @@ def session_timing(
             f"THEN {third[i]} / greatest({' + '.join(third)}, 1) ELSE 0D END AS temp_utt_frac_third{i + 1}"
             for i in range(3)
         ],
+        *spread,
     )
+    if not chunked:
+        return totals
     kinds = measured.selectExpr(
         "session_id", "stack(2, 'gap', gap, 'latency', latency) AS (kind, x)"
     )
-    stems = {"gap": "temp_gap", "latency": "temp_student_latency"}
-    spread = robust_wide(
-        histogram(kinds, ["session_id", "kind"], "x"), ["session_id"], "kind", stems, chunked, 1.0
+    wide = robust_wide(
+        histogram(kinds, ["session_id", "kind"], "x"), ["session_id"], "kind", stems, True, 1.0
     )
-    wide = [f"{stem}_{s}" for stem in stems.values() for s in ROBUST]
-    return totals.join(spread, "session_id", "left").fillna(0.0, subset=wide)
+    names = [f"{stem}_{s}" for stem in stems.values() for s in ROBUST]
+    return totals.join(wide, "session_id", "left").fillna(0.0, subset=names)
