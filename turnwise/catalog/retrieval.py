@@ -113,12 +113,12 @@ SPANS = """
                      max(n_rows) AS n_rows FROM mi GROUP BY ALL)"""
 
 
-def lexical(spark, sf_dir):
-    utterances, chunked = I.topic_utterances(spark, sf_dir)
+def lexical(spark, sf_dir, labelled=False):
+    utterances, chunked = I.topic_utterances(spark, sf_dir, labelled)
     answers = I.topic_responses(spark, sf_dir)
     pairs = I.topic_pairs(answers)
     sims = RT.lexical_similarity(
-        WN.window_texts(utterances), pairs, I.objectives(spark, sf_dir), STOP, chunked
+        utterances, pairs, I.objectives(spark, sf_dir), STOP, chunked
     ).selectExpr(*RT.PAIR, "window_idx", "round(sim, 9) AS sim")
     return utterances, chunked, answers, pairs, sims
 
@@ -210,7 +210,7 @@ FB = [c.replace("fbs_", "fb_") for c in FBS]
     WITH {LEXICAL}, {TOP}, {SPANS}, {base_sql(SCOPED, KEYS)}
     SELECT * FROM ({feedback_sql(KEYS, 'fb_')}) JOIN ({trajectory_sql(KEYS)}) USING ({KEYS})""", FB + TRAJ))
 def _topic_dialogue(spark, sf_dir):
-    utterances, _, _, pairs, sims = lexical(spark, sf_dir)
+    utterances, _, _, pairs, sims = lexical(spark, sf_dir, labelled=True)
     return AL.topic_dialogue(AL.topic_spans(RT.top_windows(sims, pairs)), utterances)
 
 

@@ -53,6 +53,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+BROADCAST_ROWS = 500_000  # largest lookup side that is sent to every executor
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a lookup table for broadcast only if it has been counted to be small.
+
+    Beyond the limit the hint is left out and Spark shuffles both sides instead.
+    """
+    from pyspark.sql.functions import broadcast
+
+    return broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def by_position(chunked: bool, keys: tuple[str, ...] = ("session_id",),
                 chunk_rows: int | None = None) -> Sequence:
     """Rows of a group in ``pos`` order, cut every ``chunk_rows`` positions when asked."""

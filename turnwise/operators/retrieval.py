@@ -11,9 +11,9 @@ from collections.abc import Sequence as Seq
 from pyspark.sql import DataFrame
 
 from ..functions.text import content_words, with_bigrams
-from .ordered import CHUNK_ROWS, Sequence, aggregate, scan
+from .ordered import CHUNK_ROWS, Sequence, aggregate, by_position, scan, small_side
 from .stats import gini
-from .windows import SIZE, STRIDE, TOP_K, window_count, window_end, window_start
+from .windows import SIZE, STRIDE, TOP_K, window_count, window_end, window_start, windows_holding
 
 PAIR = ["session_id", "objective_id"]
 
@@ -44,7 +44,11 @@ def tfidf(counts: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
 
     The norm covers vocabulary terms only; the window is one text wide.
     """
-    raw = counts.join(idf, "term").selectExpr(*keys, "term", "(1 + ln(tf)) * idf AS w")
+    return unit_weights(counts.join(idf, "term").selectExpr(*keys, "term", "(1 + ln(tf)) * idf AS w"), keys)
+
+
+def unit_weights(raw: DataFrame, keys: list[str]) -> DataFrame:
+    """``w`` divided by the length of its text's vector."""
     norm = f"sqrt(sum(w * w) OVER (PARTITION BY {', '.join(keys)}))"
     return raw.selectExpr(*keys, "term", f"w / {norm} AS weight")
 
@@ -54,12 +58,52 @@ def objective_vectors(objectives: DataFrame, idf: DataFrame, stopwords: Seq[str]
     return tfidf(term_counts(texts, ["objective_id"], stopwords), idf, ["objective_id"])
 
 
+def passage_term_counts(
+    utterances: DataFrame, idf: DataFrame, stopwords: Seq[str], chunked: bool = False,
+    size: int = SIZE, stride: int = STRIDE,
+) -> DataFrame:
+    """``session_id, window_idx, term, tf, idf`` of every passage, vocabulary terms only.
+
+    Passage texts are never built.  A term lies in one utterance, or a pair of words spans
+    the border to the last wordful utterance before it; either way it occupies positions
+    ``low..high`` and counts for the passages that hold both.  The vocabulary filter comes
+    before the first shuffle of terms.
+    """
+    tokens = utterances.selectExpr(
+        "session_id", "pos", "n_rows", f"{content_words('content', stopwords)} AS tokens"
+    )
+    spoken = "CASE WHEN size(tokens) > 0 THEN struct(pos, element_at(tokens, -1) AS word) END"
+    linked = scan(tokens, by_position(chunked), peak={"before": spoken})
+    inside = f"transform({with_bigrams('tokens')}, t -> struct(t AS term, pos AS low))"
+    border = (
+        "CASE WHEN size(tokens) > 0 AND before IS NOT NULL "
+        "THEN array(struct(concat_ws(' ', before.word, tokens[0]) AS term, before.pos AS low)) "
+        "ELSE filter(array(struct('' AS term, pos AS low)), x -> false) END"
+    )
+    items = linked.selectExpr(
+        "session_id", "pos AS high", "n_rows", f"explode(concat({inside}, {border})) AS item"
+    ).selectExpr("session_id", "high", "n_rows", "item.term", "item.low")
+    known = aggregate(
+        items.join(small_side(idf), "term"), ["session_id", "low", "high", "n_rows", "term"],
+        "count(1) AS tf", "max(idf) AS idf",
+    )
+    placed = known.selectExpr(
+        "session_id", "term", "tf", "idf",
+        f"explode({windows_holding('low', 'high', 'n_rows', size, stride)}) AS window_idx",
+    )
+    return aggregate(
+        placed, ["session_id", "window_idx", "term"], "sum(tf) AS tf", "max(idf) AS idf"
+    )
+
+
 def lexical_similarity(
-    windows: DataFrame,
+    utterances: DataFrame,
     pairs: DataFrame,
     objectives: DataFrame,
     stopwords: Seq[str],
     chunked: bool = False,
+    size: int = SIZE,
+    stride: int = STRIDE,
     chunk_windows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Non-zero cosines ``session_id, objective_id, window_idx, sim``.
@@ -69,17 +113,19 @@ def lexical_similarity(
     all windows of a session.
     """
     idf = fit_idf(objectives, stopwords)
-    key = ["session_id", "window_idx"]
-    passages = tfidf(term_counts(windows, key, stopwords), idf, key)
+    counts = passage_term_counts(utterances, idf, stopwords, chunked, size, stride)
+    passages = unit_weights(
+        counts.selectExpr("session_id", "window_idx", "term", "(1 + ln(tf)) * idf AS w"),
+        ["session_id", "window_idx"],
+    )
     wanted = pairs.join(
         objective_vectors(objectives, idf, stopwords).withColumnRenamed("weight", "o_weight"),
         "objective_id",
     )
     on = ["session_id", "term"]
     if chunked:
-        cell = f"window_idx div {chunk_windows} AS wcell"
-        cells = windows.selectExpr("session_id", cell).distinct()
-        passages = passages.selectExpr("*", cell)
+        passages = passages.selectExpr("*", f"window_idx div {chunk_windows} AS wcell")
+        cells = passages.select("session_id", "wcell").distinct()
         wanted = wanted.join(cells, "session_id")
         on.append("wcell")
     return aggregate(

@@ -34,21 +34,27 @@ def window_end(idx: str, n: str, size: int = SIZE, stride: int = STRIDE) -> str:
     return f"least({window_start(idx, n, size, stride)} + {size}, {n})"
 
 
-def window_members(utterances: DataFrame, size: int = SIZE, stride: int = STRIDE) -> DataFrame:
-    """Every utterance once per passage that contains it.
+def windows_holding(low: str, high: str, n: str, size: int = SIZE, stride: int = STRIDE) -> str:
+    """Array of the passages that contain every position from ``low`` to ``high``.
 
-    Membership follows from ``pos`` and ``n_rows`` alone, so it is computed row by row: at
-    most ``ceil(size / stride) + 1`` copies, whatever the length of the session.
+    It follows from the positions and the session length alone, so membership is computed
+    row by row: at most ``ceil(size / stride) + 1`` entries, whatever the session's length.
     """
-    low = f"greatest((pos - {size} + {stride}) div {stride}, 0L)"
-    high = f"least(pos div {stride}, {regular_count('n_rows', size, stride)} - 1)"
-    grid = f"CASE WHEN {high} >= {low} THEN sequence({low}, {high}) ELSE cast(array() AS array<bigint>) END"
+    empty = "cast(array() AS array<bigint>)"
+    first = f"greatest(({high} - {size} + {stride}) div {stride}, 0L)"
+    last = f"least({low} div {stride}, {regular_count(n, size, stride)} - 1)"
+    grid = f"CASE WHEN {last} >= {first} THEN sequence({first}, {last}) ELSE {empty} END"
     tail = (
-        f"CASE WHEN {has_tail('n_rows', size, stride)} AND pos >= n_rows - {size} "
-        f"THEN array({regular_count('n_rows', size, stride)}) ELSE cast(array() AS array<bigint>) END"
+        f"CASE WHEN {has_tail(n, size, stride)} AND {low} >= {n} - {size} "
+        f"THEN array({regular_count(n, size, stride)}) ELSE {empty} END"
     )
-    members = f"CASE WHEN n_rows <= {size} THEN array(0L) ELSE concat({grid}, {tail}) END"
-    return utterances.selectExpr("*", f"explode({members}) AS window_idx").selectExpr(
+    return f"(CASE WHEN {n} <= {size} THEN array(0L) ELSE concat({grid}, {tail}) END)"
+
+
+def window_members(utterances: DataFrame, size: int = SIZE, stride: int = STRIDE) -> DataFrame:
+    """Every utterance once per passage that contains it."""
+    inside = windows_holding("pos", "pos", "n_rows", size, stride)
+    return utterances.selectExpr("*", f"explode({inside}) AS window_idx").selectExpr(
         "*",
         f"{window_start('window_idx', 'n_rows', size, stride)} AS w_start",
         f"{window_end('window_idx', 'n_rows', size, stride)} AS w_end",

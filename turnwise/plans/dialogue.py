@@ -218,13 +218,14 @@ SESSION = ("session_id",)
 
 def session_feedback(turns: DataFrame, chunked: bool, prefix: str = "fbs_") -> DataFrame:
     """``turns`` are utterances or already labelled turns."""
-    return feedback(dialogue_base(_labelled(turns), SESSION, chunked), SESSION, prefix)
+    return feedback(dialogue_base(labelled_or_label(turns), SESSION, chunked), SESSION, prefix)
 
 
 def session_trajectory(turns: DataFrame, chunked: bool, prefix: str = "traj_") -> DataFrame:
-    return trajectory(dialogue_base(_labelled(turns), SESSION, chunked), SESSION, prefix)
+    return trajectory(dialogue_base(labelled_or_label(turns), SESSION, chunked), SESSION, prefix)
 
 
-def _labelled(turns: DataFrame) -> DataFrame:
+def labelled_or_label(turns: DataFrame) -> DataFrame:
+    """Narrow labelled turns, from utterances or from rows that already carry labels."""
     return turns.select("session_id", "pos", "role", "len", "label") if "label" in turns.columns \
         else labelled_turns(turns)
