@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -58,31 +59,40 @@ def classify(columns: set[str]) -> str | None:
 def read_csv_group(spark: SparkSession, files: list[str], columns: list[str]) -> DataFrame:
     """Files that share one header, every column as text."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.options(**CSV, enforceSchema="false").schema(schema).csv(files).selectExpr(
-        "*", "_metadata.file_name AS source_file"
+    options = {**CSV, "enforceSchema": "false", "ignoreCorruptFiles": "true", "recursiveFileLookup": "true",
+               "pathGlobFilter": "*.csv"}
+    return spark.read.options(**options).schema(schema).csv(files).selectExpr(
+        "*", "url_decode(replace(_metadata.file_name, '+', '%2B')) AS source_file"
     )
 
 
+def files_by_header(headers: DataFrame) -> dict[tuple[str, ...], list[str]]:
+    """File names per exact header.  The driver sees names and headers, never rows."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in headers.toLocalIterator():
+        groups.setdefault(tuple(row["columns"]), []).append(unquote(row["file"]))
+    return groups
+
+
 def route_tables(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], list[str]]:
     """Route a folder of mixed CSVs to logical tables by header.
 
     CSV columns bind by position, so files are grouped by their exact header, read per
-    group and united by name.  The driver sees file names and headers, not rows.
+    group and united by name.
     """
-    groups: dict[str, dict[tuple[str, ...], list[str]]] = {}
+    parts: dict[str, list[DataFrame]] = {}
     warnings = []
-    for row in csv_headers(spark, path).toLocalIterator():
-        kind = classify(set(row["columns"]))
+    for columns, files in sorted(files_by_header(csv_headers(spark, path)).items()):
+        kind = classify(set(columns))
         if kind is None:
-            warnings.append(f"unclassified csv: {row['file']}")
+            warnings += [f"unclassified csv: {name}" for name in files]
             continue
-        groups.setdefault(kind, {}).setdefault(tuple(row["columns"]), []).append(row["file"])
-    tables: dict[str, DataFrame] = {}
-    for kind, by_header in groups.items():
-        parts = [read_csv_group(spark, files, list(cols)) for cols, files in sorted(by_header.items())]
-        merged = parts[0]
-        for part in parts[1:]:
-            merged = merged.unionByName(part, allowMissingColumns=True)
+        parts.setdefault(kind, []).append(read_csv_group(spark, files, list(columns)))
+    tables = {}
+    for kind, frames in parts.items():
+        merged = frames[0]
+        for frame in frames[1:]:
+            merged = merged.unionByName(frame, allowMissingColumns=True)
         tables[kind] = merged
     warnings += [f"missing table: {k}" for k in ("features", "labels", "format") if k not in tables]
     return tables, warnings
@@ -119,23 +129,27 @@ def normalize(df: DataFrame, chunked: bool | None = None) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """One CSV per session under ``path`` as raw utterances; unreadable files are skipped.
+    """One CSV per session under ``path`` as raw utterances; a missing session id is the file stem.
 
-    Files are grouped by header like ``route_tables``; a missing session id is the file stem.
+    Unreadable files are skipped.  When all files share one header (the usual case) the
+    folder is read as a whole; only mixed folders need their file names grouped by header.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for row in csv_headers(spark, path).toLocalIterator():
-        by_header.setdefault(tuple(row["columns"]), []).append(row["file"])
+    headers = csv_headers(spark, path)
+    distinct = headers.select("columns").distinct().limit(2).collect()
+    if not distinct:
+        raise FileNotFoundError(f"no transcript CSV below {path}")
+    if len(distinct) == 1:
+        groups = {tuple(distinct[0]["columns"]): [path]}
+    else:
+        groups = files_by_header(headers)
     merged: DataFrame | None = None
-    for columns, files in sorted(by_header.items()):
+    for columns, files in sorted(groups.items()):
         part = read_csv_group(spark, files, list(columns))
         stem = "regexp_replace(source_file, '[.]csv$', '')"
         own = f"coalesce(session_id, {stem})" if "session_id" in columns else stem
         rest = [c for c in TRANSCRIPT_COLUMNS if c in columns and c != "session_id"]
         part = part.selectExpr(f"{own} AS session_id", *rest)
         merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
-    if merged is None:
-        raise FileNotFoundError(f"no transcript CSV below {path}")
     return merged
 
 
