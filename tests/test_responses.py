@@ -319,3 +319,11 @@ def test_sampling(spark, frame, rows):
     assert [r.session_id for r in SA.first_cohort(frame, "session_id", "response_id", 3).collect()] == ["s000", "s001", "s002"]
     kept = SA.collapse_rare(frame, "objective_id", keep=2).select("objective_id").distinct().collect()
     assert len(kept) == 3 and "(other)" in {r.objective_id for r in kept}
+
+
+def test_large_share_sampling_equals_the_ranked_limit(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id AS response_id", "CASE WHEN id < 250 THEN 'hot' ELSE 'cold' END AS session_id")
+    ranked = {r.response_id for r in SA.per_group_sample(df, "session_id", "response_id", 120, seed=1).collect()}
+    monkeypatch.setattr(SA, "GROUP_LIMIT", 10)
+    assert ranked == {r.response_id for r in SA.per_group_sample(df, "session_id", "response_id", 120, seed=1).collect()}
+    assert len(ranked) == 110

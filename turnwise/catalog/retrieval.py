@@ -14,6 +14,7 @@ from .dialogue import FBS, TRAJ, base_sql, feedback_sql, trajectory_sql
 from .registry import query, rounded
 from .sessions import div, phrases_sql, quoted
 from ..functions import text as X
+from ..session import cut
 
 STOP = I.STOPWORDS
 K = WN.TOP_K
@@ -193,6 +194,7 @@ def alignment_sql(sims: str, utterances: str | None) -> str:
     JOIN tk USING (session_id, objective_id) JOIN kd USING (session_id, objective_id)""", LO))
 def _alignment(spark, sf_dir):
     utterances, chunked, _, pairs, sims = lexical(spark, sf_dir)
+    sims = cut(sims)  # read by the summary, the Gini and the top-k branches
     top = RT.top_windows(sims, pairs)
     return AL.alignment(sims, top, pairs, utterances, chunked)
 

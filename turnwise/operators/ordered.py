@@ -25,7 +25,10 @@ GROUP_ROWS = 1_000_000  # largest group one task may sort
 
 @dataclass(frozen=True)
 class Sequence:
-    """Group keys, a total non-null order inside each group, and how groups are cut.
+    """Group keys, a total order inside each group, and how groups are cut.
+
+    ``order`` holds non-null columns, or sort items such as ``x ASC NULLS LAST`` for scans
+    that do not look at the preceding row.
 
     ``chunk`` holds SQL expressions that never decrease along the order.  Empty means each
     group is known to be small (measured, or bounded by construction).
@@ -194,25 +197,16 @@ def with_positions(
     In chunked form groups are cut on the leading order column (numeric) and, where that is
     null, on the second one, so a group of any size is numbered by many tasks.
     """
-    types = dict(df.dtypes)
-    numeric = {"double", "float", "bigint", "int"}
-    helper = [f"_o{i}" for i in range(len(order))]
-    filled = [
-        f"coalesce(CAST({c} AS DOUBLE), double('Infinity')) AS {h}" if types[c] in numeric
-        else f"coalesce(CAST({c} AS STRING), '\uffff') AS {h}"
-        for h, c in zip(helper, order)
-    ]
     chunk: tuple[str, ...] = ()
     if chunked:
-        far, bucket_width = 2**62, bucket_width or CHUNK_ROWS
-        chunk = (f"coalesce(floor({order[0]} / {bucket_width}), {far})",)
-        if len(order) > 1 and types[order[1]] in numeric:
+        far, width = 2**62, bucket_width or CHUNK_ROWS
+        chunk = (f"coalesce(CAST(floor({order[0]} / {width}) AS BIGINT), {far})",)
+        if len(order) > 1 and dict(df.dtypes)[order[1]] in ("double", "float", "bigint", "int"):
             chunk += (f"CASE WHEN {order[0]} IS NULL THEN "
-                      f"coalesce(floor({order[1]} / {bucket_width}), {far}) ELSE 0 END",)
-    numbered = scan(
-        df.selectExpr("*", *filled),
-        Sequence(keys, tuple(helper), chunk),
+                      f"coalesce(CAST(floor({order[1]} / {width}) AS BIGINT), {far}) ELSE 0L END",)
+    return scan(
+        df,
+        Sequence(keys, tuple(f"{c} ASC NULLS LAST" for c in order), chunk),
         running={"pos": "1L"},
         totals={"n_rows": ("sum", "1L"), **(totals or {})},
     )
-    return numbered.drop(*helper)

@@ -11,6 +11,7 @@ from collections.abc import Sequence as Seq
 from pyspark.sql import DataFrame
 
 from ..functions.text import content_words, with_bigrams
+from ..session import cut
 from .ordered import CHUNK_ROWS, Sequence, aggregate, by_position, scan, small_side
 from .stats import gini
 from .windows import SIZE, STRIDE, TOP_K, window_count, window_end, window_start, windows_holding
@@ -112,7 +113,7 @@ def lexical_similarity(
     window chunk, and the session's objectives are repeated per chunk, so no key collects
     all windows of a session.
     """
-    idf = fit_idf(objectives, stopwords)
+    idf = cut(fit_idf(objectives, stopwords))  # read by three joins
     counts = passage_term_counts(utterances, idf, stopwords, chunked, size, stride)
     passages = unit_weights(
         counts.selectExpr("session_id", "window_idx", "term", "(1 + ln(tf)) * idf AS w"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.scalars import seeded_hash
-from .ordered import aggregate
+from .ordered import Sequence, aggregate, scan
 
 
 def first_cohort(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
@@ -15,21 +15,22 @@ def first_cohort(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     ).limit(n)
 
 
+GROUP_LIMIT = 1_000  # rows per group up to which Spark trims partitions before the shuffle
+
+
 def per_group_sample(df: DataFrame, group: str, row_id: str, n_sample: int, seed: int = 0) -> DataFrame:
     """``max(1, n_sample // groups)`` rows of every group in seeded hash order.
 
-    Only the leading rows of a group are ranked, so Spark trims each partition before the
-    shuffle (window group limit).
+    A small share is a ranked limit, which Spark applies to each partition before the
+    shuffle (window group limit).  A larger one ranks groups in hash-prefix chunks.
     """
-    groups = aggregate(df.select(group).distinct(), [], "count(1) AS n").scalar()
-    rank = f"row_number() OVER (PARTITION BY {group} ORDER BY {seeded_hash(group, row_id, seed=seed)})"
-    return (
-        df.selectExpr("*", f"{rank} AS _rank")
-        .where(f"_rank <= {n_sample}")
-        .withColumn("_groups", groups)
-        .where(f"_rank <= greatest(1, {n_sample} div _groups)")
-        .drop("_rank", "_groups")
-    )
+    take = max(1, n_sample // max(1, df.select(group).distinct().count()))
+    hashed = df.selectExpr("*", f"{seeded_hash(group, row_id, seed=seed)} AS _h")
+    if take <= GROUP_LIMIT:
+        ranked = hashed.selectExpr("*", f"row_number() OVER (PARTITION BY {group} ORDER BY _h) - 1 AS _rank")
+    else:
+        ranked = scan(hashed, Sequence((group,), ("_h",), ("substr(_h, 1, 3)",)), running={"_rank": "1L"})
+    return ranked.where(f"_rank < {take}").drop("_rank", "_h")
 
 
 def collapse_rare(df: DataFrame, column: str, keep: int = 10, other: str = "(other)") -> DataFrame:
