@@ -39,7 +39,10 @@ def test_transcripts_to_one_table(spark, tmp_path):
     (raw / "s1.csv").write_text('session_id,utterance_id,role,content,timestamp\ns1,1, Tutor ,"two\nlines",0:00:05\ns1,0,STUDENT,"say ""hi""",0:00:01.5\n')
     (raw / "s2.csv").write_text("utterance_id,role,content,timestamp\n0,,hello,bad\nx,student,last,0:00:09\n")
     (raw / "s3.csv").write_text("timestamp,role,utterance_id,session_id,content\n0:01:00,tutor,0,s3,None\n")
-    rows = FS.normalize(FS.read_transcripts(spark, str(raw)))
+    (raw / "empty one.csv").write_text("utterance_id,role,content,timestamp\n")
+    parsed = FS.read_transcripts(spark, str(raw))
+    assert [r.source_file for r in FS.unread_files(spark, str(raw), parsed).collect()] == ["empty one.csv"]
+    rows = FS.normalize(parsed)
     FS.write_table(rows, str(out), partitions=2)
     back = spark.read.parquet(str(out))
     got = {(r.session_id, r.pos): (r.role, r.content, r.t_seconds) for r in back.collect()}

@@ -12,6 +12,7 @@ from ..operators import quality as QU
 from ..operators.ordered import aggregate
 from ..operators.stats import auc, histogram, quantile, ranked
 from ..plans.scoring import score_batch
+from ..session import cut
 from .inputs import responses, table
 from .registry import query, rounded
 from .responses import (
@@ -168,7 +169,7 @@ def _slices(spark, sf_dir):
 def _baseline(spark, sf_dir):
     from ..operators.encoding import outer_encoding
 
-    scored = outer_encoding(session_folds(spark, sf_dir))
+    scored = cut(outer_encoding(session_folds(spark, sf_dir)))
     base, model = (f"avg({S.log_loss('label', p)})" for p in ("encoding", "pred"))
     return aggregate(
         scored, [], "count(1) AS n", f"avg({S.log_loss('label', 'fold_rate')}) AS prior_logloss",
@@ -184,7 +185,7 @@ def _baseline(spark, sf_dir):
            (-(p * ln(p) + (1 - p) * ln(1 - p)) - ll) / pow(auc - 0.5, 2) AS k,
            avg((-(p * ln(p) + (1 - p) * ln(1 - p)) - ll) / pow(auc - 0.5, 2)) OVER () AS k_mean FROM s""", "gain k k_mean"))
 def _gain(spark, sf_dir):
-    fitted = CO.gain_constant(ME.scores(experiments(spark, sf_dir), ["experiment"]))
+    fitted = cut(CO.gain_constant(ME.scores(experiments(spark, sf_dir), ["experiment"])))
     return fitted.select("experiment", "gain", "k").withColumn(
         "k_mean", aggregate(fitted, [], "avg(k) AS k").scalar()
     )
@@ -281,7 +282,8 @@ def _holdout(spark, sf_dir):
     from ..operators.encoding import purged_rates
     from ..plans.experiments import holdout_report
 
-    return holdout_report(order_folds(spark, sf_dir), purged_rates(purged(spark, sf_dir)))
+    folds = order_folds(spark, sf_dir)
+    return holdout_report(folds, purged_rates(purged(spark, sf_dir, folds)))
 
 
 # --- shrinkage and blending ------------------------------------------------------------

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import content_words
 from ..operators.ordered import aggregate, has_large_groups, spread, with_positions
 from ..operators.retrieval import unit
 from ..plans.dialogue import labelled_turns
@@ -130,11 +131,12 @@ STOPWORDS = (
 def topic_utterances(spark: SparkSession, sf_dir: str, labelled: bool = False) -> tuple[DataFrame, bool]:
     """Long sessions with a sparse clock: three seconds per document id, some unknown.
 
-    With ``labelled`` the turn labels are computed before the rows are numbered.
+    Words, and with ``labelled`` the turn labels, are computed before the rows are numbered.
     """
     raw = long_rows(spark, sf_dir)
     if labelled:
         raw = labelled_turns(raw, "doc_id", "content")
+    raw = raw.selectExpr("*", f"{content_words('content', STOPWORDS)} AS tokens")
     rows, chunked = numbered(spark, sf_dir, raw)
     clock = "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id * 3D END AS t_seconds"
     return rows.selectExpr("*", clock), chunked

@@ -10,6 +10,7 @@ from ..operators import joins as JN
 from ..operators import sampling as SA
 from ..operators.ordered import aggregate
 from ..plans import overview as OV
+from ..session import cut
 from .inputs import LONG, RESPONSES, SHORT, long_rows, responses, short_utterances, table
 from .registry import query, rounded
 
@@ -31,11 +32,12 @@ OBJECTIVE_FOLDS = f"{R}, {folds_sql('objective_id', 'n DESC, np DESC')}"
 
 
 def session_folds(spark, sf_dir):
-    return FO.session_folds(responses(spark, sf_dir))
+    """The fold table, written once: encodings and metrics read it several times."""
+    return cut(FO.session_folds(responses(spark, sf_dir)))
 
 
 def objective_folds(spark, sf_dir):
-    return FO.objective_folds(responses(spark, sf_dir))
+    return cut(FO.objective_folds(responses(spark, sf_dir)))
 
 
 # --- joins -----------------------------------------------------------------------------
@@ -253,12 +255,12 @@ def _rare(spark, sf_dir):
 # --- folds -----------------------------------------------------------------------------
 @query("session_fold_assignment", "F1 K1", f"WITH {SESSION_FOLDS} SELECT response_id, session_id, label, fold FROM f")
 def _session_folds(spark, sf_dir):
-    return session_folds(spark, sf_dir).select("response_id", "session_id", "label", "fold")
+    return FO.session_folds(responses(spark, sf_dir)).select("response_id", "session_id", "label", "fold")
 
 
 @query("objective_fold_assignment", "F3", f"WITH {OBJECTIVE_FOLDS} SELECT response_id, objective_id, label, fold FROM f")
 def _objective_folds(spark, sf_dir):
-    return objective_folds(spark, sf_dir).select("response_id", "objective_id", "label", "fold")
+    return FO.objective_folds(responses(spark, sf_dir)).select("response_id", "objective_id", "label", "fold")
 
 
 @query("split_groups", "F2", f"""
@@ -281,8 +283,8 @@ def order_folds(spark, sf_dir):
     return objective_folds(spark, sf_dir).selectExpr("*", "response_id div 4 AS sess4")
 
 
-def purged(spark, sf_dir):
-    return FO.purged_training(order_folds(spark, sf_dir), 5, "sess4")
+def purged(spark, sf_dir, folds=None):
+    return FO.purged_training(order_folds(spark, sf_dir) if folds is None else folds, 5, "sess4")
 
 
 @query("purged_training_rows", "J8 F4", f"WITH {PURGED} SELECT response_id, fold, train_fold FROM p")
@@ -298,7 +300,8 @@ SUMMARY = """
 
 @query("fold_summary", "A17", rounded(f"WITH {PURGED} {SUMMARY}", "pos_rate"))
 def _fold_summary(spark, sf_dir):
-    return FO.fold_summary(order_folds(spark, sf_dir), group="sess4", purged=purged(spark, sf_dir))
+    folds = order_folds(spark, sf_dir)
+    return FO.fold_summary(folds, group="sess4", purged=purged(spark, sf_dir, folds))
 
 
 @query("fold_health", "F6", f"""
@@ -308,7 +311,7 @@ def _fold_summary(spark, sf_dir):
                    min(n_train_after_purge) > 0]) AS passed FROM s""")
 def _fold_health(spark, sf_dir):
     folds = order_folds(spark, sf_dir)
-    summary = FO.fold_summary(folds, group="sess4", purged=purged(spark, sf_dir))
+    summary = FO.fold_summary(folds, group="sess4", purged=purged(spark, sf_dir, folds))
     return FO.fold_health(summary, FO.split_groups(folds, "objective_id"), folds.where("fold IS NULL"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import render as RD
 from ..operators import retrieval as RT
 from ..operators import windows as WN
-from ..operators.ordered import aggregate
+from ..operators.ordered import aggregate, by_position, has_large_groups, scan
 from ..plans import alignment as AL
 from ..plans import content as CT
 from ..plans import position as PO
@@ -49,9 +49,8 @@ def _windows(spark, sf_dir):
 @query("sliding_windows_short", "B4 T14", f"""
     SELECT session_id, window_idx, w_start, w_end, content FROM ({texts_sql(I.SHORT, 3, 2)})""")
 def _windows_short(spark, sf_dir):
-    rows = I.short_utterances(spark, sf_dir).selectExpr(
-        "*", "count(1) OVER (PARTITION BY session_id) AS n_rows"
-    )
+    turns = I.short_utterances(spark, sf_dir)
+    rows = scan(turns, by_position(has_large_groups(turns)), totals={"n_rows": ("sum", "1L")})
     return WN.window_texts(rows, 3, 2).select("session_id", "window_idx", "w_start", "w_end", "content")
 
 

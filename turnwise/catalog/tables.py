@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.scalars import elapsed_seconds
+from ..operators.ordered import has_large_groups
 from ..plans.dialogue import session_feedback
 from ..plans.matrix import build_matrix
 from ..plans.structural import session_structure
@@ -72,9 +73,10 @@ def _full_smoke(spark, sf_dir):
     STRUCT_COLUMNS + FBS))
 def _matrix(spark, sf_dir):
     turns = short_utterances(spark, sf_dir)
+    chunked = has_large_groups(turns)
     base = turns.where("role = 'student'").selectExpr("concat_ws('-', session_id, pos) AS response_id", "session_id")
     matrix, features = build_matrix(base, [
-        ("structural", session_structure(turns), "session_id"),
-        ("feedback", session_feedback(turns, chunked=False), "session_id"),
+        ("structural", session_structure(turns, chunked), "session_id"),
+        ("feedback", session_feedback(turns, chunked), "session_id"),
     ])
     return matrix.select("response_id", "session_id", *features)

@@ -68,11 +68,10 @@ def passage_term_counts(
     Passage texts are never built.  A term lies in one utterance, or a pair of words spans
     the border to the last wordful utterance before it; either way it occupies positions
     ``low..high`` and counts for the passages that hold both.  The vocabulary filter comes
-    before the first shuffle of terms.
+    before the first shuffle of terms.  Rows may bring their ``tokens`` already split.
     """
-    tokens = utterances.selectExpr(
-        "session_id", "pos", "n_rows", f"{content_words('content', stopwords)} AS tokens"
-    )
+    split = "tokens" if "tokens" in utterances.columns else f"{content_words('content', stopwords)} AS tokens"
+    tokens = utterances.selectExpr("session_id", "pos", "n_rows", split)
     spoken = "CASE WHEN size(tokens) > 0 THEN struct(pos, element_at(tokens, -1) AS word) END"
     linked = scan(tokens, by_position(chunked), peak={"before": spoken})
     inside = f"transform({with_bigrams('tokens')}, t -> struct(t AS term, pos AS low))"

@@ -9,7 +9,7 @@ from ..functions.scalars import safe_div
 from ..operators.ordered import aggregate
 from ..operators.retrieval import PAIR, similarity_summary
 from ..operators.windows import SIZE, STRIDE, merge_spans, span_positions
-from .dialogue import dialogue_base, feedback, labelled_or_label, trajectory
+from .dialogue import dialogue_base, feedback_columns, labelled_or_label, trajectory_columns
 
 ALIGNMENT_COLUMNS = (
     "sim_max", "sim_topk_mean", "sim_mean", "sim_std", "sim_sum", "sim_frac_above_half_max",
@@ -85,4 +85,4 @@ def topic_dialogue(spans: DataFrame, utterances: DataFrame) -> DataFrame:
     """Feedback and trajectory columns over the topic-relevant turns."""
     keys = tuple(PAIR)
     base = dialogue_base(topic_turns(spans, labelled_or_label(utterances)), keys, chunked=False)
-    return feedback(base, keys, "fb_").join(trajectory(base, keys), PAIR)
+    return base.selectExpr(*PAIR, *feedback_columns("fb_"), *trajectory_columns())

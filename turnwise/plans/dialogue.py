@@ -13,6 +13,7 @@ from ..functions.scalars import safe_div
 from ..functions import text as X
 from ..operators.ordered import Sequence, aggregate, by_position, scan
 from ..operators.stats import slope
+from ..session import cut
 
 AFFIRM, CORRECT = "(label <=> 'affirm')", "(label <=> 'correct')"
 REEXPLAIN = "(label <=> 'reexplain')"
@@ -103,7 +104,7 @@ THIRDS = (
 
 def dialogue_base(turns: DataFrame, keys: tuple[str, ...], chunked: bool) -> DataFrame:
     """One row per scope with every count both blocks are built from."""
-    rows = walked(turns, keys, chunked)
+    rows = walked(cut(turns) if chunked else turns, keys, chunked)
     reply = "role = 'tutor' AND prev_role = 'student'"
     valence = f"CASE WHEN {AFFIRM} THEN 1D WHEN {CORRECT} THEN -1D ELSE 0D END"
     steep, fit = slope(f"(CASE WHEN {STUDENT} THEN len END)", "student_idx", 3)
@@ -135,8 +136,8 @@ def dialogue_base(turns: DataFrame, keys: tuple[str, ...], chunked: bool) -> Dat
     )
 
 
-def feedback(base: DataFrame, keys: tuple[str, ...], prefix: str) -> DataFrame:
-    """Feedback columns from ``dialogue_base`` rows."""
+def feedback_columns(prefix: str) -> list[str]:
+    """Feedback columns over ``dialogue_base`` rows."""
     responded = "after_affirm + after_correct + after_reexplain"
     place = lambda c: f"CASE WHEN {c} >= 0 THEN {c} / greatest(n - 1, 1) ELSE -1D END"
     cols = {
@@ -162,10 +163,10 @@ def feedback(base: DataFrame, keys: tuple[str, ...], prefix: str) -> DataFrame:
         "ends_on_affirm": "CAST(sign(last_affirm - last_correct) AS DOUBLE)",
         "max_correction_streak": "CAST(correction_streak AS DOUBLE)",
     }
-    return base.selectExpr(*keys, *[f"{e} AS {prefix}{c}" for c, e in cols.items()])
+    return [f"{e} AS {prefix}{c}" for c, e in cols.items()]
 
 
-def trajectory(base: DataFrame, keys: tuple[str, ...], prefix: str = "traj_") -> DataFrame:
+def trajectory_columns(prefix: str = "traj_") -> list[str]:
     """Order-sensitive columns; the per-third ones are null on an empty scope (``n = 0``)."""
     rate = lambda what, i: safe_div(f"{what}_{i}", f"tutor_{i}")
     length = lambda i: safe_div(f"chars_{i}", f"student_{i}")
@@ -194,7 +195,7 @@ def trajectory(base: DataFrame, keys: tuple[str, ...], prefix: str = "traj_") ->
         "max_correction_run": "CAST(correction_run AS DOUBLE)",
         "max_affirm_run": "CAST(affirm_run AS DOUBLE)",
     }
-    return base.selectExpr(*keys, *[f"{e} AS {prefix}{c}" for c, e in cols.items()])
+    return [f"{e} AS {prefix}{c}" for c, e in cols.items()]
 
 
 FEEDBACK_COLUMNS = (
@@ -218,11 +219,13 @@ SESSION = ("session_id",)
 
 def session_feedback(turns: DataFrame, chunked: bool, prefix: str = "fbs_") -> DataFrame:
     """``turns`` are utterances or already labelled turns."""
-    return feedback(dialogue_base(labelled_or_label(turns), SESSION, chunked), SESSION, prefix)
+    base = dialogue_base(labelled_or_label(turns), SESSION, chunked)
+    return base.selectExpr(*SESSION, *feedback_columns(prefix))
 
 
 def session_trajectory(turns: DataFrame, chunked: bool, prefix: str = "traj_") -> DataFrame:
-    return trajectory(dialogue_base(labelled_or_label(turns), SESSION, chunked), SESSION, prefix)
+    base = dialogue_base(labelled_or_label(turns), SESSION, chunked)
+    return base.selectExpr(*SESSION, *trajectory_columns(prefix))
 
 
 def labelled_or_label(turns: DataFrame) -> DataFrame:

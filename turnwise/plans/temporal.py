@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from ..functions.scalars import num, safe_div
 from ..operators.ordered import aggregate, by_position, has_large_groups, neighbours, scan
 from ..operators.stats import ROBUST, histogram, robust_rows, robust_wide, row_ranks, slope
+from ..session import cut
 
 MAX_GAP_S = 120.0  # fixed value: largest plausible pause
 LONG_PAUSE_S = 10.0  # fixed value
@@ -33,6 +34,8 @@ def session_timing(
 ) -> DataFrame:
     chunked = has_large_groups(utterances) if chunked is None else chunked
     measured = gaps(utterances, chunked, max_gap)
+    if chunked:
+        measured = cut(measured)  # read by the scan and by the histograms
     placed = scan(
         measured,
         by_position(chunked),

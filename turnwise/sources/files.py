@@ -148,11 +148,21 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
         stem = "regexp_replace(source_file, '[.]csv$', '')"
         own = f"coalesce(session_id, {stem})" if "session_id" in columns else stem
         rest = [c for c in TRANSCRIPT_COLUMNS if c in columns and c != "session_id"]
-        part = part.selectExpr(f"{own} AS session_id", *rest)
+        part = part.selectExpr(f"{own} AS session_id", *rest, "source_file")
         merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
     return merged
 
 
+def unread_files(spark: SparkSession, path: str, raw: DataFrame) -> DataFrame:
+    """Non-empty CSV files below ``path`` that gave no rows (header only or unreadable)."""
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.csv").load(path)
+        .selectExpr("url_decode(replace(regexp_extract(path, '[^/]+$', 0), '+', '%2B')) AS source_file")
+    )
+    return listed.join(raw.select("source_file").distinct(), "source_file", "left_anti")
+
+
 def transcript_report(utterances: DataFrame) -> DataFrame:
     """Sessions, utterances and the roles seen."""
     per = aggregate(utterances, ["session_id"], "count(1) AS n", "collect_set(role) AS roles")
