@@ -83,16 +83,12 @@ def passage_term_counts(
     items = linked.selectExpr(
         "session_id", "pos AS high", "n_rows", f"explode(concat({inside}, {border})) AS item"
     ).selectExpr("session_id", "high", "n_rows", "item.term", "item.low")
-    known = aggregate(
-        items.join(small_side(idf), "term"), ["session_id", "low", "high", "n_rows", "term"],
-        "count(1) AS tf", "max(idf) AS idf",
-    )
-    placed = known.selectExpr(
-        "session_id", "term", "tf", "idf",
+    placed = items.join(small_side(idf), "term").selectExpr(
+        "session_id", "term", "idf",
         f"explode({windows_holding('low', 'high', 'n_rows', size, stride)}) AS window_idx",
     )
     return aggregate(
-        placed, ["session_id", "window_idx", "term"], "sum(tf) AS tf", "max(idf) AS idf"
+        placed, ["session_id", "window_idx", "term"], "count(1) AS tf", "max(idf) AS idf"
     )
 
 

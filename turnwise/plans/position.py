@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from ..functions.scalars import safe_div
 from ..operators.ordered import CHUNK_ROWS, Sequence, aggregate, scan
 from ..operators.retrieval import PAIR
+from ..session import cut
 
 POSITION_COLUMNS = (
     "n_competing_los", "start_pos", "end_pos", "centre_pos", "utt_share", "ordinal",
@@ -50,6 +51,7 @@ def objective_positions(
     ``utterances`` needs ``session_id, pos, n_rows, t_seconds``.  A pair without spans gets
     the neutral values.
     """
+    spans = cut(spans)  # a few rows per pair, read by the extent and by the sweep
     weights = aggregate(responses, PAIR, "count(1) AS m")
     competing = aggregate(responses, ["session_id"], "count(1) AS n_competing_los")
     extent = aggregate(
