@@ -17,7 +17,7 @@ import numpy as np
 
 END = b"\xff"
 #: Characters that composition leaves alone and that lower-case without context (not U+0130).
-PLAIN = re.compile(r"[\x21-\x7eÀ-įı-ſ]+")
+PLAIN = re.compile("[\x21-\x7e\xc0-\u012f\u0131-\u017f]+")
 CACHED = 300_000
 LONGEST = 64
 
