@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, pii
 from .bpe import encode_decode
 from .packing import pack_documents
 from .wavelet import round_trip
@@ -15,6 +16,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts hold control strings, formatted and read back."""
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text "
+                      "FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    messages = chat.fold_events(chat.turn_events(given.unionByName(probe)))
+    return chat.digests(chat.parse(chat.render(messages)))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of all documents, as digests."""
     return encode_decode(_table(spark, sf_dir, "documents"))
@@ -31,6 +46,8 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
+    "op4_pii": op4_pii,
     "op6_bpe": op6_bpe,
     "op9_packing": op9_packing,
     "op10_wavelet_shards": op10_wavelet_shards,
