@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, pii
+from . import chat, pii, toxicity
 from .bpe import encode_decode
 from .packing import pack_documents
 from .wavelet import round_trip
@@ -30,6 +30,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of all documents, as digests."""
     return encode_decode(_table(spark, sf_dir, "documents"))
@@ -48,6 +53,7 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op4_pii": op4_pii,
+    "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op9_packing": op9_packing,
     "op10_wavelet_shards": op10_wavelet_shards,
