@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, pii, toxicity
 from .bpe import encode_decode
+from .cpsjoin import near_duplicates
 from .packing import pack_documents
 from .wavelet import round_trip
 
@@ -25,6 +26,11 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.parse(chat.render(messages)))
 
 
+def op3_cpsjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents on four-word shingles."""
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return pii.report(_table(spark, sf_dir, "documents"))
@@ -52,6 +58,7 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op3_cpsjoin": op3_cpsjoin,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
