@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat, pii, toxicity
 from .bpe import encode_decode
 from .cpsjoin import near_duplicates
+from .hnsw import near_duplicate_vectors
 from .packing import pack_documents
+from .vptree import nearest, usable
 from .wavelet import round_trip
 
 
@@ -26,6 +28,11 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.parse(chat.render(messages)))
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings within their labels."""
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op3_cpsjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on four-word shingles."""
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
@@ -46,6 +53,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"))
 
 
+def op7_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings of every embedding whose id is divisible by 20."""
+    vectors = usable(_table(spark, sf_dir, "embeddings"))
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 4096 ids."""
     return pack_documents(_table(spark, sf_dir, "documents"), end_id=2, window=4096).drop("ids")
@@ -58,10 +71,12 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op2_hnsw": op2_hnsw,
     "op3_cpsjoin": op3_cpsjoin,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
+    "op7_vptree": op7_vptree,
     "op9_packing": op9_packing,
     "op10_wavelet_shards": op10_wavelet_shards,
 }
