@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, pii, toxicity
+from . import chat, pii, toxicity, warc
 from .bpe import encode_decode
 from .cpsjoin import near_duplicates
 from .hnsw import near_duplicate_vectors
@@ -59,6 +59,12 @@ def op7_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive records of all pages, the unchanged ones given back their bodies."""
+    records = warc.parse_records(warc.page_records(_table(spark, sf_dir, "pages")))
+    return warc.digests(warc.resolve(records))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 4096 ids."""
     return pack_documents(_table(spark, sf_dir, "documents"), end_id=2, window=4096).drop("ids")
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op7_vptree": op7_vptree,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_packing": op9_packing,
     "op10_wavelet_shards": op10_wavelet_shards,
 }
