@@ -17,13 +17,35 @@ def test_routing_by_header_not_name(spark, tmp_path):
     (tmp_path / "b1.csv").write_text("response_id,probability\n" + "".join(f"r{i},0.5\n" for i in range(50)))
     (tmp_path / "b2.csv").write_text("response_id,probability\nr0,0.5\n")
     (tmp_path / "junk.csv").write_text("x,y\n1,2\n")
-    tables, warnings = FS.route_tables(spark, str(tmp_path))
+    tables, problems = FS.route_tables(spark, str(tmp_path))
     got = {r.response_id: (r.session_id, r.learning_objective) for r in tables["features"].collect()}
     assert got == {"r1": ("s1", 'add, "big" numbers'), "r2": ("s2", "subtract")}
     assert FS.canonical_label(tables["labels"]).agg({"correct": "sum"}).first()[0] == 1.0
     sized = FS.full_and_smoke(tables["format"]).first()
     assert (sized.full_file, sized.full_rows, sized.smoke_file, sized.smoke_rows) == ("b1.csv", 50, "b2.csv", 1)
-    assert len(warnings) == 1 and "junk" in warnings[0]
+    assert [r.subject.rpartition("/")[2] for r in problems.collect()] == ["junk.csv"]
+
+
+def test_missing_tables_are_reported(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("response_id,label\nr1,1\n")
+    tables, problems = FS.route_tables(spark, str(tmp_path))
+    assert list(tables) == ["labels"] and sorted(r.subject for r in problems.collect()) == ["features", "format"]
+
+
+def test_a_file_that_breaks_fails_unless_skipping_is_asked_for(spark, tmp_path):
+    import gzip
+
+    text = "utterance_id,role,content,timestamp\n" + "".join(f"{i},tutor,{i * 7919 % 104729} words,0:00:01\n" for i in range(20_000))
+    (tmp_path / "whole.csv").write_text(text)
+    packed = gzip.compress(text.encode())
+    sub = tmp_path / "sub"
+    sub.mkdir()
+    (sub / "x.csv.gz").write_bytes(packed[: len(packed) // 2])
+    schema = ["utterance_id", "role", "content", "timestamp"]
+    broken = FS.read_csv_group(spark, str(sub), schema, pattern="*.gz")
+    with pytest.raises(Exception):
+        broken.count()
+    assert FS.read_csv_group(spark, str(sub), schema, skip_broken=True, pattern="*.gz").count() < 20_000
 
 
 def test_label_aliases(spark):

@@ -259,10 +259,11 @@ def _session_text(spark, sf_dir):
 
 
 @query("role_text", "T10", f"""
-    SELECT session_id, role, left(string_agg(content, chr(10) ORDER BY pos), 3000) AS text
-    FROM ({I.SHORT}) GROUP BY session_id, role""")
+    WITH whole AS (SELECT session_id, role, string_agg(content, chr(10) ORDER BY pos) AS t FROM ({I.SHORT}) GROUP BY session_id, role),
+    parts AS (SELECT *, unnest(range(0, greatest(length(t) - 1, 0) // 400 + 1)) AS part FROM whole)
+    SELECT session_id, role, part, substr(t, part * 400 + 1, 400) AS text FROM parts""")
 def _role_text(spark, sf_dir):
-    return RD.role_text(I.short_utterances(spark, sf_dir), 3000, chunked=True)
+    return RD.role_text(I.short_utterances(spark, sf_dir), 400, chunked=True)
 
 
 @query("topic_passages", "T11 B18", f"""
@@ -336,7 +337,7 @@ def dense(spark, sf_dir):
 @query("vector_relevance", "B7", rounded(
     f"WITH {I.VECTORS} SELECT session_id, objective_id, window_idx, sim FROM vs", "sim"))
 def _vector_relevance(spark, sf_dir):
-    return dense(spark, sf_dir)[1].drop("vector")
+    return dense(spark, sf_dir)[1].drop("vector", "n_windows")
 
 
 CONT = [f"cont_raw_{i:03d}" for i in range(64)]
@@ -361,9 +362,8 @@ def _content_pool(spark, sf_dir):
            sum(att * position) AS attended_position, avg(sim) FILTER (rank <= 3) AS cosine_topk_mean
     FROM a GROUP BY ALL""", "cosine_mean cosine_max attention_entropy attended_position cosine_topk_mean"))
 def _attention(spark, sf_dir):
-    windows, sims = dense(spark, sf_dir)
-    sized = sims.join(windows.select("session_id", "window_idx", "n_windows"), ["session_id", "window_idx"])
-    scored = sized.selectExpr(*RT.PAIR, "window_idx", "sim", "(window_idx + 0.5D) / n_windows AS position")
+    sims = dense(spark, sf_dir)[1]
+    scored = sims.selectExpr(*RT.PAIR, "window_idx", "sim", "(window_idx + 0.5D) / n_windows AS position")
     return CT.attention_statistics(scored, temperature=0.5)
 
 

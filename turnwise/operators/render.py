@@ -31,10 +31,27 @@ def session_text(utterances: DataFrame, max_chars: int, chunked: bool) -> DataFr
     return budgeted_text(lines, ["session_id"], max_chars, chunked)
 
 
-def role_text(utterances: DataFrame, max_chars: int, chunked: bool) -> DataFrame:
-    """Each role's utterances of a session joined in order, within a character budget."""
-    lines = utterances.selectExpr("session_id", "role", "pos", "content AS line")
-    return budgeted_text(lines, ["session_id", "role"], max_chars, chunked)
+def role_text(utterances: DataFrame, part_chars: int, chunked: bool) -> DataFrame:
+    """Each role's utterances of a session joined in order, as parts of ``part_chars`` characters.
+
+    Every character is kept and no row holds more than one part: ``session_id, role, part, text``.
+    """
+    keys = ["session_id", "role"]
+    placed = scan(
+        utterances.selectExpr(*keys, "pos", "content AS line"), by_position(chunked, tuple(keys)),
+        running={"offset": "length(line) + 1L"},
+    ).selectExpr(
+        *keys, "pos", "CASE WHEN offset = 0 THEN line ELSE concat('\\n', line) END AS piece",
+        "greatest(offset - 1, 0L) AS at",
+    )
+    size = f"{part_chars}L"
+    cells = placed.selectExpr(
+        "*", f"explode(sequence(at div {size}, greatest(at, at + length(piece) - 1) div {size})) AS part")
+    pieces = cells.selectExpr(
+        *keys, "part", "pos", f"greatest(part * {size} - at, 0L) AS low", f"least((part + 1) * {size} - at, length(piece)) AS high", "piece",
+    ).selectExpr(*keys, "part", "pos", "substr(piece, CAST(low + 1 AS INT), CAST(high - low AS INT)) AS piece")
+    joined = "concat_ws('', transform(array_sort(collect_list(struct(pos, piece))), x -> x.piece))"
+    return aggregate(pieces, [*keys, "part"], f"{joined} AS text")
 
 
 def tagged_passages(spans: DataFrame, utterances: DataFrame) -> DataFrame:

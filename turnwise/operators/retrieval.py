@@ -138,9 +138,15 @@ def dot(a: str, b: str) -> str:
 
 
 def unit(vector: str) -> str:
-    """The vector divided by its Euclidean length (unchanged when that is zero)."""
-    size = f"sqrt({dot(vector, vector)})"
-    return f"transform({vector}, x -> CASE WHEN {size} = 0 THEN 0D ELSE CAST(x AS DOUBLE) / {size} END)"
+    """The vector divided by its Euclidean length (unchanged when that is zero).
+
+    The length is a value of the outer function's argument, so it is taken once per vector and not
+    once per component.
+    """
+    return (
+        f"element_at(transform(array(struct({vector} AS v, sqrt({dot(vector, vector)}) AS size)), "
+        "p -> transform(p.v, x -> CASE WHEN p.size = 0 THEN 0D ELSE CAST(x AS DOUBLE) / p.size END)), 1)"
+    )
 
 
 def dense_similarity(
@@ -150,8 +156,9 @@ def dense_similarity(
     """Cosine of every session passage with every objective of its session.
 
     ``windows(session_id, window_idx, vector)``, ``objectives(objective_id, vector)``, both
-    unit length.
+    unit length.  Other columns of ``windows`` are kept.
     """
+    carried = [c for c in windows.columns if c not in (*PAIR, "window_idx", "vector")]
     wanted = pairs.join(objectives.withColumnRenamed("vector", "o_vector"), "objective_id")
     on, left = ["session_id"], windows
     if chunked:
@@ -160,7 +167,7 @@ def dense_similarity(
         wanted = wanted.join(left.select("session_id", "wcell").distinct(), "session_id")
         on.append("wcell")
     return left.join(wanted, on).selectExpr(
-        *PAIR, "window_idx", f"{dot('vector', 'o_vector')} AS sim", "vector"
+        *PAIR, "window_idx", f"{dot('vector', 'o_vector')} AS sim", "vector", *carried
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,16 +29,27 @@ def build_session(app: str = "turnwise", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it.
 
-    Used where an iterative fit would otherwise replay a long lineage per pass.  The
-    folder is the shared one the cluster names; only a session without one (tests) gets
-    a temporary folder.
+    Only a local session may go without one (tests, the bench): its driver's disk is the only disk.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get(CHECKPOINT_KEY, None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+    base = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    Used where a frame is read by several jobs or fits: its lineage is not replayed, a lost executor
+    loses nothing, and a reader of few columns reads few columns.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

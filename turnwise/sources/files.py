@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..functions.scalars import elapsed_seconds
+from ..functions.scalars import elapsed_seconds, lit
 from ..functions.text import normalized_role
 from ..operators.ordered import aggregate, has_large_groups, with_positions
 
@@ -45,57 +44,66 @@ def csv_headers(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataF
     return head.selectExpr("file", f"{clean} AS columns")
 
 
-def classify(columns: set[str]) -> str | None:
-    """Logical table of a file, from its columns alone."""
-    if {"response_id", "session_id"} <= columns and any(c.startswith("learning_objective") for c in columns):
-        return "features"
-    if "response_id" in columns and columns & set(LABEL_ALIASES):
-        return "labels"
-    if {"response_id", "probability"} <= columns:
-        return "format"
-    return None
+#: What the header of each logical table must have: all names, one of the names, a name with the prefix.
+TABLES = {
+    "features": {"all": ("response_id", "session_id"), "prefix": "learning_objective"},
+    "labels": {"all": ("response_id",), "one_of": LABEL_ALIASES},
+    "format": {"all": ("response_id", "probability")},
+}
 
 
-def read_csv_group(spark: SparkSession, files: list[str], columns: list[str]) -> DataFrame:
-    """Files that share one header, every column as text."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    options = {**CSV, "enforceSchema": "false", "ignoreCorruptFiles": "true", "recursiveFileLookup": "true",
-               "pathGlobFilter": "*.csv"}
-    return spark.read.options(**options).schema(schema).csv(files).selectExpr(
-        "*", "url_decode(replace(_metadata.file_name, '+', '%2B')) AS source_file"
-    )
+def logical_table(columns: str = "columns") -> str:
+    """SQL: the logical table of a header array; the first of ``TABLES`` that fits, else null."""
+    def fits(rule: dict) -> str:
+        parts = [f"array_contains({columns}, {lit(c)})" for c in rule["all"]]
+        if "one_of" in rule:
+            parts.append(f"arrays_overlap({columns}, array({', '.join(map(lit, rule['one_of']))}))")
+        if "prefix" in rule:
+            parts.append(f"exists({columns}, c -> startswith(c, {lit(rule['prefix'])}))")
+        return " AND ".join(parts)
+
+    return "CASE " + " ".join(f"WHEN {fits(rule)} THEN {lit(name)}" for name, rule in TABLES.items()) + " END"
 
 
-def files_by_header(headers: DataFrame) -> dict[tuple[str, ...], list[str]]:
-    """File names per exact header.  The driver sees names and headers, never rows."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in headers.toLocalIterator():
-        groups.setdefault(tuple(row["columns"]), []).append(unquote(row["file"]))
-    return groups
+def read_csv_group(spark: SparkSession, path: str, columns: list[str], headers: DataFrame | None = None,
+                   skip_broken: bool = False, pattern: str = "*.csv") -> DataFrame:
+    """Files below ``path`` with one header, every column as text; ``headers`` (file, columns) picks them.
+
+    Without ``headers`` every file is taken.  A file that breaks while it is read fails the job,
+    because its first rows would otherwise pass for the whole file; ``skip_broken`` drops the rest of it.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    options = {**CSV, "enforceSchema": str(headers is not None).lower(), "ignoreCorruptFiles": str(skip_broken).lower(),
+               "recursiveFileLookup": "true", "pathGlobFilter": pattern}
+    rows = spark.read.options(**options).schema(schema).csv(path).selectExpr(
+        "*", "url_decode(replace(_metadata.file_name, '+', '%2B')) AS source_file", "_metadata.file_path AS _file")
+    if headers is not None:
+        wanted = f"array({', '.join(map(lit, columns))})"
+        rows = rows.join(headers.where(f"columns = {wanted}").selectExpr("file AS _file"), "_file", "left_semi")
+    return rows.drop("_file")
 
 
-def route_tables(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], list[str]]:
-    """Route a folder of mixed CSVs to logical tables by header.
+def route_tables(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Route a folder of mixed CSVs to logical tables by header; also gives a table of problems.
 
-    CSV columns bind by position, so files are grouped by their exact header, read per
-    group and united by name.
+    CSV columns bind by position, so the folder is read once per distinct header and the parts are
+    united by name.  The driver sees the distinct headers; file names stay in Spark.
     """
+    headers = csv_headers(spark, path).selectExpr("*", f"{logical_table()} AS kind")
     parts: dict[str, list[DataFrame]] = {}
-    warnings = []
-    for columns, files in sorted(files_by_header(csv_headers(spark, path)).items()):
-        kind = classify(set(columns))
-        if kind is None:
-            warnings += [f"unclassified csv: {name}" for name in files]
-            continue
-        parts.setdefault(kind, []).append(read_csv_group(spark, files, list(columns)))
+    for row in headers.where("kind IS NOT NULL").select("kind", "columns").distinct().orderBy("kind", "columns").collect():
+        parts.setdefault(row["kind"], []).append(read_csv_group(spark, path, list(row["columns"]), headers))
     tables = {}
     for kind, frames in parts.items():
         merged = frames[0]
         for frame in frames[1:]:
             merged = merged.unionByName(frame, allowMissingColumns=True)
         tables[kind] = merged
-    warnings += [f"missing table: {k}" for k in ("features", "labels", "format") if k not in tables]
-    return tables, warnings
+    absent = ", ".join(f"({lit(k)})" for k in TABLES if k not in tables)
+    problems = headers.where("kind IS NULL").selectExpr("'header fits no table' AS problem", "file AS subject")
+    if absent:
+        problems = problems.unionByName(spark.sql(f"SELECT 'no file for table' AS problem, k AS subject FROM VALUES {absent} AS t(k)"))
+    return tables, problems
 
 
 def full_and_smoke(format_rows: DataFrame) -> DataFrame:
@@ -128,23 +136,19 @@ def normalize(df: DataFrame, chunked: bool | None = None) -> DataFrame:
     return with_positions(rows, order, chunked)
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+def read_transcripts(spark: SparkSession, path: str, skip_broken: bool = False) -> DataFrame:
     """One CSV per session under ``path`` as raw utterances; a missing session id is the file stem.
 
-    Unreadable files are skipped.  When all files share one header (the usual case) the
-    folder is read as a whole; only mixed folders need their file names grouped by header.
+    When all files share one header (the usual case) the folder is read as a whole; a mixed folder
+    is read once per distinct header.  ``skip_broken``: see ``read_csv_group``.
     """
     headers = csv_headers(spark, path)
-    distinct = headers.select("columns").distinct().limit(2).collect()
+    distinct = [list(r["columns"]) for r in headers.select("columns").distinct().collect()]
     if not distinct:
         raise FileNotFoundError(f"no transcript CSV below {path}")
-    if len(distinct) == 1:
-        groups = {tuple(distinct[0]["columns"]): [path]}
-    else:
-        groups = files_by_header(headers)
     merged: DataFrame | None = None
-    for columns, files in sorted(groups.items()):
-        part = read_csv_group(spark, files, list(columns))
+    for columns in sorted(distinct):
+        part = read_csv_group(spark, path, columns, headers if len(distinct) > 1 else None, skip_broken)
         stem = "regexp_replace(source_file, '[.]csv$', '')"
         own = f"coalesce(session_id, {stem})" if "session_id" in columns else stem
         rest = [c for c in TRANSCRIPT_COLUMNS if c in columns and c != "session_id"]
