@@ -10,7 +10,7 @@ from test_responses import SCHEMA, make
 from turnwise.operators import folds as FO
 from turnwise.operators.ordered import aggregate
 from turnwise.plans import learning as LN
-from turnwise.plans.scoring import score_batch
+from turnwise.plans.scoring import score_batch, score_new
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +27,72 @@ def test_out_of_fold_covers_every_row(matrix):
     assert {r.feature for r in gains.collect()} == {"f1", "f2", "lo_prior_enc"}
 
 
+@pytest.fixture(scope="module")
+def fitted(matrix):
+    return LN.fit_fold_models(matrix, ["f1", "f2"], LN.boosted_trees(4, 2), range(3), k=3, pca=(["f1", "pred_b"], 1))
+
+
+def test_saved_models_give_the_same_predictions(spark, matrix, fitted, tmp_path):
+    models, oof = fitted
+    models.save(str(tmp_path))
+    back = LN.FoldModels.load(spark, str(tmp_path))
+    want = {(r.response_id, r.fold): r.pred for r in oof.collect()}
+    for fold in range(3):
+        for r in back.score(matrix.where(f"fold = {fold}"), [fold]).collect():
+            assert abs(r.pred - want[r.response_id, fold]) < 1e-12
+    facts = tmp_path / "facts"
+    line = next(p for p in facts.iterdir() if p.name.startswith("part-"))
+    line.write_text(line.read_text().replace('"f1", "f2"', '"f2", "f1"'))
+    (facts / f".{line.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="expects"):
+        LN.FoldModels.load(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="absent"):
+        models.score(matrix.drop("f2"))
+
+
+def test_new_rows_are_scored_by_every_fold_model(spark, matrix, fitted):
+    required = matrix.selectExpr("response_id", "response_id AS pos").unionByName(spark.range(1).selectExpr("-5 AS response_id", "-5 AS pos"))
+    unseen = matrix.selectExpr(*[c for c in matrix.columns if c != "objective_id"], "'never seen' AS objective_id")
+    rows = score_new(fitted[0], required, unseen.where("response_id % 2 = 0"), fallback=0.25).collect()
+    got = {r.response_id: r.probability for r in rows}
+    assert len(got) == matrix.count() + 1 and got[-5] == 0.25 and all(0 < p < 1 for p in got.values())
+    per_fold = fitted[0].score(unseen.where("response_id = 2"))
+    assert per_fold.count() == 3 and np.isclose(got[2], np.mean([r.pred for r in per_fold.collect()]))
+
+
+def test_validation_labels_do_not_move_training_encodings(matrix):
+    turned = matrix.selectExpr(*[c for c in matrix.columns if c != "label"], "CASE WHEN fold = 1 THEN 1 - label ELSE label END AS label")
+    maps = [{r.objective_id: r.encoding for r in LN.fit_fold_models(
+        m, ["f1"], LN.logistic(iterations=2), [1], k=3)[0].priors.collect()} for m in (matrix, turned)]
+    assert maps[0] == maps[1] and maps[0]
+
+
+def test_objective_mode_purges_and_refuses_encodings(matrix):
+    rows = matrix.drop("fold").join(FO.objective_folds(matrix.drop("fold"), 3).select("response_id", "fold"), "response_id")
+    with pytest.raises(ValueError, match="unseen"):
+        LN.fit_fold_models(rows, ["f1"], LN.logistic(), range(3), mode="objective", k=3)
+    models, oof = LN.fit_fold_models(rows, ["f1"], LN.logistic(iterations=3), [0], mode="objective", encode=False, k=3)
+    purged = FO.purged_training(rows, 3).where("train_fold = 0")
+    assert np.isclose(models.rates[0], purged.agg({"label": "avg"}).first()[0])
+    assert oof.count() == rows.where("fold = 0").count() and purged.count() < rows.where("fold <> 0").count()
+
+
+def test_text_difficulty_inside_the_folds(spark, matrix):
+    rows = matrix.withColumn("objective_text", LN.F.concat(LN.F.lit("topic "), LN.F.col("objective_id").cast("string")))
+    models, oof = LN.fit_fold_models(rows, ["f1"], LN.logistic(iterations=3), [0], encode=False, k=3, text=True)
+    again = {r.response_id: r.pred for r in models.score(rows.where("fold = 0")).collect()}
+    assert all(np.isclose(r.pred, again[r.response_id], atol=1e-9) for r in oof.collect())
+
+
+def test_grams_of_every_text_are_weighted(spark):
+    rows = spark.createDataFrame([(["a", "b"],), (["a"],), (["a", "c", "c"],)], "grams array<string>")
+    bucket, product, _ = LN.weighted_grams(rows, 1.0, buckets=1 << 10)
+    weight = lambda t: product.getScalingVec()[bucket.indexOf(t)]
+    assert np.isclose(weight("a"), 1.0) and np.isclose(weight("b"), np.log(4 / 2) + 1)
+    strict = LN.weighted_grams(rows, 2.0, buckets=1 << 10)
+    assert strict[1].getScalingVec()[bucket.indexOf("b")] == 0.0
+
+
 def test_validation_covariates_do_not_move_the_pca(spark, matrix):
     moved = matrix.selectExpr(*[c for c in matrix.columns if c not in ("f1", "pred_b")],
                               "CASE WHEN fold = 0 THEN f1 * 100 ELSE f1 END AS f1", "pred_b")

@@ -61,10 +61,10 @@ def test_spread_only_when_needed(spark):
     assert spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == 4
 
 
-def test_broadcast_needs_a_count(spark):
-    df = spark.range(50)
+def test_broadcast_needs_measured_bytes(spark):
+    df = spark.range(50)  # {"id":7} is 8 bytes, {"id":17} is 9
     hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
-    assert hinted(small_side(df, 50)) and not hinted(small_side(df, 49))
+    assert hinted(small_side(df, 440)) and not hinted(small_side(df, 439))
 
 
 VALUES = {"a": [5.0], "b": [1.0, 2.0], "c": [3.0] * 7, "d": [float(x % 13) * 1.5 for x in range(60)],

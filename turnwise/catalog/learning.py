@@ -12,7 +12,9 @@ from .inputs import responses, short_utterances, table
 from .registry import query
 
 FEATURES = ("len", "n_words", "repeats", "selfcorr_rate", "filler_rate", "negate_rate", "excl_rate", "false_start_rate")
-K = 3
+K = 5
+#: Trees stop when the validation rows stop improving; depth as in the models they stand for.
+TREES = LN.boosted_trees(depth=3)
 
 
 def labelled_texts(spark, sf_dir):
@@ -35,20 +37,20 @@ def document_matrix(spark, sf_dir):
 @query("gbt_oof", "M3 F7 F8")
 def _gbt(spark, sf_dir):
     folds = FO.session_folds(document_matrix(spark, sf_dir), K)
-    return LN.out_of_fold(folds, FEATURES, LN.boosted_trees(8, 3), range(K), k=K)[0]
+    return LN.out_of_fold(folds, FEATURES, TREES, range(K), k=K)[0]
 
 
 @query("gbt_importance", "M3 A16")
 def _gbt_importance(spark, sf_dir):
     folds = FO.session_folds(document_matrix(spark, sf_dir), K)
-    gains = LN.out_of_fold(folds, FEATURES, LN.boosted_trees(5, 3), range(K), importance=True, k=K)[1]
+    gains = LN.out_of_fold(folds, FEATURES, TREES, range(K), importance=True, k=K)[1]
     return importance_summary(gains)
 
 
 @query("text_model_oof", "M4 T17")
 def _text(spark, sf_dir):
     folds = FO.session_folds(labelled_texts(spark, sf_dir), K)
-    learner = LN.logistic(reg=1e-3, elastic=0.05, iterations=8, scale=False)
+    learner = LN.logistic(reg=1e-3, elastic=0.05, iterations=60, scale=False)
     return LN.text_out_of_fold(folds, range(K), learner=learner)
 
 
@@ -83,7 +85,7 @@ def _domains(spark, sf_dir):
         utterance_text_counts(short_utterances(spark, sf_dir)), ["session_id"],
         "avg(len) AS mean_len", "sum(n_words) AS n_words", "count(1) AS n", "sum(repeats) AS repeats",
     )
-    domains = LN.session_domains(sizes, ["mean_len", "n_words", "n", "repeats"], 10)
+    domains = LN.session_domains(sizes, ["mean_len", "n_words", "n", "repeats"], 20)
     rows = short_utterances(spark, sf_dir).selectExpr(
         "concat_ws('-', session_id, pos) AS response_id", "session_id",
         "CASE WHEN role = 'student' THEN 1D ELSE 0D END AS label")
@@ -105,13 +107,13 @@ def _pca(spark, sf_dir):
         "vec_id AS response_id", "CAST(label AS BIGINT) AS session_id", "CAST(label % 2 AS DOUBLE) AS label",
         *[f"CAST(embedding[{i}] AS DOUBLE) AS raw_{i:02d}" for i in range(64)])
     rows = LN.cut(FO.session_folds(vectors, K))
-    return LN.fold_safe_pca(rows, [f"raw_{i:02d}" for i in range(64)], 0, 8)
+    return LN.pca_by_fold(rows, [f"raw_{i:02d}" for i in range(64)], range(K), 8)
 
 
 @query("block_ablation", "E14 E13 E15")
 def _ablation(spark, sf_dir):
     blocks = {"size": ("len", "n_words"), "fluency": ("repeats", "selfcorr_rate", "filler_rate")}
-    return LN.ablation(document_matrix(spark, sf_dir), blocks, LN.logistic(iterations=10), seeds=(0, 1), k=2)
+    return LN.ablation(document_matrix(spark, sf_dir), blocks, TREES, seeds=(0, 1), k=K)
 
 
 @query("unseen_stress_test", "E20 F12 E12")
@@ -120,4 +122,4 @@ def _stress(spark, sf_dir):
     rows = document_matrix(spark, sf_dir).selectExpr(
         "response_id", "concat_ws('-', session_id, response_id div 40) AS session_id",
         "response_id div 40 % 10 AS objective_id", "label", *FEATURES)
-    return LN.unseen_stress_test(rows, FEATURES, LN.logistic(iterations=10), draws=2)
+    return LN.unseen_stress_test(rows, FEATURES, LN.logistic(iterations=50), draws=5)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.scalars import num
-from .ordered import aggregate
+from .ordered import aggregate, small_side
 
 SMOOTHING = 20.0  # fixed value: prior strength
 
@@ -29,7 +29,7 @@ def apply_encoding(rows: DataFrame, means: DataFrame, fallback: float | str,
                    key: str = "objective_id", name: str = "encoding") -> DataFrame:
     """Look a fitted map up, with a fallback for unknown keys."""
     missing = num(fallback) if isinstance(fallback, float) else fallback
-    return rows.join(means.selectExpr(key, f"encoding AS _e"), key, "left").selectExpr(
+    return rows.join(small_side(means.selectExpr(key, "encoding AS _e")), key, "left").selectExpr(
         *rows.columns, f"coalesce(_e, {missing}) AS {name}"
     )
 
@@ -58,7 +58,7 @@ def outer_encoding(folds: DataFrame, m: float = SMOOTHING, key: str = "objective
     """Each row encoded from the training rows of its own fold; unseen keys get their rate."""
     overall = fold_sums(folds, label).scalar()
     at = lambda v, part: f"coalesce({v}[CAST(fold AS INT)].{part}, 0)"
-    known = folds.join(objective_sums(folds, key, label), key).withColumn("g", overall)
+    known = folds.join(small_side(objective_sums(folds, key, label)), key).withColumn("g", overall)
     rate = f"(g.s - {at('g.by_fold', 's')}) / (g.n - {at('g.by_fold', 'n')})"
     return known.selectExpr(
         *folds.columns, f"{rate} AS fold_rate",
@@ -67,31 +67,37 @@ def outer_encoding(folds: DataFrame, m: float = SMOOTHING, key: str = "objective
     )
 
 
-def model_encodings(folds: DataFrame, k: int = 5, m: float = SMOOTHING, key: str = "objective_id",
-                    label: str = "label") -> DataFrame:
-    """The encoding of every row for every outer model: ``outer_fold, side, encoding``.
+def encoding_for(outer: str, own: str, m: float = SMOOTHING) -> str:
+    """SQL over ``s_all, n_all, by_fold, g``: what the model of fold ``outer`` may know of the objective
+    of a row of fold ``own``.
 
-    Validation rows (own fold = outer fold) read the outer training rows.  Training rows
-    are encoded out of fold: the inner folds are the remaining outer folds, which are
-    group-disjoint already, so a row never sees its own group's labels.
+    A validation row (own = outer) reads the outer training rows.  A training row leaves its own fold
+    out as well: the inner folds are the remaining outer folds, which are group-disjoint already, so a
+    row never sees its own group's labels.
     """
-    overall = fold_sums(folds, label).scalar()
-    out = (
-        folds.join(objective_sums(folds, key, label), key)
-        .withColumn("g", overall)
-        .selectExpr("*", f"explode(sequence(0, {k - 1})) AS outer_fold")
-    )
-    own, outer = "CAST(fold AS INT)", "outer_fold"
     less = lambda v, part: (
         f"coalesce({v}[{outer}].{part}, 0) "
         f"+ CASE WHEN {own} = {outer} THEN 0 ELSE coalesce({v}[{own}].{part}, 0) END"
     )
     rate = f"((g.s - ({less('g.by_fold', 's')})) / (g.n - ({less('g.by_fold', 'n')})))"
+    return (f"(s_all - ({less('by_fold', 's')}) + {num(m)} * {rate}) "
+            f"/ (n_all - ({less('by_fold', 'n')}) + {num(m)})")
+
+
+def model_encodings(folds: DataFrame, k: int = 5, m: float = SMOOTHING, key: str = "objective_id",
+                    label: str = "label") -> DataFrame:
+    """The encoding of every row for every outer model: ``outer_fold, side, encoding``."""
+    overall = fold_sums(folds, label).scalar()
+    out = (
+        folds.join(small_side(objective_sums(folds, key, label)), key)
+        .withColumn("g", overall)
+        .selectExpr("*", f"explode(sequence(0, {k - 1})) AS outer_fold")
+    )
+    own = "CAST(fold AS INT)"
     return out.selectExpr(
         *folds.columns, "outer_fold",
-        f"CASE WHEN {own} = {outer} THEN 'validation' ELSE 'train' END AS side",
-        f"(s_all - ({less('by_fold', 's')}) + {num(m)} * {rate}) "
-        f"/ (n_all - ({less('by_fold', 'n')}) + {num(m)}) AS encoding",
+        f"CASE WHEN {own} = outer_fold THEN 'validation' ELSE 'train' END AS side",
+        f"{encoding_for('outer_fold', own, m)} AS encoding",
     )
 
 

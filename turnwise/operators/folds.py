@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.scalars import seeded_hash
-from .ordered import Sequence, aggregate, scan
+from .ordered import Sequence, aggregate, scan, small_side
 
 
 def snake(rank: str, k: int) -> str:
@@ -45,7 +45,7 @@ def objective_folds(responses: DataFrame, k: int = 5, seed: int = 0,
     """Whole objectives per fold, largest first, rows and positives balanced."""
     stats = aggregate(responses, [group], "count(1) AS n", f"sum({label}) AS n_pos")
     dealt = deal(stats, ("n", "n_pos"), k, seed, group).select(group, "fold")
-    return responses.join(dealt, group)
+    return responses.join(small_side(dealt), group)
 
 
 def split_groups(folds: DataFrame, group: str) -> DataFrame:
@@ -68,7 +68,7 @@ def purged_training(folds: DataFrame, k: int = 5, group: str = "session_id",
     only by the folds they survive in.
     """
     masks = folds.join(held_by_fold(folds, group, "_by_group"), group).join(
-        held_by_fold(folds, objective, "_by_objective"), objective
+        small_side(held_by_fold(folds, objective, "_by_objective")), objective
     )
     mask = "(_by_group | _by_objective | shiftleft(1L, CAST(fold AS INT)))"
     return masks.selectExpr(
@@ -126,12 +126,12 @@ def unseen_split(responses: DataFrame, fraction: float = 0.25, seed: int = 0,
                  group: str = "session_id", objective: str = "objective_id") -> DataFrame:
     """Sessions touching a held-out objective validate; ``scored`` marks unseen objectives."""
     held = sampled_keys(responses.where(f"{objective} IS NOT NULL"), objective, fraction, seed)
-    touched = responses.join(held, objective, "left_semi").select(group).distinct()
+    touched = responses.join(small_side(held), objective, "left_semi").select(group).distinct()
     sided = responses.join(touched.selectExpr(group, "true AS _v"), group, "left").selectExpr(
         *responses.columns, "coalesce(_v, false) AS validation"
     )
     seen = aggregate(sided, [objective], "bool_or(NOT validation) AS _seen")
-    return sided.join(seen, objective).selectExpr(
+    return sided.join(small_side(seen), objective).selectExpr(
         *responses.columns, "CASE WHEN validation THEN 'validation' ELSE 'train' END AS side",
         "validation AND NOT _seen AS scored",
     )

@@ -56,17 +56,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-BROADCAST_ROWS = 500_000  # largest lookup side that is sent to every executor
+BROADCAST_BYTES = 64 << 20  # largest lookup side that is sent to every executor
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a lookup table for broadcast only if it has been counted to be small.
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A lookup table, written once, and marked for broadcast only if its rows measure small.
 
-    Beyond the limit the hint is left out and Spark shuffles both sides instead.
+    Bytes are those of the rows as JSON text, which is more than they take in memory.  Beyond the
+    limit the hint is left out and Spark shuffles both sides instead.
     """
     from pyspark.sql.functions import broadcast
 
-    return broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    from ..session import cut
+
+    kept = cut(df)
+    size = kept.selectExpr("coalesce(sum(octet_length(to_json(struct(*)))), 0) AS size").first()["size"]
+    return broadcast(kept) if size <= limit else kept
 
 
 def by_position(chunked: bool, keys: tuple[str, ...] = ("session_id",),

@@ -7,27 +7,31 @@ loss nor the next fit replays the feature lineage.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml import Pipeline
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (
-    IDF, PCA, CountVectorizer, HashingTF, Imputer, Normalizer, RobustScaler, StandardScaler,
+    IDF, PCA, ElementwiseProduct, HashingTF, Imputer, ImputerModel, Normalizer, RobustScaler, StandardScaler,
     StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import calibrated, clip_probability, lit, log_loss, logit, seeded_hash
 from ..functions.text import with_bigrams
 from ..operators.compare import paired_delta, summarize
-from ..operators.encoding import model_encodings
-from ..operators.folds import deal, session_folds
-from ..operators.ordered import aggregate
+from ..operators.encoding import encoding_for, fold_sums, objective_sums
+from ..operators.folds import deal, purged_training, session_folds
+from ..operators.ordered import aggregate, small_side
 from ..operators.stats import auc
 from ..session import cut
 
@@ -38,7 +42,8 @@ def union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def boosted_trees(iterations: int = 20, depth: int = 4, seed: int = 0, early_stop: bool = True) -> Learner:
+def boosted_trees(iterations: int = 200, depth: int = 4, seed: int = 0, early_stop: bool = True) -> Learner:
+    """Trees are added until the validation rows stop improving; ``iterations`` only bounds them."""
     def make():
         model = GBTClassifier(
             labelCol="label", featuresCol="features", maxIter=iterations, maxDepth=depth, seed=seed,
@@ -59,50 +64,161 @@ def probability(scored: DataFrame, name: str = "pred") -> DataFrame:
     return scored.withColumn(name, vector_to_array("probability")[1])
 
 
-def assembled(matrix: DataFrame, features: Sequence[str]) -> Pipeline:
-    """Median-filled, assembled features; the fitted pipeline fixes the feature order."""
-    filled = [f"_f_{c}" for c in features]
-    return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=list(features), outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="features"),
-    ])
-
-
-def out_of_fold(
-    matrix: DataFrame, features: Sequence[str], learner: Learner, folds: Sequence[int],
-    encode: bool = True, importance: bool = False, k: int = 5,
-) -> tuple[DataFrame, DataFrame | None]:
-    """Out-of-fold predictions ``response_id, session_id, fold, label, pred``.
+def assembled(features: Sequence[str], pca: tuple[Sequence[str], int] | None = None) -> Pipeline:
+    """Median-filled, assembled features; the fitted pipeline fixes the feature order.
 
-    With ``encode`` the objective's leakage-safe encoding for that outer model is added as
-    a feature.  Returns the gains per ``feature, fold`` when asked and available.
+    ``pca`` names further columns and how many of their principal components join the features.
     """
+    filled = [f"_f_{c}" for c in features]
+    stages, inputs = [Imputer(strategy="median", inputCols=list(features), outputCols=filled)], list(filled)
+    if pca:
+        stages += [
+            VectorAssembler(inputCols=list(pca[0]), outputCol="_raw", handleInvalid="keep"),
+            StandardScaler(inputCol="_raw", outputCol="_centred", withMean=True, withStd=False),
+            PCA(inputCol="_centred", outputCol="_pca", k=pca[1]),
+        ]
+        inputs.append("_pca")
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")])
+
+
+@dataclass
+class FoldModels:
+    """One fitted model per fold, the feature order they expect, and what each knows of objectives."""
+
+    features: tuple[str, ...]
+    mode: str
+    models: dict[int, PipelineModel]
+    rates: dict[int, float]
+    priors: DataFrame | None = None  # fold, objective_id, encoding
+    texts: dict[int, PipelineModel] = field(default_factory=dict)
+
+    def prepared(self, rows: DataFrame, fold: int) -> DataFrame:
+        """Rows with the fold's own encoding and text difficulty, as its model was trained to see them."""
+        rate = self.rates[fold]
+        if self.priors is not None:
+            known = small_side(self.priors.where(f"fold = {fold}").select("objective_id", "encoding"))
+            rows = rows.join(known.withColumnRenamed("encoding", "_e"), "objective_id", "left").selectExpr(
+                *rows.columns, f"coalesce(_e, {rate!r}D) AS {ENCODED}")
+        return apply_text_difficulty(self.texts[fold], rate, rows) if self.texts else rows
+
+    def score(self, rows: DataFrame, folds: Sequence[int] | None = None) -> DataFrame:
+        """``response_id, model_fold, pred`` of every row under every fold model (or those named)."""
+        missing = [c for c in self.features if c not in rows.columns and c not in (ENCODED, DIFFICULTY)]
+        if missing:
+            raise ValueError(f"features absent from the rows: {missing}")
+        parts = [
+            probability(self.models[f].transform(self.prepared(rows, f))).selectExpr("response_id", f"{f} AS model_fold", "pred")
+            for f in (folds if folds is not None else self.models)
+        ]
+        return union(parts)
+
+    def save(self, path: str) -> None:
+        for fold, model in self.models.items():
+            model.write().overwrite().save(f"{path}/model-{fold}")
+        for fold, model in self.texts.items():
+            model.write().overwrite().save(f"{path}/text-{fold}")
+        spark = SparkSession.active()
+        if self.priors is not None:
+            self.priors.write.mode("overwrite").parquet(f"{path}/priors")
+        facts = {"features": list(self.features), "mode": self.mode, "rates": self.rates,
+                 "priors": self.priors is not None, "texts": bool(self.texts)}
+        spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FoldModels:
+        """Read models back; refused if a model was assembled from other features or another order."""
+        facts = json.loads(spark.read.text(f"{path}/facts").first()["value"])
+        folds = [int(f) for f in facts["rates"]]
+        models = {f: PipelineModel.load(f"{path}/model-{f}") for f in folds}
+        for fold, model in models.items():
+            order = [c for stage in model.stages if isinstance(stage, Imputer | ImputerModel) for c in stage.getInputCols()]
+            if order != facts["features"]:
+                raise ValueError(f"model of fold {fold} expects {order}, the list says {facts['features']}")
+        return cls(
+            tuple(facts["features"]), facts["mode"], models, {int(f): r for f, r in facts["rates"].items()},
+            spark.read.parquet(f"{path}/priors") if facts["priors"] else None,
+            {f: PipelineModel.load(f"{path}/text-{f}") for f in folds} if facts["texts"] else {})
+
+
+ENCODED, DIFFICULTY = "lo_prior_enc", "lo_text_difficulty"
+
+
+def fit_fold_models(
+    matrix: DataFrame, features: Sequence[str], learner: Learner, folds: Sequence[int], mode: str = "session",
+    encode: bool = True, k: int = 5, pca: tuple[Sequence[str], int] | None = None, text: bool = False,
+) -> tuple[FoldModels, DataFrame]:
+    """Models of the named folds, and the validation rows' predictions.
+
+    ``mode`` ``session`` trains on all other folds; ``objective`` leaves out rows that share a session
+    or an objective with the held-out fold, and then an objective encoding is refused, because no
+    objective of the validation rows was seen.  ``encode`` adds the leakage-safe encoding, ``pca``
+    components fitted on the training rows, ``text`` a difficulty read off the objective's text
+    (training rows out of objective-grouped folds).
+    """
+    if mode not in ("session", "objective"):
+        raise ValueError(f"unknown split mode {mode!r}")
+    if mode == "objective" and encode:
+        raise ValueError("objective folds hold unseen objectives out: an objective encoding would be constant there")
+    raw = list(pca[0]) if pca else []
     doubles = matrix.selectExpr(
         "response_id", "session_id", "objective_id", "fold", "CAST(label AS DOUBLE) AS label",
-        *[f"CAST({c} AS DOUBLE) AS {c}" for c in features],
+        *(["objective_text"] if text else []), *[f"CAST({c} AS DOUBLE) AS {c}" for c in dict.fromkeys([*features, *raw])],
     )
-    ready = cut(doubles)
-    columns = [*features, "lo_prior_enc"] if encode else list(features)
-    encodings = None
+    # rows are ordered by id inside each part, so that subsampling draws the same rows in every run
+    ready = cut(doubles.repartition("response_id").sortWithinPartitions("response_id"))
+    columns = [*features, *([ENCODED] if encode else []), *([DIFFICULTY] if text else [])]
+    priors = None
     if encode:
-        encodings = cut(model_encodings(ready, k).selectExpr("response_id", "outer_fold", "encoding AS lo_prior_enc"))
-    scored, gains = [], []
+        sums = small_side(objective_sums(ready, "objective_id", "label"))
+        overall = fold_sums(ready, "label").scalar()
+        priors = cut(union([sums.withColumn("g", overall).selectExpr(
+            f"{f} AS fold", "objective_id", f"{encoding_for(str(f), str(f))} AS encoding") for f in folds]))
+        known = ready.join(sums, "objective_id").withColumn("g", overall)
+    fitted, texts, rates, scored = {}, {}, {}, []
+    allowed = cut(purged_training(ready, k).select("response_id", "train_fold")) if mode == "objective" else None
     for fold in folds:
-        rows = ready.selectExpr("*", f"fold = {fold} AS is_validation")
-        if encodings is not None:
-            rows = rows.join(encodings.where(f"outer_fold = {fold}").drop("outer_fold"), "response_id")
-        shape = assembled(rows, columns).fit(rows.where("NOT is_validation"))
-        vectors = shape.transform(rows).select("response_id", "session_id", "fold", "label", "is_validation", "features")
+        rows = ready
+        if encode:
+            rows = known.selectExpr(*ready.columns, f"{encoding_for(str(fold), 'CAST(fold AS INT)')} AS {ENCODED}")
+        held, train = rows.where(f"fold = {fold}"), rows.where(f"fold <> {fold}")
+        if allowed is not None:
+            train = train.join(allowed.where(f"train_fold = {fold}").drop("train_fold"), "response_id")
+        rates[fold] = float(aggregate(train, [], "avg(label) AS r").first()["r"])
+        if text:
+            texts[fold], _ = fit_text_difficulty(train)
+            both = text_difficulty(train, held, inner=k)
+            train, held = both.where(f"fold <> {fold}"), both.where(f"fold = {fold}")
+        seen = cut(train.withColumn("is_validation", F.lit(False)).unionByName(held.withColumn("is_validation", F.lit(True))))
+        shape = assembled(columns, pca).fit(seen.where("NOT is_validation"))
+        vectors = shape.transform(seen).select("response_id", "session_id", "fold", "label", "is_validation", "features")
         estimator = learner()
         uses_validation = estimator.hasParam("validationIndicatorCol") and estimator.isSet("validationIndicatorCol")
         model = estimator.fit(vectors if uses_validation else vectors.where("NOT is_validation"))
-        held = model.transform(vectors.where("is_validation"))
-        scored.append(probability(held).select("response_id", "session_id", "fold", "label", "pred"))
-        if importance and hasattr(model, "featureImportances"):
-            values = model.featureImportances.toArray().tolist()
-            gains += [(c, int(fold), float(v)) for c, v in zip(columns, values)]
-    table = ready.sparkSession.createDataFrame(gains, "feature string, fold int, gain double") if gains else None
-    return union(scored), table
+        fitted[fold] = PipelineModel(stages=[*shape.stages, model])
+        held_out = model.transform(vectors.where("is_validation"))
+        scored.append(probability(held_out).select("response_id", "session_id", "fold", "label", "pred"))
+    return FoldModels(tuple(columns), mode, fitted, rates, priors, texts), union(scored)
+
+
+def gains(models: FoldModels) -> DataFrame | None:
+    """``feature, fold, gain`` of tree models; principal components are numbered after the features."""
+    rows = []
+    for fold, model in models.models.items():
+        last = model.stages[-1]
+        if hasattr(last, "featureImportances"):
+            values = last.featureImportances.toArray().tolist()
+            names = [*models.features, *[f"pca_{i}" for i in range(len(values) - len(models.features))]]
+            rows += [(c, int(fold), float(v)) for c, v in zip(names, values)]
+    return SparkSession.active().createDataFrame(rows, "feature string, fold int, gain double") if rows else None
+
+
+def out_of_fold(
+    matrix: DataFrame, features: Sequence[str], learner: Learner, folds: Sequence[int],
+    encode: bool = True, importance: bool = False, k: int = 5, mode: str = "session",
+) -> tuple[DataFrame, DataFrame | None]:
+    """Out-of-fold predictions ``response_id, session_id, fold, label, pred``, and gains when asked."""
+    models, scored = fit_fold_models(matrix, features, learner, folds, mode, encode, k)
+    return scored, gains(models) if importance else None
 
 
 # --- text features ---------------------------------------------------------------------
@@ -146,12 +262,21 @@ def text_out_of_fold(texts: DataFrame, folds: Sequence[int], column: str = "text
     return union(parts)
 
 
-def gram_stages(vocabulary: int, min_df: float, tokens: str = "grams") -> list:
-    return [
-        CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocabulary, minDF=min_df),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="features", p=2.0),
-    ]
+GRAM_BUCKETS = 2**18
+
+
+def weighted_grams(rows: DataFrame, least_docs: float, tokens: str = "grams", buckets: int = GRAM_BUCKETS) -> list:
+    """Stages from grams to unit vectors of hashed counts times ``ln((1 + n) / (1 + df)) + 1``.
+
+    Every gram of every text counts; grams in fewer than ``least_docs`` texts weigh nothing.  The
+    weights are one number per bucket, so their size does not grow with the texts.
+    """
+    bucket = HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=buckets)
+    seen = IDF(inputCol="_tf", outputCol="_idf").fit(bucket.transform(rows.select(tokens)))
+    n, df = seen.numDocs, np.asarray(seen.docFreq, dtype=float)
+    weights = np.where(df >= least_docs, np.log((1 + n) / (1 + df)) + 1, 0.0)
+    return [bucket, ElementwiseProduct(scalingVec=Vectors.dense(weights.tolist()), inputCol="_tf", outputCol="_idf"),
+            Normalizer(inputCol="_idf", outputCol="features", p=2.0)]
 
 
 def word_grams(texts: DataFrame, column: str, name: str = "grams") -> DataFrame:
@@ -160,12 +285,12 @@ def word_grams(texts: DataFrame, column: str, name: str = "grams") -> DataFrame:
     return texts.selectExpr("*", f"{tokens} AS _t").selectExpr(*texts.columns, f"{with_bigrams('_t')} AS {name}")
 
 
-def fit_move_classifier(turns: DataFrame, vocabulary: int = 200_000, min_df: float = 2.0):
+def fit_move_classifier(turns: DataFrame, min_df: float = 2.0):
     """Role-prefixed text to move: one model serves both role vocabularies."""
     rows = word_grams(turns.selectExpr("*", "concat(role, ' ', content) AS _said"), "_said")
     return Pipeline(stages=[
         StringIndexer(inputCol="move", outputCol="label", handleInvalid="keep", stringOrderType="alphabetAsc"),
-        *gram_stages(vocabulary, min_df),
+        *weighted_grams(rows, min_df),
         LogisticRegression(regParam=1e-3, maxIter=30),
     ]).fit(rows)
 
@@ -224,7 +349,7 @@ def fit_text_difficulty(responses: DataFrame, order: str = "response_id", c: flo
     facts = aggregate(responses, [], "avg(label) AS rate", "count(distinct objective_id) AS n").first()
     min_df = float(min(2, max(1, facts["n"] // 10)))
     weight = aggregate(rows, [], "sum(weight) AS w").first()["w"]
-    stages = [*gram_stages(50_000, min_df),
+    stages = [*weighted_grams(rows, min_df),
               LogisticRegression(weightCol="weight", regParam=1.0 / (c * float(weight)), maxIter=50)]
     return Pipeline(stages=stages).fit(rows), float(facts["rate"])
 
@@ -273,6 +398,11 @@ def fold_safe_pca(rows: DataFrame, columns: Sequence[str], fold: int, components
                           *[f"_v[{i}] AS {prefix}{i:02d}" for i in range(components)])
 
 
+def pca_by_fold(rows: DataFrame, columns: Sequence[str], folds: Sequence[int], components: int) -> DataFrame:
+    """Every row under every fold's own components: ``model_fold`` names the fold held out."""
+    return union([fold_safe_pca(rows, columns, f, components).withColumn("model_fold", F.lit(int(f))) for f in folds])
+
+
 def session_domains(sessions: DataFrame, features: Sequence[str], domains: int = 20, seed: int = 0) -> DataFrame:
     """``session_id, domain_id``: median fill, 10-90 robust scaling, k-means."""
     doubles = cut(sessions.selectExpr("session_id", *[f"CAST({c} AS DOUBLE) AS {c}" for c in features]))
@@ -373,7 +503,7 @@ def unseen_stress_test(matrix: DataFrame, features: Sequence[str], learner: Lear
     runs = []
     for draw in range(draws):
         split = cut(unseen_split(base, fraction, seed=draw).where("side = 'train' OR scored"))
-        shape = assembled(split, features).fit(split.where("side = 'train'"))
+        shape = assembled(features).fit(split.where("side = 'train'"))
         vectors = shape.transform(split)
         model = learner().fit(vectors.where("side = 'train'"))
         held = probability(model.transform(vectors.where("side <> 'train'"))).select("label", "pred")

@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.scalars import blend_logit, calibrated, num, shrink
-from ..operators.ordered import aggregate
+from ..operators.ordered import aggregate, small_side
 from ..operators.quality import prediction_sink
+from .learning import FoldModels
+
+
+def score_new(models: FoldModels, required: DataFrame, rows: DataFrame, fallback: float = 0.5, **settings) -> DataFrame:
+    """Final probabilities of new rows from saved fold models.
+
+    Each fold model reads its own objective map; their predictions go through ``score_batch``, and a
+    response without features takes its objective's mean encoding over the fold models.
+    """
+    priors = models.priors
+    if priors is None:
+        priors = rows.sparkSession.createDataFrame([], "objective_id string, encoding double")
+    means = aggregate(priors, ["objective_id"], "avg(encoding) AS encoding")
+    return score_batch(required, models.score(rows), rows, means, fallback=fallback, **settings)
 
 
 def score_batch(
@@ -39,7 +53,8 @@ def score_batch(
         weight, base = shrinkage
         final = shrink(final, num(weight), num(base))
     usable = "blended IS NOT NULL AND NOT isnan(blended)"
-    filled = rows.join(priors.selectExpr("objective_id", "encoding AS _prior"), "objective_id", "left").selectExpr(
+    known = small_side(priors.selectExpr("objective_id", "encoding AS _prior"))
+    filled = rows.join(known, "objective_id", "left").selectExpr(
         "response_id", f"CASE WHEN {usable} THEN {final} ELSE coalesce(_prior, {num(fallback)}) END AS probability"
     )
     return prediction_sink(required, filled, fallback)
