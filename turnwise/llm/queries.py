@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, pii, toxicity, warc
+from . import chat, oracle, pii, toxicity, warc
 from .bpe import encode_decode
 from .cpsjoin import near_duplicates
 from .hnsw import near_duplicate_vectors
@@ -87,4 +87,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_wavelet_shards": op10_wavelet_shards,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_chat": oracle.CHAT,
+    "op2_hnsw": oracle.VECTOR_LINKS,
+    "op3_cpsjoin": oracle.TEXT_LINKS,
+    "op7_vptree": oracle.NEAREST,
+    "op8_warc_revisits": oracle.REVISITS,
+}
