@@ -251,7 +251,7 @@ ASSIGNED = ", ".join(folds_sql("objective_id", "n DESC, np DESC", s, name=f"s{s}
 ALL_SEEDS = " UNION ALL ".join(f"SELECT {s} AS fold_seed, fold, label, pred, pred_b FROM s{s}" for s in SEEDS)
 
 
-@query("fold_assignment_test", "E16 E17", rounded(f"""
+@query("fold_assignment_test", "E16", rounded(f"""
     WITH {R}, {ASSIGNED}, z AS MATERIALIZED ({ALL_SEEDS}), {auc_sql('fold_seed, fold', 'z', 'ab', pred='pred_b')},
     {auc_sql('fold_seed, fold', 'z', 'ac')},
     ps AS (SELECT fold_seed, avg(ac.auc - ab.auc) AS delta, avg(ab.auc) AS b, avg(ac.auc) AS c FROM ab JOIN ac USING (fold_seed, fold) GROUP BY 1)
@@ -273,6 +273,22 @@ def _assignment_test(spark, sf_dir):
     return CO.fold_assignment_test(per_fold)
 
 
+@query("noise_floor", "E17", rounded(f"""
+    WITH {R}, {ASSIGNED}, z AS MATERIALIZED ({ALL_SEEDS}), {auc_sql('fold_seed, fold', 'z', 'ac')},
+    m AS (SELECT fold_seed, avg(auc) AS v FROM ac GROUP BY fold_seed),
+    d AS (SELECT v - lag(v) OVER (ORDER BY fold_seed) AS delta FROM m)
+    SELECT count(delta) AS n_pairs, avg(abs(delta)) AS mean_move, stddev_samp(delta) AS sd_move, max(abs(delta)) AS largest_move
+    FROM d""", "mean_move sd_move largest_move"))
+def _noise_floor(spark, sf_dir):
+    rows = responses(spark, sf_dir)
+    parts = [FO.objective_folds(rows, seed=s).selectExpr(f"{s} AS fold_seed", "fold", "label", "pred") for s in SEEDS]
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part)
+    per_seed = aggregate(auc(stacked, ["fold_seed", "fold"], "label", "pred"), ["fold_seed"], "avg(auc) AS value")
+    return CO.noise_floor(per_seed.withColumnRenamed("fold_seed", "seed"))
+
+
 @query("robust_holdout_report", "E18 M1 J8", rounded(f"""
     WITH {PURGED}, pr AS (SELECT train_fold AS fold, avg(label) AS rate FROM p GROUP BY 1), {auc_sql('fold', 'f', 'au')}
     SELECT fold, count(*) AS n, avg({loss_sql('pred')}) AS model_logloss, avg({loss_sql('rate')}) AS prior_logloss,
@@ -482,7 +498,23 @@ def _cumulative(spark, sf_dir):
     return spent.select("event_id", "units", "cumulative_units")
 
 
-@query("leaderboard", "K7 S10", rounded("""
+@query("run_records", "S10", rounded("""
+    SELECT 'task-' || event_id AS task, 'cpu' AS tier, value AS wall_seconds, event_type AS experiment, value / 500.0::DOUBLE AS logloss,
+           CASE WHEN event_id % 3 <> 0 THEN CAST(400 AS BIGINT) END AS subsample
+    FROM events WHERE event_id % 11 <> 5 AND event_id % 13 <> 7""", "wall_seconds logloss"))
+def _run_records(spark, sf_dir):
+    from ..sources.files import parse_runs
+
+    lines = table(spark, sf_dir, "events").selectExpr("""
+        CASE WHEN event_id % 11 = 5 THEN '{broken' WHEN event_id % 13 = 7 THEN concat('{"task": "', event_id, '", "wall_seconds": "no number"}')
+        ELSE to_json(named_struct('task', concat('task-', event_id), 'tier', 'cpu', 'wall_seconds', value,
+             'subsample', CASE WHEN event_id % 3 = 0 THEN NULL ELSE 400 END,
+             'metrics', named_struct('experiment', event_type, 'logloss', value / 500.0D))) END AS value""")
+    return parse_runs(lines).selectExpr(
+        "task", "tier", "wall_seconds", "metrics.experiment AS experiment", "metrics.logloss AS logloss", "subsample")
+
+
+@query("leaderboard", "K7", rounded("""
     WITH g AS (SELECT event_id, event_type || '_' || (user_id % 7) AS experiment, round(value / 500.0::DOUBLE, 2) AS logloss,
                       CASE WHEN event_id % 3 = 0 THEN NULL ELSE 400 END AS subsample FROM events),
     k AS (SELECT subsample IS NOT NULL AS subsampled, experiment, round(logloss, 6) AS score, count(*) AS n_runs FROM g GROUP BY ALL),

@@ -98,3 +98,15 @@ def leaderboard(runs: DataFrame, top: int = 60) -> DataFrame:
     )
     place = "row_number() OVER (PARTITION BY subsampled ORDER BY score, experiment)"
     return kept.selectExpr("*", f"{place} AS place").where(f"place <= {top}")
+
+
+def noise_floor(per_seed: DataFrame) -> DataFrame:
+    """How much one setting moves when only the fold seed changes: ``per_seed(seed, value)``.
+
+    Neighbouring seeds are paired, so a gain below these differences cannot be told from a reshuffle.
+    """
+    moved = per_seed.selectExpr("value - lag(value) OVER (ORDER BY seed) AS delta")
+    return aggregate(
+        moved, [], "count(delta) AS n_pairs", "avg(abs(delta)) AS mean_move", "stddev_samp(delta) AS sd_move",
+        "max(abs(delta)) AS largest_move",
+    )

@@ -194,6 +194,13 @@ RUN_SCHEMA = (
 )
 
 
+def parse_runs(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Run records from JSON text; a line that is not a record of this shape is dropped."""
+    parsed = lines.selectExpr(
+        f"from_json({column}, '{RUN_SCHEMA}, _bad STRING', map('columnNameOfCorruptRecord', '_bad')) AS run")
+    return parsed.where("run IS NOT NULL AND run._bad IS NULL").selectExpr("run.*").drop("_bad")
+
+
 def read_runs(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
     """Run manifests or ledger lines; unreadable records are dropped."""
     return spark.read.schema(RUN_SCHEMA).option("mode", "DROPMALFORMED").option(
