@@ -9,7 +9,7 @@ from turnwise.operators.ordered import (
     Sequence, has_large_groups, neighbours, scan, small_side, spread, with_positions,
 )
 from turnwise.operators.stats import (
-    auc, describe, gini, histogram, robust_rows, robust_stats, row_ranks, slope,
+    auc, balanced, describe, gini, histogram, robust_rows, robust_stats, row_ranks, slope,
 )
 from turnwise.operators.ordered import aggregate
 
@@ -86,14 +86,14 @@ def test_robust_statistics(spark, form):
         ranked = df.selectExpr("*", *row_ranks(["k"], "v", "t", "true"))
         out = aggregate(ranked, ["k"], *robust_rows("v", "t", "true", "x")).toDF("k", "median", "trimmean", "iqr", "p90")
     else:
-        out = robust_stats(histogram(df, ["k"], "v"), ["k"], form == "chunked", width=4.0)
+        out = robust_stats(histogram(df, ["k"], "v"), ["k"], form == "chunked", cells=5)
     for r in out.collect():
         assert np.allclose([r.median, r.trimmean, r.iqr, r.p90], expected_robust(VALUES[r.k])), r
 
 
 def test_describe_ignores_missing(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (4.0,), (10.0,)], "v double")
-    r = describe(df, [], "v", width=2.0).first()
+    r = describe(df, [], "v", cells=4).first()
     assert r.n == 3 and np.isclose(r.std, np.std([1, 4, 10])) and np.isclose(r.p25, np.percentile([1, 4, 10], 25))
 
 
@@ -130,8 +130,17 @@ def test_auc_ties_and_single_class(spark):
     data = [("m", float(rng.random() < 0.4), round(rng.random(), 1)) for _ in range(200)]
     data += [("tied", float(i % 2), 0.5) for i in range(10)] + [("one", 1.0, 0.2), ("one", 1.0, 0.7)]
     df = spark.createDataFrame(data, "k string, y double, p double")
-    got = {r.k: r.auc for r in auc(df, ["k"], "y", "p", width=0.25).collect()}
+    got = {r.k: r.auc for r in auc(df, ["k"], "y", "p", cells=4).collect()}
     pos = [p for k, y, p in data if k == "m" and y]
     neg = [p for k, y, p in data if k == "m" and not y]
     want = np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
     assert np.isclose(got["m"], want) and got["tied"] == 0.5 and got["one"] is None
+
+
+def test_packed_values_spread_over_cells(spark):
+    """Scores within one thousandth of each other still fill many cells, evenly."""
+    df = spark.range(5000).selectExpr("0.5D + id * 1e-8 AS value", "id % 2 AS y", "1L AS cnt")
+    sizes = [r["count"] for r in balanced(df, 50).groupBy("_cell").count().collect()]
+    assert len(sizes) == 50 and max(sizes) < 3 * 5000 / 50
+    got = auc(df.withColumn("p", df.value), [], "y", "p").first().auc
+    assert np.isclose(got, (2500 * 2501 / 2) / 2500**2)

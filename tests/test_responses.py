@@ -195,7 +195,7 @@ def test_bin_edges(spark, p):
 def test_quantile_bins_with_repeated_edges(spark):
     xs = [1.0] * 6 + [2.0, 3.0, 4.0, 9.0]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
-    got = {r.x: r.bin for r in ME.quantile_bins(df, "x", 5, width=2.0).collect()}
+    got = {r.x: r.bin for r in ME.quantile_bins(df, "x", 5, cells=3).collect()}
     edges = sorted(set(np.percentile(xs, [0, 20, 40, 60, 80, 100]).tolist()))
     for x in xs:
         want = max(1, sum(e < x for e in edges))

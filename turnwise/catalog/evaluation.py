@@ -573,7 +573,7 @@ def _block_summary(spark, sf_dir):
     WITH {R} SELECT avg(pred) AS mean, quantile_cont(pred, 0.5) AS median, quantile_cont(pred, 0.25) AS q25,
              quantile_cont(pred, 0.75) AS q75 FROM r""", "mean median q25 q75"))
 def _moments(spark, sf_dir):
-    rows = ranked(histogram(responses(spark, sf_dir), [], "pred"), [], chunked=True, width=1 / 1024)
+    rows = ranked(histogram(responses(spark, sf_dir), [], "pred"), [], chunked=True)
     return aggregate(
         rows, [], "sum(value * cnt) / sum(cnt) AS mean", f"{quantile(0.5)} AS median", f"{quantile(0.25)} AS q25",
         f"{quantile(0.75)} AS q75",

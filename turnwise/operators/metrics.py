@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.scalars import clip_probability, log_loss, num
 from .ordered import aggregate
-from .stats import auc, histogram, quantile, ranked
+from .stats import CELLS, auc, histogram, quantile, ranked
 
 MIN_FOLD_ROWS = 200  # fixed value: smallest fold whose AUC is reported
 
@@ -74,17 +74,17 @@ def calibration_error(curve: DataFrame, keys: Seq[str] = ()) -> DataFrame:
     return aggregate(curve, keys, "sum(n * abs(mean_pred - frac_positive)) / sum(n) AS ece")
 
 
-def quantile_edges(df: DataFrame, value: str, bins: int, width: float):
+def quantile_edges(df: DataFrame, value: str, bins: int, cells: int):
     """Distinct quantile edges as a scalar array column."""
-    rows = ranked(histogram(df, [], value), [], chunked=True, width=width)
+    rows = ranked(histogram(df, [], value), [], chunked=True, cells=cells)
     points = ", ".join(quantile(i / bins) for i in range(bins + 1))
     return aggregate(rows, [], f"array_distinct(array({points})) AS edges").scalar()
 
 
-def quantile_bins(df: DataFrame, value: str, bins: int = 5, width: float = 1024.0,
+def quantile_bins(df: DataFrame, value: str, bins: int = 5, cells: int = CELLS,
                   name: str = "bin") -> DataFrame:
     """Right-closed quantile bins 1..k, the minimum included, repeated edges dropped."""
-    return df.withColumn("_edges", quantile_edges(df, value, bins, width)).selectExpr(
+    return df.withColumn("_edges", quantile_edges(df, value, bins, cells)).selectExpr(
         *df.columns, f"greatest(size(filter(_edges, e -> e < {value})), 1) AS {name}",
         f"element_at(_edges, greatest(size(filter(_edges, e -> e < {value})), 1)) AS {name}_low",
         f"element_at(_edges, greatest(size(filter(_edges, e -> e < {value})), 1) + 1) AS {name}_high",

@@ -27,14 +27,30 @@ def histogram(df: DataFrame, keys: Seq[str], value: str) -> DataFrame:
     )
 
 
-def ranked(hist: DataFrame, keys: Seq[str], chunked: bool, width: float = 1024.0) -> DataFrame:
+CELLS = 128
+
+
+def balanced(df: DataFrame, cells: int = CELLS) -> DataFrame:
+    """Add ``_cell``, which never falls as ``value`` rises and holds about as many rows for each number.
+
+    Borders come from a quantile sketch of the values, so values packed into a narrow range spread
+    over as many cells as others; where a border falls changes no result.
+    """
+    points = ", ".join(f"{i / cells!r}D" for i in range(1, cells))
+    borders = aggregate(df, [], f"percentile_approx(value, array({points}), 2000) AS b").scalar()
+    return df.withColumn("_borders", borders).selectExpr(
+        *df.columns, "aggregate(_borders, 0, (n, x) -> n + CASE WHEN value >= x THEN 1 ELSE 0 END) AS _cell")
+
+
+def ranked(hist: DataFrame, keys: Seq[str], chunked: bool, cells: int = CELLS) -> DataFrame:
     """Add ``c0`` (rows below this value) and ``n`` (rows in the group).
 
-    ``width`` is the value range one task sorts in chunked form; it bounds a task, not the
-    result.
+    In chunked form values are sorted in ``cells`` parts of about equal size.
     """
-    seq = Sequence(tuple(keys), ("value",), (f"floor(value / {num(width)})",) if chunked else ())
-    return scan(hist, seq, running={"c0": "cnt"}, totals={"n": ("sum", "cnt")})
+    seq = Sequence(tuple(keys), ("value",), ("_cell",) if chunked else ())
+    rows = balanced(hist, cells) if chunked else hist
+    out = scan(rows, seq, running={"c0": "cnt"}, totals={"n": ("sum", "cnt")})
+    return out.drop("_cell") if chunked else out
 
 
 def quantile(q: float) -> str:
@@ -99,18 +115,18 @@ def robust_rows(value: str, tag: str, where: str, stem: str, trim: float = 0.1)
 
 
 def robust_stats(hist: DataFrame, keys: Seq[str], chunked: bool = False, trim: float = 0.1,
-                 width: float = 1024.0) -> DataFrame:
+                 cells: int = CELLS) -> DataFrame:
     """One row of robust statistics per group of a histogram."""
-    return aggregate(ranked(hist, keys, chunked, width), keys, *robust_aggregates(trim))
+    return aggregate(ranked(hist, keys, chunked, cells), keys, *robust_aggregates(trim))
 
 
 def robust_wide(hist: DataFrame, key: Seq[str], measure: str, names: dict[str, str],
-                chunked: bool = False, width: float = 1024.0) -> DataFrame:
+                chunked: bool = False, cells: int = CELLS) -> DataFrame:
     """Robust statistics of several measures as columns of one row per key.
 
     ``names`` maps a value of the ``measure`` column to a column stem.
     """
-    stats = robust_stats(hist, [*key, measure], chunked, width=width)
+    stats = robust_stats(hist, [*key, measure], chunked, cells=cells)
     return aggregate(
         stats,
         key,
@@ -126,9 +142,9 @@ DESCRIBE_PERCENTS = (0, 1, 5, 25, 50, 75, 90, 95, 99, 100)  # fixed values: repo
 
 
 def describe(df: DataFrame, keys: Seq[str], value: str, chunked: bool = True,
-             width: float = 1024.0) -> DataFrame:
+             cells: int = CELLS) -> DataFrame:
     """Percentiles, mean, population deviation and count of the non-missing values."""
-    rows = ranked(histogram(df, keys, value), keys, chunked, width)
+    rows = ranked(histogram(df, keys, value), keys, chunked, cells)
     mean = "sum(value * cnt) / sum(cnt)"
     return aggregate(
         rows,
@@ -156,7 +172,7 @@ def slope(y: str, index: str, minimum: int) -> tuple[str, str]:
 
 
 def gini(hist: DataFrame, keys: Seq[str], size: str, chunked: bool = False,
-         width: float = 1.0 / 256) -> DataFrame:
+         cells: int = CELLS) -> DataFrame:
     """Concentration of non-negative values; group members absent from ``hist`` are zeros.
 
     ``size`` is a column of ``hist`` with the full group size including those zeros.
@@ -165,7 +181,7 @@ def gini(hist: DataFrame, keys: Seq[str], size: str, chunked: bool = False,
         hist.selectExpr(*keys, "greatest(value, 0D) AS value", "cnt", size),
         [*keys, "value"], "sum(cnt) AS cnt", f"max({size}) AS {size}",
     )
-    rows = ranked(clipped, keys, chunked, width)
+    rows = ranked(clipped, keys, chunked, cells)
     total, whole = "sum(value * cnt)", f"max({size})"
     # ranks of a block of ties are c0+1 .. c0+cnt, shifted by the implicit zeros
     weighted = f"(sum(value * (cnt * c0 + cnt * (cnt + 1) / 2)) + ({whole} - max(n)) * {total})"
@@ -177,7 +193,7 @@ def gini(hist: DataFrame, keys: Seq[str], size: str, chunked: bool = False,
     )
 
 
-def auc(df: DataFrame, keys: Seq[str], label: str, score: str, width: float = 1.0 / 1024) -> DataFrame:
+def auc(df: DataFrame, keys: Seq[str], label: str, score: str, cells: int = CELLS) -> DataFrame:
     """Tie-aware ROC AUC per group; null when a group has a single class.
 
     Scores are reduced to distinct values with class counts; how many negatives lie below
@@ -187,8 +203,8 @@ def auc(df: DataFrame, keys: Seq[str], label: str, score: str, width: float = 1.
         df.selectExpr(*keys, f"CAST({score} AS DOUBLE) AS value", f"CAST({label} AS DOUBLE) AS _y"),
         [*keys, "value"], "sum(_y) AS pos", "sum(1D - _y) AS neg",
     )
-    seq = Sequence(tuple(keys), ("value",), (f"floor(value / {num(width)})",))
-    below = scan(counts, seq, running={"neg_below": "neg"})
+    seq = Sequence(tuple(keys), ("value",), ("_cell",))
+    below = scan(balanced(counts, cells), seq, running={"neg_below": "neg"})
     return aggregate(
         below,
         keys,

@@ -77,7 +77,7 @@ def session_timing(
         "session_id", "stack(2, 'gap', gap, 'latency', latency) AS (kind, x)"
     )
     wide = robust_wide(
-        histogram(kinds, ["session_id", "kind"], "x"), ["session_id"], "kind", stems, True, 1.0
+        histogram(kinds, ["session_id", "kind"], "x"), ["session_id"], "kind", stems, True
     )
     names = [f"{stem}_{s}" for stem in stems.values() for s in ROBUST]
     return totals.join(wide, "session_id", "left").fillna(0.0, subset=names)
