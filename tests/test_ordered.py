@@ -144,3 +144,22 @@ def test_packed_values_spread_over_cells(spark):
     assert len(sizes) == 50 and max(sizes) < 3 * 5000 / 50
     got = auc(df.withColumn("p", df.value), [], "y", "p").first().auc
     assert np.isclose(got, (2500 * 2501 / 2) / 2500**2)
+
+
+def test_large_groups_by_bytes(spark):
+    df = spark.createDataFrame([("a", "x" * 100)] * 3 + [("b", "y")], "session_id string, text string")
+    size = "octet_length(text)"
+    assert has_large_groups(df, size=size, most_bytes=299) and not has_large_groups(df, size=size, most_bytes=300)
+    assert not has_large_groups(df)
+
+
+def test_rows_without_numbers_are_numbered_in_many_cells(spark):
+    rng = random.Random(9)
+    texts = ["", "ab", "abc1", "abc0", "zz", "é", "b" * 9, None]
+    data = [(s, None, None if s == "n" else rng.choice([None, 1.0, 2.0]), None if s == "n" else rng.choice(texts), rng.choice(["t", "s"]),
+             rng.choice(texts) or "") for s in ("m", "n") for _ in range(200)]
+    df = spark.createDataFrame(data, "session_id string, a double, b double, c string, role string, content string")
+    order = ("a", "b", "c", "role", "content")
+    got = [{tuple(r[k] for k in ("session_id", "pos")): tuple(r[k] for k in order) for r in with_positions(df, order, form, bucket_width=2).collect()}
+           for form in (False, True)]
+    assert got[0] == got[1] and len(got[0]) == 400

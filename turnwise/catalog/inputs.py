@@ -49,16 +49,16 @@ def long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def numbered(spark: SparkSession, sf_dir: str, rows: DataFrame) -> tuple[DataFrame, bool]:
-    """Number (narrowed) document rows and tell whether any session is too large for one task."""
-    keys = table(spark, sf_dir, "documents").selectExpr("source AS session_id")
-    chunked = has_large_groups(keys)
+def numbered(spark: SparkSession, sf_dir: str, rows: DataFrame, wide: bool = False) -> tuple[DataFrame, bool]:
+    """Number document rows and tell whether any session is too large for one task; ``wide``: rows carry text."""
+    keys = table(spark, sf_dir, "documents").selectExpr("source AS session_id", "n_chars")
+    chunked = has_large_groups(keys, size="4 * n_chars" if wide else None)
     return with_positions(rows, ("doc_id",), chunked), chunked
 
 
 def long_utterances(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bool]:
     """Utterances with their text in document order, and the size flag."""
-    return numbered(spark, sf_dir, long_rows(spark, sf_dir))
+    return numbered(spark, sf_dir, long_rows(spark, sf_dir), wide=True)
 
 
 LONG = """

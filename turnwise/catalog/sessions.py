@@ -6,6 +6,7 @@ from ..functions import text as X
 from ..plans.linguistic import session_linguistics, utterance_text_counts
 from ..plans.structural import session_structure, turn_lengths
 from ..plans.temporal import session_timing
+from ..session import cut
 from .inputs import LONG, SHORT, TIMED, long_rows, numbered, short_utterances, timed_utterances
 from .registry import query, robust_sql, rounded
 
@@ -211,5 +212,6 @@ def _linguistics(spark, sf_dir):
 @query("session_linguistics_long", "B2 T7 T8 A7 W7", rounded(linguistics_sql(LONG), LING_COLUMNS))
 def _linguistics_long(spark, sf_dir):
     rows = long_rows(spark, sf_dir)
-    counts, chunked = numbered(spark, sf_dir, utterance_text_counts(rows, "doc_id"))
-    return session_linguistics(rows, chunked, counts)
+    read = cut(utterance_text_counts(rows, "doc_id", words=True))
+    counts, chunked = numbered(spark, sf_dir, read.drop("words"))
+    return session_linguistics(rows, chunked, counts, read.select("session_id", "role", "words"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 
 CHUNK_ROWS = 65_536
 GROUP_ROWS = 1_000_000  # largest group one task may sort
+GROUP_BYTES = 256 << 20  # the same in bytes, where rows are wide
 
 
 @dataclass(frozen=True)
@@ -39,11 +40,14 @@ class Sequence:
     chunk: tuple[str, ...] = ()
 
 
-def has_large_groups(df: DataFrame, keys: tuple[str, ...] = ("session_id",),
-                     limit: int = GROUP_ROWS) -> bool:
-    """Whether any group exceeds ``limit`` rows (reads only the key columns)."""
-    sizes = df.groupBy(*keys).count().where(f"count > {limit}")
-    return bool(sizes.limit(1).count())
+def has_large_groups(df: DataFrame, keys: tuple[str, ...] = ("session_id",), limit: int = GROUP_ROWS,
+                     size: str | None = None, most_bytes: int = GROUP_BYTES) -> bool:
+    """Whether any group exceeds ``limit`` rows, or ``most_bytes`` of ``size`` (bytes of a row, as SQL).
+
+    Reads the key columns and what ``size`` names; rows that carry text or vectors should name it.
+    """
+    sizes = aggregate(df, keys, "count(1) AS n", f"sum({size or '0L'}) AS b")
+    return bool(sizes.where(f"n > {limit} OR b > {most_bytes}").limit(1).count())
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -199,8 +203,9 @@ def with_positions(
 ) -> DataFrame:
     """Dense 0-based ``pos`` and group size ``n_rows``; nulls last.
 
-    In chunked form groups are cut on the leading order column (numeric) and, where that is
-    null, on the second one, so a group of any size is numbered by many tasks.
+    In chunked form groups are cut on the leading order column (numeric), where that is null on the
+    second one, and where both are null on the texts after them, so a group of any size is numbered
+    by many tasks.
     """
     chunk: tuple[str, ...] = ()
     if chunked:
@@ -209,9 +214,25 @@ def with_positions(
         if len(order) > 1 and dict(df.dtypes)[order[1]] in ("double", "float", "bigint", "int"):
             chunk += (f"CASE WHEN {order[0]} IS NULL THEN "
                       f"coalesce(CAST(floor({order[1]} / {width}) AS BIGINT), {far}) ELSE 0L END",)
+            chunk += _text_cells(order)
     return scan(
         df,
         Sequence(keys, tuple(f"{c} ASC NULLS LAST" for c in order), chunk),
         running={"pos": "1L"},
         totals={"n_rows": ("sum", "1L"), **(totals or {})},
     )
+
+
+def _text_cells(order: tuple[str, ...], letters: int = 3) -> tuple[str, ...]:
+    """Cells of rows without numbers: the first text's leading letters; where it is null, the texts
+    between in full and the last one's leading letters."""
+    texts, bare = order[2:], f"{order[0]} IS NULL AND {order[1]} IS NULL"
+    if not texts:
+        return ()
+    first = f"CASE WHEN {texts[0]} IS NULL THEN '2' ELSE concat('1', substr({texts[0]}, 1, {letters})) END"
+    cells = [f"CASE WHEN {bare} THEN {first} ELSE '0' END"]
+    for i, text in enumerate(texts[1:], 1):
+        value = text if i < len(texts) - 1 else f"substr({text}, 1, {letters})"
+        cells.append(f"CASE WHEN {bare} AND {texts[0]} IS NULL THEN "
+                     f"CASE WHEN {text} IS NULL THEN '2' ELSE concat('1', {value}) END ELSE '0' END")
+    return tuple(cells)

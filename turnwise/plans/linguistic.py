@@ -28,11 +28,12 @@ def tokenized(utterances: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def utterance_text_counts(utterances: DataFrame, *keep: str) -> DataFrame:
+def utterance_text_counts(utterances: DataFrame, *keep: str, words: bool = False) -> DataFrame:
     """Narrow per-utterance counts; the text itself is dropped here.
 
     ``keep`` names the order columns to carry (default ``pos``), so the counting can happen
-    before rows are numbered and only numbers are shuffled.
+    before rows are numbered and only numbers are shuffled.  ``words`` adds the distinct words, for
+    a table that is written once and read by columns.
     """
     keep = keep or ("pos",)
     return tokenized(utterances, *keep).selectExpr(
@@ -52,14 +53,13 @@ def utterance_text_counts(utterances: DataFrame, *keep: str) -> DataFrame:
         f"CAST({X.adjacent_repeats('tokens')} AS BIGINT) AS repeats",
         "get(tokens, 0) AS first_word",
         "get(tokens, size(tokens) - 1) AS last_word",
+        *(["array_distinct(tokens) AS words"] if words else []),
     )
 
 
-def distinct_words(utterances: DataFrame) -> DataFrame:
-    """Vocabulary size per session and role, by counting each word's group."""
-    seen = tokenized(utterances.where(KNOWN)).selectExpr(
-        "session_id", "role", "explode(array_distinct(tokens)) AS word"
-    )
+def distinct_words(vocabulary: DataFrame) -> DataFrame:
+    """Vocabulary size per session and role from ``words`` of each utterance, by counting each word's group."""
+    seen = vocabulary.where(KNOWN).selectExpr("session_id", "role", "explode(words) AS word")
     return aggregate(seen.distinct(), ["session_id", "role"], "count(1) AS n_distinct")
 
 
@@ -82,17 +82,19 @@ TREND = ("ling_student_len_slope", "ling_student_len_r2", "ling_student_len_last
 
 
 def session_linguistics(utterances: DataFrame, chunked: bool | None = None,
-                        counts: DataFrame | None = None) -> DataFrame:
-    """One row per session.
+                        counts: DataFrame | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
+    """One row per session; the text is read and split once.
 
-    ``utterances`` needs ``session_id, role, content`` for the vocabulary; ``counts`` may
-    bring already numbered ``utterance_text_counts``.
+    ``utterances`` needs ``session_id, pos, role, content``.  Instead, ``counts`` may bring already
+    numbered ``utterance_text_counts`` and ``vocabulary`` their ``session_id, role, words``.
     """
-    counts = utterance_text_counts(utterances) if counts is None else counts
     chunked = has_large_groups(utterances) if chunked is None else chunked
+    if counts is None or vocabulary is None:
+        read = cut(utterance_text_counts(utterances, words=True))
+        counts, vocabulary = read.drop("words"), read.select("session_id", "role", "words")
     per_role, session = (_chunked_roles if chunked else _small_roles)(counts)
     valued = (
-        per_role.join(distinct_words(utterances), ["session_id", "role"], "left")
+        per_role.join(distinct_words(vocabulary), ["session_id", "role"], "left")
         .fillna(0, subset=["n_distinct"])
         .selectExpr("session_id", "role", *SPREAD, *[f"{e} AS {c}" for c, e in rates().items()])
     )

@@ -131,7 +131,7 @@ def normalize(df: DataFrame, chunked: bool | None = None) -> DataFrame:
         f"{pick('timestamp')} AS timestamp", f"try_cast({pick('utterance_id')} AS DOUBLE) AS utterance_idx",
         f"{elapsed_seconds(pick('timestamp'))} AS t_seconds",
     )
-    chunked = has_large_groups(rows) if chunked is None else chunked
+    chunked = has_large_groups(rows, size="octet_length(content)") if chunked is None else chunked
     order = ("utterance_idx", "t_seconds", "utterance_id", "role", "content")
     return with_positions(rows, order, chunked)
 
