@@ -40,11 +40,16 @@ def canonical_url(url: Column) -> Column:
 def _headers(block: Column) -> Column:
     """Names (lower case) to values of a header block; repeated names are joined by commas."""
     lines = F.filter(F.split(block, BREAK), lambda x: x.rlike("^[^:]+:"))
-    pairs = F.transform(lines, lambda x: F.struct(
-        F.lower(F.trim(F.regexp_extract(x, "^([^:]+):", 1))).alias("name"), F.trim(F.regexp_extract(x, "^[^:]+:(.*)$", 1)).alias("value")))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.array_join(
-        F.transform(F.filter(pairs, lambda p: p["name"] == n), lambda p: p["value"]), ", ")))
+    found = F.transform(lines, lambda x: F.struct(
+        F.lower(F.trim(F.substring_index(x, ":", 1))).alias("name"), F.trim(F.regexp_extract(x, "^[^:]+:(.*)$", 1)).alias("value")))
+
+    def by_name(pairs: Column) -> Column:
+        names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
+        return F.map_from_arrays(names, F.transform(names, lambda n: F.array_join(
+            F.transform(F.filter(pairs, lambda p: p["name"] == n), lambda p: p["value"]), ", ")))
+
+    # the lines are a value of the outer function, so they are split once and not once per name
+    return F.transform(F.array(found), by_name)[0]
 
 
 def parse_records(raw: DataFrame, name: str = "record") -> DataFrame:
