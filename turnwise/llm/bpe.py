@@ -8,21 +8,25 @@
    and answers every block that asked.
 3. Answers meet the block again; ids come back by position.  Decoding joins ids to pieces.
 
-Blocks and parts travel as packed Arrow columns, one row for each (block, part): no row per word.
+Blocks and parts travel as packed columns, one row for each (block, part): no row per word.  Words of a
+block are ordered by part, then text; positions hold ranks by frequency, which compress better.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,16 +44,51 @@ PACKED = "block long, part int, payload binary"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _pack(**columns) -> bytes:
-    table = pa.table(columns)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
+def _pack(*parts: bytes) -> bytes:
+    """Compressed byte strings behind their lengths."""
+    out = []
+    for part in parts:
+        small = zstandard.compress(part, 3)
+        out += [len(small).to_bytes(8, "little"), small]
+    return b"".join(out)
 
 
-def _unpack(payload: bytes) -> pa.Table:
-    return pa.ipc.open_stream(payload).read_all()
+def _unpack(payload: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(payload):
+        size = int.from_bytes(payload[at:at + 8], "little")
+        out.append(zstandard.decompress(payload[at + 8:at + 8 + size]))
+        at += 8 + size
+    return out
+
+
+def _coded(numbers: np.ndarray) -> list[bytes]:
+    """The bit length of each number, then for each length the bytes of the numbers' lower bits.
+
+    Small numbers are frequent and numbers of one length are about equally so, which leaves little
+    to gain over compressing the lengths and the bytes as they are.
+    """
+    numbers = numbers.astype("<u4") + 1
+    lengths = np.frexp(numbers.astype(np.float64))[1].astype(np.uint8)
+    out = [lengths.tobytes()]
+    for length in range(2, int(lengths.max(initial=0)) + 1):
+        low = numbers[lengths == length] - np.uint32(1 << (length - 1))
+        raw = low.view(np.uint8).reshape(-1, 4)
+        out += [raw[:, k].tobytes() for k in range((length + 6) // 8)]
+    return out
+
+
+def _decoded(parts: list[bytes]) -> np.ndarray:
+    lengths, at = np.frombuffer(parts[0], np.uint8), 1
+    out = np.zeros(len(lengths), np.uint32)
+    for length in range(2, int(lengths.max(initial=0)) + 1):
+        own = np.flatnonzero(lengths == length)
+        low = np.full(len(own), (1 << (length - 1)) - 1, np.uint32)
+        for k in range((length + 6) // 8):
+            low += np.frombuffer(parts[at], np.uint8).astype(np.uint32) << np.uint32(8 * k)
+            at += 1
+        out[own] = low
+    return out
 
 
 class ByteBpe:
@@ -101,27 +140,32 @@ def split_blocks(docs: DataFrame, parts: int, block_bytes: int = BLOCK_BYTES) ->
     """Rows of blocks (part -1: documents and word numbers) and of their words by part."""
 
     def flush(block: int, ids: list, texts: list[str]) -> Iterator[tuple[int, int, bytes]]:
-        numbers: dict[str, int] = {}
-        codes, lengths = [], []
+        numbers: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        codes, lengths = [np.zeros(0, np.int64)], []
         for text in texts:
             words = WORD.findall(text)
-            for w in set(words):
-                numbers.setdefault(w, len(numbers))
-            codes.append(np.array([numbers[w] for w in words], np.uint32))
+            codes.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
             lengths.append(len(words))
-        flat = np.concatenate([*codes, np.zeros(0, np.uint32)]).astype("<u4")
-        documents = _pack(doc_id=pa.array(ids, pa.int64()), n=pa.array(lengths, pa.int64()))
-        coded = _pack(code=pa.array(flat))
-        yield block, -1, len(documents).to_bytes(8, "little") + documents + coded
-        words = list(numbers)
-        if not words:
-            return
-        owner = np.array([zlib.crc32(w.encode()) % parts for w in words], np.int64)
-        order = np.argsort(owner, kind="stable")
-        owners, starts = np.unique(owner[order], return_index=True)
-        for part, chosen in zip(owners.tolist(), np.split(order, starts[1:]), strict=True):
-            chosen = chosen.tolist()
-            yield block, part, _pack(code=pa.array(chosen, pa.uint32()), word=pa.array([words[i] for i in chosen], pa.string()))
+        flat, by_part = np.concatenate(codes), defaultdict(list)
+        for w in numbers:
+            by_part[zlib.crc32(w.encode()) % parts].append(w)
+        place, at = np.zeros(len(numbers), np.int64), 0
+        for part in sorted(by_part):
+            own = sorted(by_part[part])
+            place[[numbers[w] for w in own]] = np.arange(at, at + len(own))
+            raw = [w.encode() for w in own]
+            yield block, part, _pack(at.to_bytes(8, "little"), np.array([len(w) for w in raw], "<u4").tobytes(), b"".join(raw))
+            at += len(own)
+        known = pa.array(ids, pa.int64())
+        counts = np.bincount(flat, minlength=len(numbers))
+        often = np.argsort(-counts, kind="stable")[:np.count_nonzero(counts > 1)]
+        order = _completed(place[often], len(numbers))
+        rank = np.empty(len(numbers), np.int64)
+        rank[order] = np.arange(len(numbers))
+        yield block, -1, _pack(
+            known.fill_null(0).to_numpy().astype("<i8").tobytes(), known.is_null().to_numpy(zero_copy_only=False).tobytes(),
+            np.array(lengths, "<u4").tobytes(), place[often].astype("<u4").tobytes(), len(numbers).to_bytes(8, "little"),
+            *_coded(rank[place[flat]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, texts, size = TaskContext.get().partitionId() << 24, [], [], 0
@@ -140,6 +184,13 @@ def split_blocks(docs: DataFrame, parts: int, block_bytes: int = BLOCK_BYTES) ->
     return narrow.mapInArrow(run, PACKED)
 
 
+def _completed(first: np.ndarray, n: int) -> np.ndarray:
+    """All of 0 .. n-1: ``first``, then the others ascending."""
+    rest = np.ones(n, bool)
+    rest[first] = False
+    return np.concatenate([first, np.flatnonzero(rest)])
+
+
 def _row(row: tuple[int, int, bytes]) -> pa.RecordBatch:
     block, part, payload = row
     return pa.RecordBatch.from_arrays(
@@ -156,17 +207,16 @@ def encode_words(words: DataFrame, parts: int, path: str, ranks_path: str | None
             for block, part, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != current:
                     current, known = part, {}
-                asked = _unpack(payload)
-                answers = []
-                for word in asked.column("word").to_pylist():
+                first, sizes, raw = _unpack(payload)
+                answers, end = [], 0
+                for size in np.frombuffer(sizes, "<u4").tolist():
+                    word, end = raw[end:end + size], end + size
                     ids = known.get(word)
                     if ids is None:
-                        ids = known[word] = np.array(coder.ids(word), np.uint32)
+                        ids = known[word] = np.array(coder.ids(word.decode()), "<u4").tobytes()
                     answers.append(ids)
-                n = np.array([len(a) for a in answers], np.int32)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(answers)))
-                yield _row((block, part, _pack(code=asked.column("code"), ids=ids)))
+                counts = np.array([len(a) // 4 for a in answers], "<u4").tobytes()
+                yield _row((block, part, _pack(first, counts, *_coded(np.frombuffer(b"".join(answers), "<u4")))))
 
     return words.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, PACKED)
 
@@ -176,25 +226,28 @@ def by_position(blocks: DataFrame, answers: DataFrame, path: str, ranks_path: st
 
     def run(_key, block: pa.Table, answered: pa.Table) -> pa.Table:
         coder = byte_bpe(path, ranks_path)
-        texts, pieces, counts = {}, {}, {}
-        for payload in answered.column("payload"):
-            answer = _unpack(payload.as_py())
-            for code, own in zip(answer.column("code").to_pylist(), answer.column("ids").to_pylist(), strict=True):
-                texts[code] = ",".join([coder.texts[i] for i in own])
-                pieces[code] = b"".join([coder.pieces[i] for i in own])
-                counts[code] = len(own)
         rows = []
-        for payload in block.column("payload"):
-            raw = payload.as_py()
-            size = int.from_bytes(raw[:8], "little")
-            documents = _unpack(raw[8:8 + size])
-            codes, at = _unpack(raw[8 + size:]).column("code").to_numpy(), 0
-            for doc_id, n in zip(documents.column("doc_id").to_pylist(), documents.column("n").to_pylist(), strict=True):
-                own = codes[at:at + n].tolist()
-                at += n
-                decoded = b"".join([pieces[c] for c in own]).decode("utf-8", "replace").encode()
-                rows.append((doc_id, sum([counts[c] for c in own]),
-                             hashlib.sha256(",".join([texts[c] for c in own]).encode()).hexdigest(),
+        for held in block.column("payload"):
+            ids, absent, lengths, first, n_words, *planes = _unpack(held.as_py())
+            n_words = int.from_bytes(n_words, "little")
+            texts, pieces, counts = [""] * n_words, [b""] * n_words, np.zeros(n_words, np.int64)
+            for payload in answered.column("payload"):
+                start, sizes, *own = _unpack(payload.as_py())
+                at, sizes, own, end = int.from_bytes(start, "little"), np.frombuffer(sizes, "<u4"), _decoded(own).tolist(), 0
+                counts[at:at + len(sizes)] = sizes
+                for k, size in enumerate(sizes.tolist(), at):
+                    word, end = own[end:end + size], end + size
+                    texts[k] = ",".join([coder.texts[i] for i in word])
+                    pieces[k] = b"".join([coder.pieces[i] for i in word])
+            order = _completed(np.frombuffer(first, "<u4").astype(np.int64), n_words)
+            places, at = order[_decoded(planes)], 0
+            for doc_id, null, n in zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(absent, bool).tolist(),
+                                       np.frombuffer(lengths, "<u4").tolist(), strict=True):
+                where = places[at:at + n]
+                own, at = where.tolist(), at + n
+                decoded = b"".join(map(pieces.__getitem__, own)).decode("utf-8", "replace").encode()
+                rows.append((None if null else doc_id, int(counts[where].sum()),
+                             hashlib.sha256(",".join(map(texts.__getitem__, own)).encode()).hexdigest(),
                              hashlib.sha256(decoded).hexdigest()))
         kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
         columns = list(zip(*rows, strict=True)) or [[]] * 4
