@@ -68,8 +68,10 @@ def _coded(numbers: np.ndarray) -> list[bytes]:
     Small numbers are frequent and numbers of one length are about equally so, which leaves little
     to gain over compressing the lengths and the bytes as they are.
     """
-    numbers = numbers.astype("<u4") + 1
-    lengths = np.frexp(numbers.astype(np.float64))[1].astype(np.uint8)
+    numbers = numbers.astype("<u4") + np.uint32(1)
+    lengths = np.zeros(len(numbers), np.uint8)
+    for at in range(0, len(numbers), 1 << 18):
+        lengths[at:at + (1 << 18)] = np.frexp(numbers[at:at + (1 << 18)].astype(np.float64))[1]
     out = [lengths.tobytes()]
     for length in range(2, int(lengths.max(initial=0)) + 1):
         low = numbers[lengths == length] - np.uint32(1 << (length - 1))
@@ -141,15 +143,17 @@ def split_blocks(docs: DataFrame, parts: int, block_bytes: int = BLOCK_BYTES) ->
 
     def flush(block: int, ids: list, texts: list[str]) -> Iterator[tuple[int, int, bytes]]:
         numbers: defaultdict[str, int] = defaultdict(itertools.count().__next__)
-        codes, lengths = [np.zeros(0, np.int64)], []
+        codes, lengths = [np.zeros(0, np.int32)], []
         for text in texts:
             words = WORD.findall(text)
-            codes.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+            codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
             lengths.append(len(words))
         flat, by_part = np.concatenate(codes), defaultdict(list)
+        codes.clear()
+        texts.clear()
         for w in numbers:
             by_part[zlib.crc32(w.encode()) % parts].append(w)
-        place, at = np.zeros(len(numbers), np.int64), 0
+        place, at = np.zeros(len(numbers), np.int32), 0
         for part in sorted(by_part):
             own = sorted(by_part[part])
             place[[numbers[w] for w in own]] = np.arange(at, at + len(own))
@@ -160,7 +164,7 @@ def split_blocks(docs: DataFrame, parts: int, block_bytes: int = BLOCK_BYTES) ->
         counts = np.bincount(flat, minlength=len(numbers))
         often = np.argsort(-counts, kind="stable")[:np.count_nonzero(counts > 1)]
         order = _completed(place[often], len(numbers))
-        rank = np.empty(len(numbers), np.int64)
+        rank = np.empty(len(numbers), np.int32)
         rank[order] = np.arange(len(numbers))
         yield block, -1, _pack(
             known.fill_null(0).to_numpy().astype("<i8").tobytes(), known.is_null().to_numpy(zero_copy_only=False).tobytes(),
@@ -240,7 +244,7 @@ def by_position(blocks: DataFrame, answers: DataFrame, path: str, ranks_path: st
                     texts[k] = ",".join([coder.texts[i] for i in word])
                     pieces[k] = b"".join([coder.pieces[i] for i in word])
             order = _completed(np.frombuffer(first, "<u4").astype(np.int64), n_words)
-            places, at = order[_decoded(planes)], 0
+            places, at = order.astype(np.int32)[_decoded(planes)], 0
             for doc_id, null, n in zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(absent, bool).tolist(),
                                        np.frombuffer(lengths, "<u4").tolist(), strict=True):
                 where = places[at:at + n]
