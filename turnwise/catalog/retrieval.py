@@ -376,7 +376,24 @@ def _instructed(spark, sf_dir):
     return I.table(spark, sf_dir, "benchmark").selectExpr("item_id", f"{with_instruction('text', prompt)} AS query")
 
 
-@query("encoded_window_relevance", "B14 B7")
+def encoded_sql(source: str, key: str) -> str:
+    """Unit vectors of word counts by md5 bucket, from ``content``."""
+    return f"""
+    SELECT {key}, list_transform(e, lambda x: CASE WHEN s = 0 THEN 0.0 ELSE x / sqrt(s) END) AS v FROM (
+        SELECT *, list_inner_product(e, e) AS s FROM (
+            SELECT {key}, list_transform(range(0, 64), lambda i: CAST(coalesce(n[i], 0) AS DOUBLE)) AS e FROM (
+                SELECT {key}, map_from_entries(list((b, n)) FILTER (b IS NOT NULL)) AS n FROM (
+                    SELECT {key}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS b, count(w) AS n FROM (
+                        SELECT {key}, unnest(list_filter(string_split_regex(lower(content), '[^a-z0-9]+'), lambda w: w <> '')) AS w
+                        FROM ({source})) GROUP BY ALL) GROUP BY {key})))"""
+
+
+@query("encoded_window_relevance", "B14 B7", rounded(f"""
+    WITH win AS ({encoded_sql(texts_sql(I.LONG), 'session_id, window_idx')}),
+    goal AS ({encoded_sql("SELECT item_id AS objective_id, text AS content FROM benchmark", "objective_id")}),
+    pairs AS (SELECT DISTINCT session_id, objective_id FROM ({I.TOPIC_RESPONSES}))
+    SELECT session_id, objective_id, window_idx, list_inner_product(win.v, goal.v) AS sim
+    FROM pairs JOIN win USING (session_id) JOIN goal USING (objective_id)""", "sim"))
 def _encoded(spark, sf_dir):
     utterances, chunked = I.long_utterances(spark, sf_dir)
     windows = CT.hashed_vectors(WN.window_texts(utterances), ["session_id", "window_idx"])

@@ -75,13 +75,17 @@ def encode_texts(
 
 
 def hashed_vectors(texts: DataFrame, keys: list[str], dims: int = 64) -> DataFrame:
-    """A deterministic built-in encoder: hashed word counts as a unit dense vector."""
-    from pyspark.ml.feature import HashingTF, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
+    """A deterministic built-in encoder: counts of words by bucket as a unit dense vector.
 
-    tokens = RegexTokenizer(inputCol="content", outputCol="_tokens", pattern=r"\W+").transform(
-        texts.select(*keys, "content")
-    )
-    counted = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dims).transform(tokens)
-    dense = counted.withColumn("vector", vector_to_array("_tf"))
+    Words are runs of ASCII letters and digits, lower-cased; a bucket is the first 32 bits of a
+    word's md5 modulo ``dims``, so any engine can repeat it.  A text without words is all zeros.
+    """
+    words = "filter(split(lower(content), '[^a-z0-9]+'), w -> w <> '')"
+    placed = texts.selectExpr(*keys, f"explode_outer({words}) AS word").selectExpr(
+        *keys, f"CAST(conv(substr(md5(word), 1, 8), 16, 10) AS BIGINT) % {dims} AS bucket")
+    counted = aggregate(placed, [*keys, "bucket"], "count(bucket) AS n")
+    held = aggregate(
+        counted, keys, "map_from_entries(collect_list(CASE WHEN bucket IS NOT NULL THEN struct(bucket, n) END)) AS counts")
+    dense = held.selectExpr(
+        *keys, f"transform(sequence(0L, {dims - 1}L), i -> CAST(coalesce(counts[i], 0L) AS DOUBLE)) AS vector")
     return dense.selectExpr(*keys, f"{unit('vector')} AS vector")
