@@ -29,7 +29,11 @@ SECOND = 0.25
 #: Pairs whose signatures agree less than this below the threshold are not read in full: four
 #: standard deviations of an agreement of 64 places.
 SLACK = 0.2
-CACHED = 400_000
+#: A node with so few members outside its commonest component compares them with all its members,
+#: which costs no more than branching all of them a few levels deeper.
+FEW = 4
+FILTER_WORDS = 1 << 21
+CACHED = 200_000
 MASK = (1 << 64) - 1
 SETS = "doc_id long, n_shingles long, set_key binary, signature binary"
 
@@ -156,19 +160,19 @@ def branch(members: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.select("node", "doc_id", "signature").mapInArrow(run, "node long, doc_id long")
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in at least this share of places."""
+def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose set sizes allow a link and whose signatures do not speak clearly against it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 share = (_matrix(batch.column(2)) == _matrix(batch.column(3))).mean(axis=1)
-                yield batch.select(["a", "b"]).filter(pa.array(share >= least))
+                yield batch.select(["a", "b"]).filter(pa.array(share >= percent / 100 - SLACK))
 
-    sign = classes.select("doc_id", "signature")
-    joined = (pairs.join(sign.toDF("a", "sign_a"), "a").join(sign.toDF("b", "sign_b"), "b")
-              .select("a", "b", "sign_a", "sign_b"))
-    return joined.mapInArrow(run, "a long, b long")
+    sign = classes.select("doc_id", "n_shingles", "signature")
+    joined = pairs.join(sign.toDF("a", "n_a", "sign_a"), "a").join(sign.toDF("b", "n_b", "sign_b"), "b")
+    sized = joined.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return sized.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -193,21 +197,37 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    full = written(_narrow(docs).join(needed, "doc_id", "left_semi").select("doc_id", "text")
-                   .mapInArrow(sets, "doc_id long, found binary"), "full-sets")
+    full = _with_ids_of(_narrow(docs), pairs).mapInArrow(sets, "doc_id long, found binary")
     joined = pairs.join(full.toDF("a", "found_a"), "a").join(full.toDF("b", "found_b"), "b")
     return joined.select("a", "b", "found_a", "found_b").mapInArrow(check, "a long, b long")
 
 
+def _with_ids_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``docs`` whose id may occur in ``pairs``: a bit for each hashed id, so that texts need no shuffle.
+
+    The table of bits has at most ``FILTER_WORDS`` rows whatever the input, which bounds its broadcast.
+    Other ids that share a bit pass as well; they meet no pair.
+    """
+    def hashed(name: str) -> tuple[Column, Column]:
+        return (F.expr(f"pmod(shiftright(xxhash64({name}), 6), {FILTER_WORDS}) AS word"),
+                F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({name}), 64) AS INT)) AS bit"))
+
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    bits = ids.select(*hashed("id")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    word, bit = hashed("doc_id")
+    marked = docs.where("doc_id IS NOT NULL").select("*", word, bit).join(F.broadcast(bits), "word")
+    return marked.where("bits & bit <> 0").select("doc_id", "text")
+
+
 def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
     """Members with their component, in nodes that still hold more than one."""
     named = members.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "node", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     counted = named.groupBy("node", "component").agg(F.count("*").alias("n"))
     mixed = counted.groupBy("node").agg(
-        F.sum("n").alias("size"), F.count("*").alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("common"))
-    return named.join(mixed.where("kinds > 1").select("node", "size", "common"), "node")
+        F.sum("n").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("common"))
+    mixed = mixed.where("kinds > 1").selectExpr("node", f"size <= {SMALL} OR size - common.n <= {FEW} AS small", "common.component AS common")
+    return named.join(mixed, "node")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -220,14 +240,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = written(shingle_sets(docs, words), "sets")
     usable = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     first = written(usable.groupBy("set_key").agg(
-        F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature")), "classes")
-    least = percent / 100 - SLACK
+        F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")), "classes")
 
     members = written(branch_roots(first), "members")
     nodes = members.groupBy("node").agg(F.count("*").alias("size"), F.min("doc_id").alias("leader")).where("size > 1")
     members = written(members.join(nodes, "node"), "members")
     stars = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = written(confirmed(written(_alike(stars, first, least), "pairs"), docs, words, percent), "links")
+    links = written(confirmed(written(_alike(stars, first, percent), "pairs"), docs, words, percent), "links")
     components = written(connected_components(links), "components")
 
     open_nodes, found = written(_labelled(members.select("node", "doc_id"), components), "open"), []
@@ -235,16 +254,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if open_nodes.isEmpty():
             break
         last = level == DEPTH
-        found.append(_across(open_nodes if last else open_nodes.where(F.col("size") <= SMALL)))
+        found.append(_across(open_nodes if last else open_nodes.where("small")))
         if last:
             break
-        grown = branch(open_nodes.where(F.col("size") > SMALL), first)
+        grown = branch(open_nodes.where("NOT small"), first)
         open_nodes = written(_labelled(written(grown, "members"), components), "open")
     if found:
         pairs = found[0]
         for more in found[1:]:
             pairs = pairs.union(more)
-        second = confirmed(written(_alike(pairs.distinct(), first, least), "pairs"), docs, words, percent)
+        second = confirmed(written(_alike(pairs.distinct(), first, percent), "pairs"), docs, words, percent)
         components = written(connected_components(links.union(second)), "components")
 
     classes = first.select("set_key", F.col("doc_id").alias("first_id"))
