@@ -18,7 +18,8 @@ import numpy as np
 END = b"\xff"
 #: Characters that composition leaves alone and that lower-case without context (not U+0130).
 PLAIN = re.compile("[\x21-\x7e\xc0-\u012f\u0131-\u017f]+")
-CACHED = 300_000
+#: Chunks kept by one worker, twice at most (recent and older ones); about 200 bytes each.
+CACHED = 120_000
 LONGEST = 64
 
 
