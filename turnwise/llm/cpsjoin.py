@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import written
+from .storage import slices, written
 
 TREES, PLACES, SMALL, DEPTH = 12, 64, 32, 12
 #: A second place is chosen by this share of nodes: branching of 1 / similarity on average.
@@ -90,7 +90,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
-        for batch in batches:
+        for batch in slices(batches):
             n, keys, signatures = [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text)
@@ -183,7 +183,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())],
                 names=["doc_id", "found"])

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import slices, written
 from .tokens import default_vocabulary, word_bpe
 
 WINDOW = 4096
@@ -43,7 +43,7 @@ def encoded(docs: DataFrame, end_id: int, vocabulary: str | None = None) -> Data
         wide = max(coder.size, end_id + 1) > 1 << 16
         kind = np.dtype("<u4" if wide else "<u2")
         last = np.array([end_id], kind).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             ids = [coder.encode(t or "").astype(kind, copy=False).tobytes() + last
                    for t in batch.column(1).to_pylist()]
             n = np.array([len(x) // kind.itemsize for x in ids], np.int64)
@@ -77,7 +77,7 @@ def pack(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     placed = tokens.join(bases, "part").selectExpr("doc_id", "base + before AS place", "wide", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, place, wide, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(raw, "<u4" if wide else "<u2").astype("<u4")
