@@ -13,8 +13,8 @@ from .registry import query
 
 FEATURES = ("len", "n_words", "repeats", "selfcorr_rate", "filler_rate", "negate_rate", "excl_rate", "false_start_rate")
 K = 5
-#: Trees stop when the validation rows stop improving; depth as in the models they stand for.
-TREES = LN.boosted_trees(depth=3)
+#: At most 20 trees in these queries (a parameter; stopped earlier when validation rows stop improving).
+TREES = LN.boosted_trees(20, 3)
 
 
 def labelled_texts(spark, sf_dir):
