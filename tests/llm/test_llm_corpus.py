@@ -3,9 +3,11 @@
 import hashlib
 import os
 import random
+import re
 import sys
 import zlib
 
+import numpy as np
 import pytest
 
 from turnwise.llm import toxicity, warc
@@ -47,6 +49,40 @@ def test_without_labels_nothing_is_rejected(labelled):
     assert toxicity.report(docs.limit(0), labels).count() == 0
 
 
+def test_all_of_an_unspaced_text_is_read(spark, monkeypatch):
+    rng = random.Random(9)
+    signs = {"zh": [chr(0x4E00 + i) for i in range(300)], "th": [chr(0xE01 + i) for i in range(46)], "en": list("abcdefghijklmnop")}
+    bad = {"zh": "\u7a00\u7a01\u7a02", "th": "\u0e4f\u0e50\u0e51\u0e52", "en": "vqzxw"}
+    rows, labels = [], []
+    for i in range(1200):
+        lang, toxic = ("zh", "th", "en")[i % 3], int(rng.random() < 0.4)
+        words = ["".join(rng.choices(signs[lang], k=rng.randint(2, 5))) for _ in range(40)]
+        for _ in range(2 * toxic):
+            words.insert(rng.randrange(20, len(words)), bad[lang])
+        rows.append((i, rng.choice(["_", ",", "-"] if lang == "en" else [""]).join(words)))
+        labels.append((i, toxic))
+    long = ["\u4e00\u4e01" * 500, "\u4e00\u4e01" * 500 + bad["zh"] * 2]
+    docs = spark.createDataFrame([*rows, *((5000 + k, t) for k, t in enumerate(long))], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.report(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    for k, lang in enumerate(("zh", "th", "en")):
+        unseen = [(got[i].predicted, y) for i, y in labels if got[i].held_out and i % 3 == k]
+        assert sum(p == y for p, y in unseen) / len(unseen) > 0.9, lang
+    assert not got[5000].predicted and got[5001].predicted
+    words, texts = toxicity.Words(), [" ".join(t for _, t in rows[:9]), "a" * 100 + "b", "a" * 100 + "c"]
+    whole = [{tuple(r) for r in keys} for keys in ((words.codes(t.lower().split()), words.taken()[0])[1] for t in texts)]
+    assert whole[1] and whole[2] and whole[1] != whole[2]
+    net = {"filters": {w: np.random.default_rng(w).standard_normal((w, 16, 16)).astype(np.float32) for w in toxicity.WIDTHS}, "bias": np.zeros(48, np.float32)}
+    shown = np.random.default_rng(1).standard_normal((50, 16)).astype(np.float32)
+    one, cut = toxicity._pooled(net, [shown]), toxicity._pooled(net, [shown[:1], shown[1:2], shown[2:30], shown[30:30], shown[30:]])
+    assert np.allclose(one[0], cut[0], atol=1e-5) and (one[1] == cut[1]).all()
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    for text in texts:
+        blocks = list(toxicity._blocks(text))
+        assert max(sum(map(len, b)) for b in blocks) <= 64 + 5
+        grams = {text[i:i + 6] for i in range(len(text) - 5) if not re.search(r"\s", text[i:i + 6])}
+        assert all(any(g in w for b in blocks for w in b) for g in grams)
+
+
 @pytest.mark.parametrize("url,want", [
     ("HTTP://user@WWW.A.com:80/x/?b=2&utm_source=f&a=1#top", "a.com/x?a=1&b=2"), ("https://a.com/x", "a.com/x"), ("https://a.com", "a.com"),
     ("a.com/?ref=1", "a.com"), ("", ""), (None, None)])
