@@ -73,6 +73,23 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, words):
     assert got == brute_groups(rows, words)
 
 
+@pytest.mark.parametrize("recall", [0.9, 0.99])
+def test_trees_reach_target_recall_in_nodes_that_stay_large(recall):
+    rng = np.random.default_rng(2)
+    trees, pairs = cpsjoin.trees_for(80, recall), 1500
+    signature, missed = cpsjoin.Signatures(trees), 0
+    for _ in range(pairs):
+        both, one, other = np.split(rng.integers(0, 1 << 63, 180).astype(np.uint64), [144, 162])  # 144 of 180: 0.8
+        rows = np.stack([np.frombuffer(signature(np.concatenate([both, own])), "<u2") for own in (one, other)])
+        nodes = cpsjoin._roots(trees)
+        for _ in range(cpsjoin.DEPTH + 1):
+            below = [cpsjoin._children(nodes, rows, np.full(len(nodes), k))[1] for k in (0, 1)]
+            nodes = np.intersect1d(*below)
+        missed += not len(nodes)
+    assert missed / pairs < 1 - recall + 3 * (recall * (1 - recall) / pairs) ** 0.5
+    print(recall, trees, missed / pairs)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (4, "A b c d e f")], "doc_id long, text string")
     got = sorted(map(tuple, cpsjoin.near_duplicates(docs).collect()), key=str)

@@ -1,8 +1,9 @@
 """Near-duplicate texts by a chosen-path set similarity join.
 
 Texts become sets of hashed word shingles and short minwise signatures.  Texts of one set are one
-class.  In each of several independent trees a node branches its classes by one or two of the
-signature's places, chosen by the node; classes with the same minwise token there share a child.
+class.  Each tree has hash functions of its own, a stretch of the signature; a node branches its
+classes by one or two places of it, chosen by the node; classes with the same minwise token there
+share a child.  So many trees are taken as a target recall needs for a pair just at the threshold.
 Nodes whose classes are already linked end; small nodes are compared exhaustively; the others
 branch again.  Links are confirmed on full sets.
 
@@ -23,19 +24,24 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .storage import slices, written
 
-TREES, PLACES, SMALL, DEPTH = 12, 64, 32, 12
+#: Places of each tree's stretch of the signature.
+PLACES, SMALL, DEPTH = 24, 32, 12
+#: Share of the pairs at the threshold that some tree must bring together even in nodes that stay large.
+RECALL = 0.99
 #: A second place is chosen by this share of nodes: branching of 1 / similarity on average.
 SECOND = 0.25
-#: Pairs whose signatures agree less than this below the threshold are not read in full: four
-#: standard deviations of an agreement of 64 places.
-SLACK = 0.2
+#: Pairs whose sketches (the first places of their signatures) agree less than this below the threshold
+#: are not read in full: more than five standard deviations.
+SKETCH, SLACK = 128, 0.2
 #: A node with so few members outside its commonest component compares them with all its members,
 #: which costs no more than branching all of them a few levels deeper.
 FEW = 4
 FILTER_WORDS = 1 << 21
 CACHED = 200_000
 MASK = (1 << 64) - 1
-SETS = "doc_id long, n_shingles long, set_key binary, signature binary"
+#: The lowest bits of a node are its tree.
+TREE = np.uint64(0xFF)
+SETS = "doc_id long, n_shingles long, set_key binary, sketch binary, signature binary"
 
 
 class Shingles:
@@ -74,32 +80,51 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_SEEDS = np.random.default_rng(20_24).integers(0, 1 << 63, (2, PLACES)).astype(np.uint64)
-_XOR, _ODD = _SEEDS[0], _SEEDS[1] * np.uint64(2) + np.uint64(1)
+def trees_for(percent: int, recall: float = RECALL) -> int:
+    """Trees until a pair of this similarity meets at every level of one of them with this chance.
 
+    A pair meets below a node by its one or two places there, each with the chance of its similarity.
+    """
+    similarity, meets = percent / 100, 1.0
+    for _ in range(DEPTH + 1):
+        one = similarity * meets
+        meets = (1 - SECOND) * one + SECOND * (1 - (1 - one) ** 2)
+    trees = 1 if meets >= 1 else max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - meets))))
+    if trees > int(TREE) + 1:
+        raise ValueError(f"{trees} trees are needed for a recall of {recall} at {percent} percent; {int(TREE) + 1} are possible")
+    return max(trees, -(-SKETCH // PLACES))
+
+
+class Signatures:
+    """Minwise tokens of 16 bits: ``PLACES`` for each tree, none shared."""
+
+    def __init__(self, trees: int):
+        seeds = np.random.default_rng(20_24).integers(0, 1 << 63, (2, trees * PLACES)).astype(np.uint64)
+        self.xor, self.odd = seeds[0], seeds[1] * np.uint64(2) + np.uint64(1)
 
-def _signature(found: np.ndarray) -> bytes:
-    least = np.full(PLACES, MASK, np.uint64)
-    for at in range(0, len(found), 4096):
-        np.minimum(least, ((found[at:at + 4096, None] ^ _XOR) * _ODD).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype("<u4").tobytes()
+    def __call__(self, found: np.ndarray) -> bytes:
+        least = np.full(len(self.xor), MASK, np.uint64)
+        for at in range(0, len(found), 512):
+            np.minimum(least, ((found[at:at + 512, None] ^ self.xor) * self.odd).min(axis=0), out=least)
+        return (least >> np.uint64(24)).astype("<u2").tobytes()
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """Set size, set key and signature of every whole text; null key where the set is empty."""
+def shingle_sets(docs: DataFrame, words: int, trees: int) -> DataFrame:
+    """Set size, set key, sketch and signature of every whole text; null key where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words)
+        shingles, signature = Shingles(words), Signatures(trees)
         for batch in slices(batches):
             n, keys, signatures = [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text)
                 n.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                signatures.append(_signature(found) if len(found) else None)
+                signatures.append(signature(found) if len(found) else None)
+            sketches = [s and s[:2 * SKETCH] for s in signatures]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "signature"])
+                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, sketches, signatures))],
+                names=["doc_id", "n_shingles", "set_key", "sketch", "signature"])
 
     return _narrow(docs).mapInArrow(run, SETS)
 
@@ -109,11 +134,11 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 
 def _chosen(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two places of each node, and whether the second is taken."""
-    draw = _mixed(nodes)
+    """Two places of each node in its tree's stretch, and whether the second is taken."""
+    draw, base = _mixed(nodes), (nodes & TREE).astype(np.int64) * PLACES
     first = (draw % np.uint64(PLACES)).astype(np.int64)
     second = (first + 1 + ((draw >> np.uint64(16)) % np.uint64(PLACES - 1)).astype(np.int64)) % PLACES
-    return first, second, (draw >> np.uint64(40)) % np.uint64(1 << 20) < np.uint64(SECOND * (1 << 20))
+    return base + first, base + second, (draw >> np.uint64(40)) % np.uint64(1 << 20) < np.uint64(SECOND * (1 << 20))
 
 
 def _children(nodes: np.ndarray, signatures: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,22 +146,26 @@ def _children(nodes: np.ndarray, signatures: np.ndarray, rows: np.ndarray) -> tu
     at = np.concatenate([np.arange(len(nodes)), np.flatnonzero(taken)])
     place = np.concatenate([first, second[taken]])
     token = signatures[rows[at], place].astype(np.uint64) | (place.astype(np.uint64) << np.uint64(32))
-    return at, _mixed(_mixed(nodes[at]) + token)
+    return at, _mixed(_mixed(nodes[at]) + token) & ~TREE | nodes[at] & TREE
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, PLACES)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
+
+
+def _roots(trees: int) -> np.ndarray:
+    return _mixed(np.arange(1, trees + 1, dtype=np.uint64)) & ~TREE | np.arange(trees, dtype=np.uint64)
 
 
-def branch_roots(classes: DataFrame) -> DataFrame:
+def branch_roots(classes: DataFrame, trees: int) -> DataFrame:
     """(node, doc_id) for every class (doc_id, signature) and tree: the children of the roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots = _mixed(np.arange(1, TREES + 1, dtype=np.uint64))
+        roots = _roots(trees)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.repeat(np.arange(batch.num_rows), TREES)
+            rows = np.repeat(np.arange(batch.num_rows), trees)
             at, nodes = _children(np.tile(roots, batch.num_rows), _matrix(batch.column(1)), rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes.view(np.int64)), batch.column(0).take(pa.array(rows[at]))], names=["node", "doc_id"])
@@ -161,7 +190,7 @@ def branch(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose set sizes allow a link and whose signatures do not speak clearly against it."""
+    """Pairs (a, b) whose set sizes allow a link and whose sketches do not speak clearly against it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +198,7 @@ def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 share = (_matrix(batch.column(2)) == _matrix(batch.column(3))).mean(axis=1)
                 yield batch.select(["a", "b"]).filter(pa.array(share >= percent / 100 - SLACK))
 
-    sign = classes.select("doc_id", "n_shingles", "signature")
+    sign = classes.select("doc_id", "n_shingles", "sketch")
     joined = pairs.join(sign.toDF("a", "n_a", "sign_a"), "a").join(sign.toDF("b", "n_b", "sign_b"), "b")
     sized = joined.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     return sized.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
@@ -230,19 +259,21 @@ def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
     return named.join(mixed, "node")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_shingles, component_id and kept.
 
     Texts without words have an empty set and link with nothing; a null text is one of them.  Rows
     that share an id are one node of the link graph.  A row without an id links with nothing, has no
-    component and is kept.  Other columns are not read.
+    component and is kept.  Other columns are not read.  ``recall`` is what the trees are counted for.
     """
-    sets = written(shingle_sets(docs, words), "sets")
+    trees = trees_for(percent, recall)
+    sets = written(shingle_sets(docs, words, trees), "sets")
     usable = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     first = written(usable.groupBy("set_key").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")), "classes")
+        F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"),
+        F.min("signature").alias("signature")), "classes")
 
-    members = written(branch_roots(first), "members")
+    members = written(branch_roots(first, trees), "members")
     nodes = members.groupBy("node").agg(F.count("*").alias("size"), F.min("doc_id").alias("leader")).where("size > 1")
     members = written(members.join(nodes, "node"), "members")
     stars = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
