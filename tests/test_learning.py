@@ -184,3 +184,12 @@ def test_run_loss(spark):
     df = spark.createDataFrame([(1.0, 0.5), (0.0, 0.5)], "label double, pred double")
     assert np.isclose(LN.run_loss(df, "m", 3).first().value, np.log(2))
     assert aggregate(df, [], "count(1) AS n").first().n == 2
+
+
+def test_tree_queries_do_the_described_work(spark):
+    from turnwise.catalog import learning as queries
+
+    trees = queries.TREES()
+    assert trees.getMaxIter() >= 200 and trees.getValidationIndicatorCol() == "is_validation"
+    assert sorted(f for block in queries.BLOCKS.values() for f in block) == sorted(queries.FEATURES)
+    assert len(set(queries.SEEDS)) == 5

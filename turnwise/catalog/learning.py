@@ -13,8 +13,15 @@ from .registry import query
 
 FEATURES = ("len", "n_words", "repeats", "selfcorr_rate", "filler_rate", "negate_rate", "excl_rate", "false_start_rate")
 K = 5
-#: At most 20 trees in these queries (a parameter; stopped earlier when validation rows stop improving).
-TREES = LN.boosted_trees(20, 3)
+#: Trees stop when the validation rows stop improving; depth as in the models they stand for.
+TREES = LN.boosted_trees(depth=3)
+#: Every feature is in one block.
+BLOCKS = {
+    "size": ("len", "n_words"),
+    "fluency": ("repeats", "selfcorr_rate", "filler_rate", "false_start_rate"),
+    "tone": ("negate_rate", "excl_rate"),
+}
+SEEDS = range(5)
 
 
 def labelled_texts(spark, sf_dir):
@@ -112,8 +119,7 @@ def _pca(spark, sf_dir):
 
 @query("block_ablation", "E14 E13 E15")
 def _ablation(spark, sf_dir):
-    blocks = {"size": ("len", "n_words"), "fluency": ("repeats", "selfcorr_rate", "filler_rate")}
-    return LN.ablation(document_matrix(spark, sf_dir), blocks, TREES, seeds=(0, 1), k=K)
+    return LN.ablation(document_matrix(spark, sf_dir), BLOCKS, TREES, SEEDS, k=K)
 
 
 @query("unseen_stress_test", "E20 F12 E12")
