@@ -135,11 +135,12 @@ class Shard:
         return k if k < len(self.alphabet) and self.alphabet[k] == token else None
 
     def count(self, token: int, start: int = 0, stop: int | None = None) -> int:
-        """Occurrences of an id in [start, stop)."""
+        """Occurrences of an id in [start, stop), the borders read as those of a Python slice."""
         number = self._number(token)
-        if number is None:
+        start, stop, _ = slice(start, stop).indices(self.n)
+        if number is None or start >= stop:
             return 0
-        low, high = self._narrow(number, start, self.n if stop is None else stop)
+        low, high = self._narrow(number, start, stop)
         return high - low
 
     def _narrow(self, number: int, low: int, high: int) -> tuple[int, int]:
