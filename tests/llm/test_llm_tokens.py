@@ -104,6 +104,8 @@ def test_wavelet_shard_access_count_and_find(ids):
         places = np.flatnonzero(ids == token)
         assert shard.count(token) == len(places)
         assert shard.count(token, 1, len(ids) - 1) == ((places >= 1) & (places < len(ids) - 1)).sum()
+        for start, stop in ((-3, None), (2, 1), (0, 10**9), (-10**9, -1)):
+            assert shard.count(token, start, stop) == (ids[start:stop] == token).sum()
         for k in {0, len(places) // 2, len(places) - 1, len(places)}:
             assert shard.find(token, k) == (places[k] if 0 <= k < len(places) else None)
     with pytest.raises(IndexError):

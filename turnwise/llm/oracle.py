@@ -96,3 +96,32 @@ REVISITS = f"""
         FROM judged)
     SELECT record_id, canonical_url, captured, kind, outcome, source_id, CAST(status AS BIGINT) AS status,
            sha256(lines) AS headers_sha256, sha256(body) AS payload_sha256, length(body) AS payload_chars FROM every"""
+
+
+def _divergence(p: str, q: str) -> str:
+    return f"CAST((({p}) - ({q})) * (({p}) - ({q})) // (({p}) + ({q})) AS BIGINT)"
+
+
+DIVERGENCE = rf"""
+    WITH docs AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+    words AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+    kept AS (SELECT lang, term, count(*) AS total FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+    groups AS (SELECT DISTINCT lang, source FROM docs),
+    cells AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n FROM groups AS g JOIN kept AS k USING (lang)
+              LEFT JOIN counts AS c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    shares AS (SELECT lang, source, term, n,
+                      CAST(1 + (1000000000 * CAST(n + 2 AS HUGEINT)) // (sum(n) OVER s + 2 * count(*) OVER s) AS HUGEINT) AS p,
+                      CAST(1 + (1000000000 * CAST(total + 2 AS HUGEINT)) // (sum(total) OVER s + 2 * count(*) OVER s) AS HUGEINT) AS q
+               FROM cells WINDOW s AS (PARTITION BY lang, source)),
+    found AS (
+        SELECT lang, source, 'term' AS part, term AS item, {_divergence('p', 'q')} AS value FROM shares WHERE n > 0 AND p > q
+        UNION ALL
+        SELECT a.lang, a.source, 'pair', b.source, coalesce(v.value, 0) FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN (SELECT x.lang, x.source, y.source AS other, CAST(sum({_divergence('x.p', 'y.p')}) AS BIGINT) AS value FROM shares AS x JOIN shares AS y
+                   ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) AS v
+               ON v.lang = a.lang AND v.source = a.source AND v.other = b.source)
+    SELECT lang, source, part, item, value,
+           CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+    FROM found QUALIFY part = 'pair' OR rank <= 10"""

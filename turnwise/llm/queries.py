@@ -11,6 +11,7 @@ from .bpe import encode_decode
 from .cpsjoin import near_duplicates
 from .hnsw import near_duplicate_vectors
 from .packing import pack_documents
+from .spimi import divergences
 from .vptree import nearest, usable
 from .wavelet import round_trip
 
@@ -75,6 +76,11 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), end_id=1)
 
 
+def op11_spimi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all sources within their languages, and the terms that mark each out."""
+    return divergences(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_hnsw": op2_hnsw,
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_packing": op9_packing,
     "op10_wavelet_shards": op10_wavelet_shards,
+    "op11_spimi": op11_spimi,
 }
 SQL: dict[str, str] = {
     "op1_chat": oracle.CHAT,
@@ -93,4 +100,5 @@ SQL: dict[str, str] = {
     "op3_cpsjoin": oracle.TEXT_LINKS,
     "op7_vptree": oracle.NEAREST,
     "op8_warc_revisits": oracle.REVISITS,
+    "op11_spimi": oracle.DIVERGENCE,
 }

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -35,6 +36,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(*parts: bytes) -> bytes:
+    """Compressed byte strings behind their lengths."""
+    out = []
+    for part in parts:
+        small = zstandard.compress(part, 3)
+        out += [len(small).to_bytes(8, "little"), small]
+    return b"".join(out)
+
+
+def unpacked(payload: bytes) -> list[bytes]:
+    """The byte strings of ``packed``."""
+    out, at = [], 0
+    while at < len(payload):
+        size = int.from_bytes(payload[at:at + 8], "little")
+        out.append(zstandard.decompress(payload[at + 8:at + 8 + size]))
+        at += 8 + size
+    return out
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches cut into smaller ones without copying, so that what a task makes of one stays small."""
     for batch in batches:
