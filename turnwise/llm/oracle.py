@@ -125,3 +125,17 @@ DIVERGENCE = rf"""
     SELECT lang, source, part, item, value,
            CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
     FROM found QUALIFY part = 'pair' OR rank <= 10"""
+
+
+REPEATS = r"""
+    WITH words AS (SELECT row_number() OVER () AS r, doc_id,
+                          list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    places AS (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 12, 0) + 1)) AS i FROM words),
+    windows AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM places),
+    least AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+    gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS i FROM windows JOIN least USING (h) WHERE first < doc_id),
+    lists AS (SELECT r, list(i) AS g FROM gone GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+           sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_transform(
+               list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(g, k)), lambda k: w[k]) END, ' ')) AS kept_sha256
+    FROM words LEFT JOIN lists USING (r)"""

@@ -12,6 +12,7 @@ from .cpsjoin import near_duplicates
 from .hnsw import near_duplicate_vectors
 from .packing import pack_documents
 from .spimi import divergences
+from .substrings import without_repeats
 from .vptree import nearest, usable
 from .wavelet import round_trip
 
@@ -81,6 +82,11 @@ def op11_spimi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergences(_table(spark, sf_dir, "documents"))
 
 
+def op13_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 13 words that an earlier document holds."""
+    return without_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_hnsw": op2_hnsw,
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_wavelet_shards": op10_wavelet_shards,
     "op11_spimi": op11_spimi,
+    "op13_difference_cover": op13_difference_cover,
 }
 SQL: dict[str, str] = {
     "op1_chat": oracle.CHAT,
@@ -101,4 +108,5 @@ SQL: dict[str, str] = {
     "op7_vptree": oracle.NEAREST,
     "op8_warc_revisits": oracle.REVISITS,
     "op11_spimi": oracle.DIVERGENCE,
+    "op13_difference_cover": oracle.REPEATS,
 }
