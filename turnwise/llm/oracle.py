@@ -5,6 +5,17 @@ from __future__ import annotations
 from .chat import BEGIN, CONTROL, END, ESCAPE, SPLIT
 from .warc import TRACKING
 
+
+def _checksum_table() -> list[int]:
+    """Checksums of single bytes, as the polynomial gives them."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -139,3 +150,32 @@ REPEATS = r"""
            sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_transform(
                list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(g, k)), lambda k: w[k]) END, ' ')) AS kept_sha256
     FROM words LEFT JOIN lists USING (r)"""
+
+
+VARIANTS = rf"""
+    WITH RECURSIVE runs AS (
+        SELECT doc_id, run, count(*) AS n FROM (
+            SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+        WHERE length(run) >= 5 GROUP BY ALL),
+    hexed AS (SELECT *, hex(encode(doc_id || ':' || run)) AS x FROM runs),
+    summed AS (SELECT run, n, xor(4294967295, list_reduce(
+                   list_transform(range(0, CAST(length(x) // 2 AS BIGINT)), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)),
+                   lambda c, b: xor(c >> 8, t.tab[CAST(xor(c & 255, b) AS INTEGER) + 1]), CAST(4294967295 AS BIGINT))) AS h
+               FROM hexed, (SELECT {[*map(int, _checksum_table())]}::BIGINT[] AS tab) AS t),
+    results AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2)
+                            ELSE run END AS word, n FROM summed),
+    words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM results WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    cut AS (SELECT word, length(word) AS size, i, left(word, CAST(i AS INTEGER)) || substr(word, CAST(i AS INTEGER) + 2) AS rest
+            FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+    near AS (SELECT a.word, b.word AS near FROM cut AS a JOIN cut AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+             UNION SELECT cut.word, words.word FROM cut JOIN words ON words.word = cut.rest
+             UNION SELECT words.word, cut.word FROM cut JOIN words ON words.word = cut.rest),
+    best AS (SELECT near.word, count(*) AS n_near, arg_min(near, (-w.n, encode(near))) AS form, max(w.n) AS form_n
+             FROM near JOIN words AS w ON w.word = near.near GROUP BY near.word),
+    formed AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.form_n >= 2 * n THEN form END AS form,
+                      CASE WHEN best.form_n >= 2 * n THEN best.form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+    chain AS (SELECT word, word AS root FROM formed
+              UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.root WHERE formed.form IS NOT NULL)
+    SELECT f.word, f.n, f.n_near, f.form, f.form_n, root FROM formed AS f
+    JOIN chain AS c ON c.word = f.word JOIN formed AS e ON e.word = c.root AND e.form IS NULL"""

@@ -11,6 +11,7 @@ from .bpe import encode_decode
 from .cpsjoin import near_duplicates
 from .hnsw import near_duplicate_vectors
 from .packing import pack_documents
+from .spelling import variants
 from .spimi import divergences
 from .substrings import without_repeats
 from .vptree import nearest, usable
@@ -82,6 +83,11 @@ def op11_spimi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergences(_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the frequent words one edit away."""
+    return variants(_table(spark, sf_dir, "documents"))
+
+
 def op13_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the passages of 13 words that an earlier document holds."""
     return without_repeats(_table(spark, sf_dir, "documents"))
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_wavelet_shards": op10_wavelet_shards,
     "op11_spimi": op11_spimi,
+    "op12_spelling": op12_spelling,
     "op13_difference_cover": op13_difference_cover,
 }
 SQL: dict[str, str] = {
@@ -108,5 +115,6 @@ SQL: dict[str, str] = {
     "op7_vptree": oracle.NEAREST,
     "op8_warc_revisits": oracle.REVISITS,
     "op11_spimi": oracle.DIVERGENCE,
+    "op12_spelling": oracle.VARIANTS,
     "op13_difference_cover": oracle.REPEATS,
 }
