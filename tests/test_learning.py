@@ -8,6 +8,8 @@ import pytest
 from conftest import by_key
 from test_responses import SCHEMA, make
 from turnwise.operators import folds as FO
+from turnwise.operators import isotonic as IS
+from turnwise.operators import newton as NE
 from turnwise.operators.ordered import aggregate
 from turnwise.plans import learning as LN
 from turnwise.plans.scoring import score_batch, score_new
@@ -120,8 +122,74 @@ def test_calibration_recovers_a_distortion(spark):
     table = by_key(losses, "method")
     assert chosen["method"] in ("platt", "isotonic")
     assert min(table["platt"]["logloss"], table["isotonic"]["logloss"]) < table["none"]["logloss"]
-    iso = LN.fit_isotonic(df)
-    assert iso["x"] == sorted(iso["x"]) and iso["y"] == sorted(iso["y"]) and 0 <= iso["y"][0] <= iso["y"][-1] <= 1
+    done = LN.with_calibration(df, chosen).orderBy("pred").collect()
+    assert len(done) == 3000 and all(a.calibrated <= b.calibrated for a, b in zip(done, done[1:]))
+
+
+def pooled_plainly(points):
+    """Isotonic values at the distinct scores of (x, y, weight)."""
+    sums = {}
+    for x, y, w in points:
+        t, n = sums.get(x, (0.0, 0.0))
+        sums[x] = (t + y * w, n + w)
+    blocks = []
+    for x in sorted(sums):
+        blocks.append([[x], *sums[x]])
+        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] > blocks[-1][1] / blocks[-1][2]:
+            xs, t, n = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + xs, blocks[-1][1] + t, blocks[-1][2] + n]
+    return {x: t / n for xs, t, n in blocks for x in xs}
+
+
+@pytest.mark.parametrize("per_task", [7, 10**6])
+@pytest.mark.parametrize("shape", ["noise", "falling", "rising", "ties"])
+def test_isotonic_blocks_equal_plain_pooling(spark, monkeypatch, per_task, shape):
+    rng = random.Random(3)
+    make_y = {"noise": lambda x: float(rng.random() < x), "falling": lambda x: 1 - x, "rising": lambda x: x, "ties": lambda x: float(rng.random() < 0.5)}[shape]
+    scores = [round(rng.random(), 1 if shape == "ties" else 4) for _ in range(200)]
+    points = [(k, x, make_y(x), rng.choice([1.0, 2.0])) for k in (0, 1) for x in scores]
+    df = spark.createDataFrame(points, "key long, x double, y double, weight double")
+    blocks = IS.isotonic_blocks(df, per_task)
+    asked = sorted({p[1] for p in points} | {0.0, 1.0, 0.12345})
+    monkeypatch.setattr(IS, "GROUP_ROWS", per_task)
+    got = IS.interpolated(spark.createDataFrame([(k, x) for k in (0, 1) for x in asked] + [(0, None), (5, 0.5)], "key long, x double"), blocks).collect()
+    value = {(r.key, r.x): r.fitted for r in got}
+    assert value.pop((0, None)) is None and value.pop((5, 0.5)) is None and len(value) == 2 * len(asked)
+    for k in (0, 1):
+        fit = pooled_plainly([p[1:] for p in points if p[0] == k])
+        xs = sorted(fit)
+        for x in asked:
+            assert np.isclose(value[k, x], np.interp(x, xs, [fit[v] for v in xs]), atol=1e-12)
+
+
+def test_isotonic_of_many_scores(spark):
+    df = spark.range(1_000_000).selectExpr("0L AS key", "xxhash64(id) / 1.8446744073709552E19 + 0.5 AS x", "id").selectExpr(
+        "key", "x", "CASE WHEN pmod(xxhash64(id, 1), 1000) < 1000 * x * x THEN 1D ELSE 0D END AS y", "1D AS weight")
+    blocks = LN.cut(IS.isotonic_blocks(df, per_task=200_000))
+    facts = blocks.selectExpr("sum(weight) AS n", "sum(weight * value) AS y", "count(1) AS n_blocks").first()
+    total = df.agg({"y": "sum"}).first()[0]
+    assert facts.n == 1_000_000 and np.isclose(facts.y, total) and facts.n_blocks < 20_000
+    rows = blocks.orderBy("lo").collect()
+    assert all(a.hi < b.lo and a.value <= b.value for a, b in zip(rows, rows[1:]))
+    xs, ys = zip(*[(r.x, r.y) for r in df.collect()])
+    fit = pooled_plainly([(x, y, 1.0) for x, y in zip(xs, ys)])
+    assert all(np.isclose(fit[r.lo], r.value) and np.isclose(fit[r.hi], r.value) for r in rows)
+
+
+def test_newton_reaches_the_optimum_of_every_run(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 2))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [2.0, -1.0] + 0.5)))).astype(float)
+    df = LN.cut(spark.createDataFrame([(i % 3, *map(float, v), float(t)) for i, (v, t) in enumerate(zip(x, y))], "fold int, a double, b double, label double"))
+    runs = {"all": "true", "0": "fold <> 0", "none": "fold > 7"}
+    got = NE.fit_logistic(df, runs, ["a", "b"])
+    design = np.c_[x, np.ones(400)]
+    for name, keep in (("all", np.ones(400, bool)), ("0", np.arange(400) % 3 != 0)):
+        p = 1 / (1 + np.exp(-design[keep] @ got[name]))
+        assert np.abs(design[keep].T @ (p - y[keep]) + 1e-6 * got[name] * [1, 1, 0]).max() < 1e-6
+    assert (got["none"] == 0).all()
+    apart = NE.fit_logistic(df.selectExpr("*", "CASE WHEN label = 1 THEN 1D ELSE -1D END AS s"), {"all": "true"}, ["s"])
+    assert np.isfinite(apart["all"]).all() and apart["all"][0] > 3
 
 
 def test_move_classifier_report(spark):

@@ -9,7 +9,8 @@ from ..plans import learning as LN
 from ..plans.linguistic import utterance_text_counts
 from ..operators.ordered import aggregate, spread
 from .inputs import responses, short_utterances, table
-from .registry import query
+from .registry import query, rounded
+from .responses import SESSION_FOLDS
 
 FEATURES = ("len", "n_words", "repeats", "selfcorr_rate", "filler_rate", "negate_rate", "excl_rate", "false_start_rate")
 K = 5
@@ -80,7 +81,39 @@ def _predicted(spark, sf_dir):
     return LN.predict_moves(model, moves).select("session_id", "pos", "role", "predicted_move")
 
 
-@query("calibration_choice", "M7 M8 M10 E5")
+LOGIT = "ln({0} / (1 - {0}))"
+CLIPPED = "greatest(least({}, 1 - 1e-6), 1e-6)"
+#: Newton steps written out as a recursion, and the isotonic fit as the largest of the least means.
+CALIBRATION = f"""
+    WITH RECURSIVE {SESSION_FOLDS},
+    cells AS MATERIALIZED (SELECT fold, pred, {LOGIT.format(CLIPPED.format('pred'))} AS z, count(*)::DOUBLE AS n, sum(label) AS s FROM f GROUP BY fold, pred),
+    steps AS (
+        SELECT DISTINCT fold AS k, 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM cells
+        UNION ALL
+        SELECT k, step + 1, a - (hbb * (ga + 1e-6 * a) - hab * gb) / ((haa + 1e-6) * hbb - hab * hab),
+               b - ((haa + 1e-6) * gb - hab * (ga + 1e-6 * a)) / ((haa + 1e-6) * hbb - hab * hab)
+        FROM (SELECT k, step, a, b, sum((n * q - s) * z) AS ga, sum(n * q - s) AS gb, sum(n * q * (1 - q) * z * z) AS haa,
+                     sum(n * q * (1 - q) * z) AS hab, sum(n * q * (1 - q)) AS hbb
+              FROM (SELECT k, step, a, b, z, n, s, 1 / (1 + exp(-(a * z + b))) AS q FROM steps JOIN cells ON cells.fold <> k WHERE step < 15) GROUP BY ALL)),
+    points AS (SELECT k.fold AS k, c.pred AS x, sum(c.s) AS s, sum(c.n) AS n FROM cells AS c JOIN (SELECT DISTINCT fold FROM cells) AS k ON c.fold <> k.fold GROUP BY ALL),
+    sums AS (SELECT *, row_number() OVER o AS i, sum(s) OVER o AS ss, sum(n) OVER o AS nn FROM points WINDOW o AS (PARTITION BY k ORDER BY x)),
+    least AS (SELECT a.k, a.i AS a, b.i AS i, min((b.ss - a.ss + a.s) / (b.nn - a.nn + a.n)) OVER (PARTITION BY a.k, a.i ORDER BY b.i DESC) AS v
+              FROM sums AS a JOIN sums AS b ON a.k = b.k AND b.i >= a.i),
+    knots AS (SELECT k, x, v FROM (SELECT k, i, max(v) AS v FROM least GROUP BY k, i) JOIN sums USING (k, i)),
+    around AS (SELECT c.fold, c.pred, c.n, c.s, max(x) FILTER (x <= pred) AS x0, arg_max(v, x) FILTER (x <= pred) AS v0,
+                      min(x) FILTER (x > pred) AS x1, arg_min(v, x) FILTER (x > pred) AS v1
+               FROM cells AS c JOIN knots ON knots.k = c.fold GROUP BY ALL),
+    scored AS (
+        SELECT 'none' AS method, n, s, pred AS p FROM cells
+        UNION ALL SELECT 'platt', n, s, 1 / (1 + exp(-(a * z + b))) FROM cells JOIN steps ON k = fold AND step = 15
+        UNION ALL SELECT 'isotonic', n, s, CASE WHEN x0 IS NULL THEN v1 WHEN x1 IS NULL THEN v0 ELSE v0 + (pred - x0) * (v1 - v0) / (x1 - x0) END FROM around),
+    clipped AS (SELECT method, n, s, {CLIPPED.format('p')} AS p FROM scored),
+    bins AS (SELECT method, {' + '.join(f'(p >= {i / 10!r}::DOUBLE)::INT' for i in range(1, 10))} AS bin,
+                    sum(-(s * ln(p) + (n - s) * ln(1 - p))) AS loss, abs(sum(n * p) - sum(s)) AS gap, sum(n) AS n FROM clipped GROUP BY ALL)
+    SELECT method, sum(loss) / sum(n) AS logloss, sum(gap) / sum(n) AS ece, CAST(sum(n) AS BIGINT) AS n FROM bins GROUP BY method"""
+
+
+@query("calibration_choice", "M7 M8 M10 E5", rounded(CALIBRATION, "logloss ece"))
 def _calibration(spark, sf_dir):
     folds = FO.session_folds(responses(spark, sf_dir), K)
     return LN.calibration_losses(folds, range(K))

@@ -22,7 +22,6 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +29,9 @@ from ..functions.scalars import calibrated, clip_probability, lit, log_loss, log
 from ..functions.text import with_bigrams
 from ..operators.compare import paired_delta, summarize
 from ..operators.encoding import encoding_for, fold_sums, objective_sums
+from ..operators.isotonic import PER_TASK, interpolated, isotonic_blocks
+from ..operators.metrics import probability_bin
+from ..operators.newton import fit_logistic
 from ..operators.folds import deal, purged_training, session_folds
 from ..operators.ordered import aggregate, small_side
 from ..operators.stats import auc
@@ -424,45 +426,75 @@ def domain_folds(responses: DataFrame, domains: DataFrame, k: int = 5, seed: int
 
 
 # --- calibration -----------------------------------------------------------------------
-def fit_platt(rows: DataFrame, label: str = "label", pred: str = "pred") -> dict:
-    """Logistic regression on logit(p), all but unregularised, as plain numbers."""
-    z = VectorAssembler(inputCols=["z"], outputCol="features").transform(
-        rows.selectExpr(f"{label} AS label", f"{logit(pred)} AS z"))
-    model = LogisticRegression(regParam=1e-9, maxIter=100).fit(z)
-    return {"method": "platt", "coef": float(model.coefficients[0]), "intercept": float(model.intercept)}
+def score_cells(oof: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
+    """Rows and positives of every (fold, distinct prediction): all that calibration needs to know."""
+    return aggregate(oof.selectExpr("fold", f"CAST({pred} AS DOUBLE) AS pred", f"CAST({label} AS DOUBLE) AS y").where("pred IS NOT NULL"),
+                     ["fold", "pred"], "count(1) AS n", "sum(y) AS n_pos")
 
 
-def fit_isotonic(rows: DataFrame, label: str = "label", pred: str = "pred") -> dict:
-    """Isotonic knots; equal predictions are merged into one weighted point first."""
-    points = aggregate(rows.selectExpr(f"{pred} AS p", f"{label} AS y"), ["p"], "avg(y) AS label", "CAST(count(1) AS DOUBLE) AS weight")
-    model = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight").fit(points)
-    return {"method": "isotonic", "x": [float(v) for v in model.boundaries],
-            "y": [min(1.0, max(0.0, float(v))) for v in model.predictions]}
+def fit_platt(cells: DataFrame, runs: dict[str, str]) -> dict[str, dict]:
+    """Logistic regression on logit(p), all but unregularised: plain numbers for every run."""
+    fitted = fit_logistic(cells.selectExpr("*", f"{logit('pred')} AS z"), runs, ["z"], "(n_pos / n)", "CAST(n AS DOUBLE)")
+    return {name: {"method": "platt", "coef": float(c[0]), "intercept": float(c[1])} for name, c in fitted.items()}
 
 
-FITTERS: dict[str, Callable[[DataFrame], dict]] = {
-    "none": lambda rows: {"method": "none"}, "platt": fit_platt, "isotonic": fit_isotonic,
-}
+def fit_isotonic(cells: DataFrame, per_task: int = PER_TASK) -> DataFrame:
+    """Isotonic blocks by ``key``: those without fold ``key``, and of all rows under key -1."""
+    folds = aggregate(cells, [], "collect_set(fold) AS all").scalar()
+    points = cells.withColumn("_all", folds).selectExpr(
+        "explode(concat(array(-1L), transform(filter(_all, k -> k <> fold), k -> CAST(k AS BIGINT)))) AS key",
+        "pred AS x", "n_pos / n AS y", "CAST(n AS DOUBLE) AS weight")
+    return isotonic_blocks(points, per_task)
 
 
-def calibration_losses(oof: DataFrame, folds: Sequence[int]) -> DataFrame:
-    """Cross-fitted log loss of each calibration method: ``method, logloss, n``."""
-    rows = cut(oof.select("response_id", "fold", "label", "pred"))
-    parts = []
-    for method, fitter in FITTERS.items():
-        for fold in folds:
-            fitted = fitter(rows.where(f"fold <> {fold}"))
-            held = rows.where(f"fold = {fold}").selectExpr(
-                f"'{method}' AS method", "label", f"{clip_probability(calibrated('pred', fitted))} AS p")
-            parts.append(aggregate(held, ["method"], f"sum({log_loss('label', 'p')}) AS s", "count(1) AS n"))
-    return aggregate(union(parts), ["method"], "sum(s) / sum(n) AS logloss", "sum(n) AS n")
+def apply_isotonic(rows: DataFrame, blocks: DataFrame, pred: str = "pred", name: str = "calibrated") -> DataFrame:
+    """``rows`` with the fit of all rows; looked up once for each distinct prediction."""
+    asked = rows.select(F.col(pred).cast("double").alias("_p")).distinct().selectExpr("-1L AS key", "_p")
+    known = interpolated(asked, blocks.where("key = -1"), "_p", "_fit").drop("key")
+    return rows.join(known, F.col(pred).cast("double") == F.col("_p"), "left").selectExpr(
+        *rows.columns, f"least(1D, greatest(0D, _fit)) AS {name}")
+
+
+def calibration_losses(oof: DataFrame, folds: Sequence[int], per_task: int = PER_TASK) -> DataFrame:
+    """Cross-fitted log loss and calibration error of each method: ``method, logloss, ece, n``.
+
+    A fold is scored by the fit of the others.  Platt fits of all folds share each Newton pass, isotonic
+    fits share each pooling pass; rows are read once, for the distinct predictions of each fold.
+    """
+    cells = cut(score_cells(oof.where(f"fold IN ({', '.join(map(str, folds))})")))
+    platt = fit_platt(cells, {str(f): f"fold <> {f}" for f in folds})
+    by_fold = " ".join(f"WHEN {f} THEN {calibrated('pred', platt[str(f)])}" for f in folds)
+    isotonic = interpolated(cells.withColumn("key", F.col("fold").cast("long")), fit_isotonic(cells, per_task), "pred", "p")
+    scored = union([
+        cells.selectExpr("'none' AS method", "n", "n_pos", "pred AS p"),
+        cells.selectExpr("'platt' AS method", "n", "n_pos", f"CASE fold {by_fold} END AS p"),
+        isotonic.selectExpr("'isotonic' AS method", "n", "n_pos", "p"),
+    ]).selectExpr("method", "n", "n_pos", f"{clip_probability('p')} AS p")
+    bins = aggregate(scored.selectExpr("*", f"{probability_bin('p')} AS bin"), ["method", "bin"],
+                     f"sum(n * {log_loss('n_pos / n', 'p')}) AS loss", "abs(sum(n * p) - sum(n_pos)) AS gap", "sum(n) AS n")
+    return aggregate(bins, ["method"], "sum(loss) / sum(n) AS logloss", "sum(gap) / sum(n) AS ece", "sum(n) AS n")
 
 
 def choose_calibrator(oof: DataFrame, folds: Sequence[int]) -> tuple[dict, DataFrame]:
-    """The method with least cross-fitted loss, refitted on all rows, and the losses."""
+    """The method with least cross-fitted loss, refitted on all rows, and the losses.
+
+    A Platt fit is two numbers; an isotonic fit stays a table (``blocks``).
+    """
     losses = calibration_losses(oof, folds)
     best = losses.orderBy("logloss", "method").first()["method"]
-    return FITTERS[best](oof), losses
+    cells = score_cells(oof)
+    if best == "platt":
+        return fit_platt(cut(cells), {"all": "true"})["all"], losses
+    if best == "isotonic":
+        return {"method": "isotonic", "blocks": fit_isotonic(cut(cells))}, losses
+    return {"method": "none"}, losses
+
+
+def with_calibration(rows: DataFrame, calibrator: dict, pred: str = "pred", name: str = "calibrated") -> DataFrame:
+    """``rows`` with their calibrated prediction, from plain numbers or from a table of blocks."""
+    if "blocks" in calibrator:
+        return apply_isotonic(rows, calibrator["blocks"], pred, name)
+    return rows.selectExpr(*rows.columns, f"{calibrated(pred, calibrator)} AS {name}")
 
 
 # --- repeated evaluation ---------------------------------------------------------------

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions.scalars import blend_logit, calibrated, num, shrink
+from ..functions.scalars import blend_logit, num, shrink
 from ..operators.ordered import aggregate, small_side
 from ..operators.quality import prediction_sink
-from .learning import FoldModels
+from .learning import FoldModels, with_calibration
 
 
 def score_new(models: FoldModels, required: DataFrame, rows: DataFrame, fallback: float = 0.5, **settings) -> DataFrame:
@@ -47,8 +47,9 @@ def score_batch(
     if text is not None:
         rows = rows.join(text.select("response_id", "text_pred"), "response_id", "left")
         p = blend_logit(["pred", "text_pred"], [num(1.0 - text_weight), num(text_weight)])
-    rows = rows.selectExpr("response_id", "objective_id", f"{p} AS blended")
-    final = calibrated("blended", calibrator or {"method": "none"})
+    rows = with_calibration(
+        rows.selectExpr("response_id", "objective_id", f"{p} AS blended"), calibrator or {"method": "none"}, "blended", "_final")
+    final = "_final"
     if shrinkage is not None:
         weight, base = shrinkage
         final = shrink(final, num(weight), num(base))
