@@ -28,16 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import packed, unpacked, written
+from .storage import packed, slices, unpacked, written
 
 #: Postings (a term in a source, or in a language's documents) that fill a task's memory.
-POSTINGS = 600_000
+POSTINGS = 400_000
 #: Terms in one slice of a run.
 SLICE = 2048
 #: Runs that one heap merges.
 FAN_IN = 256
 #: Text in one shard, and the most shards; a shard is merged as a stream, so it may hold more.
-SHARD_BYTES, MOST_SHARDS = 2 << 20, 4096
+SHARD_BYTES, MOST_SHARDS = 8 << 20, 4096
 #: Bytes of a text that are split at once.
 STRETCH = 4 << 20
 #: Sources in one tile of the pair sums, and tiles a task holds before it gives them out.
@@ -65,7 +65,7 @@ def spill_runs(rows: DataFrame, shards: int, postings: int = POSTINGS) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         documents, sources, held = defaultdict(Counter), defaultdict(Counter), 0
-        for batch in batches:
+        for batch in slices(batches):
             for text, lang, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen, there, own = set(), documents[lang], sources[lang, source]
                 before = len(there) + len(own)
@@ -85,9 +85,10 @@ def spill_runs(rows: DataFrame, shards: int, postings: int = POSTINGS) -> DataFr
 def _spilled(number: int, documents: dict[str, Counter], sources: dict[tuple[str, str], Counter],
              shards: int) -> Iterator[pa.RecordBatch]:
     for lang, there in documents.items():
-        terms = sorted(there, key=lambda t: (zlib.crc32(t) % shards, t))
+        dealt = sorted([(zlib.crc32(t) % shards, t) for t in there])
+        terms = [t for _, t in dealt]
         place = {t: i for i, t in enumerate(terms)}
-        shard = np.fromiter((zlib.crc32(t) % shards for t in terms), np.int64, len(terms))
+        shard = np.array([k for k, _ in dealt])
         names = sorted(s for own_lang, s in sources if own_lang == lang)
         owns = [sources[lang, s] for s in names]
         at = np.concatenate([np.fromiter(map(place.__getitem__, own), np.int64, len(own)) for own in owns])
@@ -123,7 +124,7 @@ def _postings(payload: bytes) -> Iterator[tuple[bytes, int, list[str], list[int]
         at += size
 
 
-def _merged(slices: Iterable[tuple[tuple, bytes, bytes]]) -> Iterator[tuple[tuple, bytes, int, dict[str, int]]]:
+def _merged(sorted_slices: Iterable[tuple[tuple, bytes, bytes]]) -> Iterator[tuple[tuple, bytes, int, dict[str, int]]]:
     """(key, term, documents, occurrences by source), in order, of slices sorted by key and first term."""
     heap, current, fresh = [], None, itertools.count()
 
@@ -142,7 +143,7 @@ def _merged(slices: Iterable[tuple[tuple, bytes, bytes]]) -> Iterator[tuple[tupl
                     heapq.heappop(heap)
             yield current, term, documents, occurrences
 
-    for key, first, payload in slices:
+    for key, first, payload in sorted_slices:
         yield from drain(first if key == current else None)
         current, rest = key, _postings(payload)
         term, *posting = next(rest)
@@ -179,9 +180,9 @@ def kept_terms(rows: DataFrame, least_docs: int, postings: int = POSTINGS, fan_i
         runs = written(merge_runs(runs, -(-n // fan_in)), "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices = (((r["shard"], r["lang"]), r["first"], r["payload"]) for b in batches for r in b.to_pylist())
+        rows = (((r["shard"], r["lang"]), r["first"], r["payload"]) for b in batches for r in b.to_pylist())
         found = ((lang, term.decode(), list(own), list(own.values()))
-                 for (_, lang), term, documents, own in _merged(slices) if documents >= least_docs)
+                 for (_, lang), term, documents, own in _merged(rows) if documents >= least_docs)
         kinds = (("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())))
         while part := list(itertools.islice(found, SLICE)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*part, strict=True), kinds, strict=True)],

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -37,22 +38,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def packed(*parts: bytes) -> bytes:
-    """Compressed byte strings behind their lengths."""
-    out = []
-    for part in parts:
-        small = zstandard.compress(part, 3)
-        out += [len(small).to_bytes(8, "little"), small]
-    return b"".join(out)
+    """Byte strings behind their number and lengths, compressed together."""
+    sizes = np.array([len(parts), *map(len, parts)], "<u8").tobytes()
+    return zstandard.compress(b"".join([sizes, *parts]), 3)
 
 
 def unpacked(payload: bytes) -> list[bytes]:
     """The byte strings of ``packed``."""
-    out, at = [], 0
-    while at < len(payload):
-        size = int.from_bytes(payload[at:at + 8], "little")
-        out.append(zstandard.decompress(payload[at + 8:at + 8 + size]))
-        at += 8 + size
-    return out
+    raw = zstandard.decompress(payload)
+    n = int.from_bytes(raw[:8], "little")
+    ends = (np.cumsum(np.frombuffer(raw, "<u8", n, 8)) + 8 * (n + 1)).tolist()
+    return [raw[a:b] for a, b in zip([8 * (n + 1), *ends], ends)]
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -47,11 +47,11 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def _planes(numbers: np.ndarray) -> bytes:
     """Bytes of equal weight side by side; of small numbers the upper ones compress to nothing."""
-    return packed(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _numbers(payload: bytes) -> np.ndarray:
-    return np.frombuffer(np.ascontiguousarray(np.frombuffer(unpacked(payload)[0], np.uint8).reshape(8, -1).T).tobytes(), "<u8")
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.frombuffer(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).tobytes(), "<u8")
 
 
 def _grams(words: np.ndarray, n: int) -> np.ndarray:
