@@ -10,6 +10,7 @@ from test_responses import SCHEMA, make
 from turnwise.operators import folds as FO
 from turnwise.operators import isotonic as IS
 from turnwise.operators import newton as NE
+from turnwise.operators import sparse as SP
 from turnwise.operators.ordered import aggregate
 from turnwise.plans import learning as LN
 from turnwise.plans.scoring import score_batch, score_new
@@ -105,10 +106,41 @@ def test_validation_covariates_do_not_move_the_pca(spark, matrix):
 
 
 def test_character_grams(spark):
-    df = spark.createDataFrame([("ab c",)], "text string")
-    low = LN.hashed_grams(df, buckets=1 << 16).first().features
+    df = spark.createDataFrame([(1, "ab c"), (2, ""), (3, None), (4, "ab ab")], "response_id int, text string")
+    rows = by_key(LN.hashed_grams(df, buckets=1 << 16), "response_id")
     # word part: "ab" only; characters: " ab", "ab ", " ab " and " c "
-    assert low.numNonzeros() == 1 + 4 and np.isclose(low.norm(2), 2**0.5)
+    words = [v for b, v in zip(rows[1]["buckets"], rows[1]["values"]) if b < 1 << 16]
+    assert words == [1.0] and len(rows[1]["values"]) == 5 and np.isclose(np.linalg.norm(rows[1]["values"]), 2**0.5)
+    assert rows[2]["buckets"] == rows[3]["values"] == []
+    assert sorted(v for b, v in zip(rows[4]["buckets"], rows[4]["values"]) if b < 1 << 16) == pytest.approx([1 / 5**0.5, 2 / 5**0.5])
+
+
+def test_sparse_fit_equals_a_plain_solver(spark):
+    rng = np.random.default_rng(2)
+    size, n, reg, elastic = 30, 150, 1e-2, 0.3
+    x = np.zeros((n, size))
+    for row in x:
+        at = rng.choice(size, 4, replace=False)
+        row[at] = rng.random(4)
+        row /= np.linalg.norm(row) / 2**0.5
+    y = (rng.random(n) < 1 / (1 + np.exp(-4 * (x[:, 0] - x[:, 1])))).astype(float)
+    fold = np.arange(n) % 3
+    rows = [(i, int(fold[i]), float(y[i]), np.flatnonzero(x[i]).tolist(), x[i][x[i] != 0].tolist()) for i in range(n)]
+    df = LN.cut(spark.createDataFrame(rows, "response_id int, fold int, label double, buckets array<int>, values array<double>").repartition(3))
+    got = SP.fit_elastic(df, range(3), size, reg, elastic, steps=400, tolerance=1e-9)
+    for k in range(3):
+        keep = fold != k
+        design, w = np.c_[x[keep], np.ones(keep.sum())], np.zeros(size + 1)
+        rate, free = 1 / (0.75 + reg), np.r_[np.ones(size), 0.0]
+        for _ in range(20_000):  # plain proximal descent
+            z = w - rate * (design.T @ (1 / (1 + np.exp(-design @ w)) - y[keep]) / keep.sum() + reg * (1 - elastic) * free * w)
+            w = np.sign(z) * np.maximum(np.abs(z) - rate * reg * elastic * free, 0)
+        assert np.allclose(got[:, k], w, atol=1e-5) and (w[:size] == 0).any()
+        own = by_key(SP.score_elastic(df, got, range(3)).where(f"fold = {k}"), "response_id")
+        for i in np.flatnonzero(~keep):
+            assert np.isclose(own[i]["pred"], 1 / (1 + np.exp(-(x[i] @ w[:size] + w[size]))), atol=1e-5)
+    with pytest.raises(ValueError, match="exceed"):
+        SP.fit_elastic(df, range(3), 1 << 30)
 
 
 def test_calibration_recovers_a_distortion(spark):

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -228,10 +230,30 @@ def test_blend_search(spark, frame):
     best = BL.best_blend(BL.blend_losses(frame, ["pred", "pred_b"], BL.simplex(2, 10))).first()
     fine = BL.optimal_blend(frame, ["pred", "pred_b"])
     loss = lambda w: frame.selectExpr(f"avg({S.log_loss('label', S.blend_logit(['pred', 'pred_b'], [S.num(v) for v in w]))}) AS l").first().l
-    assert np.isclose(sum(fine), 1, atol=1e-5) and loss(fine) <= loss(best.weights) + 1e-12
+    assert np.isclose(sum(fine.weights), 1) and loss(fine.weights) <= loss(best.weights) + 1e-12 and np.isclose(loss(fine.weights), fine.logloss)
     assert len(BL.simplex(3, 4)) == 15 and all(np.isclose(sum(p), 1) for p in BL.simplex(3, 4))
 
 
+def test_simplex_weights_are_optimal(spark):
+    """Four models, one of them useless and one repeated: no other weights within reach are better."""
+    rng = np.random.default_rng(3)
+    truth = rng.normal(size=600)
+    y = (rng.random(600) < 1 / (1 + np.exp(-truth))).astype(float)
+    z = np.stack([truth + rng.normal(size=600), 0.5 * truth + rng.normal(size=600) * 0.7, -truth, truth + 0.1], axis=1)
+    p = 1 / (1 + np.exp(-np.clip(z, -13, 13)))
+    rows = [(float(t), *map(float, v)) for t, v in zip(y, p)] + [(1.0, 0.3, None, 0.5, 0.5)]
+    df = spark.createDataFrame(rows, "label double, a double, b double, c double, d double")
+    best = BL.optimal_blend(df, list("abcd"))
+    full = np.log(p / (1 - p))
+    loss = lambda w: (np.logaddexp(0, full @ w) - y * (full @ w)).sum() - np.log(0.3)
+    assert best.gap < 1e-6 and min(best.weights) >= 0 and np.isclose(sum(best.weights), 1) and min(best.weights) == 0 < sorted(best.weights)[1]
+    assert np.isclose(loss(np.array(best.weights)) / 601, best.logloss)
+    for other in rng.dirichlet([0.5] * 4, 3000):
+        for step in (1.0, 0.1, 0.001):
+            assert loss((1 - step) * np.array(best.weights) + step * other) >= loss(np.array(best.weights)) - 601 * 1e-9
+    assert BL.optimal_blend(df, ["a"]).weights == (1.0,)
+
+
 def test_harmful_text_is_not_promoted(spark):
     rows = [(i, i % 5, float(i % 2), 0.8 if i % 2 else 0.2) for i in range(100)]
     df = spark.createDataFrame(rows, "response_id int, fold int, label double, base double").selectExpr("*", "1 - base AS text")
@@ -327,3 +349,57 @@ def test_large_share_sampling_equals_the_ranked_limit(spark, monkeypatch):
     monkeypatch.setattr(SA, "GROUP_LIMIT", 10)
     assert ranked == {r.response_id for r in SA.per_group_sample(df, "session_id", "response_id", 120, seed=1).collect()}
     assert len(ranked) == 110
+
+
+def walked_plainly(groups, k, stratified):
+    """One group after another, costs as variances of exact fractions."""
+    total_a = sum(n - p if stratified else n for n, p in groups)
+    total_b = sum(p for _, p in groups)
+    scale = [Fraction(max(t, k)) / k for t in (total_a, total_b)]
+    held, rows, out = [[0, 0] for _ in range(k)], [0] * k, []
+    for i, (n, p) in enumerate(groups):
+        own = (n - p if stratified else n, p)
+
+        def cost(j):
+            trial = [[h[m] + (own[m] if f == j else 0) for f, h in enumerate(held)] for m in (0, 1)]
+            mean = [Fraction(sum(t), k) for t in trial]
+            return sum(sum((x - mu) ** 2 for x in t) / k / s**2 for t, mu, s in zip(trial, mean, scale))
+
+        best = min(range(k), key=lambda j: (cost(j), rows[j] if stratified else 0, j))
+        fold = i if not stratified and i < k else best
+        held[fold] = [held[fold][0] + own[0], held[fold][1] + own[1]]
+        rows[fold] += n
+        out.append(fold)
+    return out
+
+
+@pytest.mark.parametrize("stratified", [True, False])
+@pytest.mark.parametrize("shape", ["mixed", "one giant", "few", "equal"])
+def test_greedy_folds_equal_the_walk(spark, stratified, shape):
+    rng = random.Random(8)
+    sizes = {"mixed": [(n, rng.randint(0, n)) for n in [rng.choice([1, 1, 1, 2, 3, 7, 40]) for _ in range(150)]],
+             "one giant": [(90, 30)] + [(1, i % 2) for i in range(130)], "few": [(3, 1), (2, 2)], "equal": [(2, 1)] * 23}[shape]
+    groups = [(f"g{i}", n, p) for i, (n, p) in enumerate(sizes)]
+    df = spark.createDataFrame(groups, "g string, n long, n_pos long").repartition(3)
+    got = {r.g: r.fold for r in FO.greedy(df, 4, 7, "g", stratified).collect()}
+    hashed = lambda g: hashlib.md5(f"{g}|7".encode()).hexdigest()
+    ordered = sorted(groups, key=lambda x: ((-abs(x[1] - 2 * x[2]) if stratified else 0), -x[1], -x[2], hashed(x[0])))
+    want = walked_plainly([x[1:] for x in ordered], 4, stratified)
+    assert [got[x[0]] for x in ordered] == want and len(got) == len(groups)
+
+
+def test_greedy_folds_are_more_even_than_the_snake(spark):
+    rng = random.Random(2)
+    groups = [(i, n, rng.randint(0, n)) for i, n in enumerate([int(200 * rng.random() ** 6) + 1 for _ in range(120)])]
+    df = spark.createDataFrame(groups, "g long, n long, n_pos long")
+
+    def spread(dealt):
+        totals = [r.n for r in dealt.join(df.select("g", "n"), "g").groupBy("fold").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()]
+        return np.var(totals)
+
+    assert spread(FO.greedy(df, 5, 0, "g", False).select("g", "fold")) < spread(FO.deal(df, ("n", "n_pos"), 5, 0, "g").select("g", "fold"))
+
+
+def test_a_class_of_any_size_takes_few_phases():
+    plan = FO.phases([0, 10**15, 7, 7], [0, 0, 0, 0], 3, 1, 10**18)
+    assert len(plan) <= 8 and plan[0] == (0, [0]) and sorted(plan[-1][1]) == [0, 1, 2, 3]

@@ -449,19 +449,32 @@ def _batch(spark, sf_dir):
     )
 
 
+#: Newton steps for one weight between zero and one.
+BLEND_STEPS = f"""
+    WITH RECURSIVE {R},
+    z AS MATERIALIZED (SELECT label, pred, pred_b, ln(pred / (1 - pred)) AS za, ln(pred_b / (1 - pred_b)) AS zb FROM r),
+    steps AS (
+        SELECT 0 AS step, 0.5::DOUBLE AS w
+        UNION ALL
+        SELECT step + 1, least(1, greatest(0, w - g / h))
+        FROM (SELECT step, w, sum((q - label) * (za - zb)) AS g, sum(q * (1 - q) * (za - zb) * (za - zb)) AS h
+              FROM (SELECT step, w, label, za, zb, 1 / (1 + exp(-(w * za + (1 - w) * zb))) AS q FROM steps, z WHERE step < 15) GROUP BY ALL))"""
+
+
 @query("blend_report", "M15 J10 M14", rounded(f"""
-    WITH {R}, w AS (SELECT i / 10.0::DOUBLE AS w FROM (SELECT unnest(range(0, 11)) AS i)),
-    q AS (SELECT w, avg({loss_sql('(1 / (1 + exp(-(w * ln(pred / (1 - pred)) + (1 - w) * ln(pred_b / (1 - pred_b))))))')}) AS l FROM r, w GROUP BY w)
-    SELECT (SELECT count(*) FROM r) AS n_common, arg_min(w, l) AS weight_a, 1 - arg_min(w, l) AS weight_b, min(l) AS logloss,
-           (SELECT avg({loss_sql('pred')}) FROM r) AS logloss_a, (SELECT avg({loss_sql('pred_b')}) FROM r) AS logloss_b,
-           'mixed' AS split_mode, false AS regime_consistent FROM q""", "weight_a weight_b logloss logloss_a logloss_b"))
+    {BLEND_STEPS}, best AS (SELECT w FROM steps WHERE step = 15)
+    SELECT count(*) AS n_common, any_value(w) AS weight_a, 1 - any_value(w) AS weight_b,
+           avg({loss_sql('(1 / (1 + exp(-(w * za + (1 - w) * zb))))')}) AS logloss, 0.0::DOUBLE AS optimality_gap,
+           avg({loss_sql('pred')}) AS logloss_a, avg({loss_sql('pred_b')}) AS logloss_b,
+           'mixed' AS split_mode, false AS regime_consistent FROM z, best""",
+    "weight_a weight_b logloss optimality_gap logloss_a logloss_b"))
 def _blend_report(spark, sf_dir):
     from ..plans.experiments import blend_report
 
     rows = responses(spark, sf_dir)
     a = rows.select("response_id", "session_id", "label", "pred")
     b = rows.selectExpr("response_id", "session_id", "label", "pred_b AS pred")
-    return blend_report({"a": a, "b": b}, {"a": "objective", "b": "session"}, steps=10)
+    return blend_report({"a": a, "b": b}, {"a": "objective", "b": "session"})
 
 
 # --- ledgers and importances -----------------------------------------------------------

@@ -58,8 +58,7 @@ def _gbt_importance(spark, sf_dir):
 @query("text_model_oof", "M4 T17")
 def _text(spark, sf_dir):
     folds = FO.session_folds(labelled_texts(spark, sf_dir), K)
-    learner = LN.logistic(reg=1e-3, elastic=0.05, iterations=60, scale=False)
-    return LN.text_out_of_fold(folds, range(K), learner=learner)
+    return LN.text_out_of_fold(folds, range(K), reg=1e-3, elastic=0.05, steps=60)
 
 
 def labelled_moves(spark, sf_dir):

@@ -27,6 +27,27 @@ def folds_sql(key: str, order: str, seed: int = 0, k: int = 5, name: str = "f")
     {name} AS MATERIALIZED (SELECT r.*, fold FROM r JOIN {name}k USING ({key}))"""
 
 
+def greedy_sql(key: str, stratified: bool, seed: int = 0, k: int = 5) -> str:
+    """The walk of one group after another; needs WITH RECURSIVE before it."""
+    first, lead = ("n - np", "abs(n - 2 * np) DESC, ") if stratified else ("n", "")
+    tie = "rs[j]" if stratified else "0"
+    chosen = f"list_sort(list_transform(range(1, {k + 1}), lambda j: {{'c': ta[j] * a * sb + tb[j] * b * sa, 'r': {tie}, 'j': j}}))[1].j"
+    chosen = chosen if stratified else f"CASE WHEN i.i <= {k} THEN i.i ELSE {chosen} END"
+    grow = lambda t, x: f"list_transform(range(1, {k + 1}), lambda j: {t}[j] + CASE WHEN j = f THEN {x} ELSE 0 END)"
+    zeros = f"{[0] * k}::HUGEINT[]"
+    return f"""
+    gs AS (SELECT {key}, CAST(count(*) AS HUGEINT) AS n, CAST(sum(label) AS HUGEINT) AS np FROM r GROUP BY {key}),
+    gi AS MATERIALIZED (SELECT {key}, n, {first} AS a, np AS b, greatest(sum({first}) OVER (), {k}) * greatest(sum({first}) OVER (), {k}) AS sa,
+                  greatest(sum(np) OVER (), {k}) * greatest(sum(np) OVER (), {k}) AS sb,
+                  row_number() OVER (ORDER BY {lead}n DESC, np DESC, md5(CAST({key} AS VARCHAR) || '|{seed}')) AS i FROM gs),
+    walk AS (
+        SELECT CAST(0 AS BIGINT) AS i, {zeros} AS ta, {zeros} AS tb, {zeros} AS rs, CAST(0 AS BIGINT) AS f
+        UNION ALL
+        SELECT i, {grow('ta', 'a')}, {grow('tb', 'b')}, {grow('rs', 'n')}, f
+        FROM (SELECT i.i, ta, tb, rs, a, b, n, CAST({chosen} AS BIGINT) AS f FROM walk JOIN gi AS i ON i.i = walk.i + 1)),
+    f AS MATERIALIZED (SELECT r.*, walk.f - 1 AS fold FROM r JOIN gi USING ({key}) JOIN walk USING (i))"""
+
+
 SESSION_FOLDS = f"{R}, {folds_sql('session_id', 'np DESC, n DESC')}"
 OBJECTIVE_FOLDS = f"{R}, {folds_sql('objective_id', 'n DESC, np DESC')}"
 
@@ -253,13 +274,27 @@ def _rare(spark, sf_dir):
 
 
 # --- folds -----------------------------------------------------------------------------
-@query("session_fold_assignment", "F1 K1", f"WITH {SESSION_FOLDS} SELECT response_id, session_id, label, fold FROM f")
+GREEDY_SESSIONS = f"WITH RECURSIVE {R}, {greedy_sql('session_id', True)}"
+GREEDY_OBJECTIVES = f"WITH RECURSIVE {R}, {greedy_sql('objective_id', False)}"
+
+
+@query("session_fold_assignment", "F1 K1", f"{GREEDY_SESSIONS} SELECT response_id, session_id, label, fold FROM f")
 def _session_folds(spark, sf_dir):
-    return FO.session_folds(responses(spark, sf_dir)).select("response_id", "session_id", "label", "fold")
+    return FO.greedy_session_folds(responses(spark, sf_dir)).select("response_id", "session_id", "label", "fold")
 
 
-@query("objective_fold_assignment", "F3", f"WITH {OBJECTIVE_FOLDS} SELECT response_id, objective_id, label, fold FROM f")
+@query("objective_fold_assignment", "F3", f"{GREEDY_OBJECTIVES} SELECT response_id, objective_id, label, fold FROM f")
 def _objective_folds(spark, sf_dir):
+    return FO.greedy_objective_folds(responses(spark, sf_dir)).select("response_id", "objective_id", "label", "fold")
+
+
+@query("session_fold_snake", "F1", f"WITH {SESSION_FOLDS} SELECT response_id, session_id, label, fold FROM f")
+def _session_snake(spark, sf_dir):
+    return FO.session_folds(responses(spark, sf_dir)).select("response_id", "session_id", "label", "fold")
+
+
+@query("objective_fold_snake", "F3", f"WITH {OBJECTIVE_FOLDS} SELECT response_id, objective_id, label, fold FROM f")
+def _objective_snake(spark, sf_dir):
     return FO.objective_folds(responses(spark, sf_dir)).select("response_id", "objective_id", "label", "fold")
 
 

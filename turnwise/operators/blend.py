@@ -1,16 +1,18 @@
-"""Shrinkage and blend weights by grid search in one aggregation.
+"""Shrinkage and blend weights.
 
-All candidate weights are aggregates of the same pass, so rows are never multiplied by the
-grid.
+Grids are aggregates of one pass, so rows are never multiplied by the grid; weights of several models
+are the minimum of a convex loss and come from Newton steps on the simplex, one aggregate a step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence as Seq
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 
-from ..functions.scalars import blend_logit, log_loss, num, shrink
+from ..functions.scalars import blend_logit, log_loss, logit, num, shrink
 from .ordered import aggregate
 
 SHRINK_GRID = tuple(round(0.05 * i, 2) for i in range(1, 21))  # fixed values 0.05 .. 1.00
@@ -83,27 +85,73 @@ def best_blend(losses: DataFrame, keys: Seq[str] = ()) -> DataFrame:
     )
 
 
-def refine(best: Seq[float], steps: int, fine: int = 10) -> list[tuple[float, ...]]:
-    """Finer weight vectors around a coarse optimum (one coarse cell in each direction)."""
-    cell, out = 1.0 / steps, set()
-    for delta in simplex(len(best), fine):
-        point = [max(0.0, b + cell * (d - 1.0 / len(best)) * 2) for b, d in zip(best, delta)]
-        total = sum(point)
-        if total > 0:
-            out.add(tuple(round(p / total, 6) for p in point))
-    return sorted(out)
+def on_simplex(point: np.ndarray) -> np.ndarray:
+    """The nearest point with entries of zero or more that sum to one."""
+    ordered = np.sort(point)[::-1]
+    excess = (np.cumsum(ordered) - 1.0) / np.arange(1, len(point) + 1)
+    return np.maximum(point - excess[np.flatnonzero(ordered > excess)[-1]], 0.0)
 
 
-def optimal_blend(df: DataFrame, preds: Seq[str], label: str = "label", steps: int = 10) -> tuple[float, ...]:
-    """Simplex weights of least log loss, coarse grid then a finer one around it.
+def _newton_point(at: np.ndarray, slope: np.ndarray, curve: np.ndarray, steps: int = 2000) -> np.ndarray:
+    """Minimum over the simplex of the quadratic model around ``at``, by accelerated projection."""
+    rate = 1.0 / max(float(np.linalg.eigvalsh(curve)[-1]), 1e-12)
+    here = ahead = at
+    age = 1.0
+    for _ in range(steps):
+        older, age = age, (1.0 + (1.0 + 4.0 * age * age) ** 0.5) / 2.0
+        last, here = here, on_simplex(ahead - rate * (slope + curve @ (ahead - at)))
+        if (ahead - here) @ (here - last) > 0:
+            age = 1.0
+        ahead = here + (older - 1.0) / age * (here - last)
+        if np.abs(here - last).max() < 1e-14:
+            break
+    return here
 
-    Two aggregation passes; only the winning weight vector reaches the driver.
+
+@dataclass(frozen=True)
+class Blend:
+    """Simplex weights, their mean log loss, and a bound on how far that is above the least one."""
+
+    weights: tuple[float, ...]
+    logloss: float
+    gap: float
+
+
+def optimal_blend(df: DataFrame, preds: Seq[str], label: str = "label", steps: int = 30, tolerance: float = 1e-10) -> Blend:
+    """Simplex weights of least log loss of the logit blend.
+
+    The loss is convex in the weights.  A step is one aggregate (loss, gradient, Hessian) and the
+    minimum over the simplex of the quadratic they define; a step that raises the loss is halved.  It
+    ends when ``gradient . weights - min(gradient)``, which bounds the distance from the optimum, is
+    below ``tolerance`` and the weights stand still.  Rows with a null prediction keep the first one.
     """
-    coarse = best_blend(blend_losses(df, preds, simplex(len(preds), steps), label=label)).first()
-    if len(preds) == 1:
-        return tuple(coarse["weights"])
-    points = [tuple(coarse["weights"]), *refine(coarse["weights"], steps)]
-    return tuple(best_blend(blend_losses(df, preds, points, label=label)).first()["weights"])
+    m = len(preds)
+    z = [f"z{i}" for i in range(m)]
+    known = " AND ".join(f"{p} IS NOT NULL" for p in preds)
+    rows = df.selectExpr(f"CAST({label} AS DOUBLE) AS y", f"{log_loss(label, preds[0])} AS first", f"{known} AS known",
+                         *[f"{logit(p)} AS {n}" for p, n in zip(preds, z)])
+    at = base = np.full(m, 1.0 / m)
+    best = Blend(tuple(at), float("inf"), float("inf"))
+    for _ in range(steps):
+        total = "(" + " + ".join(f"{num(w)} * {n}" for w, n in zip(at, z)) + ")"
+        q = f"(1D / (1D + exp(-{total})))"
+        on = lambda e: f"sum(CASE WHEN known THEN {e} ELSE 0D END)"
+        loss = f"sum(CASE WHEN known THEN greatest({total}, 0D) + log1p(exp(-abs({total}))) - y * {total} ELSE first END)"
+        row = aggregate(rows, [], "count(1) AS n", f"{loss} AS l", *[f"{on(f'({q} - y) * {a}')} AS g{i}" for i, a in enumerate(z)],
+                        *[f"{on(f'{q} * (1D - {q}) * {z[i]} * {z[j]}')} AS h{i}_{j}" for i in range(m) for j in range(i + 1)]).first()
+        if not row["n"]:
+            return best
+        value = row["l"] / row["n"]
+        if value > best.logloss + 1e-15:
+            at = (base + at) / 2
+            continue
+        slope = np.array([row[f"g{i}"] for i in range(m)]) / row["n"]
+        curve = np.array([[row[f"h{max(i, j)}_{min(i, j)}"] for j in range(m)] for i in range(m)]) / row["n"]
+        best = Blend(tuple(float(w) for w in at), value, float(max(0.0, slope @ at - slope.min())))
+        base, at = at, _newton_point(at, slope, curve)
+        if best.gap <= tolerance and np.abs(at - base).max() <= 1e-9:
+            break
+    return best
 
 
 def fold_weights(df: DataFrame, base: str, text: str, grid: Seq[float] = PROMOTE_GRID,

@@ -1,11 +1,17 @@
 """Fold assignment, purging and hold-out splits.
 
-Groups are ranked by size and positives and dealt to folds in a snake, which keeps folds
-disjoint by group and balanced, and needs one distributed ranking instead of a greedy walk.
+Two ways to keep whole groups in a fold and folds alike.  ``deal`` ranks groups by size and positives
+and deals them in a snake: one distributed ranking.  ``greedy`` gives each group, largest first, to the
+fold where it leaves the least variance of the folds' totals.  That is a walk, but groups of equal
+(rows, positives) meet the same choices, so it walks over classes of equal groups and settles a class
+of any size in a few phases; the groups themselves are only ranked within their class.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.scalars import seeded_hash
@@ -32,6 +38,96 @@ def deal(groups: DataFrame, order: tuple[str, ...], k: int, seed: int, key: str)
     return ranked.selectExpr(*groups.columns, f"{snake('_rank', k)} AS fold")
 
 
+def phases(costs: list[int], ties: list[int], step: int, weight: int, count: int) -> list[tuple[int, list[int]]]:
+    """Who receives ``count`` equal groups: ``(first rank, cycle of folds)``, each cycle repeated until the next.
+
+    A group goes to the fold of least cost (then the least of ``ties``, then the first) and raises them by
+    ``step`` and ``weight``.  Folds within one step of the least take turns until they reach the next
+    one, so the phases are at most two for each fold, whatever the count.
+    """
+    out, costs, ties, given = [], list(costs), list(ties), 0
+    while given < count:
+        least = min(costs)
+        turn = sorted((j for j in range(len(costs)) if costs[j] < least + step), key=lambda j: (costs[j], ties[j], j))
+        beyond = min((costs[j] for j in range(len(costs)) if j not in turn), default=None)
+        rounds = -(-(count - given) // len(turn)) if beyond is None else max(1, (beyond - least) // step)
+        out.append((given, turn))
+        for j in turn:
+            costs[j] += rounds * step
+            ties[j] += rounds * weight
+        given += rounds * len(turn)
+    return out
+
+
+def _walk(k: int, seeded: bool, total: tuple[int, int]):
+    """Phases of classes that arrive in order; ``total``: sums of the two balanced counts."""
+    scale = [max(t, k) ** 2 for t in total]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, walked = [[0, 0] for _ in range(k)], [0] * k, 0
+        for batch in batches:
+            firsts, folds = [], []
+            for n, a, b, count in zip(*(batch.column(c).to_pylist() for c in ("n", "a", "b", "n_groups")), strict=True):
+                forced = min(count, max(0, k - walked)) if seeded else 0
+                plan = [(i, [walked + i]) for i in range(forced)]
+                for i in range(forced):
+                    held[walked + i] = [held[walked + i][0] + a, held[walked + i][1] + b]
+                    rows[walked + i] += n
+                weigh = lambda x, y: x * a * scale[1] + y * b * scale[0]  # noqa: E731, B023
+                settled = phases([weigh(*h) for h in held], [0] * k if seeded else rows, weigh(a, b), 0 if seeded else n, count - forced)
+                for (first, turn), after in zip(settled, [p[0] for p in settled[1:]] + [count - forced]):
+                    for i, j in enumerate(turn):
+                        got = max(0, after - first - i + len(turn) - 1) // len(turn)
+                        held[j] = [held[j][0] + got * a, held[j][1] + got * b]
+                        rows[j] += got * n
+                plan += [(first + forced, turn) for first, turn in settled]
+                walked += count
+                firsts.append([p[0] for p in plan])
+                folds.append([p[1] for p in plan])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("n"), batch.column("n_pos"), pa.array(firsts, pa.list_(pa.int64())), pa.array(folds, pa.list_(pa.list_(pa.int64())))],
+                names=["n", "n_pos", "firsts", "turns"])
+
+    return run
+
+
+def greedy(groups: DataFrame, k: int, seed: int, key: str, stratified: bool) -> DataFrame:
+    """Add ``fold`` to one-row-per-group ``groups`` (``key``, ``n`` rows, ``n_pos`` positives).
+
+    Plain: largest groups first, the first ``k`` one to each fold, then the fold where the variance of
+    (rows, positives), each over its share of the total, grows least.  ``stratified``: groups that lean
+    most to one label first, and (negatives, positives) are balanced; of equal folds the one with fewest
+    rows.  Order among equal groups is a seeded hash.  Arithmetic is exact.
+    """
+    counted = groups.selectExpr(key, "CAST(n AS BIGINT) AS n", "CAST(coalesce(n_pos, 0) AS BIGINT) AS n_pos", f"{seeded_hash(key, seed=seed)} AS _h")
+    first = "n - n_pos" if stratified else "n"
+    totals = aggregate(counted, [], f"coalesce(sum({first}), 0) AS a", "coalesce(sum(n_pos), 0) AS b").first()
+    classes = aggregate(counted, ["n", "n_pos"], "count(1) AS n_groups").selectExpr(
+        "n", "n_pos", f"{first} AS a", "n_pos AS b", "n_groups", f"{'abs(n - 2 * n_pos)' if stratified else 'n'} AS _lead")
+    ordered = classes.repartition(1).sortWithinPartitions("_lead", "n", "n_pos", ascending=False)
+    plan = ordered.drop("_lead").mapInArrow(
+        _walk(k, not stratified, (totals["a"], totals["b"])), "n long, n_pos long, firsts array<long>, turns array<array<long>>")
+    ranked = scan(counted, Sequence(("n", "n_pos"), ("_h",), ("substr(_h, 1, 3)",)), running={"_rank": "1L"})
+    placed = ranked.join(small_side(plan), ["n", "n_pos"]).selectExpr(
+        key, "_rank", "size(filter(firsts, f -> f <= _rank)) AS _phase", "firsts", "turns")
+    return placed.selectExpr(key, "_rank - element_at(firsts, _phase) AS _at", "element_at(turns, _phase) AS _turn").selectExpr(
+        key, "get(_turn, CAST(_at % size(_turn) AS INT)) AS fold")
+
+
+def greedy_session_folds(responses: DataFrame, k: int = 5, seed: int = 0, group: str = "session_id",
+                         label: str = "label") -> DataFrame:
+    """Every response with a fold; whole groups, labels stratified greedily."""
+    stats = aggregate(responses, [group], "count(1) AS n", f"sum({label}) AS n_pos")
+    return responses.join(greedy(stats, k, seed, group, stratified=True), group)
+
+
+def greedy_objective_folds(responses: DataFrame, k: int = 5, seed: int = 0, group: str = "objective_id",
+                           label: str = "label") -> DataFrame:
+    """Whole objectives per fold, each to the fold of least variance in rows and positives."""
+    stats = aggregate(responses, [group], "count(1) AS n", f"sum({label}) AS n_pos")
+    return responses.join(small_side(greedy(stats, k, seed, group, stratified=False)), group)
+
+
 def session_folds(responses: DataFrame, k: int = 5, seed: int = 0, group: str = "session_id",
                   label: str = "label") -> DataFrame:
     """Every response with a fold; a group never spans folds, positives are balanced."""

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions.scalars import log_loss
-from ..operators.blend import best_blend, blend_losses, simplex
+from ..functions.scalars import log_loss, num
+from ..operators.blend import optimal_blend
 from ..operators.compare import projected_loss
 from ..operators.joins import require_same_cohort
 from ..operators.metrics import within_fold_auc
 from ..operators.ordered import aggregate
 from ..operators.stats import auc
+from ..session import cut
 
 
 def score_experiments(oof: DataFrame, folds: DataFrame, modes: DataFrame, c: float, k: float,
@@ -48,11 +49,10 @@ def holdout_report(folds: DataFrame, rates: DataFrame, label: str = "label", pre
     ).join(auc(folds, ["fold"], label, pred).selectExpr("fold", "auc AS model_auc"), "fold")
 
 
-def blend_report(frames: dict[str, DataFrame], modes: dict[str, str], steps: int = 10,
-                 verify: bool = True) -> DataFrame:
+def blend_report(frames: dict[str, DataFrame], modes: dict[str, str], verify: bool = True) -> DataFrame:
     """Best logit blend of aligned prediction tables, with training provenance.
 
-    Cohorts are checked first; experiments trained under different split regimes are
+    ``optimality_gap`` bounds how far the loss is above the least one.  Cohorts are checked first; experiments trained under different split regimes are
     allowed but the result is marked ``mixed``.
     """
     names = list(frames)
@@ -64,19 +64,16 @@ def blend_report(frames: dict[str, DataFrame], modes: dict[str, str], steps: int
     for other in names[1:]:
         joined = joined.join(frames[other].selectExpr("response_id", f"pred AS p_{other}"), "response_id")
     preds = [f"p_{n}" for n in names]
+    joined = cut(joined)
     alone = aggregate(
         joined, [], "count(1) AS n_common",
         *[f"avg({log_loss('label', p)}) AS logloss_{n}" for n, p in zip(names, preds)],
     )
-    best = best_blend(blend_losses(joined, preds, simplex(len(names), steps)))
+    best = optimal_blend(joined, preds)
     regimes = set(modes.values())
-    return (
-        alone.withColumn("weights", best.select("weights").scalar())
-        .withColumn("logloss", best.select("logloss").scalar())
-        .selectExpr(
-            "n_common", *[f"weights[{i}] AS weight_{n}" for i, n in enumerate(names)], "logloss",
-            *[f"logloss_{n}" for n in names],
-            f"'{regimes.pop() if len(regimes) == 1 else 'mixed'}' AS split_mode",
-            f"{str(len(set(modes.values())) == 1).lower()} AS regime_consistent",
-        )
+    return alone.selectExpr(
+        "n_common", *[f"{num(w)} AS weight_{n}" for n, w in zip(names, best.weights)], f"{num(best.logloss)} AS logloss",
+        f"{num(best.gap)} AS optimality_gap", *[f"logloss_{n}" for n in names],
+        f"'{regimes.pop() if len(regimes) == 1 else 'mixed'}' AS split_mode",
+        f"{str(len(set(modes.values())) == 1).lower()} AS regime_consistent",
     )

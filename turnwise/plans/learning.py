@@ -34,7 +34,7 @@ from ..operators.metrics import probability_bin
 from ..operators.newton import fit_logistic
 from ..operators.folds import deal, purged_training, session_folds
 from ..operators.ordered import aggregate, small_side
-from ..operators.stats import auc
+from ..operators.sparse import fit_elastic, score_elastic
 from ..session import cut
 
 Learner = Callable[[], object]
@@ -230,7 +230,11 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def hashed_grams(texts: DataFrame, column: str = "text", buckets: int = 2**16) -> DataFrame:
-    """``features``: word 1-2 grams and padded character 3-5 grams, each hashed and unit length."""
+    """``buckets, values``: word 1-2 grams and padded character 3-5 grams, each hashed and of unit length.
+
+    Character grams take the second ``buckets`` numbers.  ``texts`` needs a unique ``response_id``; rows
+    move once, before they are taken apart, and their grams are counted where they are.
+    """
     low = f"translate(lower({column}), '{ACCENTED}', '{PLAIN}')"
     tokens = f"regexp_extract_all({low}, {lit(chr(92) + 'b' + chr(92) + 'w' + chr(92) + 'w+' + chr(92) + 'b')}, 0)"
     padded = f"transform(filter(split(lower({column}), {lit(chr(92) + 's+')}), w -> w <> ''), w -> concat(' ', w, ' '))"
@@ -238,30 +242,27 @@ def hashed_grams(texts: DataFrame, column: str = "text", buckets: int = 2**16) -
         "flatten(transform(_words, w -> flatten(transform(filter(array(3, 4, 5), n -> n <= length(w)), "
         "n -> transform(sequence(1, length(w) - n + 1), i -> substr(w, i, n))))))"
     )
-    split_up = texts.selectExpr("*", f"{tokens} AS _tokens", f"{padded} AS _words").selectExpr(
-        *texts.columns, f"{with_bigrams('_tokens')} AS _word_grams", f"{grams} AS _char_grams"
-    )
-    stages = Pipeline(stages=[
-        HashingTF(inputCol="_word_grams", outputCol="_wt", numFeatures=buckets),
-        HashingTF(inputCol="_char_grams", outputCol="_ct", numFeatures=buckets),
-        Normalizer(inputCol="_wt", outputCol="_w", p=2.0),
-        Normalizer(inputCol="_ct", outputCol="_c", p=2.0),
-        VectorAssembler(inputCols=["_w", "_c"], outputCol="features"),
-    ])
-    return stages.fit(split_up).transform(split_up).select(*texts.columns, "features")
-
-
-def text_out_of_fold(texts: DataFrame, folds: Sequence[int], column: str = "text",
-                     learner: Learner | None = None, buckets: int = 2**16) -> DataFrame:
-    """Hashed text model, vectorised once for all folds (hashing has no fitted state)."""
-    learner = learner or logistic(reg=1e-3, elastic=0.05, iterations=30, scale=False)
-    vectors = cut(hashed_grams(texts, column, buckets).select("response_id", "session_id", "fold", "label", "features"))
-    parts = []
-    for fold in folds:
-        model = learner().fit(vectors.where(f"fold <> {fold}"))
-        held = probability(model.transform(vectors.where(f"fold = {fold}")))
-        parts.append(held.select("response_id", "session_id", "fold", "label", "pred"))
-    return union(parts)
+    placed = texts.repartition("response_id")
+    parts = placed.selectExpr("response_id", f"coalesce({tokens}, array()) AS _tokens", f"coalesce({padded}, array()) AS _words")
+    number = f"CAST(pmod(hash(g), {buckets}) AS INT)"
+    hashed = f"concat(transform({with_bigrams('_tokens')}, g -> {number}), transform({grams}, g -> {buckets} + {number}))"
+    cells = aggregate(parts.selectExpr("response_id", f"explode({hashed}) AS bucket"), ["response_id", "bucket"], "count(1) AS n")
+    square = lambda where: f"sqrt(sum(CASE WHEN bucket {where} {buckets} THEN n * n ELSE 0L END))"
+    rows = aggregate(cells, ["response_id"], "sort_array(collect_list(struct(bucket, n))) AS _cells", f"{square('<')} AS _w", f"{square('>=')} AS _c")
+    sparse = rows.selectExpr("response_id", "transform(_cells, x -> x.bucket) AS buckets",
+                             f"transform(_cells, x -> x.n / CASE WHEN x.bucket < {buckets} THEN _w ELSE _c END) AS values")
+    empty = "CAST(array() AS array<{}>)"
+    return placed.join(sparse, "response_id", "left").selectExpr(
+        *texts.columns, f"coalesce(buckets, {empty.format('int')}) AS buckets", f"coalesce(values, {empty.format('double')}) AS values")
+
+
+def text_out_of_fold(texts: DataFrame, folds: Sequence[int], column: str = "text", reg: float = 1e-3, elastic: float = 0.05,
+                     steps: int = 60, buckets: int = 2**16) -> DataFrame:
+    """Hashed text model of every fold, fitted together; each row is scored by the model that did not see its fold."""
+    rows = hashed_grams(texts.select("response_id", "session_id", "fold", "label", column), column, buckets)
+    rows = cut(rows.select("response_id", "session_id", "fold", "label", "buckets", "values"))
+    weights = fit_elastic(rows, folds, 2 * buckets, reg, elastic, steps)
+    return score_elastic(rows.where(f"fold IN ({', '.join(map(str, folds))})"), weights, folds)
 
 
 GRAM_BUCKETS = 2**18

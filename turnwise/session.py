@@ -52,4 +52,13 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.cut_path = path
+    return back
+
+
+def discard(frame: DataFrame) -> None:
+    """Delete the table behind a frame that ``cut`` returned, once nothing reads it any more."""
+    spark = frame.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(frame.cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
