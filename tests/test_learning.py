@@ -9,6 +9,7 @@ from conftest import by_key
 from test_responses import SCHEMA, make
 from turnwise.operators import folds as FO
 from turnwise.operators import isotonic as IS
+from turnwise.operators import moments as MO
 from turnwise.operators import newton as NE
 from turnwise.operators import sparse as SP
 from turnwise.operators.ordered import aggregate
@@ -105,6 +106,20 @@ def test_validation_covariates_do_not_move_the_pca(spark, matrix):
     assert abs(np.mean([v["cont_00"] for v in a.values()])) < 1e-9  # centred on training rows
 
 
+def test_components_of_all_folds_from_one_pass(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5)) + 1e6
+    df = spark.createDataFrame([(i, i % 3, *map(float, v)) for i, v in enumerate(x)], "id int, fold int, a double, b double, c double, d double, e double")
+    found = MO.fold_components(df.repartition(4), list("abcde"), 2)
+    for f, (mean, vectors, values) in found.items():
+        own = x[np.arange(300) % 3 != f]
+        matrix = np.cov(own.T)
+        assert np.allclose(mean, own.mean(axis=0)) and np.allclose(matrix @ vectors, vectors * values, rtol=1e-6, atol=1e-6)
+        assert np.allclose(values, np.linalg.eigvalsh(matrix)[::-1][:2], rtol=1e-6) and (vectors[np.abs(vectors).argmax(axis=0), [0, 1]] > 0).all()
+    scored = by_key(LN.pca_by_fold(df, list("abcde"), [0, 1, 2], 2), "id", "model_fold")
+    assert len(scored) == 900 and np.isclose(scored[7, 2]["cont_01"], (x[7] - found[2][0]) @ found[2][1][:, 1])
+
+
 def test_character_grams(spark):
     df = spark.createDataFrame([(1, "ab c"), (2, ""), (3, None), (4, "ab ab")], "response_id int, text string")
     rows = by_key(LN.hashed_grams(df, buckets=1 << 16), "response_id")

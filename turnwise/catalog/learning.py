@@ -5,12 +5,13 @@ from __future__ import annotations
 from ..functions import text as X
 from ..operators import folds as FO
 from ..operators.ledger import importance_summary
+from ..operators.moments import fold_covariance
 from ..plans import learning as LN
 from ..plans.linguistic import utterance_text_counts
 from ..operators.ordered import aggregate, spread
 from .inputs import responses, short_utterances, table
 from .registry import query, rounded
-from .responses import SESSION_FOLDS
+from .responses import SESSION_FOLDS, folds_sql
 
 FEATURES = ("len", "n_words", "repeats", "selfcorr_rate", "filler_rate", "negate_rate", "excl_rate", "false_start_rate")
 K = 5
@@ -140,13 +141,35 @@ def _difficulty(spark, sf_dir):
     return scored.select("response_id", "fold", "lo_text_difficulty")
 
 
+DIMS = 64
+
+
+def vector_folds(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id AS response_id", "vec_id div 4 AS session_id", "CAST(label % 2 AS DOUBLE) AS label",
+        *[f"CAST(embedding[{i}] AS DOUBLE) AS raw_{i:02d}" for i in range(DIMS)])
+    return LN.cut(FO.session_folds(vectors, K)), [f"raw_{i:02d}" for i in range(DIMS)]
+
+
 @query("fold_safe_pca", "F11")
 def _pca(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").selectExpr(
-        "vec_id AS response_id", "CAST(label AS BIGINT) AS session_id", "CAST(label % 2 AS DOUBLE) AS label",
-        *[f"CAST(embedding[{i}] AS DOUBLE) AS raw_{i:02d}" for i in range(64)])
-    rows = LN.cut(FO.session_folds(vectors, K))
-    return LN.pca_by_fold(rows, [f"raw_{i:02d}" for i in range(64)], range(K), 8)
+    rows, columns = vector_folds(spark, sf_dir)
+    return LN.pca_by_fold(rows, columns, range(K), 8)
+
+
+@query("fold_covariance", "F11", rounded(f"""
+    WITH r AS MATERIALIZED (SELECT vec_id AS response_id, vec_id // 4 AS session_id, CAST(label % 2 AS DOUBLE) AS label, embedding FROM embeddings),
+    {folds_sql('session_id', 'np DESC, n DESC')},
+    v AS MATERIALIZED (SELECT response_id, fold, unnest(range({DIMS})) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM f),
+    m AS (SELECT a.fold, a.i, b.i AS j, count(*) AS n, sum(a.x) AS si, sum(b.x) AS sj, sum(a.x * b.x) AS p FROM v AS a JOIN v AS b USING (response_id)
+          WHERE a.i <= b.i GROUP BY ALL),
+    t AS (SELECT i, j, sum(n) AS n, sum(si) AS si, sum(sj) AS sj, sum(p) AS p FROM m GROUP BY ALL)
+    SELECT fold AS model_fold, CAST(t.n - m.n AS BIGINT) AS n, i, j, (t.si - m.si) / (t.n - m.n) AS mean_i, (t.sj - m.sj) / (t.n - m.n) AS mean_j,
+           (t.p - m.p - (t.si - m.si) * (t.sj - m.sj) / (t.n - m.n)) / (t.n - m.n - 1) AS covariance FROM m JOIN t USING (i, j)""",
+    "mean_i mean_j covariance"))
+def _covariance(spark, sf_dir):
+    rows, columns = vector_folds(spark, sf_dir)
+    return fold_covariance(rows, columns)
 
 
 @query("block_ablation", "E14 E13 E15")

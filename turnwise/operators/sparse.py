@@ -8,6 +8,7 @@ broadcast.  Both are buckets x folds numbers whatever the data; ``MODEL_BYTES``
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from collections.abc import Sequence as Seq
 
@@ -19,6 +20,8 @@ from .ordered import aggregate
 
 #: Most bytes of coefficients of all folds together.
 MODEL_BYTES = 64 << 20
+#: Buckets whose sums travel together.
+STRETCH = 4096
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,12 +42,15 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def gradients(rows: DataFrame, folds: Seq[int], weights: np.ndarray) -> np.ndarray:
-    """Sum over the rows outside each fold of (probability - label) times the row: buckets + 1 x folds."""
+    """Sum over the rows outside each fold of (probability - label) times the row: buckets + 1 x folds.
+
+    Sums travel as packed stretches of ``STRETCH`` buckets, added up stretch by stretch.
+    """
     sent, codes = rows.sparkSession.sparkContext.broadcast(weights), np.array(folds)
-    names = [f"g{k}" for k in range(len(folds))]
+    shape = weights.shape
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sums = sent.value, np.zeros(sent.value.shape)
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = sent.value, np.zeros(shape)
         for batch in batches:
             flat, fold = _flat(batch), batch.column("fold").to_numpy()
             residual = _sigmoid(_margins(flat, len(fold), at)) - batch.column("label").to_numpy()[:, None]
@@ -53,17 +59,31 @@ def gradients(rows: DataFrame, folds: Seq[int], weights: np.ndarray) -> np.ndarr
             for k in range(len(codes)):
                 sums[:-1, k] += np.bincount(buckets, values * residual[number, k], len(sums) - 1)
             sums[-1] += residual.sum(axis=0)
-        touched = np.flatnonzero(sums.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(touched), *[pa.array(sums[touched, k]) for k in range(len(codes))]], names=["bucket", *names])
-
-    parts = rows.select("fold", "label", "buckets", "values").mapInArrow(run, "bucket long, " + ", ".join(f"{n} double" for n in names))
-    found = aggregate(parts, ["bucket"], *[f"sum({n}) AS {n}" for n in names]).toArrow()
-    out = np.zeros(weights.shape)
-    out[found.column("bucket").to_numpy()] = np.stack([found.column(n).to_numpy() for n in names], axis=1)
+        for start in range(0, len(sums), STRETCH):
+            own = sums[start:start + STRETCH]
+            if own.any():
+                yield _stretch(start, own)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for start, own in itertools.groupby(cells, key=lambda c: c[0]):
+            yield _stretch(start, sum(np.frombuffer(payload) for _, payload in own))
+
+    kinds = "start long, sums binary"
+    parts = rows.select("fold", "label", "buckets", "values").mapInArrow(partial, kinds)
+    whole = parts.repartition("start").sortWithinPartitions("start").mapInArrow(added, kinds).toArrow()
+    out = np.zeros(shape)
+    for start, payload in zip(whole.column("start").to_pylist(), whole.column("sums").to_pylist(), strict=True):
+        own = np.frombuffer(payload).reshape(-1, shape[1])
+        out[start:start + len(own)] = own
     sent.destroy()
     return out
 
 
+def _stretch(start: int, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([start]), pa.array([sums.tobytes()], pa.binary())], names=["start", "sums"])
+
+
 def fit_elastic(rows: DataFrame, folds: Seq[int], size: int, reg: float = 1e-3, elastic: float = 0.05, steps: int = 60,
                 tolerance: float = 1e-4, square: float = 2.0) -> np.ndarray:
     """For each fold (column) the model of the rows outside it; the last row is the intercept.

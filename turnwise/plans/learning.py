@@ -31,6 +31,7 @@ from ..operators.compare import paired_delta, summarize
 from ..operators.encoding import encoding_for, fold_sums, objective_sums
 from ..operators.isotonic import PER_TASK, interpolated, isotonic_blocks
 from ..operators.metrics import probability_bin
+from ..operators.moments import fold_components, projected
 from ..operators.newton import fit_logistic
 from ..operators.folds import deal, purged_training, session_folds
 from ..operators.ordered import aggregate, small_side
@@ -242,7 +243,9 @@ def hashed_grams(texts: DataFrame, column: str = "text", buckets: int = 2**16) -
         "flatten(transform(_words, w -> flatten(transform(filter(array(3, 4, 5), n -> n <= length(w)), "
         "n -> transform(sequence(1, length(w) - n + 1), i -> substr(w, i, n))))))"
     )
-    placed = texts.repartition("response_id")
+    spark = texts.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    placed = texts.repartition(tasks, "response_id")
     parts = placed.selectExpr("response_id", f"coalesce({tokens}, array()) AS _tokens", f"coalesce({padded}, array()) AS _words")
     number = f"CAST(pmod(hash(g), {buckets}) AS INT)"
     hashed = f"concat(transform({with_bigrams('_tokens')}, g -> {number}), transform({grams}, g -> {buckets} + {number}))"
@@ -388,22 +391,17 @@ def text_difficulty(train: DataFrame, valid: DataFrame, seed: int = 0, inner: in
 
 
 # --- fold-safe PCA and domains ---------------------------------------------------------
+def pca_by_fold(rows: DataFrame, columns: Sequence[str], folds: Sequence[int], components: int, prefix: str = "cont_") -> DataFrame:
+    """Every row under every fold's own components: ``model_fold`` names the fold held out.
+
+    Components come from the training rows of each fold, all folds from one pass over the rows.
+    """
+    return projected(rows, columns, fold_components(rows, columns, components), folds, prefix)
+
+
 def fold_safe_pca(rows: DataFrame, columns: Sequence[str], fold: int, components: int, prefix: str = "cont_") -> DataFrame:
     """Principal components fitted on the fold's training rows, applied to all rows."""
-    stages = Pipeline(stages=[
-        VectorAssembler(inputCols=list(columns), outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_centred", withMean=True, withStd=False),
-        PCA(inputCol="_centred", outputCol="_pca", k=components),
-    ])
-    model = stages.fit(rows.where(f"fold <> {fold}"))
-    out = model.transform(rows).withColumn("_v", vector_to_array("_pca"))
-    return out.selectExpr(*[c for c in rows.columns if c not in columns],
-                          *[f"_v[{i}] AS {prefix}{i:02d}" for i in range(components)])
-
-
-def pca_by_fold(rows: DataFrame, columns: Sequence[str], folds: Sequence[int], components: int) -> DataFrame:
-    """Every row under every fold's own components: ``model_fold`` names the fold held out."""
-    return union([fold_safe_pca(rows, columns, f, components).withColumn("model_fold", F.lit(int(f))) for f in folds])
+    return pca_by_fold(rows, columns, [fold], components, prefix).drop("model_fold")
 
 
 def session_domains(sessions: DataFrame, features: Sequence[str], domains: int = 20, seed: int = 0) -> DataFrame:
