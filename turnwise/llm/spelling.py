@@ -33,6 +33,8 @@ DAMAGED = 97
 LEAST_LETTERS, LEAST_COUNT = 5, 3
 #: Words a task counts before it gives the counts out; words of one list; characters split at once.
 HELD, LIST, STRETCH = 400_000, 20_000, 4 << 20
+#: Words of the vocabulary for each task of the scan (a word is in four lists and more).
+TASK_WORDS = 10_000
 MEMBERS = "side string, m int, h int, key string, word string"
 
 
@@ -160,7 +162,7 @@ def scan(words: list[str], m: int, h: int) -> Iterator[tuple[str, str]]:
                 yield sought[k], word
 
 
-def near_pairs(members: DataFrame) -> DataFrame:
+def near_pairs(members: DataFrame, tasks: int) -> DataFrame:
     """(word, near): both directions of every pair of words one edit apart, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +177,7 @@ def near_pairs(members: DataFrame) -> DataFrame:
                     pairs = []
         yield _paired(pairs)
 
-    dealt = members.repartition("side", "m", "h", "key").sortWithinPartitions("side", "m", "h", "key", "word")
+    dealt = members.repartition(tasks, "side", "m", "h", "key").sortWithinPartitions("side", "m", "h", "key", "word")
     return dealt.mapInArrow(run, "word string, near string").distinct()
 
 
@@ -225,7 +227,7 @@ def variants(docs: DataFrame, most: int = LIST) -> DataFrame:
     An empty table gives no rows.
     """
     words = written(vocabulary(docs), "vocabulary")
-    near = near_pairs(lists(words.select("word"), most))
+    near = near_pairs(lists(words.select("word"), most), 1 + words.count() // TASK_WORDS)
     counted = near.join(words.selectExpr("word AS near", "n AS near_n"), "near")
     best = counted.groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))

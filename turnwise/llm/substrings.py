@@ -255,7 +255,7 @@ def _extended(block: Block, rows: list[tuple], parts: int) -> tuple:
     return windows, ranks, distinct, which, least
 
 
-def ask_windows(answers: DataFrame, folder: str, parts: int) -> DataFrame:
+def ask_windows(answers: DataFrame, folder: str, parts: int, tasks: int) -> DataFrame:
     """The extended windows of each block by part: hashes, and the least id that begins them there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +268,7 @@ def ask_windows(answers: DataFrame, folder: str, parts: int) -> DataFrame:
                         _planes(np.diff(high[a:b], prepend=np.uint64(0))), low[a:b].astype("<u8").tobytes(),
                         int(base).to_bytes(8, "little"), _planes(least[a:b] - base)))
 
-    return answers.repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, ASKED)
+    return answers.repartition(tasks, "block").sortWithinPartitions("block", "part").mapInArrow(run, ASKED)
 
 
 def earlier_windows(asked: DataFrame) -> DataFrame:
@@ -318,11 +318,11 @@ def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_bytes:
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    parts = min(MOST_PARTS, 1 + size // part_bytes)
+    parts, tasks = min(MOST_PARTS, 1 + size // part_bytes), 1 + size // block_bytes
     folder = shared_folder(spark, "blocks")
     asked = written(write_blocks(docs, folder, parts, block_bytes), "anchors")
     shared = written(shared_anchors(asked.where("part >= 0")), "shared")
-    earlier = written(earlier_windows(ask_windows(shared, folder, parts)), "earlier")
+    earlier = written(earlier_windows(ask_windows(shared, folder, parts, tasks)), "earlier")
     kinds = RESULT + (", kept_text string" if texts else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,4 +337,5 @@ def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_bytes:
 
     answers = (asked.where("part < 0").withColumn("kind", F.lit(0))
                .union(shared.withColumn("kind", F.lit(1))).union(earlier.withColumn("kind", F.lit(2))))
-    return answers.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(run, kinds)
+    # answers are small and the blocks they lead to are not: as many tasks as blocks
+    return answers.repartition(tasks, "block").sortWithinPartitions("block", "kind", "part").mapInArrow(run, kinds)
