@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import text as X
 from ..operators import folds as FO
+from ..operators import vocabulary as VO
 from ..operators.ledger import importance_summary
 from ..operators.moments import fold_covariance
 from ..plans import learning as LN
@@ -132,15 +133,42 @@ def _domains(spark, sf_dir):
     return LN.domain_folds(rows, domains, K).select("response_id", "session_id", "domain_id", "fold")
 
 
+def assessed_texts(spark, sf_dir):
+    """Labelled documents as responses to the benchmark's items, whose texts are the objectives."""
+    items = table(spark, sf_dir, "benchmark").selectExpr(
+        "item_id AS objective_id", "text AS objective_text", "row_number() OVER (ORDER BY item_id) - 1 AS _place", "count(1) OVER () AS _items")
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id AS response_id", "CAST(quality AS DOUBLE) AS label")
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS response_id", "source AS session_id").join(labels, "response_id")
+    counted = rows.withColumn("_items", items.select("_items").limit(1).scalar())
+    return counted.selectExpr("response_id", "session_id", "label", "response_id % _items AS _place").join(
+        items.drop("_items"), "_place").drop("_place")
+
+
 @query("text_difficulty_encoding", "F9 F10 U4")
 def _difficulty(spark, sf_dir):
-    rows = LN.cut(FO.session_folds(labelled_texts(spark, sf_dir).drop("text").selectExpr(
-        "response_id", "session_id", "concat_ws('-', objective_id, session_id) AS objective_id",
-        "objective_text", "label"), K))
+    rows = LN.cut(FO.session_folds(assessed_texts(spark, sf_dir), K))
     scored = LN.text_difficulty(rows.where("fold <> 0"), rows.where("fold = 0"), inner=K)
     return scored.select("response_id", "fold", "lo_text_difficulty")
 
 
+def gram_sql(text: str) -> str:
+    """Words of two characters and more, plain letters, and their pairs, as a list."""
+    words = f"regexp_extract_all(translate(lower(coalesce({text}, '')), '{LN.ACCENTED}', '{LN.PLAIN}'), '{LN.TOKEN}')"
+    return f"list_concat({words}, list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
+
+
+@query("term_weights", "F9 M5 B5", rounded(f"""
+    WITH t AS (SELECT item_id, unnest({gram_sql('text')}) AS term FROM benchmark),
+    c AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL),
+    d AS (SELECT term, count(*) AS df, sum(tf) AS n FROM c GROUP BY term HAVING count(*) >= 2 ORDER BY n DESC, encode(term) LIMIT 2000),
+    w AS (SELECT item_id, c.term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS w FROM c JOIN d USING (term))
+    SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS weight FROM w""", "weight"))
+def _term_weights(spark, sf_dir):
+    texts = LN.word_grams(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text")
+    counts = LN.cut(VO.term_counts(texts, ["item_id"]))
+    return VO.term_weights(counts, VO.dictionary(counts, 2, 2000), texts.count(), ["item_id"])
+
+
 DIMS = 64
 
 

@@ -1,24 +1,25 @@
-"""Elastic-net logistic models over hashed features, the models of all folds in one fit.
+"""Linear models over sparse rows, the models of all folds (or classes) in one fit.
 
 Rows are sparse (``buckets`` and ``values`` arrays) and never move: in a step each task reads its rows
-once, takes every row's residual under the model of every fold and sums residual times value by bucket.
-What crosses the network is a sum for each bucket and fold, and back come the coefficients, as a
-broadcast.  Both are buckets x folds numbers whatever the data; ``MODEL_BYTES`` bounds them.
+once, takes every row's residual under every model and sums residual times value by bucket.  What
+crosses the network is a sum for each bucket and model, and back come the coefficients, as a broadcast.
+Both are buckets x models numbers whatever the data; ``MODEL_BYTES`` bounds them.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from collections.abc import Sequence as Seq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .ordered import aggregate
 
-#: Most bytes of coefficients of all folds together.
+#: Most bytes of coefficients of all models together.
 MODEL_BYTES = 64 << 20
 #: Buckets whose sums travel together.
 STRETCH = 4096
@@ -31,38 +32,74 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sizes)), sizes), buckets.flatten().to_numpy(), values.flatten().to_numpy()
 
 
-def _margins(flat: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int, weights: np.ndarray) -> np.ndarray:
-    """Linear predictors, rows x folds; the last row of ``weights`` is the intercept."""
+def _margins(flat: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int, weights: np.ndarray,
+             scale: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Linear predictors, rows x models, and each model's entry values; the last row of ``weights`` is the intercept.
+
+    With ``scale`` (buckets x models) an entry is its value times the model's scale, over the row's length.
+    """
     number, buckets, values = flat
-    return np.stack([np.bincount(number, values * weights[buckets, k], rows) for k in range(weights.shape[1])], axis=1) + weights[-1]
+    held, out = [], []
+    for k in range(weights.shape[1]):
+        own = values
+        if scale is not None:
+            own = values * scale[buckets, k]
+            length = np.sqrt(np.bincount(number, own * own, rows))
+            own = own / np.where(length > 0, length, 1.0)[number]
+        held.append(own)
+        out.append(np.bincount(number, own * weights[buckets, k], rows))
+    return np.stack(out, axis=1) + weights[-1], held
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
-def gradients(rows: DataFrame, folds: Seq[int], weights: np.ndarray) -> np.ndarray:
-    """Sum over the rows outside each fold of (probability - label) times the row: buckets + 1 x folds.
+Residual = Callable[[np.ndarray, pa.RecordBatch], np.ndarray]
+
+
+def outside_folds(folds: Seq[int]) -> Residual:
+    """(probability - label) of a logistic model for each fold; a row's own fold does not see it."""
+    codes = np.array(folds)
+
+    def residual(z: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        out = (_sigmoid(z) - batch.column("label").to_numpy()[:, None]) * batch.column("weight").to_numpy()[:, None]
+        out[batch.column("fold").to_numpy()[:, None] == codes[None, :]] = 0.0
+        return out
+
+    return residual
+
+
+def of_classes(z: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    """(share - 1 for the row's class) of a model that shares one among the columns; ``label`` is the class."""
+    share = np.exp(z - z.max(axis=1, keepdims=True))
+    share /= share.sum(axis=1, keepdims=True)
+    share[np.arange(len(z)), batch.column("label").to_numpy().astype(int)] -= 1.0
+    return share * batch.column("weight").to_numpy()[:, None]
+
+
+def gradients(rows: DataFrame, residual: Residual, weights: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
+    """Sum over rows of each model's residual times the row: buckets + 1 x models.
 
     Sums travel as packed stretches of ``STRETCH`` buckets, added up stretch by stretch.
     """
-    sent, codes = rows.sparkSession.sparkContext.broadcast(weights), np.array(folds)
-    shape = weights.shape
+    context = rows.sparkSession.sparkContext
+    sent, shape = context.broadcast((weights, scale)), weights.shape
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sums = sent.value, np.zeros(shape)
+        (at, scales), sums = sent.value, np.zeros(shape)
         for batch in batches:
-            flat, fold = _flat(batch), batch.column("fold").to_numpy()
-            residual = _sigmoid(_margins(flat, len(fold), at)) - batch.column("label").to_numpy()[:, None]
-            residual[fold[:, None] == codes[None, :]] = 0.0
-            number, buckets, values = flat
-            for k in range(len(codes)):
-                sums[:-1, k] += np.bincount(buckets, values * residual[number, k], len(sums) - 1)
-            sums[-1] += residual.sum(axis=0)
+            flat = _flat(batch)
+            z, held = _margins(flat, batch.num_rows, at, scales)
+            own = residual(z, batch)
+            number, buckets, _ = flat
+            for k in range(shape[1]):
+                sums[:-1, k] += np.bincount(buckets, held[k] * own[number, k], len(sums) - 1)
+            sums[-1] += own.sum(axis=0)
         for start in range(0, len(sums), STRETCH):
-            own = sums[start:start + STRETCH]
-            if own.any():
-                yield _stretch(start, own)
+            part = sums[start:start + STRETCH]
+            if part.any():
+                yield _stretch(start, part)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
@@ -70,7 +107,7 @@ def gradients(rows: DataFrame, folds: Seq[int], weights: np.ndarray) -> np.ndarr
             yield _stretch(start, sum(np.frombuffer(payload) for _, payload in own))
 
     kinds = "start long, sums binary"
-    parts = rows.select("fold", "label", "buckets", "values").mapInArrow(partial, kinds)
+    parts = rows.select("fold", "label", "weight", "buckets", "values").mapInArrow(partial, kinds)
     whole = parts.repartition("start").sortWithinPartitions("start").mapInArrow(added, kinds).toArrow()
     out = np.zeros(shape)
     for start, payload in zip(whole.column("start").to_pylist(), whole.column("sums").to_pylist(), strict=True):
@@ -84,37 +121,59 @@ def _stretch(start: int, sums: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([start]), pa.array([sums.tobytes()], pa.binary())], names=["start", "sums"])
 
 
-def fit_elastic(rows: DataFrame, folds: Seq[int], size: int, reg: float = 1e-3, elastic: float = 0.05, steps: int = 60,
-                tolerance: float = 1e-4, square: float = 2.0) -> np.ndarray:
-    """For each fold (column) the model of the rows outside it; the last row is the intercept.
+def descend(rows: DataFrame, residual: Residual, total: np.ndarray, size: int, reg: np.ndarray, elastic: float, steps: int,
+            tolerance: float, square: float, curvature: float, scale: np.ndarray | None = None) -> np.ndarray:
+    """Accelerated proximal steps for all models (columns): one pass over the rows a step.
 
-    ``rows(fold, label, buckets, values)``, buckets below ``size``.  Minimises mean log loss plus
-    ``reg * (elastic * |w| + (1 - elastic) / 2 * w^2)``, intercept free, by accelerated proximal steps
-    that start over for a fold when they turn against its descent; ``square`` bounds a row's squared
-    length and so the step.  One pass a step; ends after ``steps`` passes, or once no coefficient moves
-    by more than ``tolerance``.
+    Minimises the residuals' loss over ``total`` plus ``reg * (elastic * |w| + (1 - elastic) / 2 * w^2)``,
+    intercept (last row) free.  ``square`` bounds a row's squared length and ``curvature`` the loss's
+    second derivative, and so the step.  A model whose steps turn against its descent starts over; one that moves by
+    no more than ``tolerance`` is done, so no model depends on how the others fare.
     """
-    if size * len(folds) * 8 > MODEL_BYTES:
-        raise ValueError(f"{size} buckets for {len(folds)} folds exceed {MODEL_BYTES} bytes")
-    counts = {r["fold"]: r["n"] for r in aggregate(rows, ["fold"], "count(1) AS n").collect()}
-    outside = np.array([max(1, sum(counts.values()) - counts.get(f, 0)) for f in folds], float)
-    rate = 1.0 / (0.25 * (square + 1.0) + reg * (1.0 - elastic))
+    models = len(total)
+    if size * models * 8 > MODEL_BYTES:
+        raise ValueError(f"{size} buckets for {models} models exceed {MODEL_BYTES} bytes")
+    rate = 1.0 / (curvature * (square + 1.0) + reg * (1.0 - elastic))
     free = np.ones((size + 1, 1))
     free[-1] = 0.0
-    weights = before = np.zeros((size + 1, len(folds)))
-    age = np.ones(len(folds))
+    weights = before = np.zeros((size + 1, models))
+    age, moving = np.ones(models), np.ones(models, bool)
     for _ in range(steps):
         older, age = age, (1.0 + np.sqrt(1.0 + 4.0 * age * age)) / 2.0
         ahead = weights + (older - 1.0) / age * (weights - before)
-        slope = gradients(rows, folds, ahead) / outside + reg * (1.0 - elastic) * free * ahead
+        slope = gradients(rows, residual, ahead, scale) / total + reg * (1.0 - elastic) * free * ahead
         moved = ahead - rate * slope
-        before, weights = weights, np.sign(moved) * np.maximum(np.abs(moved) - rate * reg * elastic * free, 0.0)
+        fresh = np.sign(moved) * np.maximum(np.abs(moved) - rate * reg * elastic * free, 0.0)
+        before, weights = weights, np.where(moving, fresh, weights)
         age[((ahead - weights) * (weights - before)).sum(axis=0) > 0] = 1.0
-        if np.abs(weights - before).max() <= tolerance:
+        moving &= np.abs(weights - before).max(axis=0) > tolerance
+        if not moving.any():
             break
     return weights
 
 
+def fit_elastic(rows: DataFrame, folds: Seq[int], size: int, reg: float | None = 1e-3, elastic: float = 0.05, steps: int = 60,
+                tolerance: float = 1e-4, square: float = 2.0, scale: np.ndarray | None = None) -> np.ndarray:
+    """For each fold (column) the logistic model of the rows outside it; the last row is the intercept.
+
+    ``rows(fold, label, buckets, values)``, buckets below ``size``, and ``weight`` where rows count
+    otherwise than one.  ``reg`` None: one over the weight of the rows outside.
+    """
+    ready = rows if "weight" in rows.columns else rows.withColumn("weight", F.lit(1.0))
+    held = {r["fold"]: r["w"] for r in aggregate(ready, ["fold"], "sum(weight) AS w").collect()}
+    total = np.array([max(1e-9, sum(held.values()) - held.get(f, 0.0)) for f in folds], float)
+    strength = 1.0 / total if reg is None else np.full(len(folds), reg)
+    return descend(ready, outside_folds(folds), total, size, strength, elastic, steps, tolerance, square, 0.25, scale)
+
+
+def fit_classes(rows: DataFrame, classes: int, size: int, reg: float, steps: int = 60, tolerance: float = 1e-3,
+                square: float = 1.0, scale: np.ndarray | None = None) -> np.ndarray:
+    """One ridge model of ``classes`` columns over ``rows(label, buckets, values)``; intercepts last."""
+    ready = rows.selectExpr("0 AS fold", "CAST(label AS DOUBLE) AS label", "1D AS weight", "buckets", "values")
+    total = np.full(classes, float(max(1, ready.count())))
+    return descend(ready, of_classes, total, size, np.full(classes, reg), 0.0, steps, tolerance, square, 0.5, scale)
+
+
 def score_elastic(rows: DataFrame, weights: np.ndarray, folds: Seq[int], name: str = "pred") -> DataFrame:
     """Each row's probability under the model that did not see its fold (rows of other folds: null)."""
     sent, place = rows.sparkSession.sparkContext.broadcast(weights), {f: k for k, f in enumerate(folds)}
@@ -123,7 +182,7 @@ def score_elastic(rows: DataFrame, weights: np.ndarray, folds: Seq[int], name: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = _sigmoid(_margins(_flat(batch), batch.num_rows, sent.value))
+            z = _sigmoid(_margins(_flat(batch), batch.num_rows, sent.value, None)[0])
             own = [place.get(f) for f in batch.column("fold").to_pylist()]
             pred = pa.array([None if k is None else z[i, k] for i, k in enumerate(own)], pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pred], names=[*kept, name])

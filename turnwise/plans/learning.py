@@ -17,15 +17,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (
-    IDF, PCA, ElementwiseProduct, HashingTF, Imputer, ImputerModel, Normalizer, RobustScaler, StandardScaler,
-    StringIndexer, VectorAssembler,
+    PCA, Imputer, ImputerModel, RobustScaler, StandardScaler, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import calibrated, clip_probability, lit, log_loss, logit, seeded_hash
+from ..functions.scalars import calibrated, clip_probability, lit, log_loss, logit, sigmoid
 from ..functions.text import with_bigrams
 from ..operators.compare import paired_delta, summarize
 from ..operators.encoding import encoding_for, fold_sums, objective_sums
@@ -36,6 +34,7 @@ from ..operators.newton import fit_logistic
 from ..operators.folds import deal, purged_training, session_folds
 from ..operators.ordered import aggregate, small_side
 from ..operators.sparse import fit_elastic, score_elastic
+from ..operators.vocabulary import TermModel, fit_class_terms, fit_fold_terms
 from ..session import cut
 
 Learner = Callable[[], object]
@@ -93,7 +92,7 @@ class FoldModels:
     models: dict[int, PipelineModel]
     rates: dict[int, float]
     priors: DataFrame | None = None  # fold, objective_id, encoding
-    texts: dict[int, PipelineModel] = field(default_factory=dict)
+    texts: dict[int, TermModel] = field(default_factory=dict)
 
     def prepared(self, rows: DataFrame, fold: int) -> DataFrame:
         """Rows with the fold's own encoding and text difficulty, as its model was trained to see them."""
@@ -119,7 +118,7 @@ class FoldModels:
         for fold, model in self.models.items():
             model.write().overwrite().save(f"{path}/model-{fold}")
         for fold, model in self.texts.items():
-            model.write().overwrite().save(f"{path}/text-{fold}")
+            model.save(f"{path}/text-{fold}")
         spark = SparkSession.active()
         if self.priors is not None:
             self.priors.write.mode("overwrite").parquet(f"{path}/priors")
@@ -140,7 +139,7 @@ class FoldModels:
         return cls(
             tuple(facts["features"]), facts["mode"], models, {int(f): r for f, r in facts["rates"].items()},
             spark.read.parquet(f"{path}/priors") if facts["priors"] else None,
-            {f: PipelineModel.load(f"{path}/text-{f}") for f in folds} if facts["texts"] else {})
+            {f: TermModel.load(spark, f"{path}/text-{f}") for f in folds} if facts["texts"] else {})
 
 
 ENCODED, DIFFICULTY = "lo_prior_enc", "lo_text_difficulty"
@@ -188,9 +187,9 @@ def fit_fold_models(
             train = train.join(allowed.where(f"train_fold = {fold}").drop("train_fold"), "response_id")
         rates[fold] = float(aggregate(train, [], "avg(label) AS r").first()["r"])
         if text:
-            texts[fold], _ = fit_text_difficulty(train)
-            both = text_difficulty(train, held, inner=k)
-            train, held = both.where(f"fold <> {fold}"), both.where(f"fold = {fold}")
+            difficulty = difficulty_models(train, inner=k)
+            texts[fold] = difficulty[0]
+            train, held = train_difficulty(train, difficulty), apply_text_difficulty(texts[fold], rates[fold], held)
         seen = cut(train.withColumn("is_validation", F.lit(False)).unionByName(held.withColumn("is_validation", F.lit(True))))
         shape = assembled(columns, pca).fit(seen.where("NOT is_validation"))
         vectors = shape.transform(seen).select("response_id", "session_id", "fold", "label", "is_validation", "features")
@@ -228,6 +227,7 @@ def out_of_fold(
 # Accented Latin letters and their plain forms.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+TOKEN = r"[\p{L}\p{N}_]{2,}"  # words of two characters and more
 
 
 def hashed_grams(texts: DataFrame, column: str = "text", buckets: int = 2**16) -> DataFrame:
@@ -237,7 +237,7 @@ def hashed_grams(texts: DataFrame, column: str = "text", buckets: int = 2**16) -
     move once, before they are taken apart, and their grams are counted where they are.
     """
     low = f"translate(lower({column}), '{ACCENTED}', '{PLAIN}')"
-    tokens = f"regexp_extract_all({low}, {lit(chr(92) + 'b' + chr(92) + 'w' + chr(92) + 'w+' + chr(92) + 'b')}, 0)"
+    tokens = f"regexp_extract_all({low}, {lit(TOKEN)}, 0)"
     padded = f"transform(filter(split(lower({column}), {lit(chr(92) + 's+')}), w -> w <> ''), w -> concat(' ', w, ' '))"
     grams = (
         "flatten(transform(_words, w -> flatten(transform(filter(array(3, 4, 5), n -> n <= length(w)), "
@@ -268,48 +268,30 @@ def text_out_of_fold(texts: DataFrame, folds: Sequence[int], column: str = "text
     return score_elastic(rows.where(f"fold IN ({', '.join(map(str, folds))})"), weights, folds)
 
 
-GRAM_BUCKETS = 2**18
-
-
-def weighted_grams(rows: DataFrame, least_docs: float, tokens: str = "grams", buckets: int = GRAM_BUCKETS) -> list:
-    """Stages from grams to unit vectors of hashed counts times ``ln((1 + n) / (1 + df)) + 1``.
-
-    Every gram of every text counts; grams in fewer than ``least_docs`` texts weigh nothing.  The
-    weights are one number per bucket, so their size does not grow with the texts.
-    """
-    bucket = HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=buckets)
-    seen = IDF(inputCol="_tf", outputCol="_idf").fit(bucket.transform(rows.select(tokens)))
-    n, df = seen.numDocs, np.asarray(seen.docFreq, dtype=float)
-    weights = np.where(df >= least_docs, np.log((1 + n) / (1 + df)) + 1, 0.0)
-    return [bucket, ElementwiseProduct(scalingVec=Vectors.dense(weights.tolist()), inputCol="_tf", outputCol="_idf"),
-            Normalizer(inputCol="_idf", outputCol="features", p=2.0)]
-
-
 def word_grams(texts: DataFrame, column: str, name: str = "grams") -> DataFrame:
     low = f"translate(lower(coalesce({column}, '')), '{ACCENTED}', '{PLAIN}')"
-    tokens = f"regexp_extract_all({low}, {lit(chr(92) + 'b' + chr(92) + 'w' + chr(92) + 'w+' + chr(92) + 'b')}, 0)"
+    tokens = f"regexp_extract_all({low}, {lit(TOKEN)}, 0)"
     return texts.selectExpr("*", f"{tokens} AS _t").selectExpr(*texts.columns, f"{with_bigrams('_t')} AS {name}")
 
 
-def fit_move_classifier(turns: DataFrame, min_df: float = 2.0):
-    """Role-prefixed text to move: one model serves both role vocabularies."""
-    rows = word_grams(turns.selectExpr("*", "concat(role, ' ', content) AS _said"), "_said")
-    return Pipeline(stages=[
-        StringIndexer(inputCol="move", outputCol="label", handleInvalid="keep", stringOrderType="alphabetAsc"),
-        *weighted_grams(rows, min_df),
-        LogisticRegression(regParam=1e-3, maxIter=30),
-    ]).fit(rows)
+def said(turns: DataFrame) -> DataFrame:
+    """Turns with their role-prefixed text's digest (``_said``) and grams; equal texts share a digest."""
+    return word_grams(turns.selectExpr("*", "concat(coalesce(role, ''), ' || ', coalesce(content, '')) AS _text").selectExpr("*", "md5(_text) AS _said"), "_text").drop("_text")
+
 
+def fit_move_classifier(turns: DataFrame, least_docs: float = 2) -> TermModel:
+    """Role-prefixed text to move: one model serves both role vocabularies.  Every turn counts once."""
+    rows = said(turns.selectExpr("role", "content", "move")).drop("_said").withColumn("_key", F.expr("uuid()"))
+    return fit_class_terms(cut(rows.select("_key", "move", "grams")), "_key", "move", least_docs=least_docs)
 
-def predict_moves(model, turns: DataFrame) -> DataFrame:
-    """The predicted move of every utterance."""
-    rows = word_grams(turns.selectExpr("*", "concat(role, ' ', content) AS _said"), "_said")
-    if "move" not in rows.columns:
-        rows = rows.withColumn("move", F.lit(None).cast("string"))
-    names = model.stages[0].labels
-    labels = "array(" + ", ".join(f"'{n}'" for n in names) + ")"
-    scored = model.transform(rows)
-    return scored.selectExpr(*turns.columns, f"get({labels}, CAST(prediction AS INT)) AS predicted_move")
+
+def predict_moves(model: TermModel, turns: DataFrame) -> DataFrame:
+    """The predicted move of every utterance; a text is scored once, however often it is said."""
+    rows = said(turns)
+    distinct = rows.select("_said", "grams").dropDuplicates(["_said"])
+    names = "array(" + ", ".join(lit(n) for n in model.names) + ")"
+    best = model.margins(distinct, "_said").selectExpr("_said", f"get({names}, array_position(z, array_max(z)) - 1) AS predicted_move")
+    return rows.drop("grams").join(best, "_said", "left").drop("_said")
 
 
 def classification_report(scored: DataFrame, label: str = "move", predicted: str = "predicted_move") -> DataFrame:
@@ -348,46 +330,64 @@ def two_class_rows(responses: DataFrame, order: str, key: str = "objective_id",
     ).where("weight > 0")
 
 
-def fit_text_difficulty(responses: DataFrame, order: str = "response_id", c: float = 1.0):
-    """Objective description to difficulty: model and the base rate used for blank texts."""
-    rows = word_grams(two_class_rows(responses, order), "objective_text").selectExpr(
-        "*", "CAST(y AS DOUBLE) AS label")
-    facts = aggregate(responses, [], "avg(label) AS rate", "count(distinct objective_id) AS n").first()
-    min_df = float(min(2, max(1, facts["n"] // 10)))
-    weight = aggregate(rows, [], "sum(weight) AS w").first()["w"]
-    stages = [*weighted_grams(rows, min_df),
-              LogisticRegression(weightCol="weight", regParam=1.0 / (c * float(weight)), maxIter=50)]
-    return Pipeline(stages=stages).fit(rows), float(facts["rate"])
-
-
-def apply_text_difficulty(model, base_rate: float, rows: DataFrame, name: str = "lo_text_difficulty") -> DataFrame:
-    """Scored per distinct objective text, then joined back to the responses."""
-    texts = rows.select("objective_text").distinct()
-    scored = probability(model.transform(word_grams(texts, "objective_text")), "_p").selectExpr(
-        "objective_text AS _text", f"CASE WHEN trim(coalesce(objective_text, '')) = '' THEN {base_rate!r}D ELSE _p END AS _p"
-    )
-    joined = rows.join(scored, rows["objective_text"].eqNullSafe(scored["_text"]), "left")
-    return joined.selectExpr(*rows.columns, f"coalesce(_p, {base_rate!r}D) AS {name}")
+INNER_ALL = -1  # the fold that leaves nothing out
 
 
-def text_difficulty(train: DataFrame, valid: DataFrame, seed: int = 0, inner: int = 5) -> DataFrame:
-    """Validation rows from the training model, training rows out of objective-grouped folds.
+def fit_text_difficulty(responses: DataFrame, order: str = "response_id", inner: DataFrame | None = None,
+                        folds: Sequence[int] = ()) -> tuple[TermModel, float]:
+    """Objective description to difficulty: models and the base rate used for blank texts.
 
-    With fewer than ``2 * inner`` training objectives the base rate is used instead.
+    The first model knows all objectives; ``inner(objective_id, fold)`` adds one for each of ``folds``
+    that does not know the fold's objectives.  All are fitted together.
+    """
+    facts = aggregate(responses, [], "avg(label) AS rate").first()
+    rows = two_class_rows(responses, order)
+    placed = rows.withColumn("fold", F.lit(0)) if inner is None else rows.join(inner, "objective_id")
+    held = {r["fold"]: r["n"] for r in aggregate(placed.select("objective_id", "fold").distinct(), ["fold"], "count(1) AS n").collect()}
+    every = [INNER_ALL, *folds]
+    least = [min(2, max(1, (sum(held.values()) - held.get(f, 0)) // 10)) for f in every]
+    texts = word_grams(placed.selectExpr("concat_ws('|', y, objective_id) AS _key", "fold", "y AS label", "weight", "objective_text"), "objective_text")
+    return fit_fold_terms(texts.drop("objective_text"), "_key", every, least), float(facts["rate"])
+
+
+def apply_text_difficulty(model: TermModel, base_rate: float, rows: DataFrame, name: str = "lo_text_difficulty",
+                          inner: str = str(INNER_ALL)) -> DataFrame:
+    """Scored per distinct objective text, then joined back; ``inner`` is SQL for the model's name."""
+    texts = rows.selectExpr("objective_text", "md5(objective_text) AS _text").where("_text IS NOT NULL").dropDuplicates(["_text"])
+    scored = model.margins(word_grams(texts, "objective_text"), "_text")
+    names = "array(" + ", ".join(lit(n) for n in model.names) + ")"
+    joined = rows.selectExpr("*", "md5(objective_text) AS _text").join(scored, "_text", "left")
+    z = f"get(z, CAST(array_position({names}, CAST({inner} AS STRING)) - 1 AS INT))"
+    blank = "trim(coalesce(objective_text, '')) = ''"
+    return joined.selectExpr(*rows.columns, f"CASE WHEN {blank} OR {z} IS NULL THEN {base_rate!r}D ELSE {sigmoid(z)} END AS {name}")
+
+
+def difficulty_models(train: DataFrame, seed: int = 0, inner: int = 5) -> tuple[TermModel, float, DataFrame | None]:
+    """The models of ``fit_text_difficulty`` and the inner folds of objectives.
+
+    With fewer than ``2 * inner`` training objectives there are no inner folds.
     """
-    model, rate = fit_text_difficulty(train)
-    scored_valid = apply_text_difficulty(model, rate, valid)
-    n = train.select("objective_id").distinct().count()
-    if n < 2 * inner:
-        return scored_valid.unionByName(train.withColumn("lo_text_difficulty", F.lit(rate)))
     groups = aggregate(train, ["objective_id"], "count(1) AS n")
-    inner_folds = deal(groups, (), inner, seed, "objective_id").withColumnRenamed("fold", "_inner")
-    placed = cut(train.join(inner_folds.select("objective_id", "_inner"), "objective_id"))
-    parts = [scored_valid]
-    for i in range(inner):
-        fitted, base = fit_text_difficulty(placed.where(f"_inner <> {i}"))
-        parts.append(apply_text_difficulty(fitted, base, placed.where(f"_inner = {i}").drop("_inner")))
-    return union([p.select(*parts[0].columns) for p in parts])
+    if groups.count() < 2 * inner:
+        return *fit_text_difficulty(train), None
+    folds = cut(deal(groups, (), inner, seed, "objective_id").selectExpr("objective_id", "CAST(fold AS INT) AS fold"))
+    return *fit_text_difficulty(train, inner=folds, folds=range(inner)), folds
+
+
+def train_difficulty(train: DataFrame, models: tuple[TermModel, float, DataFrame | None], name: str = "lo_text_difficulty") -> DataFrame:
+    """Training rows, each scored by the model that does not know its objective; without inner folds the base rate."""
+    model, rate, folds = models
+    if folds is None:
+        return train.withColumn(name, F.lit(rate))
+    placed = train.join(folds.withColumnRenamed("fold", "_inner"), "objective_id", "left")
+    return apply_text_difficulty(model, rate, placed, name, "_inner").select(*train.columns, name)
+
+
+def text_difficulty(train: DataFrame, valid: DataFrame, seed: int = 0, inner: int = 5) -> DataFrame:
+    """Validation rows from the training model, training rows out of objective-grouped folds."""
+    models = difficulty_models(train, seed, inner)
+    whole = apply_text_difficulty(models[0], models[1], valid)
+    return whole.unionByName(train_difficulty(train, models).select(*whole.columns))
 
 
 # --- fold-safe PCA and domains ---------------------------------------------------------
