@@ -108,3 +108,22 @@ def test_folder_with_one_header_is_read_whole(spark, tmp_path):
         (tmp_path / f"t {i}.csv").write_text("utterance_id,role,content,timestamp\n0,tutor,a,0:00:01\n1,student,b,0:00:02\n")
     rows = FS.read_transcripts(spark, str(tmp_path))
     assert sorted({r.session_id for r in rows.collect()}) == ["t 0", "t 1", "t 2"] and rows.count() == 6
+
+
+def test_broken_files_are_left_out_whole_and_counted(spark, tmp_path):
+    head = "utterance_id,role,content,timestamp\n"
+    (tmp_path / "s1.csv").write_text(head + '0,tutor,"a, ""b""\nc",0:00:01\n1,student,ok,0:00:02\n')
+    (tmp_path / "s 2+x.csv").write_text("session_id," + head + "z9,0,tutor,hello,0:00:01\n,1,student,there,\n")
+    (tmp_path / "many.csv").write_text(head + "0,tutor,fine,0:00:01\n1,tutor,a,b,c,0:00:02\n")
+    (tmp_path / "few.csv").write_text(head + "0,tutor\n1,tutor,fine,0:00:01\n")
+    (tmp_path / "only head.csv").write_text(head)
+    (tmp_path / "nothing.csv").write_text("")
+    (tmp_path / "other.csv").write_text("x,y\n1,2\n")
+    rows, status = FS.consolidate_transcripts(spark, str(tmp_path))
+    got = {r.source_file.rpartition("/")[2]: (r.status, r.n_rows, r.n_bad) for r in status.collect()}
+    assert got == {"s1.csv": ("read", 2, 0), "s 2+x.csv": ("read", 2, 0), "many.csv": ("broken", 2, 1), "few.csv": ("broken", 2, 1),
+                   "only head.csv": ("empty", 0, 0), "other.csv": ("no header", 0, 0)}
+    texts = sorted((r.session_id, r.utterance_id, r.content) for r in rows.collect())
+    assert texts == [("s 2+x", "1", "there"), ("s1", "0", 'a, "b"\nc'), ("s1", "1", "ok"), ("z9", "0", "hello")]
+    with pytest.raises(FileNotFoundError):
+        FS.consolidate_transcripts(spark, str(tmp_path / "s1.csv").replace("s1.csv", "other.csv"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from ..functions.scalars import elapsed_seconds
-from ..operators.ordered import has_large_groups
 from ..plans.dialogue import session_feedback
 from ..plans.matrix import build_matrix
 from ..plans.structural import session_structure
-from ..sources.files import full_and_smoke, normalize
+from ..operators.ordered import aggregate, has_large_groups
+from ..session import shared_folder
+from ..sources.files import consolidate_transcripts, full_and_smoke, normalize
 from .dialogue import FBS, base_sql, feedback_sql
 from .inputs import SHORT, short_utterances, table
 from .registry import query, rounded
@@ -80,3 +83,48 @@ def _matrix(spark, sf_dir):
         ("feedback", session_feedback(turns, chunked), "session_id"),
     ])
     return matrix.select("response_id", "session_id", *features)
+
+
+#: Conversations dealt to sixty files: some of another kind, some with a line of too many cells, two headers.
+FILES = 60
+KIND = "CASE WHEN grp % 11 = 5 THEN 'no header' WHEN grp % 7 = 3 THEN 'broken' ELSE 'read' END"
+
+
+def mixed_files(spark, sf_dir) -> str:
+    """All conversations as mixed session files in the shared folder; gives the folder."""
+    quoted = lambda c: f"concat('\"', replace({c}, '\"', '\"\"'), '\"')"
+    one = f"concat_ws(',', conv_id, turn, role, {quoted('text')})"
+    other = f"concat_ws(',', role, conv_id, {quoted('text')}, turn, '0:00:01')"
+    turns = table(spark, sf_dir, "conversations").selectExpr(
+        "conv_id", "turn", "role", "coalesce(text, '') AS text", f"conv_id % {FILES} AS grp")
+    lines = turns.selectExpr("grp", "1 AS ord", f"CASE WHEN grp % 11 = 5 THEN concat_ws(',', conv_id, turn) WHEN grp % 2 = 0 THEN {one} ELSE {other} END AS line")
+    heads = turns.select("grp").distinct().selectExpr("grp", "0 AS ord", "CASE WHEN grp % 11 = 5 THEN 'x,y' "
+        "WHEN grp % 2 = 0 THEN 'session_id,utterance_id,role,content' ELSE 'role,session_id,content,utterance_id,timestamp' END AS line")
+    bad = heads.where(f"{KIND} = 'broken'").selectExpr("grp", "2 AS ord", "'1,2,3,4,5,6,7,8' AS line")
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex[:12]}"
+    every = heads.union(lines).union(bad).repartition(FILES, "grp").sortWithinPartitions("grp", "ord")
+    every.select("grp", "line").write.partitionBy("grp").text(folder)
+    return folder
+
+
+GROUPED = f"""
+    g AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, conv_id % {FILES} AS grp FROM conversations),
+    k AS (SELECT *, {KIND} AS status FROM g)"""
+
+
+@query("transcript_file_status", "S1 S4", f"""
+    WITH {GROUPED}, f AS (SELECT grp, status, count(*) AS n FROM k GROUP BY ALL)
+    SELECT status, count(*) AS n_files, CAST(sum(CASE status WHEN 'read' THEN n WHEN 'broken' THEN n + 1 ELSE 0 END) AS BIGINT) AS n_rows,
+           count(*) FILTER (status = 'broken') AS n_bad FROM f GROUP BY status""")
+def _file_status(spark, sf_dir):
+    _, status = consolidate_transcripts(spark, mixed_files(spark, sf_dir), "*.txt")
+    return aggregate(status, ["status"], "count(1) AS n_files", "sum(n_rows) AS n_rows", "sum(n_bad) AS n_bad")
+
+
+@query("consolidated_utterances", "S4 S5 S8", rounded(f"""
+    WITH {GROUPED} SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS VARCHAR) AS utterance_id, lower(trim(role)) AS role,
+           md5(text) AS content_md5, CASE WHEN grp % 2 = 1 THEN 1.0::DOUBLE END AS t_seconds,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM k WHERE status = 'read'""", "t_seconds"))
+def _consolidated(spark, sf_dir):
+    rows, _ = consolidate_transcripts(spark, mixed_files(spark, sf_dir), "*.txt")
+    return normalize(rows).selectExpr("session_id", "utterance_id", "role", "md5(content) AS content_md5", "t_seconds", "pos")
