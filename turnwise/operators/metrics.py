@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame
 
 from ..functions.scalars import clip_probability, log_loss, num
 from .ordered import aggregate
-from .stats import CELLS, auc, histogram, quantile, ranked
+from .stats import CELLS, auc, auc_of_counts, histogram, quantile, ranked, score_counts
 
 MIN_FOLD_ROWS = 200  # fixed value: smallest fold whose AUC is reported
 
 
 def scores(df: DataFrame, keys: Seq[str], label: str = "label", pred: str = "pred") -> DataFrame:
-    """Rows, log loss, AUC and positive rate per group."""
+    """Rows, log loss, AUC and positive rate per group, all from the counts of its distinct scores."""
+    counts = score_counts(df, keys, label, pred)
     losses = aggregate(
-        df, keys, "count(1) AS n", f"avg({log_loss(label, pred)}) AS logloss", f"avg({label}) AS pos_rate"
-    )
-    ranking = auc(df, keys, label, pred).drop("n_pos", "n_neg")
+        counts, keys, "sum(n) AS n",
+        f"sum(n_y * {log_loss('(pos / nullif(n_y, 0))', 'value')}) / sum(CASE WHEN value IS NOT NULL THEN n_y END) AS logloss",
+        "sum(pos) / sum(n_y) AS pos_rate")
+    ranking = auc_of_counts(counts, keys).drop("n_pos", "n_neg")
     if not keys:
         return losses.withColumn("auc", ranking.select("auc").scalar())
     return losses.join(ranking, list(keys))

@@ -12,7 +12,8 @@ from collections.abc import Sequence as Seq
 from pyspark.sql import DataFrame
 
 from ..functions.scalars import num
-from .ordered import Sequence, aggregate, scan
+from ..session import cut
+from .ordered import GROUP_ROWS, Sequence, aggregate, has_large_groups, scan
 
 ROBUST = ("median", "trimmean", "iqr", "p90")
 
@@ -193,18 +194,20 @@ def gini(hist: DataFrame, keys: Seq[str], size: str, chunked: bool = False,
     )
 
 
-def auc(df: DataFrame, keys: Seq[str], label: str, score: str, cells: int = CELLS) -> DataFrame:
-    """Tie-aware ROC AUC per group; null when a group has a single class.
-
-    Scores are reduced to distinct values with class counts; how many negatives lie below
-    each value is one chunked running sum over those values.
-    """
-    counts = aggregate(
+def score_counts(df: DataFrame, keys: Seq[str], label: str, score: str) -> DataFrame:
+    """Rows, labelled rows, positives and negatives of every distinct score of a group, written once."""
+    return cut(aggregate(
         df.selectExpr(*keys, f"CAST({score} AS DOUBLE) AS value", f"CAST({label} AS DOUBLE) AS _y"),
-        [*keys, "value"], "sum(_y) AS pos", "sum(1D - _y) AS neg",
-    )
-    seq = Sequence(tuple(keys), ("value",), ("_cell",))
-    below = scan(balanced(counts, cells), seq, running={"neg_below": "neg"})
+        [*keys, "value"], "sum(_y) AS pos", "sum(1D - _y) AS neg", "count(1) AS n", "count(_y) AS n_y",
+    ))
+
+
+def auc_of_counts(counts: DataFrame, keys: Seq[str], cells: int = CELLS) -> DataFrame:
+    """``auc`` of ``score_counts``: how many negatives lie below each value is a running sum over the
+    values, cut into cells only where a group has more of them than one task may sort."""
+    large = has_large_groups(counts, tuple(keys), GROUP_ROWS)
+    seq = Sequence(tuple(keys), ("value",), ("_cell",) if large else ())
+    below = scan(balanced(counts, cells) if large else counts, seq, running={"neg_below": "neg"})
     return aggregate(
         below,
         keys,
@@ -212,3 +215,8 @@ def auc(df: DataFrame, keys: Seq[str], label: str, score: str, cells: int = CELL
         "sum(pos) AS n_pos",
         "sum(neg) AS n_neg",
     )
+
+
+def auc(df: DataFrame, keys: Seq[str], label: str, score: str, cells: int = CELLS) -> DataFrame:
+    """Tie-aware ROC AUC per group; null when a group has a single class."""
+    return auc_of_counts(score_counts(df, keys, label, score), keys, cells)

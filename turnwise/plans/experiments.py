@@ -23,7 +23,7 @@ def score_experiments(oof: DataFrame, folds: DataFrame, modes: DataFrame, c: flo
     trained.  Experiments with too little fold coverage are left out.
     """
     sizes = aggregate(oof, ["experiment"], "count(1) AS n_all")
-    merged = oof.join(folds.select("response_id", "fold"), "response_id")
+    merged = cut(oof.join(folds.select("response_id", "fold"), "response_id"))
     losses = aggregate(
         merged, ["experiment"], "count(1) AS n", f"avg({log_loss('label', 'pred')}) AS logloss"
     )
