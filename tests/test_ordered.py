@@ -125,23 +125,26 @@ def test_gini_counts_absent_zeros(spark, chunked):
         assert np.isclose(got[k], want)
 
 
-def test_auc_ties_and_single_class(spark):
+def test_auc_ties_and_single_class(spark, monkeypatch):
     rng = random.Random(3)
     data = [("m", float(rng.random() < 0.4), round(rng.random(), 1)) for _ in range(200)]
     data += [("tied", float(i % 2), 0.5) for i in range(10)] + [("one", 1.0, 0.2), ("one", 1.0, 0.7)]
     df = spark.createDataFrame(data, "k string, y double, p double")
-    got = {r.k: r.auc for r in auc(df, ["k"], "y", "p", cells=4).collect()}
+    got = {r.k: r.auc for r in auc(df, ["k"], "y", "p").collect()}
+    monkeypatch.setattr("turnwise.operators.stats.GROUP_ROWS", 3)
+    assert got == {r.k: r.auc for r in auc(df, ["k"], "y", "p", cells=4).collect()}
     pos = [p for k, y, p in data if k == "m" and y]
     neg = [p for k, y, p in data if k == "m" and not y]
     want = np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
     assert np.isclose(got["m"], want) and got["tied"] == 0.5 and got["one"] is None
 
 
-def test_packed_values_spread_over_cells(spark):
+def test_packed_values_spread_over_cells(spark, monkeypatch):
     """Scores within one thousandth of each other still fill many cells, evenly."""
     df = spark.range(5000).selectExpr("0.5D + id * 1e-8 AS value", "id % 2 AS y", "1L AS cnt")
     sizes = [r["count"] for r in balanced(df, 50).groupBy("_cell").count().collect()]
     assert len(sizes) == 50 and max(sizes) < 3 * 5000 / 50
+    monkeypatch.setattr("turnwise.operators.stats.GROUP_ROWS", 100)
     got = auc(df.withColumn("p", df.value), [], "y", "p").first().auc
     assert np.isclose(got, (2500 * 2501 / 2) / 2500**2)
 
