@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import slices, written
+from .storage import discard, slices, written
 
 #: Places of each tree's stretch of the signature.
 PLACES, SMALL, DEPTH = 24, 32, 12
@@ -37,10 +37,11 @@ SKETCH, SLACK = 128, 0.2
 #: which costs no more than branching all of them a few levels deeper.
 FEW = 4
 FILTER_WORDS = 1 << 21
-CACHED = 200_000
+CACHED = 100_000
 MASK = (1 << 64) - 1
 #: The lowest bits of a node are its tree.
 TREE = np.uint64(0xFF)
+MEMBERS = "node long, doc_id long, n_shingles long, stretch binary"
 SETS = "doc_id long, n_shingles long, set_key binary, sketch binary, signature binary"
 
 
@@ -142,10 +143,11 @@ def _chosen(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _children(nodes: np.ndarray, signatures: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place in ``nodes`` and node of every child; ``signatures`` are whole or the nodes' own trees' stretches."""
     first, second, taken = _chosen(nodes)
     at = np.concatenate([np.arange(len(nodes)), np.flatnonzero(taken)])
     place = np.concatenate([first, second[taken]])
-    token = signatures[rows[at], place].astype(np.uint64) | (place.astype(np.uint64) << np.uint64(32))
+    token = signatures[rows[at], place % signatures.shape[1]].astype(np.uint64) | (place.astype(np.uint64) << np.uint64(32))
     return at, _mixed(_mixed(nodes[at]) + token) & ~TREE | nodes[at] & TREE
 
 
@@ -158,7 +160,7 @@ def _roots(trees: int) -> np.ndarray:
 
 
 def branch_roots(classes: DataFrame, trees: int) -> DataFrame:
-    """(node, doc_id) for every class (doc_id, signature) and tree: the children of the roots."""
+    """(node, doc_id, n_shingles) for every class and tree: the children of the roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = _roots(trees)
@@ -166,31 +168,43 @@ def branch_roots(classes: DataFrame, trees: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = np.repeat(np.arange(batch.num_rows), trees)
-            at, nodes = _children(np.tile(roots, batch.num_rows), _matrix(batch.column(1)), rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes.view(np.int64)), batch.column(0).take(pa.array(rows[at]))], names=["node", "doc_id"])
+            at, nodes = _children(np.tile(roots, batch.num_rows), _matrix(batch.column(2)), rows)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), *(batch.column(k).take(pa.array(rows[at])) for k in (0, 1))],
+                                             names=["node", "doc_id", "n_shingles"])
+
+    return classes.select("doc_id", "n_shingles", "signature").mapInArrow(run, "node long, doc_id long, n_shingles long")
+
+
+def with_stretches(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members (node, doc_id, n_shingles) with the stretch of the signature that their own tree reads, for all further levels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tree = (batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & TREE).astype(int).tolist()
+            own = [s[2 * PLACES * t:2 * PLACES * (t + 1)] for t, s in zip(tree, batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary())], names=["node", "doc_id", "n_shingles", "stretch"])
 
-    return classes.select("doc_id", "signature").mapInArrow(run, "node long, doc_id long")
+    joined = members.select("node", "doc_id", "n_shingles").join(classes.select("doc_id", "signature"), "doc_id")
+    return joined.select("node", "doc_id", "n_shingles", "signature").mapInArrow(run, MEMBERS)
 
 
-def branch(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """The next level: children of nodes for each of their members (node, doc_id)."""
+def branch(members: DataFrame) -> DataFrame:
+    """The next level: children of nodes for each of their members (node, doc_id, n_shingles, stretch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             nodes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            at, children = _children(nodes, _matrix(batch.column(2)), np.arange(len(nodes)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(children.view(np.int64)), batch.column(1).take(pa.array(at))], names=["node", "doc_id"])
+            at, children = _children(nodes, _matrix(batch.column(3)), np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(children.view(np.int64)), *(batch.column(k).take(pa.array(at)) for k in (1, 2, 3))],
+                                             names=["node", "doc_id", "n_shingles", "stretch"])
 
-    joined = members.select("node", "doc_id").join(classes.select("doc_id", "signature"), "doc_id")
-    return joined.select("node", "doc_id", "signature").mapInArrow(run, "node long, doc_id long")
+    return members.select("node", "doc_id", "n_shingles", "stretch").mapInArrow(run, MEMBERS)
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose set sizes allow a link and whose sketches do not speak clearly against it."""
+    """Pairs (a, b) whose sketches do not speak clearly against a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,10 +212,9 @@ def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 share = (_matrix(batch.column(2)) == _matrix(batch.column(3))).mean(axis=1)
                 yield batch.select(["a", "b"]).filter(pa.array(share >= percent / 100 - SLACK))
 
-    sign = classes.select("doc_id", "n_shingles", "sketch")
-    joined = pairs.join(sign.toDF("a", "n_a", "sign_a"), "a").join(sign.toDF("b", "n_b", "sign_b"), "b")
-    sized = joined.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return sized.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
+    sign = classes.select("doc_id", "sketch")
+    joined = pairs.join(sign.toDF("a", "sign_a"), "a").join(sign.toDF("b", "sign_b"), "b")
+    return joined.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -251,7 +264,7 @@ def _with_ids_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
     """Members with their component, in nodes that still hold more than one."""
     named = members.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "node", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        *members.columns, F.coalesce("component", "doc_id").alias("component"))
     counted = named.groupBy("node", "component").agg(F.count("*").alias("n"))
     mixed = counted.groupBy("node").agg(
         F.sum("n").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("common"))
@@ -273,29 +286,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
         F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"),
         F.min("signature").alias("signature")), "classes")
 
-    members = written(branch_roots(first, trees), "members")
-    nodes = members.groupBy("node").agg(F.count("*").alias("size"), F.min("doc_id").alias("leader")).where("size > 1")
-    members = written(members.join(nodes, "node"), "members")
-    stars = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = written(confirmed(written(_alike(stars, first, percent), "pairs"), docs, words, percent), "links")
+    roots = written(branch_roots(first, trees), "members")
+    nodes = roots.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n_shingles")).alias("leader")).where("size > 1")
+    members = written(roots.join(nodes, "node"), "members")
+    discard(roots)
+    stars = members.where("doc_id <> leader.doc_id").where(_sized("n_shingles", "leader.n_shingles", percent)).select(
+        F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    alike = written(_alike(stars, first, percent), "pairs")
+    links = written(confirmed(alike, docs, words, percent), "links")
+    discard(alike)
     components = written(connected_components(links), "components")
 
-    open_nodes, found = written(_labelled(members.select("node", "doc_id"), components), "open"), []
+    open_nodes = written(_labelled(members.select("node", "doc_id", "n_shingles"), components), "open")
+    discard(members)
+    large, found = written(with_stretches(open_nodes.where("NOT small"), first), "members"), []
     for level in range(DEPTH + 1):
         if open_nodes.isEmpty():
             break
         last = level == DEPTH
-        found.append(_across(open_nodes if last else open_nodes.where("small")))
+        found.append(written(_across(open_nodes if last else open_nodes.where("small"), percent).distinct(), "pairs"))
+        discard(open_nodes)
         if last:
             break
-        grown = branch(open_nodes.where("NOT small"), first)
-        open_nodes = written(_labelled(written(grown, "members"), components), "open")
+        grown = written(branch(large), "members")
+        discard(large)
+        open_nodes = written(_labelled(grown, components), "open")
+        discard(grown)
+        large = written(open_nodes.where("NOT small").select("node", "doc_id", "n_shingles", "stretch"), "members")
     if found:
         pairs = found[0]
         for more in found[1:]:
             pairs = pairs.union(more)
-        second = confirmed(written(_alike(pairs.distinct(), first, percent), "pairs"), docs, words, percent)
+        alike = written(_alike(pairs.distinct(), first, percent), "pairs")
+        second = written(confirmed(alike, docs, words, percent), "links")
         components = written(connected_components(links.union(second)), "components")
+        for table in (*found, alike):
+            discard(table)
 
     classes = first.select("set_key", F.col("doc_id").alias("first_id"))
     placed = (sets.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
@@ -305,15 +331,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one node whose components differ.
+def _sized(one: str, other: str, percent: int) -> str:
+    """Whether sets of these sizes can be as alike."""
+    return f"100 * least({one}, {other}) >= {percent} * greatest({one}, {other})"
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one node whose components differ and whose sets are near enough in size.
 
     One side leaves out the node's commonest component, so a node that is one large component and a
     few others costs its size times the others.
     """
-    left = members.select("node", F.col("doc_id").alias("a"), F.col("component").alias("one"), "common")
-    right = members.where("component <> common").select("node", F.col("doc_id").alias("b"), F.col("component").alias("other"))
-    met = left.join(right, "node").where("one <> other AND (one = common OR one < other)")
+    left = members.select("node", F.col("doc_id").alias("a"), F.col("component").alias("one"), F.col("n_shingles").alias("n_a"), "common")
+    right = members.where("component <> common").select(
+        "node", F.col("doc_id").alias("b"), F.col("component").alias("other"), F.col("n_shingles").alias("n_b"))
+    met = left.join(right, "node").where(f"one <> other AND (one = common OR one < other) AND {_sized('n_a', 'n_b', percent)}")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 

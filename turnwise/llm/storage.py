@@ -34,7 +34,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there and columns can be pruned."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.table_path = path
+    return back
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``written`` returned, once nothing reads it any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.table_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def packed(*parts: bytes) -> bytes:
