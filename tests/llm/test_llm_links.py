@@ -166,3 +166,39 @@ def test_nearest_equals_brute_force(spark, vectors, factor, least):
     few = vptree.nearest(usable.where("vec_id < 5"), usable.where("vec_id = 0"), 20)
     assert few.count() == 4
     assert vptree.nearest(usable.limit(0), usable.limit(0), 20).count() == 0
+
+
+@pytest.mark.parametrize("longest", [100.0, 1e8, 1e200])
+def test_nearest_with_one_long_vector(spark, longest):
+    rng = np.random.default_rng(4)
+    points = rng.standard_normal((2000, 24))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    points[1] *= longest
+    points[2] *= 1e-150
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)] + [(5000, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    usable = vptree.usable(frame.repartition(4))
+    queries = usable.where("vec_id % 20 = 0")
+    truth = {}
+    for q in range(0, 2000, 20):
+        scores = vptree._products(np.broadcast_to(points[q], points.shape), points)
+        truth[q] = [i for i in np.lexsort((np.arange(2000), -scores)).tolist() if i != q][:20]
+    exact = vptree.nearest(usable, queries, 20, 1.0, shard_rows=500).collect()
+    found = {q: [r.vec_id for r in sorted(exact, key=lambda r: r.rank) if r.query_id == q] for q in truth}
+    assert found == truth
+    relaxed = vptree.audited_nearest(usable, queries, 20, shard_rows=500)
+    hits = sum(r.vec_id in truth.get(r.query_id, ()) for r in relaxed.collect())
+    assert hits >= 0.9 * 20 * len(truth)
+
+
+def test_exact_search_orders_equal_products_by_id(spark):
+    rng = np.random.default_rng(6)
+    points = rng.integers(-1, 2, (600, 8)).astype(float)
+    points[~points.any(axis=1), 0] = 1
+    order = rng.permutation(600)
+    usable = vptree.usable(spark.createDataFrame([(int(i), p.tolist()) for i, p in zip(order, points, strict=True)], "vec_id long, embedding array<double>"))
+    got = vptree.nearest(usable, usable.where("vec_id % 20 = 0"), 20, 1.0, shard_rows=300).collect()
+    by_id = points[np.argsort(order)]
+    for q in range(0, 600, 20):
+        scores = by_id @ by_id[q]
+        truth = [i for i in np.lexsort((np.arange(600), -scores)).tolist() if i != q][:20]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == truth

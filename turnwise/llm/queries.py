@@ -14,7 +14,7 @@ from .packing import pack_documents
 from .spelling import variants
 from .spimi import divergences
 from .substrings import without_repeats
-from .vptree import nearest, usable
+from .vptree import audited_nearest, usable
 from .wavelet import round_trip
 
 
@@ -59,7 +59,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest embeddings of every embedding whose id is divisible by 20."""
     vectors = usable(_table(spark, sf_dir, "embeddings"))
-    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+    return audited_nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Nearest neighbours by inner product with vantage-point trees, one tree per shard.
 
-Vectors get one more component that makes them equally long, which turns the largest inner product
-into the smallest distance.  A node keeps a vantage vector and the median distance to it; a query
-goes to its own side first and to the other side only where the triangle inequality, relaxed by
-``factor``, lets a nearer vector be.  Factor one is exact; larger factors prune more.
+Shards hold vectors of one length and one band of norms (a power of two), so that a single long vector
+changes no other band.  Inside a shard vectors are scaled by a power of two and get one more component
+that makes them equally long, which turns the largest inner product into the smallest distance to the
+query's unit vector.  A node keeps a vantage vector and the median distance to it; a query goes to its
+own side first and to the other side only where the triangle inequality, relaxed by ``factor``, lets a
+nearer vector be.  Factor one is exact, ties included; larger factors prune more.
 
 Shards hold a bounded number of vectors and queries go in blocks, so a task's memory does not grow
 with the tables.  Equal vectors of a shard are one point of its tree with their smallest ids.
@@ -15,13 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import discard, written
 
 SHARD, QUERY_BLOCK, LEAF = 8192, 2048, 64
+#: So many blocks of queries share one copy of a shard.
+STRIPE = 16
 FACTOR = 1.05
+#: The audit lowers the factor until it measures this share of the true neighbours.
+RECALL = 0.9
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -41,18 +48,34 @@ def usable(vectors: DataFrame, id_name: str = "vec_id", vector_name: str = "embe
     return rows.where(sound("vector"))
 
 
+def band(name: str) -> Column:
+    """Whole binary logarithm of a vector's norm; neither squares nor the norm itself can overflow."""
+    largest = F.array_max(F.transform(name, F.abs))
+    squares = F.aggregate(name, F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))
+    return F.floor(F.log2(largest) + F.log2(squares) / 2).cast("int")
+
+
 class Tree:
-    """A vantage-point tree over the rows of ``points`` (equally long vectors)."""
+    """A vantage-point tree over vectors of like norm, asked for largest inner products.
+
+    ``points`` are scaled to norms of about one at most; ``ids`` decide between equal scores.
+    """
 
-    def __init__(self, points: np.ndarray, seed: int = 5):
-        self.points, self.rng = points, np.random.default_rng(seed)
-        self.root = self._build(np.arange(len(points)))
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, exponent: int, seed: int = 5):
+        self.vectors, self.ids, self.rng = np.asfortranarray(vectors), ids, np.random.default_rng(seed)
+        # halves first: one step could pass the range of powers of two
+        scaled = np.ldexp(np.ldexp(vectors, -(exponent // 2)), -(exponent - exponent // 2))
+        squares = (scaled ** 2).sum(axis=1)
+        self.points = np.column_stack([scaled, np.sqrt(np.maximum(squares.max(initial=0) - squares, 0))])
+        self.length = squares.max(initial=0)
+        self.slack = 1e-14 * max(self.points.shape[1], 64)
+        self.root = self._build(np.arange(len(vectors)))
 
     def _build(self, rows: np.ndarray):
         if len(rows) <= LEAF:
             return rows
         vantage = int(rows[self.rng.integers(len(rows))])
-        distance = np.sqrt(np.maximum(((self.points[rows] - self.points[vantage]) ** 2).sum(axis=1), 0))
+        distance = np.sqrt(((self.points[rows] - self.points[vantage]) ** 2).sum(axis=1))
         radius = float(np.median(distance))
         near = distance <= radius
         if near.all():
@@ -60,42 +83,55 @@ class Tree:
         return vantage, radius, self._build(rows[near]), self._build(rows[~near])
 
     def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the ``k`` nearest points of each query and their distances; -1 where there are fewer."""
-        n = len(queries)
+        """Rows of the ``k`` points of largest product with each query and the products; -1 where there are fewer."""
+        n, asked = len(queries), np.asfortranarray(queries)
+        largest = np.abs(queries).max(axis=1, keepdims=True)
+        units = queries / largest
+        units = np.column_stack([units / np.sqrt((units ** 2).sum(axis=1, keepdims=True)), np.zeros(n)])
         best, rows = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
-        squares = (self.points ** 2).sum(axis=1)
+        scores, ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+        def compare(who: np.ndarray, part: np.ndarray) -> None:
+            squared = np.maximum(self.length + 1 - 2 * units[who] @ self.points[part].T, 0)
+            bound = np.partition(np.concatenate([best[who] ** 2, squared], axis=1), k - 1, axis=1)[:, k - 1]
+            q, p = np.nonzero(squared <= bound[:, None] + self.slack)
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            shape = (len(who), int(place.max(initial=-1)) + 1)
+            found = [np.full(shape, x) for x in (np.inf, -1, -np.inf, np.iinfo(np.int64).max)]
+            products = _products(asked, self.vectors, who[q], part[p])
+            for table, values in zip(found, (np.sqrt(squared[q, p]), part[p], products, self.ids[part[p]]), strict=True):
+                table[q, place] = values
+            held = [np.concatenate([old[who], new], axis=1) for old, new in zip((best, rows, scores, ids), found, strict=True)]
+            pick = np.lexsort((held[3], -held[2], held[1] < 0), axis=1)[:, :k]
+            for old, new in zip((best, rows, scores, ids), held, strict=True):
+                old[who] = np.take_along_axis(new, pick, axis=1)
 
         def visit(node, who: np.ndarray) -> None:
             if not len(who):
                 return
             if isinstance(node, np.ndarray):
                 for at in range(0, len(node), 1024):
-                    part = node[at:at + 1024]
-                    d = squares[part] - 2 * queries[who] @ self.points[part].T + (queries[who] ** 2).sum(axis=1)[:, None]
-                    all_d = np.concatenate([best[who], np.sqrt(np.maximum(d, 0))], axis=1)
-                    all_rows = np.concatenate([rows[who], np.broadcast_to(part, (len(who), len(part)))], axis=1)
-                    pick = np.argpartition(all_d, k - 1, axis=1)[:, :k]
-                    best[who] = np.take_along_axis(all_d, pick, axis=1)
-                    rows[who] = np.take_along_axis(all_rows, pick, axis=1)
+                    compare(who, node[at:at + 1024])
                 return
             vantage, radius, inner, outer = node
-            d = np.sqrt(((queries[who] - self.points[vantage]) ** 2).sum(axis=1))
+            d = np.sqrt(((units[who] - self.points[vantage]) ** 2).sum(axis=1))
             inside = d <= radius
             visit(inner, who[inside])
             visit(outer, who[~inside])
-            reach = best[who].max(axis=1) / factor
+            reach = best[who].max(axis=1) / factor + self.slack ** 0.5
             visit(outer, who[inside & (radius - d <= reach)])
             visit(inner, who[~inside & (d - radius <= reach)])
 
-        visit(self.root, np.arange(n))
-        return rows, best
+        with np.errstate(over="ignore", invalid="ignore"):
+            visit(self.root, np.arange(n))
+        return rows, scores
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _products(a: np.ndarray, b: np.ndarray, rows_a=slice(None), rows_b=slice(None)) -> np.ndarray:
     """Inner products of paired rows, summed component by component in order."""
-    total = np.zeros(len(a))
+    total = np.zeros(len(a[rows_a, 0]))
     for k in range(a.shape[1]):
-        total += a[:, k] * b[:, k]
+        total += a[rows_a, k] * b[rows_b, k]
     return total
 
 
@@ -109,41 +145,48 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, factor: float = FACT
     """The ``k`` rows of ``vectors`` with the largest inner product for each row of ``queries``.
 
     Both are (vec_id, vector) as ``usable`` gives them; only vectors of one length are compared.  A query's own id is no
-    candidate.  Equal scores are ordered by smaller id.  Returns query_id, rank, vec_id, score.
+    candidate.  Equal scores are ordered by smaller id.  A product beyond the range of doubles is infinite or not a
+    number in ``score``; which of such rows are found follows from the scaled vectors.  Returns query_id, rank,
+    vec_id, score.
     """
-    points = written(vectors, "vectors")
-    n = points.count()
-    if not n:
-        return points.selectExpr("vec_id AS query_id", "0 AS rank", "vec_id", "0D AS score")
-    shards = max(1, -(-n // shard_rows))
-    longest = points.select(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+    points = written(vectors.withColumn("width", F.size("vector")).withColumn("band", band("vector")), "vectors")
     asked = written(queries, "queries")
     blocks = max(1, -(-asked.count() // block_rows))
-
-    stored = points.withColumn("width", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    sent = asked.withColumn("width", F.size("vector")).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-
-    def pack(batch_of: str):
-        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")
-            ids, rows = table.column("vec_id").to_numpy()[order], _stack(table.column("vector"))[order]
-            return pa.table({"width": pa.array([key[0].as_py()], pa.int32()), batch_of: pa.array([key[1].as_py()], pa.int32()),
-                             "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "rows": pa.array([rows.astype("<f8").tobytes()], pa.binary())})
-        return run
-
-    trees = stored.groupBy("width", "shard").applyInArrow(pack("shard"), "width int, shard int, ids binary, rows binary")
-    asks = sent.groupBy("width", "block").applyInArrow(pack("block"), "width int, block int, ids binary, rows binary")
-    spread = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).selectExpr(
-        "width", "shard", "ids AS query_ids", "rows AS query_rows")
-    pairs = written(trees, "shards").join(written(spread, "asks"), ["width", "shard"]).select("width", "ids", "rows", "query_ids", "query_rows")
-    pairs = pairs.repartition(shards * blocks, F.xxhash64("ids"), F.xxhash64("query_ids"))
+    counts = points.groupBy("width", "band").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    parts = counts.agg(F.sum("shards")).first()[0]
+    if not parts:
+        return points.selectExpr("vec_id AS query_id", "0 AS rank", "vec_id", "0D AS score")
+    stripes = -(-blocks // STRIPE)
+
+    stored = points.join(counts, ["width", "band"]).withColumn("shard", F.expr("CAST(pmod(xxhash64(vec_id), shards) AS INT)"))
+    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
+    sent = asked.select("*", F.size("vector").alias("width"), block.alias("block"))
+
+    def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")
+        ids, rows = table.column("vec_id").to_numpy()[order], _stack(table.column("vector"))[order]
+        return pa.table([*(pa.array([x.as_py()], pa.int32()) for x in key), pa.array([ids.astype("<i8").tobytes()], pa.binary()),
+                         pa.array([rows.astype("<f8").tobytes()], pa.binary())], names=[*names[len(key)], "ids", "rows"])
+
+    names = {3: ["width", "band", "shard"], 2: ["width", "block"]}
+    trees = written(stored.select(*names[3], "vec_id", "vector").groupBy(*names[3]).applyInArrow(
+        pack, "width int, band int, shard int, ids binary, rows binary"), "shards")
+    asks = written(sent.groupBy("width", "block").applyInArrow(pack, "width int, block int, ids binary, rows binary"), "asks")
+    shards = counts.selectExpr("width", "band", "explode(sequence(0, shards - 1)) AS shard")
+    # a shard travels once for each stripe of blocks, a block once for each shard
+    keys, tasks = ["width", "band", "shard", "stripe"], parts * stripes
+    copies = trees.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))).repartition(tasks, *keys)
+    spread = asks.join(shards, "width").selectExpr(*keys[:3], f"block div {STRIPE} AS stripe", "ids AS query_ids", "rows AS query_rows")
+    spread = spread.withColumn("stripe", F.col("stripe").cast("int")).repartition(tasks, *keys)
+    pairs = copies.hint("shuffle_hash").join(spread, keys).select("width", "band", "ids", "rows", "query_ids", "query_rows")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, None)
         for batch in batches:
-            for width, ids, rows, query_ids, query_rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held[0] != ids:
-                    held = (ids, _indexed(np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<f8").reshape(-1, width), longest, k))
+            for at in range(batch.num_rows):
+                width, exponent, ids, rows, query_ids, query_rows = (c[at].as_py() for c in batch.columns)
+                if held[0] != (ids, rows):
+                    held = ((ids, rows), _indexed(np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<f8").reshape(-1, width), exponent, k))
                 yield _answers(held[1], np.frombuffer(query_ids, "<i8"), np.frombuffer(query_rows, "<f8").reshape(-1, width), k, factor)
 
     found = pairs.mapInArrow(search, FOUND)
@@ -151,26 +194,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, factor: float = FACT
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _indexed(ids: np.ndarray, rows: np.ndarray, longest: float, k: int):
+def _indexed(ids: np.ndarray, rows: np.ndarray, exponent: int, k: int):
     """Tree over a shard's distinct vectors; each with its k + 1 smallest ids, as no answer needs more."""
     distinct, where = np.unique(rows, axis=0, return_inverse=True)
     order = np.lexsort((ids, where.ravel()))
     starts = np.searchsorted(where.ravel()[order], np.arange(len(distinct)))
     ends = np.append(starts[1:], len(ids))
-    extra = np.sqrt(np.maximum(longest - (distinct ** 2).sum(axis=1), 0))
     own = [ids[order[a:min(b, a + k + 1)]] for a, b in zip(starts, ends, strict=True)]
-    return Tree(np.column_stack([distinct, extra])), distinct, own
+    return Tree(distinct, ids[order[starts]], exponent + 1), own
 
 
 def _answers(index, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> pa.RecordBatch:
-    tree, distinct, own = index
-    rows, _ = tree.search(np.column_stack([queries, np.zeros(len(queries))]), min(k + 1, len(distinct)), factor)
+    tree, own = index
+    rows, scores = tree.search(queries, min(k + 1, len(own)), factor)
     asked, hit = np.nonzero(rows >= 0)
     point = rows[asked, hit]
-    scores = _products(queries[asked], distinct[point])
-    sizes = np.array([len(own[p]) for p in point])
-    q, s = np.repeat(asked, sizes), np.repeat(scores, sizes)
-    v = np.concatenate([own[p] for p in point]) if len(point) else np.zeros(0, np.int64)
+    sizes = np.array([len(own[p]) for p in point], np.int64)
+    q, s = np.repeat(asked, sizes), np.repeat(scores[asked, hit], sizes)
+    v = np.concatenate([np.zeros(0, np.int64), *(own[p] for p in point)])
     keep = v != query_ids[q]
     q, s, v = q[keep], s[keep], v[keep]
     order = np.lexsort((v, -s, q))
@@ -180,6 +221,17 @@ def _answers(index, query_ids: np.ndarray, queries: np.ndarray, k: int, factor:
                                       names=["query_id", "vec_id", "score"])
 
 
+def audited_nearest(vectors: DataFrame, queries: DataFrame, k: int, factor: float = FACTOR, least: float = RECALL,
+                    shard_rows: int = SHARD, block_rows: int = QUERY_BLOCK) -> DataFrame:
+    """``nearest`` with a factor that ``recall`` has measured to find at least this share; one, if no other does."""
+    while True:
+        answers = written(nearest(vectors, queries, k, factor, shard_rows, block_rows), "answers")
+        if factor <= 1 or recall(answers, vectors, queries, k) >= least:
+            return answers
+        discard(answers)
+        factor = 1 + (factor - 1) / 4 if factor > 1.01 else 1.0
+
+
 def recall(answers: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> float:
     """Share of the true ``k`` nearest that ``answers`` holds, for a bounded sample of queries.
 
@@ -188,13 +240,19 @@ def recall(answers: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, b
     chosen = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(block).collect()
     if not chosen:
         return 1.0
-    ids, rows = np.array([r.vec_id for r in chosen]), np.array([r.vector for r in chosen])
+    all_ids, chosen_rows = np.array([r.vec_id for r in chosen]), [r.vector for r in chosen]
+    widths = np.array([len(r) for r in chosen_rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                own = batch.column(0).to_numpy()
-                scores = _stack(pa.chunked_array([batch.column(1)])) @ rows.T
+            lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for width in np.unique(lengths).tolist():
+                part, same = batch.filter(pa.array(lengths == width)), np.flatnonzero(widths == width)
+                if not len(same):
+                    continue
+                own, ids = part.column(0).to_numpy(), all_ids[same]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scores = _stack(pa.chunked_array([part.column(1)])) @ np.array([chosen_rows[j] for j in same]).T
                 scores[own[:, None] == ids[None, :]] = -np.inf
                 top = np.argpartition(-scores, min(k, len(own)) - 1, axis=0)[:k]
                 for j, q in enumerate(ids):
