@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from turnwise.llm import toxicity, warc
+from turnwise.llm import cpsjoin, pii, toxicity, warc
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
@@ -129,6 +129,43 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "personal_data", "packing"]
 
 
+def test_stages_keep_columns_that_share_names_with_helpers(spark, labelled):
+    _, labels, _ = labelled
+    names = ["_found", "_merged", "_toxicity", "_gone", "found_spans", "merged_spans", "toxicity", "gone_id", "score", "component_id", "kept"]
+    docs = spark.createDataFrame([(1, "write to a@b.co or c@d.org", *names), (2, "re in", *names), (None, None, *names)],
+                                 f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}")
+    for out in (pii.redact(docs), toxicity.reject(docs, labels), cpsjoin.keep_first(docs)):
+        rows = out.collect()
+        assert out.columns == docs.columns and len(rows) == 3
+        assert all(tuple(r[n] for n in names) == tuple(names) for r in rows)
+    assert [r.text for r in pii.redact(docs).where("doc_id = 1").collect()] == ["write to <EMAIL> or <EMAIL>"]
+
+
+def test_pipeline_from_end_to_end(spark):
+    """Against each step done plainly: scores of the toxicity report, groups by brute force, tokens by the library."""
+    import corpus_pipeline
+    import public_tokenizers
+    from test_llm_links import brute_groups
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r.doc_id for r in toxicity.report(docs, labels).where("predicted = 1").collect()}
+    left = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if r.doc_id not in toxic]
+    kept = {i for i, (_, _, first) in brute_groups(left, 5).items() if first}
+    encoder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    encoder.no_truncation()
+    encoder.no_padding()
+    masked = {r.doc_id: r.text for r in pii.redact(docs).select("doc_id", "text").collect()}
+    want = {i: len(encoder.encode(masked[i] or "", add_special_tokens=False).ids) + 1 for i in kept}
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    got = {}
+    for r in pieces:
+        assert got.setdefault(r.doc_id, r.doc_tokens) == r.doc_tokens
+    assert got == want
+    assert sum(r.length for r in pieces) == sum(want.values())
+
+
 def test_page_records_become_digests(spark):
     pages = spark.createDataFrame([(4, "http://a.com/x", "<p>é"), (3, "http://a.com/x", "b"), (None, None, None)], "page_id long, url string, html string")
     got = {r.record_id: r for r in warc.digests(warc.resolve(warc.parse_records(warc.page_records(pages)))).collect()}

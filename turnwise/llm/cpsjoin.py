@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import discard, slices, written
+from .storage import discard, free_name, slices, written
 
 #: Places of each tree's stretch of the signature.
 PLACES, SMALL, DEPTH = 24, 32, 12
@@ -352,7 +352,9 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the rows that are not the smallest id of their near-duplicate group.
 
-    Rows without an id stay.  Of rows that repeat a kept id all stay, as they share it.
+    Rows without an id stay.  Of rows that repeat a kept id all stay, as they share it.  Further columns
+    may have any names.
     """
-    judged = near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(judged, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = free_name(docs, "gone_id")
+    judged = near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(judged, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import free_name
+
 #: The kinds of the contract in its order, then those this method adds.
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn")
@@ -131,24 +133,27 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in angle brackets.
 
     Spans that overlap are replaced as one, named by the first.  Texts without spans, null texts and
-    all other columns stay as they are; ``n_chars`` follows the text where the table has it.
+    all other columns stay as they are, whatever their names; ``n_chars`` follows the text where the
+    table has it.  Repeated rows are treated alike.
     """
-    marked = find_spans(docs, "_found").withColumn("_merged", F.aggregate(
-        F.array_sort(F.transform("_found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
+    found = free_name(docs, "found_spans")
+    merged = free_name(docs, "merged_spans")
+    marked = find_spans(docs, found).withColumn(merged, F.aggregate(
+        F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
         F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint,kind:string>>"),
         lambda out, s: F.when((F.size(out) > 0) & (F.element_at(out, -1)["end"] > s["start"]), F.concat(
             F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(
                 F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end"),
                 F.element_at(out, -1)["kind"].alias("kind"))))).otherwise(F.concat(out, F.array(s)))))
-    pieces = F.transform("_merged", lambda s, i: F.concat(
+    pieces = F.transform(merged, lambda s, i: F.concat(
         F.expr("text").substr(
-            (F.when(i > 0, F.get("_merged", i - 1)["end"]).otherwise(0) + 1).cast("int"),
-            (s["start"] - F.when(i > 0, F.get("_merged", i - 1)["end"]).otherwise(0)).cast("int")),
+            (F.when(i > 0, F.get(merged, i - 1)["end"]).otherwise(0) + 1).cast("int"),
+            (s["start"] - F.when(i > 0, F.get(merged, i - 1)["end"]).otherwise(0)).cast("int")),
         F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-    tail = F.expr("substr(text, CAST(element_at(_merged, -1).end + 1 AS INT))")
-    cleaned = F.when(F.size("_merged") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text"))
+    tail = F.expr(f"substr(text, CAST(element_at({merged}, -1).end + 1 AS INT))")
+    cleaned = F.when(F.size(merged) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text"))
     out = marked.withColumn("text", cleaned)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_merged") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.size(merged) > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
                              .otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

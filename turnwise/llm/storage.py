@@ -46,6 +46,14 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, lengthened until no column of ``df`` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def packed(*parts: bytes) -> bytes:
     """Byte strings behind their number and lengths, compressed together."""
     sizes = np.array([len(parts), *map(len, parts)], "<u8").tobytes()
