@@ -7,6 +7,7 @@ import pytest
 
 from conftest import by_key
 from test_responses import SCHEMA, make
+from turnwise.operators import boosting as BO
 from turnwise.operators import folds as FO
 from turnwise.operators import isotonic as IS
 from turnwise.operators import moments as MO
@@ -324,3 +325,106 @@ def test_tree_queries_do_the_described_work(spark):
     assert trees.getMaxIter() >= 200 and trees.getValidationIndicatorCol() == "is_validation"
     assert sorted(f for block in queries.BLOCKS.values() for f in block) == sorted(queries.FEATURES)
     assert len(set(queries.SEEDS)) == 5
+
+
+def plain_boost(rows, columns, held, how, borders):
+    """The same boosting in a few plain loops over rows; returns held-out margins by number of trees."""
+    codes = [[sum(x > b for b in borders[c]) if x is not None else how.bins for c, x in enumerate(r[2:])] for r in rows]
+    y = [r[1] for r in rows]
+    train = [i for i, r in enumerate(rows) if r[0] != held and r[0] >= 0]
+    rate = sum(y[i] for i in train) / len(train)
+    margin, steps = [np.log(rate / (1 - rate))] * len(rows), []
+    for _ in range(how.rounds):
+        p = [1 / (1 + np.exp(-m)) for m in margin]
+        leaves, value = {0: list(range(len(rows)))}, {0: 0.0}
+        fresh, number = [0], 1
+        for _ in range(how.depth):
+            found = []
+            for leaf in leaves if fresh else ():
+                own = [i for i in leaves[leaf] if rows[i][0] != held and rows[i][0] >= 0]
+                worth = lambda g, h: g * g / (h + how.ridge)
+                g, h = sum(p[i] - y[i] for i in own), sum(p[i] * (1 - p[i]) for i in own)
+                best = None
+                for c in range(len(columns)):
+                    for b in range(how.bins):
+                        for m in (False, True):
+                            goes = [i for i in own if (m if codes[i][c] == how.bins else codes[i][c] <= b)]
+                            if min(len(goes), len(own) - len(goes)) < how.least_rows:
+                                continue
+                            gl, hl = sum(p[i] - y[i] for i in goes), sum(p[i] * (1 - p[i]) for i in goes)
+                            gain = (worth(gl, hl) + worth(g - gl, h - hl) - worth(g, h)) / 2
+                            if best is None or gain > best[0] + 1e-12:
+                                best = (gain, leaf, c, b, m, -gl / (hl + how.ridge), -(g - gl) / (h - hl + how.ridge))
+                if best and best[0] > 1e-12:
+                    found.append(best)
+            fresh = []
+            for _, leaf, c, b, m, left, right in sorted(found, key=lambda s: (-s[0], s[1]))[:how.leaves - len(leaves)]:
+                goes = [i for i in leaves[leaf] if (m if codes[i][c] == how.bins else codes[i][c] <= b)]
+                leaves[number], value[number] = goes, left
+                leaves[number + 1], value[number + 1] = sorted(set(leaves[leaf]) - set(goes)), right
+                del leaves[leaf], value[leaf]
+                fresh += [number, number + 1]
+                number += 2
+        for leaf, own in leaves.items():
+            for i in own:
+                margin[i] += how.rate * value[leaf]
+        steps.append(list(margin))
+    return steps
+
+
+def boosting_rows(n=240):
+    rng = random.Random(12)
+    rows = []
+    for i in range(n):
+        a, b = rng.choice([None, *map(float, range(9))]), rng.choice([None, None, rng.random()])
+        rows.append((i % 4 - 1 if i % 9 == 0 else i % 3, float(rng.random() < (0.8 if a is None or a > 5 else 0.25 + 0.3 * (b or 0))), a, b))
+    return rows
+
+
+@pytest.mark.parametrize("merged,pending", [(64, 8), (2, 2)])
+def test_shared_trees_equal_plain_boosting(spark, monkeypatch, merged, pending):
+    monkeypatch.setattr(BO, "MERGED", merged)
+    monkeypatch.setattr(BO, "PENDING", pending)
+    rows = boosting_rows()
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, side int, label double, a double, b double").repartition(5)
+    how = BO.Trees(rounds=5, rate=0.3, leaves=5, bins=6, least_rows=12, patience=None, row_share=1.0)
+    runs = [BO.Run(str(f), "side", f, ("a", "b")) for f in range(3)] + [BO.Run("only a", "side", 0, ("a",))]
+    out, forest = BO.boost(frame, "id", runs, how)
+    assert forest.kept == [5] * 4 and any(n.missing_left for t in forest.trees[0] for n in t)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.run, {})[r.id] = r.pred
+    for run in runs:
+        shown = [r if "b" in run.columns else r[:3] for r in rows]
+        want = plain_boost(shown, run.columns, run.held, how, forest.borders)[-1]
+        assert got[run.name].keys() == {i for i, r in enumerate(rows) if r[0] == run.held}
+        for i, p in got[run.name].items():
+            assert abs(p - 1 / (1 + np.exp(-want[i]))) < 1e-9
+        loss = np.mean([-np.log(p if rows[i][1] else 1 - p) for i, p in got[run.name].items()])
+        assert abs(forest.losses[runs.index(run)][5] - loss) < 1e-9
+
+
+def test_shared_trees_stop_by_held_out_rows_and_take_odd_rows(spark):
+    rows = [(i, *r) for i, r in enumerate(boosting_rows())] + [(900, 0, None, 1.0, None), (901, None, 1.0, float("nan"), None), (902, 1, 1.0, None, float("inf"))]
+    frame = spark.createDataFrame(rows, "id long, side int, label double, a double, b double")
+    out, forest = BO.boost(frame, "id", [BO.Run("0", "side", 0, ("a", "b")), BO.Run("1", "side", 1, ("a", "b"))], BO.Trees(rounds=40, rate=0.5, least_rows=10, patience=3))
+    for losses, kept in zip(forest.losses, forest.kept, strict=True):
+        assert kept == int(np.argmin(losses)) and (len(losses) == 41 or len(losses) - 1 - kept == 3)
+    seen = {(r.run, r.id): r.pred for r in out.collect()}
+    assert ("0", 900) in seen and ("1", 902) in seen and all(0 < p < 1 for p in seen.values())
+    assert not any(i == 901 for _, i in seen)
+    empty, _ = BO.boost(frame.limit(0), "id", [BO.Run("0", "side", 0, ("a",))], BO.Trees(rounds=2))
+    assert empty.count() == 0
+
+
+def test_tree_ablation_and_stress_share_their_passes(matrix):
+    how = BO.Trees(rounds=3, rate=0.5, least_rows=5, bins=8)
+    out = by_key(LN.tree_ablation(matrix.drop("fold"), {"x": ["f1"], "y": ["f2"]}, (0, 1), 2, how), "name")
+    assert set(out) == {"without_x", "without_y"} and out["without_x"]["n_seeds"] == 2
+    assert out["without_x"]["mean"] > out["without_y"]["mean"]
+    oof, forest = LN.tree_out_of_fold(matrix, ["f1", "f2"], 3, how)
+    assert oof.count() == matrix.count() == oof.select("response_id").distinct().count()
+    assert {r.feature for r in LN.tree_gains(forest).collect()} == {"f1", "f2", "lo_prior_enc"}
+    rows = matrix.drop("fold").selectExpr("*").withColumn("session_id", matrix.response_id)
+    stress = by_key(LN.tree_stress_test(rows, ["f1", "f2"], draws=2, how=BO.Trees(rounds=3, patience=None, least_rows=5)), "name")
+    assert set(stress) == {"model", "prior", "gain"} and stress["gain"]["n_seeds"] == 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions import text as X
 from ..operators import folds as FO
 from ..operators import vocabulary as VO
+from ..operators.boosting import Run, Trees, root_gains
 from ..operators.ledger import importance_summary
 from ..operators.moments import fold_covariance
 from ..plans import learning as LN
@@ -57,6 +58,57 @@ def _gbt_importance(spark, sf_dir):
     return importance_summary(gains)
 
 
+#: Shared-pass trees; the rate is that of few, larger steps, as every tree costs its depth in passes.
+SHARED_TREES = Trees(rate=0.3)
+
+
+@query("histogram_gbt_oof", "M3 F7 F8")
+def _histogram_gbt(spark, sf_dir):
+    folds = LN.cut(FO.session_folds(document_matrix(spark, sf_dir), K))
+    return LN.tree_out_of_fold(folds, FEATURES, K, SHARED_TREES)[0]
+
+
+@query("histogram_gbt_gains", "M3 A16")
+def _histogram_gains(spark, sf_dir):
+    folds = LN.cut(FO.session_folds(document_matrix(spark, sf_dir), K))
+    return importance_summary(LN.tree_gains(LN.tree_out_of_fold(folds, FEATURES, K, SHARED_TREES)[1]))
+
+
+ROOT = Trees(bins=16, row_share=1.0)
+#: A response's order of magnitude and remainders, missing where a remainder says so.
+ROOT_FEATURES = {"f_pred": "pred", "f_gap": "CASE WHEN response_id % 7 <> 0 THEN response_id % 97 END",
+                 "f_rare": "CASE WHEN response_id % 3 = 0 THEN pred * pred END"}
+
+
+def root_sides() -> str:
+    """Candidate splits of each model's first tree: borders at ranks of all rows, sums of its training rows."""
+    values = " UNION ALL ".join(f"SELECT response_id, fold, label, '{n}' AS feature, CAST({e} AS DOUBLE) AS x FROM f" for n, e in ROOT_FEATURES.items())
+    return f"""
+    WITH {SESSION_FOLDS}, v AS MATERIALIZED ({values}),
+    c AS (SELECT feature, x, sum(count(*)) OVER (PARTITION BY feature ORDER BY x) AS upto, sum(count(*)) OVER (PARTITION BY feature) AS n
+          FROM v WHERE x IS NOT NULL GROUP BY feature, x),
+    b AS (SELECT DISTINCT feature, border FROM (SELECT feature, i, min(x) AS border FROM c, range(1, {ROOT.bins}) AS t(i)
+          WHERE upto >= ceil(i / {ROOT.bins}::DOUBLE * n) GROUP BY feature, i)),
+    k AS (SELECT DISTINCT fold AS run FROM f),
+    p AS (SELECT run, avg(label) AS p FROM f JOIN k ON fold <> run GROUP BY run),
+    t AS MATERIALIZED (SELECT run, feature, x, count(*) AS n, sum(p - label) AS g, sum(p * (1 - p)) AS h
+          FROM v JOIN k ON fold <> run JOIN p USING (run) GROUP BY ALL),
+    w AS (SELECT run, feature, sum(n) AS n, sum(g) AS g, sum(h) AS h FROM t GROUP BY ALL),
+    s AS (SELECT run, feature, border, missing_left, sum(n) AS nl, sum(g) AS gl, sum(h) AS hl
+          FROM t JOIN b USING (feature), (SELECT unnest([true, false]) AS missing_left)
+          WHERE x <= border OR (x IS NULL AND missing_left) GROUP BY ALL)
+    SELECT CAST(run AS VARCHAR) AS run, feature, border, missing_left, CAST(nl AS BIGINT) AS n_left,
+           (gl * gl / (hl + {ROOT.ridge}) + (g - gl) * (g - gl) / (h - hl + {ROOT.ridge}) - g * g / (h + {ROOT.ridge})) / 2 AS gain
+    FROM s JOIN w USING (run, feature) WHERE nl >= {ROOT.least_rows} AND n - nl >= {ROOT.least_rows}"""
+
+
+@query("root_split_gains", "M3", rounded(root_sides(), "border gain"))
+def _root_gains(spark, sf_dir):
+    folds = FO.session_folds(responses(spark, sf_dir), K).selectExpr(
+        "response_id", "fold", "label", *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in ROOT_FEATURES.items()])
+    return root_gains(LN.cut(folds), "response_id", [Run(str(f), "fold", f, tuple(ROOT_FEATURES)) for f in range(K)], ROOT)
+
+
 @query("text_model_oof", "M4 T17")
 def _text(spark, sf_dir):
     folds = FO.session_folds(labelled_texts(spark, sf_dir), K)
@@ -202,7 +254,7 @@ def _covariance(spark, sf_dir):
 
 @query("block_ablation", "E14 E13 E15")
 def _ablation(spark, sf_dir):
-    return LN.ablation(document_matrix(spark, sf_dir), BLOCKS, TREES, SEEDS, k=K)
+    return LN.tree_ablation(document_matrix(spark, sf_dir), BLOCKS, SEEDS, K, SHARED_TREES)
 
 
 @query("unseen_stress_test", "E20 F12 E12")
@@ -211,4 +263,4 @@ def _stress(spark, sf_dir):
     rows = document_matrix(spark, sf_dir).selectExpr(
         "response_id", "concat_ws('-', session_id, response_id div 40) AS session_id",
         "response_id div 40 % 10 AS objective_id", "label", *FEATURES)
-    return LN.unseen_stress_test(rows, FEATURES, LN.logistic(iterations=50), draws=5)
+    return LN.tree_stress_test(rows, FEATURES, draws=5)

@@ -23,8 +23,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import calibrated, clip_probability, lit, log_loss, logit, sigmoid
+from ..functions.scalars import calibrated, clip_probability, lit, log_loss, logit, num, sigmoid
 from ..functions.text import with_bigrams
+from ..operators.boosting import Forest, Run, Trees, boost
 from ..operators.compare import paired_delta, summarize
 from ..operators.encoding import encoding_for, fold_sums, objective_sums
 from ..operators.isotonic import PER_TASK, interpolated, isotonic_blocks
@@ -541,6 +542,64 @@ def unseen_stress_test(matrix: DataFrame, features: Sequence[str], learner: Lear
         rate = aggregate(split.where("side = 'train'"), [], "avg(label) AS r").scalar()
         prior = held.withColumn("pred", rate)
         runs += [run_loss(held, "model", draw), run_loss(prior, "prior", draw)]
-    both = cut(union(runs))
-    gain = paired_delta(both, "prior").withColumn("name", F.lit("gain"))
-    return summarize(both.unionByName(gain))
+    return _with_gain(cut(union(runs)))
+
+
+def _with_gain(runs: DataFrame) -> DataFrame:
+    return summarize(runs.unionByName(paired_delta(runs, "prior").withColumn("name", F.lit("gain"))))
+
+
+# --- trees of all runs in shared passes ------------------------------------------------
+def tree_out_of_fold(folds: DataFrame, features: Sequence[str], k: int = 5, how: Trees = Trees(),
+                     encode: bool = True) -> tuple[DataFrame, Forest]:
+    """``response_id, fold, label, pred`` of held-out rows and the forest; all folds grow together.
+
+    Each fold's model reads an objective encoding of its own, as in ``fit_fold_models``.
+    """
+    rows = folds
+    if encode:
+        known = folds.join(small_side(objective_sums(folds, "objective_id", "label")), "objective_id")
+        known = known.withColumn("g", fold_sums(folds, "label").scalar())
+        rows = known.selectExpr(*folds.columns, *[f"{encoding_for(str(f), 'CAST(fold AS INT)')} AS {ENCODED}_{f}" for f in range(k)])
+    runs = [Run(str(f), "fold", f, (*features, *([f"{ENCODED}_{f}"] if encode else []))) for f in range(k)]
+    out, forest = boost(cut(rows), "response_id", runs, how)
+    return out.selectExpr("response_id", "CAST(run AS INT) AS fold", "label", "pred"), forest
+
+
+def tree_gains(forest: Forest) -> DataFrame:
+    """``feature, fold, gain`` of the kept trees; the encodings of all folds are one feature."""
+    rows = [(ENCODED if c.startswith(ENCODED) else c, int(run), gain) for run, c, gain, _ in forest.gains()]
+    return SparkSession.active().createDataFrame(rows, "feature string, fold int, gain double")
+
+
+def tree_ablation(matrix: DataFrame, blocks: dict[str, Sequence[str]], seeds: Sequence[int], k: int = 5, how: Trees = Trees()) -> DataFrame:
+    """``ablation`` with every variant, seed and fold as a run of one training job."""
+    everything = [c for cols in blocks.values() for c in cols]
+    variants = {"full": everything} | {f"without_{b}": [c for c in everything if c not in cols] for b, cols in blocks.items()}
+    rows = cut(matrix)
+    for seed in seeds:
+        rows = session_folds(rows, k, seed).withColumnRenamed("fold", f"fold_{seed}")
+    runs = [Run(f"{v}|{seed}", f"fold_{seed}", f, tuple(columns)) for v, columns in variants.items() for seed in seeds for f in range(k)]
+    out, _ = boost(cut(rows), "response_id", runs, how)
+    losses = aggregate(out, ["run"], f"avg({log_loss('label', 'pred')}) AS value").selectExpr(
+        "substring_index(run, '|', 1) AS name", "CAST(substring_index(run, '|', -1) AS BIGINT) AS seed", "value")
+    return summarize(paired_delta(cut(losses), "full"))
+
+
+def tree_stress_test(matrix: DataFrame, features: Sequence[str], draws: int = 5, fraction: float = 0.25,
+                     how: Trees = Trees(rounds=25, rate=0.2, patience=None)) -> DataFrame:
+    """``unseen_stress_test`` with trees, every draw a run of one training job.
+
+    The number of trees is fixed: rows of unseen objectives judge the model and may not choose it.
+    """
+    from ..operators.folds import unseen_split
+
+    rows, columns = cut(matrix), matrix.columns
+    for draw in range(draws):
+        rows = unseen_split(rows, fraction, seed=draw).selectExpr(
+            *columns, f"CASE WHEN side = 'train' THEN 1 WHEN scored THEN 0 ELSE -1 END AS draw_{draw}")
+        columns = rows.columns
+    out, forest = boost(cut(rows), "response_id", [Run(str(d), f"draw_{d}", 0, tuple(features)) for d in range(draws)], how)
+    prior = " ".join(f"WHEN '{d}' THEN {num(1 / (1 + np.exp(-b)))}" for d, b in enumerate(forest.base))
+    both = aggregate(out, ["run"], f"avg({log_loss('label', 'pred')}) AS model", f"avg({log_loss('label', f'CASE run {prior} END')}) AS prior")
+    return _with_gain(cut(both.selectExpr("CAST(run AS BIGINT) AS seed", "stack(2, 'model', model, 'prior', prior) AS (name, value)").select("name", "seed", "value")))
