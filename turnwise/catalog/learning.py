@@ -59,7 +59,7 @@ def _gbt_importance(spark, sf_dir):
 
 
 #: Shared-pass trees; the rate is that of few, larger steps, as every tree costs its depth in passes.
-SHARED_TREES = Trees(rate=0.3)
+SHARED_TREES = Trees(rate=0.3, patience=3)
 
 
 @query("histogram_gbt_oof", "M3 F7 F8")

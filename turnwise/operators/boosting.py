@@ -128,19 +128,27 @@ def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-def routed(tree: list[Node], codes: np.ndarray, missing: int) -> np.ndarray:
-    """The leaf of every row."""
-    at = np.zeros(len(codes), np.int64)
-    for i, node in enumerate(tree):  # children come after their parent
-        if node.feature >= 0:
-            here = at == i
-            x = codes[here, node.feature]
-            at[here] = np.where(np.where(x == missing, node.missing_left, x <= node.border), node.left, node.right)
-    return at
+class Shape:
+    """A tree as arrays, for routing whole batches level by level."""
 
+    def __init__(self, tree: list[Node]):
+        self.feature, self.border, self.left, self.right = (
+            np.array([getattr(n, c) for n in tree], np.int64) for c in ("feature", "border", "left", "right"))
+        self.missing_left, self.value = np.array([n.missing_left for n in tree]), np.array([n.value for n in tree])
 
-def leaf_values(tree: list[Node], codes: np.ndarray, missing: int) -> np.ndarray:
-    return np.array([n.value for n in tree])[routed(tree, codes, missing)]
+    def leaves(self, codes: np.ndarray, missing: int) -> np.ndarray:
+        """The leaf of every row."""
+        at, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
+        while True:
+            feature = self.feature[at]
+            if (feature < 0).all():
+                return at
+            x = codes[rows, feature]
+            left = np.where(x == missing, self.missing_left[at], x <= self.border[at])
+            at = np.where(feature < 0, at, np.where(left, self.left[at], self.right[at]))
+
+    def values(self, codes: np.ndarray, missing: int) -> np.ndarray:
+        return self.value[self.leaves(codes, missing)]
 
 
 def _drawn(draw: np.ndarray, seed: int, number: int, share: float) -> np.ndarray:
@@ -179,18 +187,19 @@ def histograms(rows: DataFrame, forest: Forest, active: dict[int, tuple[list[lis
         part, tables = pyspark.TaskContext.get().partitionId(), {
             r: np.zeros((len(leaves), len(columns), how.bins + 1, 3)) for r, (_, _, leaves, columns) in active.items()}
         loss = {r: np.zeros(2) for r in active}
+        shapes = {r: ([Shape(t) for t in pending], Shape(tree)) for r, (pending, tree, _, _) in active.items()}
         for batch in batches:
             if not batch.num_rows:
                 continue
             draw, y = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
             codes, sides, margins = (_matrix(batch.column(k), t) for k, t in ((2, "u1"), (3, "<i4"), (4, "<f8")))
             known, sampled = ~np.isnan(y), _drawn(draw, how.seed, number, how.row_share)
-            for r, (pending, tree, leaves, columns) in active.items():
+            for r, (_, tree, leaves, columns) in active.items():
                 side, (at, held) = sides[:, place[r][0]], place[r]
                 use = np.flatnonzero(known & (side >= 0) & ((side != held) & sampled | ((side == held) if losses else False)))
                 own, margin = codes[use], margins[use, r]
-                for done in pending:
-                    margin = margin + how.rate * leaf_values(done, own, how.bins)
+                for done in shapes[r][0]:
+                    margin = margin + how.rate * done.values(own, how.bins)
                 p, label = 1 / (1 + np.exp(-np.clip(margin, -30, 30))), y[use]
                 valid = side[use] == held
                 if losses:
@@ -198,14 +207,12 @@ def histograms(rows: DataFrame, forest: Forest, active: dict[int, tuple[list[lis
                     loss[r] += [-(t * np.log(q) + (1 - t) * np.log1p(-q)).sum(), valid.sum()]
                 leaf = np.full(len(tree), -1)
                 leaf[leaves] = np.arange(len(leaves))
-                leaf = leaf[routed(tree, own, how.bins)]
+                leaf = leaf[shapes[r][1].leaves(own, how.bins)]
                 train = ~valid & (leaf >= 0)
-                cell = leaf[train] * (how.bins + 1)
-                weights = (p[train] - label[train], p[train] * (1 - p[train]), None)
-                for j, c in enumerate(columns):
-                    code = cell + own[train, c]
-                    for k, w in enumerate(weights):
-                        tables[r][:, j, :, k] += np.bincount(code, w, len(leaves) * (how.bins + 1)).reshape(len(leaves), -1)
+                p, label, wide = p[train], label[train], len(columns)
+                code = ((leaf[train] * wide)[:, None] + np.arange(wide)) * (how.bins + 1) + own[train][:, columns]
+                for k, w in enumerate((p - label, p * (1 - p), np.ones(len(p)))):
+                    tables[r][..., k] += np.bincount(code.ravel(), np.repeat(w, wide), tables[r][..., k].size).reshape(tables[r].shape[:3])
         yield pa.RecordBatch.from_arrays([
             pa.array(list(active), pa.int32()), pa.array([part] * len(active), pa.int32()),
             pa.array([loss[r].tobytes() + tables[r].tobytes() for r in active], pa.binary())], names=["run", "part", "table"])
@@ -340,12 +347,13 @@ def _moved(table: DataFrame, pending: list[list[list[Node]]], how: Trees) -> Dat
     """Rows with the pending trees in their margins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = [[Shape(t) for t in trees] for trees in pending]
         for batch in batches:
             if batch.num_rows:
                 codes, margins = _matrix(batch.column(3), "u1"), _matrix(batch.column(5), "<f8").copy()
-                for r, trees in enumerate(pending):
+                for r, trees in enumerate(shapes):
                     for tree in trees:
-                        margins[:, r] += how.rate * leaf_values(tree, codes, how.bins)
+                        margins[:, r] += how.rate * tree.values(codes, how.bins)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([m.tobytes() for m in margins], pa.binary())], names=batch.schema.names)
 
     return table.mapInArrow(run, table.schema)
@@ -354,7 +362,7 @@ def _moved(table: DataFrame, pending: list[list[list[Node]]], how: Trees) -> Dat
 def _predicted(table: DataFrame, key: str, forest: Forest, how: Trees) -> DataFrame:
     names = list(dict.fromkeys(r.assignment for r in forest.runs))
     runs, base = [(r.name, names.index(r.assignment), r.held) for r in forest.runs], forest.base
-    kept = [trees[:n] for trees, n in zip(forest.trees, forest.kept, strict=True)]
+    kept = [[Shape(t) for t in trees[:n]] for trees, n in zip(forest.trees, forest.kept, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,7 +373,7 @@ def _predicted(table: DataFrame, key: str, forest: Forest, how: Trees) -> DataFr
                 mine = np.flatnonzero(sides[:, at] == held)
                 margin = np.full(len(mine), start)
                 for tree in trees:
-                    margin += how.rate * leaf_values(tree, codes[mine], how.bins)
+                    margin += how.rate * tree.values(codes[mine], how.bins)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(mine), pa.string()), *(batch.column(k).take(pa.array(mine)) for k in (0, 1)),
                                                   pa.array(1 / (1 + np.exp(-margin)))], names=["run", key, "label", "pred"])
 
