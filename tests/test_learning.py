@@ -147,6 +147,43 @@ def test_character_grams(spark):
     assert sorted(v for b, v in zip(rows[4]["buckets"], rows[4]["values"]) if b < 1 << 16) == pytest.approx([1 / 5**0.5, 2 / 5**0.5])
 
 
+def test_grams_hash_as_spark_does_and_are_counted_in_stretches(spark, monkeypatch):
+    from turnwise.operators import grams as GR
+
+    words = ["", "a", "abc", " ab ", "Éé", "\U0001F600x", "ß\x00z", "İstan", "abcde"]
+    want = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").selectExpr("hash(w)").collect()]
+    assert GR.murmur([w.encode() for w in words]).tolist() == want
+    texts = spark.createDataFrame([(i, " ".join(words[1:1 + i % 9] * (i % 4))) for i in range(40)] + [(40, None)], "response_id int, text string")
+    whole = by_key(LN.hashed_grams(texts, buckets=61), "response_id")
+    monkeypatch.setattr(GR, "ENTRIES", 7)
+    assert by_key(LN.hashed_grams(texts, buckets=61), "response_id") == whole
+    for i, row in whole.items():  # against plain counting
+        text = row["text"] or ""
+        counts = {}
+        for w in text.lower().split():
+            for n in (3, 4, 5):
+                for j in range(len(w) + 3 - n):
+                    g = f" {w} "[j:j + n]
+                    at = 61 + GR.murmur([g.encode()])[0] % 61
+                    counts[at] = counts.get(at, 0) + 1
+        length = sum(c * c for c in counts.values()) ** 0.5
+        got = {b: v for b, v in zip(row["buckets"], row["values"]) if b >= 61}
+        assert got == pytest.approx({b: c / length for b, c in counts.items()})
+
+
+def test_packed_blocks_hold_every_row(spark, monkeypatch):
+    rows = [(i % 3, float(i), 1.0, list(range(i % 5)), [i + j / 7 for j in range(i % 5)]) for i in range(50)]
+    rows.append((0, 99.0, 2.0, list(range(70_000)), [j / 3 for j in range(70_000)]))  # more distinct values than short codes
+    df = LN.cut(spark.createDataFrame(rows, "fold int, label double, weight double, buckets array<int>, values array<double>").repartition(2))
+    monkeypatch.setattr(SP, "BLOCK_ENTRIES", 16)
+    got, blocks = [], SP.packed(df).toArrow().to_batches()
+    for block in (b for batch in blocks for b in SP._blocks(batch)):
+        ends = block.sizes.cumsum().tolist()
+        got += [(int(f), float(y), float(w), block.buckets[e - n:e].tolist(), block.values[e - n:e].tolist())
+                for f, y, w, n, e in zip(block.fold, block.label, block.weight, block.sizes.tolist(), ends)]
+    assert len(blocks) and sorted(got) == sorted(rows)
+
+
 def test_sparse_fit_equals_a_plain_solver(spark):
     rng = np.random.default_rng(2)
     size, n, reg, elastic = 30, 150, 1e-2, 0.3

@@ -1,7 +1,7 @@
 """Linear models over sparse rows, the models of all folds (or classes) in one fit.
 
-Rows are sparse (``buckets`` and ``values`` arrays) and never move: in a step each task reads its rows
-once, takes every row's residual under every model and sums residual times value by bucket.  What
+Rows are sparse (``buckets`` and ``values`` arrays), packed once into blocks of many rows, and never move: in a
+step each task reads its blocks once, takes every row's residual under every model and sums residual times value by bucket.  What
 crosses the network is a sum for each bucket and model, and back come the coefficients, as a broadcast.
 Both are buckets x models numbers whatever the data; ``MODEL_BYTES`` bounds them.
 """
@@ -11,12 +11,14 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Iterator
 from collections.abc import Sequence as Seq
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, discard
 from .ordered import aggregate
 
 #: Most bytes of coefficients of all models together.
@@ -25,77 +27,131 @@ MODEL_BYTES = 64 << 20
 STRETCH = 4096
 
 
+#: Entries of a block; a longer row is a block of its own.
+BLOCK_ENTRIES = 1 << 16
+#: Bytes of a row group of blocks, which a reader holds at once.
+GROUP_BYTES = 32 << 20
+#: Values are numbers into the block's distinct values; a pass is bound by the bytes it reads.
+PARTS = {"fold": "<i4", "label": "<f8", "weight": "<f8", "sizes": "<i4", "buckets": "<i4", "codes": "<u2", "values": "<f8"}
+
+
+@dataclass
+class Block:
+    """Rows with ``sizes`` entries each, and the entries' buckets and values one row after another."""
+
+    fold: np.ndarray
+    label: np.ndarray
+    weight: np.ndarray
+    sizes: np.ndarray
+    buckets: np.ndarray
+    values: np.ndarray
+
+    def by_row(self, entries: np.ndarray) -> np.ndarray:
+        """Sums of entries for every row."""
+        out, held = np.zeros(len(self.sizes)), np.flatnonzero(self.sizes)
+        if len(held):
+            out[held] = np.add.reduceat(entries, (self.sizes.cumsum() - self.sizes)[held])
+        return out
+
+
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, bucket and value of every entry of the batch."""
+    """Number of entries of each row of the batch, and all buckets and values."""
     buckets, values = batch.column("buckets"), batch.column("values")
-    sizes = np.diff(buckets.offsets.to_numpy())
-    return np.repeat(np.arange(len(sizes)), sizes), buckets.flatten().to_numpy(), values.flatten().to_numpy()
+    return np.diff(buckets.offsets.to_numpy()).astype(np.int64), buckets.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy()
 
 
-def _margins(flat: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int, weights: np.ndarray,
-             scale: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Linear predictors, rows x models, and each model's entry values; the last row of ``weights`` is the intercept.
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows(fold, label, weight, buckets, values)`` as blocks, written once; a column for each part, as bytes."""
 
-    With ``scale`` (buckets x models) an entry is its value times the model's scale, over the row's length.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, buckets, values = _flat(batch)
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "label", "weight")]
+            ends, start = sizes.cumsum(), 0
+            while start < len(sizes):
+                before = ends[start] - sizes[start]
+                end = max(start + 1, min(start + BLOCK_ENTRIES, int(np.searchsorted(ends, before + BLOCK_ENTRIES, "right"))))
+                distinct, codes = np.unique(values[before:ends[end - 1]], return_inverse=True)
+                kinds = PARTS | {"codes": "<u2" if len(distinct) <= 1 << 16 else "<u4"}
+                parts = [*(c[start:end] for c in own), sizes[start:end], buckets[before:ends[end - 1]], codes, distinct]
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(parts, kinds.values(), strict=True)],
+                                                 names=list(PARTS))
+                start = end
+
+    chosen = rows.select("fold", "label", "weight", "buckets", "values")
+    return cut(chosen.mapInArrow(run, ", ".join(f"{c} binary" for c in PARTS)), **{"parquet.block.size": str(GROUP_BYTES)})
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[Block]:
+    for i in range(batch.num_rows):
+        raw = {c: batch.column(c)[i].as_buffer() for c in PARTS}
+        kinds = PARTS | {"codes": "<u2" if 2 * len(raw["codes"]) == len(raw["buckets"]) else "<u4"}
+        own = {c: np.frombuffer(raw[c], kind) for c, kind in kinds.items()}
+        yield Block(own["fold"], own["label"], own["weight"], own["sizes"].astype(np.int64), own["buckets"].astype(np.int64), own["values"][own["codes"]])
+
+
+def _margins(block: Block, weights: np.ndarray, scale: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Linear predictors, rows x models, and each model's entry values; ``weights`` has a row for each model, the intercept last.
+
+    With ``scale`` (models x buckets) an entry is its value times the model's scale, over the row's length.
     """
-    number, buckets, values = flat
     held, out = [], []
-    for k in range(weights.shape[1]):
-        own = values
+    for k, at in enumerate(weights):
+        own = block.values
         if scale is not None:
-            own = values * scale[buckets, k]
-            length = np.sqrt(np.bincount(number, own * own, rows))
-            own = own / np.where(length > 0, length, 1.0)[number]
+            own = own * scale[k][block.buckets]
+            length = np.sqrt(block.by_row(own * own))
+            own = own / np.repeat(np.where(length > 0, length, 1.0), block.sizes)
         held.append(own)
-        out.append(np.bincount(number, own * weights[buckets, k], rows))
-    return np.stack(out, axis=1) + weights[-1], held
+        out.append(block.by_row(own * at[block.buckets]) + at[-1])
+    return np.stack(out, axis=1), held
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
-Residual = Callable[[np.ndarray, pa.RecordBatch], np.ndarray]
+Residual = Callable[[np.ndarray, Block], np.ndarray]
 
 
 def outside_folds(folds: Seq[int]) -> Residual:
     """(probability - label) of a logistic model for each fold; a row's own fold does not see it."""
     codes = np.array(folds)
 
-    def residual(z: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-        out = (_sigmoid(z) - batch.column("label").to_numpy()[:, None]) * batch.column("weight").to_numpy()[:, None]
-        out[batch.column("fold").to_numpy()[:, None] == codes[None, :]] = 0.0
+    def residual(z: np.ndarray, block: Block) -> np.ndarray:
+        out = (_sigmoid(z) - block.label[:, None]) * block.weight[:, None]
+        out[block.fold[:, None] == codes[None, :]] = 0.0
         return out
 
     return residual
 
 
-def of_classes(z: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+def of_classes(z: np.ndarray, block: Block) -> np.ndarray:
     """(share - 1 for the row's class) of a model that shares one among the columns; ``label`` is the class."""
     share = np.exp(z - z.max(axis=1, keepdims=True))
     share /= share.sum(axis=1, keepdims=True)
-    share[np.arange(len(z)), batch.column("label").to_numpy().astype(int)] -= 1.0
-    return share * batch.column("weight").to_numpy()[:, None]
+    share[np.arange(len(z)), block.label.astype(int)] -= 1.0
+    return share * block.weight[:, None]
 
 
-def gradients(rows: DataFrame, residual: Residual, weights: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
+def gradients(blocks: DataFrame, residual: Residual, weights: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
     """Sum over rows of each model's residual times the row: buckets + 1 x models.
 
     Sums travel as packed stretches of ``STRETCH`` buckets, added up stretch by stretch.
     """
-    context = rows.sparkSession.sparkContext
-    sent, shape = context.broadcast((weights, scale)), weights.shape
+    context, shape = blocks.sparkSession.sparkContext, weights.shape
+    sent = context.broadcast(tuple(None if x is None else np.ascontiguousarray(x.T) for x in (weights, scale)))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (at, scales), sums = sent.value, np.zeros(shape)
+        (at, scales), sums = sent.value, np.zeros(shape[::-1])
         for batch in batches:
-            flat = _flat(batch)
-            z, held = _margins(flat, batch.num_rows, at, scales)
-            own = residual(z, batch)
-            number, buckets, _ = flat
-            for k in range(shape[1]):
-                sums[:-1, k] += np.bincount(buckets, held[k] * own[number, k], len(sums) - 1)
-            sums[-1] += own.sum(axis=0)
+            for block in _blocks(batch):
+                z, held = _margins(block, at, scales)
+                own = residual(z, block)
+                for k in range(shape[1]):
+                    sums[k, :-1] += np.bincount(block.buckets, held[k] * np.repeat(own[:, k], block.sizes), shape[0] - 1)
+                sums[:, -1] += own.sum(axis=0)
+        sums = np.ascontiguousarray(sums.T)
         for start in range(0, len(sums), STRETCH):
             part = sums[start:start + STRETCH]
             if part.any():
@@ -107,7 +163,7 @@ def gradients(rows: DataFrame, residual: Residual, weights: np.ndarray, scale: n
             yield _stretch(start, sum(np.frombuffer(payload) for _, payload in own))
 
     kinds = "start long, sums binary"
-    parts = rows.select("fold", "label", "weight", "buckets", "values").mapInArrow(partial, kinds)
+    parts = blocks.select(*PARTS).mapInArrow(partial, kinds)
     whole = parts.repartition("start").sortWithinPartitions("start").mapInArrow(added, kinds).toArrow()
     out = np.zeros(shape)
     for start, payload in zip(whole.column("start").to_pylist(), whole.column("sums").to_pylist(), strict=True):
@@ -137,11 +193,11 @@ def descend(rows: DataFrame, residual: Residual, total: np.ndarray, size: int, r
     free = np.ones((size + 1, 1))
     free[-1] = 0.0
     weights = before = np.zeros((size + 1, models))
-    age, moving = np.ones(models), np.ones(models, bool)
+    age, moving, blocks = np.ones(models), np.ones(models, bool), packed(rows)
     for _ in range(steps):
         older, age = age, (1.0 + np.sqrt(1.0 + 4.0 * age * age)) / 2.0
         ahead = weights + (older - 1.0) / age * (weights - before)
-        slope = gradients(rows, residual, ahead, scale) / total + reg * (1.0 - elastic) * free * ahead
+        slope = gradients(blocks, residual, ahead, scale) / total + reg * (1.0 - elastic) * free * ahead
         moved = ahead - rate * slope
         fresh = np.sign(moved) * np.maximum(np.abs(moved) - rate * reg * elastic * free, 0.0)
         before, weights = weights, np.where(moving, fresh, weights)
@@ -149,6 +205,7 @@ def descend(rows: DataFrame, residual: Residual, total: np.ndarray, size: int, r
         moving &= np.abs(weights - before).max(axis=0) > tolerance
         if not moving.any():
             break
+    discard(blocks)
     return weights
 
 
@@ -176,13 +233,13 @@ def fit_classes(rows: DataFrame, classes: int, size: int, reg: float, steps: int
 
 def score_elastic(rows: DataFrame, weights: np.ndarray, folds: Seq[int], name: str = "pred") -> DataFrame:
     """Each row's probability under the model that did not see its fold (rows of other folds: null)."""
-    sent, place = rows.sparkSession.sparkContext.broadcast(weights), {f: k for k, f in enumerate(folds)}
+    sent, place = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(weights.T)), {f: k for k, f in enumerate(folds)}
     kept = [c for c in rows.columns if c not in ("buckets", "values")]
     out = rows.select(*kept).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = _sigmoid(_margins(_flat(batch), batch.num_rows, sent.value, None)[0])
+            z = _sigmoid(_margins(Block(None, None, None, *_flat(batch)), sent.value, None)[0])
             own = [place.get(f) for f in batch.column("fold").to_pylist()]
             pred = pa.array([None if k is None else z[i, k] for i, k in enumerate(own)], pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pred], names=[*kept, name])

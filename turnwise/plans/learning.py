@@ -8,11 +8,12 @@ loss nor the next fit replays the feature lineage.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -22,12 +23,14 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import calibrated, clip_probability, lit, log_loss, logit, num, sigmoid
 from ..functions.text import with_bigrams
 from ..operators.boosting import Forest, Run, Trees, boost
 from ..operators.compare import paired_delta, summarize
 from ..operators.encoding import encoding_for, fold_sums, objective_sums
+from ..operators.grams import gram_cells
 from ..operators.isotonic import PER_TASK, interpolated, isotonic_blocks
 from ..operators.metrics import probability_bin
 from ..operators.moments import fold_components, projected
@@ -234,30 +237,26 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"  # words of two characters and more
 def hashed_grams(texts: DataFrame, column: str = "text", buckets: int = 2**16) -> DataFrame:
     """``buckets, values``: word 1-2 grams and padded character 3-5 grams, each hashed and of unit length.
 
-    Character grams take the second ``buckets`` numbers.  ``texts`` needs a unique ``response_id``; rows
-    move once, before they are taken apart, and their grams are counted where they are.
+    Character grams take the second ``buckets`` numbers.  Rows move once, before they are taken apart; a
+    word's character grams are hashed once for each batch of rows, and a row's grams are counted where it is.
     """
     low = f"translate(lower({column}), '{ACCENTED}', '{PLAIN}')"
     tokens = f"regexp_extract_all({low}, {lit(TOKEN)}, 0)"
     padded = f"transform(filter(split(lower({column}), {lit(chr(92) + 's+')}), w -> w <> ''), w -> concat(' ', w, ' '))"
-    grams = (
-        "flatten(transform(_words, w -> flatten(transform(filter(array(3, 4, 5), n -> n <= length(w)), "
-        "n -> transform(sequence(1, length(w) - n + 1), i -> substr(w, i, n))))))"
-    )
     spark = texts.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    placed = texts.repartition(tasks, "response_id")
-    parts = placed.selectExpr("response_id", f"coalesce({tokens}, array()) AS _tokens", f"coalesce({padded}, array()) AS _words")
+    placed = texts.repartition(tasks, "response_id").selectExpr("*", f"coalesce({tokens}, array()) AS _tokens")
     number = f"CAST(pmod(hash(g), {buckets}) AS INT)"
-    hashed = f"concat(transform({with_bigrams('_tokens')}, g -> {number}), transform({grams}, g -> {buckets} + {number}))"
-    cells = aggregate(parts.selectExpr("response_id", f"explode({hashed}) AS bucket"), ["response_id", "bucket"], "count(1) AS n")
-    square = lambda where: f"sqrt(sum(CASE WHEN bucket {where} {buckets} THEN n * n ELSE 0L END))"
-    rows = aggregate(cells, ["response_id"], "sort_array(collect_list(struct(bucket, n))) AS _cells", f"{square('<')} AS _w", f"{square('>=')} AS _c")
-    sparse = rows.selectExpr("response_id", "transform(_cells, x -> x.bucket) AS buckets",
-                             f"transform(_cells, x -> x.n / CASE WHEN x.bucket < {buckets} THEN _w ELSE _c END) AS values")
-    empty = "CAST(array() AS array<{}>)"
-    return placed.join(sparse, "response_id", "left").selectExpr(
-        *texts.columns, f"coalesce(buckets, {empty.format('int')}) AS buckets", f"coalesce(values, {empty.format('double')}) AS values")
+    parts = placed.selectExpr(*texts.columns, f"transform({with_bigrams('_tokens')}, g -> {number}) AS _numbers", f"coalesce({padded}, array()) AS _words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, rows, cells, values in gram_cells(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), buckets):
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, rows) for c in batch.columns[:-2]), cells, values],
+                                                 names=[*batch.schema.names[:-2], "buckets", "values"])
+
+    kinds = [T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))]
+    return parts.mapInArrow(run, T.StructType([*texts.schema.fields, *kinds]))
 
 
 def text_out_of_fold(texts: DataFrame, folds: Sequence[int], column: str = "text", reg: float = 1e-3, elastic: float = 0.05,

@@ -44,14 +44,14 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def cut(df: DataFrame, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder (with ``options`` of the writer) and read it back.
 
     Used where a frame is read by several jobs or fits: its lineage is not replayed, a lost executor
     loses nothing, and a reader of few columns reads few columns.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.cut_path = path
     return back
