@@ -171,6 +171,24 @@ def test_grams_hash_as_spark_does_and_are_counted_in_stretches(spark, monkeypatc
         assert got == pytest.approx({b: c / length for b, c in counts.items()})
 
 
+def test_trees_route_columns_of_codes_as_a_walk_does():
+    from turnwise.operators.boosting import Node, Shape
+
+    tree = [Node(0.0, 0, 3, True, 1, 2), Node(1.5), Node(0.0, 1, 0, False, 3, 4), Node(-2.0), Node(7.0)]
+    codes = np.random.default_rng(1).integers(0, 9, (500, 2)).astype(np.uint8)  # 8: missing
+
+    def walk(row):
+        at = 0
+        while tree[at].feature >= 0:
+            n = tree[at]
+            at = n.left if (n.missing_left if row[n.feature] == 8 else row[n.feature] <= n.border) else n.right
+        return tree[at].value
+
+    columns = np.ascontiguousarray(codes.T)
+    assert Shape(tree, 8).values(columns).tolist() == [walk(r) for r in codes]
+    assert Shape([Node(3.0)], 8).values(columns).tolist() == [3.0] * 500
+
+
 def test_packed_blocks_hold_every_row(spark, monkeypatch):
     rows = [(i % 3, float(i), 1.0, list(range(i % 5)), [i + j / 7 for j in range(i % 5)]) for i in range(50)]
     rows.append((0, 99.0, 2.0, list(range(70_000)), [j / 3 for j in range(70_000)]))  # more distinct values than short codes
