@@ -192,3 +192,21 @@ def test_evenly_spaced(spark, n, k):
     got = spark.range(1).selectExpr(f"{RD.evenly_spaced(f'CAST({n} AS BIGINT)', k)} AS x").first().x
     want = list(range(n)) if n <= k else np.unique(np.linspace(0, n - 1, k).round().astype(int)).tolist()
     assert list(got) == want
+
+
+def test_no_window_holds_words_or_text_of_topic_rows(spark, tmp_path):
+    from turnwise.catalog import inputs as I
+
+    texts = ["alpha beta", "", None, "gamma", "the of", "delta alpha", "", "beta"]
+    spark.createDataFrame([(i, t, f"src{i % 2}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long"
+                          ).write.parquet(str(tmp_path / "documents.parquet"))
+    rows, chunked = I.topic_utterances(spark, str(tmp_path))
+    got = {r["doc_id"]: (r["pos"], r["n_rows"], r["before"] and (r["before"]["pos"], r["before"]["word"])) for r in rows.collect()}
+    assert not chunked and got == {0: (0, 4, None), 2: (1, 4, (0, "beta")), 4: (2, 4, (0, "beta")), 6: (3, 4, (0, "beta")),
+                                   1: (0, 4, None), 3: (1, 4, None), 5: (2, 4, (1, "gamma")), 7: (3, 4, (2, "alpha"))}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line]
+    assert windows and not any("tokens" in line or "content" in line for line in windows)
+    below = plan[plan.index("Window"):]
+    projected = next(line for line in below.splitlines() if "Project" in line)
+    assert "tokens#" not in projected.split("AS last")[0].split("CASE WHEN")[0] and "content#" not in projected

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import content_words
 from ..operators.ordered import aggregate, has_large_groups, spread, with_positions
-from ..operators.retrieval import unit
+from ..operators.retrieval import unit, with_word_before
 from ..plans.dialogue import labelled_turns
+from ..session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,15 +132,24 @@ STOPWORDS = (
 def topic_utterances(spark: SparkSession, sf_dir: str, labelled: bool = False) -> tuple[DataFrame, bool]:
     """Long sessions with a sparse clock: three seconds per document id, some unknown.
 
-    Words, and with ``labelled`` the turn labels, are computed before the rows are numbered.
+    Words, and with ``labelled`` the turn labels, are computed before the rows are numbered, and written
+    once.  A session has a twentieth of all text, so text and words stay out of the windows: rows are
+    numbered by their keys and last words, and a row's place (``pos``, ``n_rows``, ``before``) is joined back.
     """
     raw = long_rows(spark, sf_dir)
     if labelled:
         raw = labelled_turns(raw, "doc_id", "content")
     raw = raw.selectExpr("*", f"{content_words('content', STOPWORDS)} AS tokens")
-    rows, chunked = numbered(spark, sf_dir, raw)
+    return placed(spark, sf_dir, cut(raw.selectExpr("*", "monotonically_increasing_id() AS _row")))
+
+
+def placed(spark: SparkSession, sf_dir: str, written: DataFrame) -> tuple[DataFrame, bool]:
+    """Written rows with their places and clock, and the size flag; no window holds their text or words."""
+    narrow, chunked = numbered(spark, sf_dir, written.selectExpr(
+        "session_id", "doc_id", "_row", "CASE WHEN size(tokens) > 0 THEN element_at(tokens, -1) END AS last"))
+    places = with_word_before(narrow, chunked).select("_row", "pos", "n_rows", "before")
     clock = "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id * 3D END AS t_seconds"
-    return rows.selectExpr("*", clock), chunked
+    return written.join(places, "_row").drop("_row").selectExpr("*", clock), chunked
 
 
 TOPIC = f"""

@@ -59,6 +59,11 @@ def objective_vectors(objectives: DataFrame, idf: DataFrame, stopwords: Seq[str]
     return tfidf(term_counts(texts, ["objective_id"], stopwords), idf, ["objective_id"])
 
 
+def with_word_before(rows: DataFrame, chunked: bool) -> DataFrame:
+    """``before``: place and ``last`` word of the last row before that has words."""
+    return scan(rows, by_position(chunked), peak={"before": "CASE WHEN last IS NOT NULL THEN struct(pos, last AS word) END"})
+
+
 def passage_term_counts(
     utterances: DataFrame, idf: DataFrame, stopwords: Seq[str], chunked: bool = False,
     size: int = SIZE, stride: int = STRIDE,
@@ -68,12 +73,15 @@ def passage_term_counts(
     Passage texts are never built.  A term lies in one utterance, or a pair of words spans
     the border to the last wordful utterance before it; either way it occupies positions
     ``low..high`` and counts for the passages that hold both.  The vocabulary filter comes
-    before the first shuffle of terms.  Rows may bring their ``tokens`` already split.
+    before the first shuffle of terms.  Rows may bring their ``tokens`` already split, and ``before``
+    (see ``with_word_before``), so that no window holds their words.
     """
     split = "tokens" if "tokens" in utterances.columns else f"{content_words('content', stopwords)} AS tokens"
-    tokens = utterances.selectExpr("session_id", "pos", "n_rows", split)
-    spoken = "CASE WHEN size(tokens) > 0 THEN struct(pos, element_at(tokens, -1) AS word) END"
-    linked = scan(tokens, by_position(chunked), peak={"before": spoken})
+    known = ["before"] if "before" in utterances.columns else []
+    linked = utterances.selectExpr("session_id", "pos", "n_rows", split, *known)
+    if not known:
+        last = "CASE WHEN size(tokens) > 0 THEN element_at(tokens, -1) END AS last"
+        linked = with_word_before(linked.selectExpr("*", last), chunked)
     inside = f"transform({with_bigrams('tokens')}, t -> struct(t AS term, pos AS low))"
     border = (
         "CASE WHEN size(tokens) > 0 AND before IS NOT NULL "
