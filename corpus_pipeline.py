@@ -14,7 +14,7 @@ from turnwise.llm.storage import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts scored below the toxicity threshold; the fit uses a bounded sample of ``labels``."""
+    """Texts scored below the toxicity threshold; the fit uses all labelled rows that are not held out."""
     return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

@@ -42,6 +42,26 @@ def test_held_out_rows_are_judged_well(labelled):
     assert not got[2000].predicted and not got[2001].predicted and not got[2002].predicted
 
 
+def test_every_labelled_row_teaches(labelled, monkeypatch):
+    """Many small blocks: no labelled row is left out, and blocks whose moves are averaged learn as one does."""
+    docs, labels, truth = labelled
+    monkeypatch.setattr(toxicity, "ROWS", 80)
+    rows = toxicity.labelled_rows(docs, labels)
+    own = [(i, y) for i, _, y in truth if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert rows.count() == len(own) and rows.select("block").distinct().count() > 5
+    assert sorted(r.toxic for r in rows.collect()) == sorted(y for _, y in own)
+    plain = np.zeros((toxicity.BUCKETS, 2))
+    for r in rows.where("check = 0").collect():
+        words = toxicity.Words()
+        codes = words.codes(r.text.lower().split())
+        plain[np.unique(words.taken()[0][np.unique(codes)]), r.toxic] += 1
+    at, seen = toxicity._totals(toxicity.labelled_blocks(rows), None)["seen"]
+    assert (seen == plain[at]).all() and seen.sum() == plain.sum()
+    got = {r.doc_id: r.predicted for r in toxicity.report(docs, labels).collect()}
+    unseen = [(got[i], y) for i, _, y in truth if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(p == y for p, y in unseen) / len(unseen) > 0.95
+
+
 def test_without_labels_nothing_is_rejected(labelled):
     docs, labels, _ = labelled
     kept = toxicity.reject(docs, labels.limit(0))
