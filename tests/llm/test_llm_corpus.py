@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from turnwise.llm import cpsjoin, pii, toxicity, warc
 
@@ -49,6 +50,7 @@ def test_every_labelled_row_teaches(labelled, monkeypatch):
     rows = toxicity.labelled_rows(docs, labels)
     own = [(i, y) for i, _, y in truth if zlib.crc32(str(i).encode()) % 3 != 1]
     assert rows.count() == len(own) and rows.select("block").distinct().count() > 5
+    assert all(r.blocks == 1 for r in rows.groupBy(F.spark_partition_id()).agg(F.countDistinct("block").alias("blocks")).collect())
     assert sorted(r.toxic for r in rows.collect()) == sorted(y for _, y in own)
     plain = np.zeros((toxicity.BUCKETS, 2))
     for r in rows.where("check = 0").collect():

@@ -440,7 +440,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     blocks = max(1, -(-usable.count() // ROWS))
     texts = docs.where("doc_id IS NOT NULL").where(~held_out(doc_id)).select(
         doc_id.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lit(None).cast("int").alias("toxic"))
-    placed = usable.union(texts).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    placed = usable.union(texts).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartitionById(blocks, "block")
     joined = placed.groupBy("block", "doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).where("toxic IN (0, 1) AND text IS NOT NULL")
     check = (F.pmod(F.xxhash64("doc_id", F.lit("check")), F.lit(5)) == 0).cast("int")
     ordered = joined.withColumns({"check": check, "draw": F.xxhash64("doc_id", F.lit("order"))}).sortWithinPartitions("block", "draw", "doc_id")
