@@ -111,6 +111,21 @@ def test_lexical_relevance_summary_and_topk(corpus, small_chunks, chunked):
             m["sim_frac_above_half_max"], (x >= 0.5 * x.max() - 1e-9).mean() if x.max() > 0 else 0)
 
 
+@pytest.mark.parametrize("cell", [1, 2, 12])
+def test_passage_terms_are_counted_in_as_many_tasks_as_asked(spark, corpus, monkeypatch, cell):
+    df, objectives, pairs, sessions, goals = corpus
+    monkeypatch.setattr(RT, "CELL", cell)
+    counts = RT.passage_term_counts(df, RT.fit_idf(objectives, STOP), STOP, False, 3, 2, parts=7)
+    assert counts.rdd.getNumPartitions() == 7  # none are merged, so a task's share does not grow with the input
+    got = {(r.session_id, r.window_idx, r.term): r.tf for r in counts.collect()}
+    known, want = set().union(*map(grams, goals.values())), {}
+    for s, ts in sessions.items():
+        for i, (a, b) in enumerate(literal_windows(len(ts), 3, 2)):
+            want |= {(s, i, t): n for t, n in grams(" ".join(ts[a:b])).items() if t in known}
+    assert got == want
+    assert RT.parts_for(spark, 600 * RT.PART_BYTES) == 600 and RT.parts_for(spark, None) >= 1
+
+
 def test_topic_blocks_and_positions(spark, corpus):
     df, objectives, pairs, sessions, goals = corpus
     sims = RT.lexical_similarity(df, pairs, objectives, STOP, False, 3, 2)

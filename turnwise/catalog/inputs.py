@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import content_words
 from ..operators.ordered import aggregate, has_large_groups, spread, with_positions
-from ..operators.retrieval import unit, with_word_before
+from ..operators.retrieval import parts_for, unit, with_word_before
 from ..plans.dialogue import labelled_turns
 from ..session import cut
 
@@ -149,7 +149,14 @@ def placed(spark: SparkSession, sf_dir: str, written: DataFrame) -> tuple[DataFr
         "session_id", "doc_id", "_row", "CASE WHEN size(tokens) > 0 THEN element_at(tokens, -1) END AS last"))
     places = with_word_before(narrow, chunked).select("_row", "pos", "n_rows", "before")
     clock = "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id * 3D END AS t_seconds"
-    return written.join(places, "_row").drop("_row").selectExpr("*", clock), chunked
+    parts = text_parts(spark, sf_dir)
+    met = written.repartition(parts, "_row").join(places.repartition(parts, "_row"), "_row")
+    return met.drop("_row").selectExpr("*", clock), chunked
+
+
+def text_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks that count the terms of ``documents``, by its characters."""
+    return parts_for(spark, table(spark, sf_dir, "documents").agg({"n_chars": "sum"}).first()[0])
 
 
 TOPIC = f"""

@@ -118,7 +118,7 @@ def lexical(spark, sf_dir, labelled=False):
     answers = I.topic_responses(spark, sf_dir)
     pairs = I.topic_pairs(answers)
     sims = RT.lexical_similarity(
-        utterances, pairs, I.objectives(spark, sf_dir), STOP, chunked
+        utterances, pairs, I.objectives(spark, sf_dir), STOP, chunked, parts=I.text_parts(spark, sf_dir)
     ).selectExpr(*RT.PAIR, "window_idx", "round(sim, 9) AS sim")
     return utterances, chunked, answers, pairs, sims
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence as Seq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import content_words, with_bigrams
 from ..session import cut
@@ -17,6 +17,13 @@ from .stats import gini
 from .windows import SIZE, STRIDE, TOP_K, window_count, window_end, window_start, windows_holding
 
 PAIR = ["session_id", "objective_id"]
+CELL = 12  # passages of a session that one task counts together
+PART_BYTES = 4 << 20  # text whose terms one task counts
+
+
+def parts_for(spark: SparkSession, n_bytes: int | None) -> int:
+    """Tasks for so much text, so that what one of them holds does not grow with the input."""
+    return max(spark.sparkContext.defaultParallelism, -(-(n_bytes or 0) // PART_BYTES))
 
 
 def term_counts(texts: DataFrame, keys: list[str], stopwords: Seq[str], *carried: str) -> DataFrame:
@@ -66,15 +73,18 @@ def with_word_before(rows: DataFrame, chunked: bool) -> DataFrame:
 
 def passage_term_counts(
     utterances: DataFrame, idf: DataFrame, stopwords: Seq[str], chunked: bool = False,
-    size: int = SIZE, stride: int = STRIDE,
+    size: int = SIZE, stride: int = STRIDE, parts: int | None = None,
 ) -> DataFrame:
-    """``session_id, window_idx, term, tf, idf`` of every passage, vocabulary terms only.
+    """``session_id, cell, window_idx, term, tf, idf`` of every passage, vocabulary terms only.
 
     Passage texts are never built.  A term lies in one utterance, or a pair of words spans
     the border to the last wordful utterance before it; either way it occupies positions
     ``low..high`` and counts for the passages that hold both.  The vocabulary filter comes
     before the first shuffle of terms.  Rows may bring their ``tokens`` already split, and ``before``
     (see ``with_word_before``), so that no window holds their words.
+
+    A row moves once, unexploded, to the ``cell`` of ``CELL`` passages it lies in (or two at a border).
+    Terms are counted and weighed there: ``parts`` tasks (see ``parts_for``), each as small as its rows.
     """
     split = "tokens" if "tokens" in utterances.columns else f"{content_words('content', stopwords)} AS tokens"
     known = ["before"] if "before" in utterances.columns else []
@@ -82,21 +92,24 @@ def passage_term_counts(
     if not known:
         last = "CASE WHEN size(tokens) > 0 THEN element_at(tokens, -1) END AS last"
         linked = with_word_before(linked.selectExpr("*", last), chunked)
+    holding = windows_holding("pos", "pos", "n_rows", size, stride)
+    celled = linked.selectExpr("*", f"explode(array_distinct(transform({holding}, w -> w div {CELL}))) AS cell")
+    moved = celled.repartition(*([parts] if parts else []), "session_id", "cell")
     inside = f"transform({with_bigrams('tokens')}, t -> struct(t AS term, pos AS low))"
     border = (
         "CASE WHEN size(tokens) > 0 AND before IS NOT NULL "
         "THEN array(struct(concat_ws(' ', before.word, tokens[0]) AS term, before.pos AS low)) "
         "ELSE filter(array(struct('' AS term, pos AS low)), x -> false) END"
     )
-    items = linked.selectExpr(
-        "session_id", "pos AS high", "n_rows", f"explode(concat({inside}, {border})) AS item"
-    ).selectExpr("session_id", "high", "n_rows", "item.term", "item.low")
+    items = moved.selectExpr(
+        "session_id", "cell", "pos AS high", "n_rows", f"explode(concat({inside}, {border})) AS item"
+    ).selectExpr("session_id", "cell", "high", "n_rows", "item.term", "item.low")
     placed = items.join(small_side(idf), "term").selectExpr(
-        "session_id", "term", "idf",
+        "session_id", "cell", "term", "idf",
         f"explode({windows_holding('low', 'high', 'n_rows', size, stride)}) AS window_idx",
-    )
+    ).where(f"window_idx div {CELL} = cell")
     return aggregate(
-        placed, ["session_id", "window_idx", "term"], "count(1) AS tf", "max(idf) AS idf"
+        placed, ["session_id", "cell", "window_idx", "term"], "count(1) AS tf", "max(idf) AS idf"
     )
 
 
@@ -109,6 +122,7 @@ def lexical_similarity(
     size: int = SIZE,
     stride: int = STRIDE,
     chunk_windows: int = CHUNK_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Non-zero cosines ``session_id, objective_id, window_idx, sim``.
 
@@ -117,11 +131,11 @@ def lexical_similarity(
     all windows of a session.
     """
     idf = cut(fit_idf(objectives, stopwords))  # read by three joins
-    counts = passage_term_counts(utterances, idf, stopwords, chunked, size, stride)
+    counts = passage_term_counts(utterances, idf, stopwords, chunked, size, stride, parts)
     passages = unit_weights(
-        counts.selectExpr("session_id", "window_idx", "term", "(1 + ln(tf)) * idf AS w"),
-        ["session_id", "window_idx"],
-    )
+        counts.selectExpr("session_id", "cell", "window_idx", "term", "(1 + ln(tf)) * idf AS w"),
+        ["session_id", "cell", "window_idx"],
+    ).drop("cell")
     wanted = pairs.join(
         objective_vectors(objectives, idf, stopwords).withColumnRenamed("weight", "o_weight"),
         "objective_id",
