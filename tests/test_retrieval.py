@@ -225,3 +225,24 @@ def test_no_window_holds_words_or_text_of_topic_rows(spark, tmp_path):
     below = plan[plan.index("Window"):]
     projected = next(line for line in below.splitlines() if "Project" in line)
     assert "tokens#" not in projected.split("AS last")[0].split("CASE WHEN")[0] and "content#" not in projected
+
+
+def test_encoded_passages_shuffle_counts_and_no_text(spark, tmp_path, monkeypatch):
+    from turnwise.catalog import inputs as I
+    from turnwise.catalog import load_all
+
+    wild = ["Area of A triangle, area", "", "\u212aelvin \u0130stanbul \u03a3\u0391\u03a3 na\u00efve x1 X1", None, "a-b_c d'e 0", "\n\t", "end", "of"]
+    texts = [wild[i % 8] for i in range(75)]
+    spark.createDataFrame([(i, t, f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long"
+                          ).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, "area of a triangle") for i in range(20)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    monkeypatch.setattr(CT, "CACHED", 3)
+    out = load_all()["encoded_window_relevance"].build(spark, str(tmp_path))
+    rows, _ = I.long_utterances(spark, str(tmp_path))
+    plain = {(r[0], r[1]): r[2] for r in CT.hashed_vectors(WN.window_texts(rows), ["session_id", "window_idx"]).collect()}
+    goal = CT.hashed_vectors(spark.createDataFrame([(1, "area of a triangle")], "objective_id long, content string"), ["objective_id"]).first()[1]
+    got = out.collect()
+    assert got and {(r.session_id, r.window_idx) for r in got} == set(plain)
+    assert all(np.isclose(r.sim, np.dot(plain[r.session_id, r.window_idx], goal), atol=1e-12) for r in got)
+    moved = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "documents.parquet" in line]
+    assert not any("text" in line for line in moved)  # texts are read and counted in one scan, written as counts

@@ -395,8 +395,9 @@ def encoded_sql(source: str, key: str) -> str:
     SELECT session_id, objective_id, window_idx, list_inner_product(win.v, goal.v) AS sim
     FROM pairs JOIN win USING (session_id) JOIN goal USING (objective_id)""", "sim"))
 def _encoded(spark, sf_dir):
-    utterances, chunked = I.long_utterances(spark, sf_dir)
-    windows = CT.hashed_vectors(WN.window_texts(utterances), ["session_id", "window_idx"])
+    counts = cut(CT.hashed_counts(I.long_rows(spark, sf_dir), ["session_id", "doc_id"]))
+    utterances, chunked = I.numbered(spark, sf_dir, counts)
+    windows = CT.hashed_window_vectors(utterances)
     goals = CT.hashed_vectors(
         I.objectives(spark, sf_dir).selectExpr("objective_id", "objective_text AS content"), ["objective_id"]
     )

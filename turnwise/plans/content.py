@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.scalars import num
 from ..operators.ordered import aggregate
 from ..operators.retrieval import PAIR, unit
+from ..operators.windows import window_members
+
+CACHED = 200_000  # words whose buckets a task remembers
 
 
 def content_pool(sims: DataFrame, k: int, dims: int) -> DataFrame:
@@ -74,6 +81,50 @@ def encode_texts(
     return raw.selectExpr(*keys, f"{unit('vector')} AS vector")
 
 
+def hashed_counts(texts: DataFrame, keys: list[str], dims: int = 64) -> DataFrame:
+    """``keys, counts``: how many words of ``content`` fall in each bucket of ``hashed_vectors``.
+
+    Counted in the scan's tasks, a bucket looked up once per known word, so that no text is shuffled.
+    """
+    slim = texts.select(*keys, "content")
+    fields = ", ".join(f"{n} {t}" for n, t in slim.dtypes if n != "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, known = re.compile("[a-z0-9]+"), {}
+        for batch in batches:
+            counts = []
+            for text in batch.column(len(keys)).to_pylist():
+                found = word.findall((text or "").lower())
+                for w in set(found).difference(known):
+                    if len(known) >= CACHED:
+                        known.clear()
+                        known.update((v, _bucket(v, dims)) for v in set(found))
+                        break
+                    known[w] = _bucket(w, dims)
+                counts.append(np.bincount(np.fromiter(map(known.__getitem__, found), np.int64, len(found)), minlength=dims))
+            flat = np.concatenate(counts).astype(np.int32) if counts else np.zeros(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * dims), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keys)], lists], names=[*keys, "counts"])
+
+    return slim.mapInArrow(run, f"{fields}, counts array<int>")
+
+
+def _bucket(word: str, dims: int) -> int:
+    return int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[:4], "big") % dims
+
+
+def hashed_window_vectors(utterances: DataFrame, dims: int = 64) -> DataFrame:
+    """``session_id, window_idx, vector``: ``hashed_vectors`` of passages whose rows bring their ``counts``.
+
+    Rows of a passage are joined by a blank, so no word spans two rows and a passage's counts are their sum.
+    """
+    members = window_members(utterances.select("session_id", "pos", "n_rows", "counts"))
+    keys = ["session_id", "window_idx"]
+    summed = aggregate(members, keys, *[f"sum(counts[{i}]) AS _c{i}" for i in range(dims)])
+    dense = summed.selectExpr(*keys, f"array({', '.join(f'CAST(_c{i} AS DOUBLE)' for i in range(dims))}) AS vector")
+    return dense.selectExpr(*keys, f"{unit('vector')} AS vector")
+
+
 def hashed_vectors(texts: DataFrame, keys: list[str], dims: int = 64) -> DataFrame:
     """A deterministic built-in encoder: counts of words by bucket as a unit dense vector.
 
