@@ -177,3 +177,15 @@ def test_external_label(spark):
             (" answering maybe", "student", "4?", "answering"), (None, "student", "4?", "asking")]
     df = spark.createDataFrame(rows, "raw string, r string, t string, want string")
     assert all(a == b for a, b in df.selectExpr(X.accepted_label("raw", "r", "t"), "want").collect())
+
+
+def test_phrase_counts_look_before_they_replace(spark):
+    from turnwise.functions import text as X
+
+    texts = ["mm mmm mmmm", "", None, "don't know \u00e9t\u00e9 \U0001f600 lost lost", "not quite no", "umum um"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    for phrases in (X.FILLER, X.HEDGE, X.NEGATE):
+        e = X.phrase_count("t", phrases)
+        assert e.count("contains(") == len(phrases)
+        got = dict(df.selectExpr("i", f"{e} AS n").collect())
+        assert got == {i: None if t is None else sum(t.count(p) for p in phrases) for i, t in enumerate(texts)}

@@ -103,8 +103,15 @@ def normalized_role(role: str) -> str:
 
 
 def phrase_count(text: str, phrases: Sequence[str]) -> str:
-    """Non-overlapping substring occurrences summed over the phrases (not word-bounded)."""
-    parts = [f"(length({text}) - length(replace({text}, {lit(p)}))) div {len(p)}" for p in phrases]
+    """Non-overlapping substring occurrences summed over the phrases (not word-bounded); phrases are ASCII.
+
+    Most texts lack most phrases, and ``contains`` sees that sooner than ``replace``.
+    """
+    parts = [
+        f"CASE WHEN NOT contains({text}, {lit(p)}) THEN 0L "
+        f"ELSE (octet_length({text}) - octet_length(replace({text}, {lit(p)}))) div {len(p)} END"
+        for p in phrases
+    ]
     return f"({' + '.join(parts)})"
 
 
