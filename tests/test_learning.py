@@ -483,3 +483,22 @@ def test_tree_ablation_and_stress_share_their_passes(matrix):
     rows = matrix.drop("fold").selectExpr("*").withColumn("session_id", matrix.response_id)
     stress = by_key(LN.tree_stress_test(rows, ["f1", "f2"], draws=2, how=BO.Trees(rounds=3, patience=None, least_rows=5)), "name")
     assert set(stress) == {"model", "prior", "gain"} and stress["gain"]["n_seeds"] == 2
+
+
+def test_objective_scores_count_responses_once_for_all_seeds(spark, tmp_path):
+    from turnwise.operators import folds as FO
+    from turnwise.operators.stats import auc, auc_of_counts
+
+    path = str(tmp_path / "rows")
+    spark.range(400).selectExpr("id AS response_id", "CASE WHEN id % 50 = 0 THEN NULL ELSE concat('o', id * id % 13) END AS objective_id",
+                                "CAST(id * 7 % 3 = 0 AS DOUBLE) AS label", "CAST(id % 17 AS DOUBLE) AS a", "CAST(id * 31 % 23 AS DOUBLE) AS b"
+                                ).write.parquet(path)
+    rows = spark.read.parquet(path)
+    keys = ["fold_seed", "fold", "arm"]
+    counts = FO.objective_scores(rows, (0, 1, 2), {"x": "a", "y": "b"})
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in auc_of_counts(counts, keys).collect()}
+    want = {}
+    for seed in (0, 1, 2):
+        arms = FO.objective_folds(rows, seed=seed).selectExpr(f"{seed} AS fold_seed", "fold", "label", "stack(2, 'x', a, 'y', b) AS (arm, pred)")
+        want |= {tuple(r)[:3]: tuple(r)[3:] for r in auc(arms, keys, "label", "pred").collect()}
+    assert got == want and len(got) >= 24

@@ -10,7 +10,7 @@ from ..operators import ledger as LE
 from ..operators import metrics as ME
 from ..operators import quality as QU
 from ..operators.ordered import aggregate
-from ..operators.stats import auc, histogram, quantile, ranked
+from ..operators.stats import auc, auc_of_counts, histogram, quantile, ranked
 from ..plans.scoring import score_batch
 from ..session import cut
 from .inputs import responses, table
@@ -260,14 +260,9 @@ ALL_SEEDS = " UNION ALL ".join(f"SELECT {s} AS fold_seed, fold, label, pred, pre
            avg(delta) > 2 * stddev_samp(delta) / sqrt(count(*)) AND count(*) FILTER (delta > 0) >= greatest(4, count(*) - 1) AS promotable
     FROM ps""", "baseline_auc candidate_auc mean_delta sd_delta stderr"))
 def _assignment_test(spark, sf_dir):
-    rows = responses(spark, sf_dir)
-    parts = [FO.objective_folds(rows, seed=s).selectExpr(f"{s} AS fold_seed", "fold", "label", "pred", "pred_b") for s in SEEDS]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    arms = stacked.selectExpr("fold_seed", "fold", "label", "stack(2, 'b', pred_b, 'c', pred) AS (arm, pred)")
+    counts = FO.objective_scores(responses(spark, sf_dir), SEEDS, {"b": "pred_b", "c": "pred"})
     per_fold = aggregate(
-        auc(arms, ["fold_seed", "fold", "arm"], "label", "pred"), ["fold_seed", "fold"],
+        auc_of_counts(counts, ["fold_seed", "fold", "arm"]), ["fold_seed", "fold"],
         "max(CASE WHEN arm = 'b' THEN auc END) AS baseline_auc", "max(CASE WHEN arm = 'c' THEN auc END) AS candidate_auc",
     )
     return CO.fold_assignment_test(per_fold)
@@ -280,12 +275,8 @@ def _assignment_test(spark, sf_dir):
     SELECT count(delta) AS n_pairs, avg(abs(delta)) AS mean_move, stddev_samp(delta) AS sd_move, max(abs(delta)) AS largest_move
     FROM d""", "mean_move sd_move largest_move"))
 def _noise_floor(spark, sf_dir):
-    rows = responses(spark, sf_dir)
-    parts = [FO.objective_folds(rows, seed=s).selectExpr(f"{s} AS fold_seed", "fold", "label", "pred") for s in SEEDS]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    per_seed = aggregate(auc(stacked, ["fold_seed", "fold"], "label", "pred"), ["fold_seed"], "avg(auc) AS value")
+    counts = FO.objective_scores(responses(spark, sf_dir), SEEDS, {"c": "pred"})
+    per_seed = aggregate(auc_of_counts(counts, ["fold_seed", "fold"]), ["fold_seed"], "avg(auc) AS value")
     return CO.noise_floor(per_seed.withColumnRenamed("fold_seed", "seed"))
 
 

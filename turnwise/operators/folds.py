@@ -10,11 +10,13 @@ of any size in a few phases; the groups themselves are only ranked within their
 from __future__ import annotations
 
 from collections.abc import Iterator
+from collections.abc import Sequence as Seq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.scalars import seeded_hash
+from ..session import cut
 from .ordered import Sequence, aggregate, scan, small_side
 
 
@@ -144,6 +146,26 @@ def objective_folds(responses: DataFrame, k: int = 5, seed: int = 0,
     return responses.join(small_side(dealt), group)
 
 
+def objective_scores(responses: DataFrame, seeds: Seq[int], preds: dict[str, str], k: int = 5,
+                     group: str = "objective_id", label: str = "label") -> DataFrame:
+    """Score counts (``score_counts``) by ``fold_seed, fold, arm, value`` of ``objective_folds`` with every seed.
+
+    A fold holds whole objectives, so responses are counted once by objective, arm (name: expression) and
+    score; only these counts and the few objectives are repeated for the seeds.
+    """
+    arms = ", ".join(f"'{name}', CAST({e} AS DOUBLE)" for name, e in preds.items())
+    scored = responses.selectExpr(group, f"CAST({label} AS DOUBLE) AS _y", f"stack({len(preds)}, {arms}) AS (arm, value)")
+    sums = ("sum(_y) AS pos", "sum(1D - _y) AS neg", "count(1) AS n", "count(_y) AS n_y")
+    counts = cut(aggregate(scored, [group, "arm", "value"], *sums))
+    stats = cut(aggregate(responses, [group], "count(1) AS n", f"sum({label}) AS n_pos"))
+    dealt = None
+    for seed in seeds:
+        one = deal(stats, ("n", "n_pos"), k, seed, group).selectExpr(group, f"{seed} AS fold_seed", "fold")
+        dealt = one if dealt is None else dealt.unionByName(one)
+    placed = counts.join(small_side(dealt), group)
+    return cut(aggregate(placed, ["fold_seed", "fold", "arm", "value"], *[f"sum({c}) AS {c}" for c in ("pos", "neg", "n", "n_y")]))
+
+
 def split_groups(folds: DataFrame, group: str) -> DataFrame:
     """Groups found in more than one fold (empty when the assignment is safe)."""
     seen = aggregate(folds, [group], "min(fold) AS low", "max(fold) AS high")
