@@ -193,3 +193,26 @@ def test_page_records_become_digests(spark):
     got = {r.record_id: r for r in warc.digests(warc.resolve(warc.parse_records(warc.page_records(pages)))).collect()}
     assert got["f4"].payload_sha256 == hashlib.sha256("<p>é".encode()).hexdigest() and got["f4"].payload_chars == 4
     assert got["r3"].outcome == "changed"
+
+
+def test_plain_words_are_coded_without_pattern(monkeypatch):
+    import zlib
+    from types import SimpleNamespace
+
+    words = ["plain", "comma,", "End.", "a", "of", "xn", "what?!", "plain", "dot.ted", "e-mail", "(x)", "42", "...", "café", "漢字", "w" * 30, "w" * 20 + "."]
+    asked, real = [], toxicity.JOINTS
+    monkeypatch.setattr(toxicity, "JOINTS", SimpleNamespace(split=lambda w: asked.append(w) or real.split(w)))
+    coder = toxicity.Words()
+    codes = coder.codes(words)
+    keys, marks = coder.taken()
+    expected = []
+    for word in words:
+        parts = [p for p in real.split(word) if p]
+        units = [word, *parts] if parts and not word.startswith(parts[0]) or len(parts) > 1 else [word]
+        for u in units:
+            expected.append([zlib.crc32(u.encode()) % toxicity.BUCKETS, *(zlib.crc32(u[:n].encode(), n) % toxicity.BUCKETS for n in toxicity.PREFIXES)])
+        if len(word) > toxicity.LONG or not word.isascii() and toxicity.UNSPACED.search(word):
+            expected += [[zlib.crc32(word[i:i + n].encode(), n) % toxicity.BUCKETS for n in (2, *toxicity.PREFIXES)] for i in range(len(word))]
+    assert keys[codes].tolist() == expected
+    assert len(marks) == len(keys) and coder.codes(["plain"]).tolist() == codes[:1].tolist()
+    assert not set(asked) & {"plain", "comma,", "End.", "a", "of", "xn", "what?!"}

@@ -87,6 +87,18 @@ def _blocks(text: str) -> Iterator[list[str]]:
     yield held
 
 
+class Numbers(dict):
+    """Numbers of words in the order in which they are first asked for; ``add`` gets each new one."""
+
+    def __init__(self, add):
+        self.add = add
+
+    def __missing__(self, word: str) -> int:
+        self.add(word)
+        self[word] = number = len(self)
+        return number
+
+
 class Words:
     """Numbers of words and of their units, and for new units their hashed keys (flat) and the
     languages they mark."""
@@ -99,7 +111,7 @@ class Words:
         self.reset()
 
     def reset(self) -> None:
-        self.number, self.keys, self.marks = {}, array("i"), array("b")
+        self.number, self.keys, self.marks = Numbers(self._add), array("i"), array("b")
         self.first, self.total = array("i", [0]), 0
 
     def taken(self) -> tuple[np.ndarray, np.ndarray]:
@@ -110,17 +122,8 @@ class Words:
 
     def codes(self, words: list[str]) -> np.ndarray:
         """Numbers of the units of words, in their order."""
-        number = self.number
-        try:
-            codes = [number[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in number:
-                    number[w] = len(number)
-                    self._add(w)
-                    self.first.append(self.total)
-            codes = [number[w] for w in words]
-        codes, first = np.array(codes, np.int64), np.frombuffer(self.first, np.intc)
+        codes = np.array(list(map(self.number.__getitem__, words)), np.int64)
+        first = np.frombuffer(self.first, np.intc)
         start, count = first[codes], first[codes + 1] - first[codes]
         if not len(codes) or count.max() == 1:
             return start
@@ -128,17 +131,27 @@ class Words:
         return np.arange(ends[-1]) + np.repeat(start - ends + count, count)
 
     def _add(self, word: str) -> None:
+        crc32 = zlib.crc32
+        if len(word) <= LONG and word.isascii() and word.rstrip(".,;:!?").isalpha():  # one unit, one byte a letter
+            raw, (a, b, c, d) = word.encode(), PREFIXES
+            self.keys.extend((crc32(raw) % BUCKETS, crc32(raw[:a], a) % BUCKETS, crc32(raw[:b], b) % BUCKETS,
+                              crc32(raw[:c], c) % BUCKETS, crc32(raw[:d], d) % BUCKETS))
+            self.marks.append(self.of.get(word, 0))
+            self.total += 1
+            self.first.append(self.total)
+            return
         parts = [p for p in JOINTS.split(word) if p]
         for unit in [word, *parts] if parts and not word.startswith(parts[0]) or len(parts) > 1 else [word]:
-            self.keys.append(zlib.crc32(unit.encode()) % BUCKETS)
-            self.keys.extend([zlib.crc32(unit[:n].encode(), n) % BUCKETS for n in PREFIXES])
+            self.keys.append(crc32(unit.encode()) % BUCKETS)
+            self.keys.extend([crc32(unit[:n].encode(), n) % BUCKETS for n in PREFIXES])
             self.marks.append(self.of.get(unit, 0))
             self.total += 1
         if len(word) > LONG or not word.isascii() and UNSPACED.search(word):
             for i in range(len(word)):
-                self.keys.extend([zlib.crc32(word[i:i + n].encode(), n) % BUCKETS for n in (2, *PREFIXES)])
+                self.keys.extend([crc32(word[i:i + n].encode(), n) % BUCKETS for n in (2, *PREFIXES)])
             self.marks.extend(bytes(len(word)))
             self.total += len(word)
+        self.first.append(self.total)
 
 
 def _pooled(model: dict, parts: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -528,7 +541,7 @@ def score(docs: DataFrame, model: bytes | None, name: str = "score") -> DataFram
                     marks.resize(2 * seen, refcheck=False)
                 if seen > known:
                     keys, marks[known:seen] = words.taken()
-                    vectors[known:seen] = net["embedding"][keys].sum(axis=1)
+                    vectors[known:seen] = _summed(net["embedding"], keys)
                     known = seen
                 counts += _marked(marks[at])
                 yield vectors[at]
