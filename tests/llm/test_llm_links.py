@@ -202,3 +202,35 @@ def test_exact_search_orders_equal_products_by_id(spark):
         scores = by_id @ by_id[q]
         truth = [i for i in np.lexsort((np.arange(600), -scores)).tolist() if i != q][:20]
         assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == truth
+
+
+def test_texts_that_share_too_little_are_not_searched(spark, monkeypatch):
+    rng = random.Random(8)
+    fresh = iter(range(10**6))
+    base = [f"b{i}" for i in range(60)]
+    texts = [" ".join(f"u{next(fresh)}" for _ in range(40)) for _ in range(30)]  # nothing shared
+    texts += [" ".join(base + [f"u{next(fresh)}" for _ in range(40)]) for _ in range(30)]  # a common passage, 0.4 own
+    texts += [" ".join(base), " ".join(base), " ".join(base[:-2])]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [shingle_set(t, 4) for t in dict.fromkeys(texts)]
+    held = Counter(g for s in sets for g in s)
+    own = sorted(n for s in sets if (n := sum(held[g] == 1 for g in s)))
+    assert sorted(r.n_own for r in cpsjoin.own_shingles(docs, 4).collect()) == own
+    seen, branched = [], cpsjoin.branch_roots
+    monkeypatch.setattr(cpsjoin, "branch_roots", lambda classes, trees: seen.append(classes.count()) or branched(classes, trees))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in cpsjoin.near_duplicates(docs, 4, 80).collect()}
+    assert got == brute_groups(rows, 4)
+    assert seen == [2]
+
+
+def test_members_of_one_node_meet_by_size_and_bits(spark):
+    rng = np.random.default_rng(3)
+    both, rest = rng.integers(0, 1 << 63, 90).astype(np.uint64), rng.integers(0, 1 << 63, (30, 70)).astype(np.uint64)
+    sets = [np.concatenate([both, own]) for own in rest] + [np.concatenate([both, rest[0][:66], rest[1][:4] + np.uint64(1)])]
+    signature, columns = cpsjoin.Signatures(13), ", ".join(f"{c} long" for c in (*cpsjoin.CARRIED, "component", "common"))
+    bits = cpsjoin._bits([signature(s)[:2 * cpsjoin.SKETCH] for s in sets]).tolist()
+    rows = [(1, i, 160, 160, *b, i, 2) for i, b in enumerate(bits)] + [(1, 40, 100, 100, *bits[0], 40, 2), (1, 41, 160, 110, *bits[0], 41, 2)]
+    met = cpsjoin._across(spark.createDataFrame(rows, columns), 80)
+    assert sorted(map(tuple, met.collect())) == [(0, 30)]

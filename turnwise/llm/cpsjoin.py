@@ -1,14 +1,17 @@
 """Near-duplicate texts by a chosen-path set similarity join.
 
-Texts become sets of hashed word shingles and short minwise signatures.  Texts of one set are one
-class.  Each tree has hash functions of its own, a stretch of the signature; a node branches its
+Texts become sets of hashed word shingles.  Texts of one set are one class.  Shingles that no other class
+holds bound what a class can share: one with too many of them links with nothing and needs no search.
+Most such classes show by every eighth shingle (by hash), the others by all.
+The others get short minwise signatures.  Each tree has hash functions of its own, a stretch of the signature; a node branches its
 classes by one or two places of it, chosen by the node; classes with the same minwise token there
 share a child.  So many trees are taken as a target recall needs for a pair just at the threshold.
 Nodes whose classes are already linked end; small nodes are compared exhaustively; the others
 branch again.  Links are confirmed on full sets.
 
 Nothing grows with the square of a group: every node first compares its members with its smallest
-one, and after that only members of different components meet.
+one, and after that only members of different components meet.  Where two members meet, one bit of each
+of their sketches' places is compared first, so that what leaves a node are pairs near the threshold.
 """
 
 from __future__ import annotations
@@ -25,24 +28,32 @@ from .components import connected_components
 from .storage import discard, free_name, slices, written
 
 #: Places of each tree's stretch of the signature.
-PLACES, SMALL, DEPTH = 24, 32, 12
+PLACES, DEPTH = 24, 12
 #: Share of the pairs at the threshold that some tree must bring together even in nodes that stay large.
 RECALL = 0.99
 #: A second place is chosen by this share of nodes: branching of 1 / similarity on average.
 SECOND = 0.25
 #: Pairs whose sketches (the first places of their signatures) agree less than this below the threshold
 #: are not read in full: more than five standard deviations.
-SKETCH, SLACK = 128, 0.2
-#: A node with so few members outside its commonest component compares them with all its members,
-#: which costs no more than branching all of them a few levels deeper.
-FEW = 4
+SKETCH, SLACK = 256, 0.15
+#: Bits of sketches may differ by so many standard deviations more than is expected at the threshold.
+DEVIATIONS = 4
+#: One shingle in so many is drawn to find classes that hold far too many of their own: by five standard
+#: deviations more than a class at the threshold.
+DRAWN, SURE = 8, 5
+#: A node with at most so many members outside its commonest component compares them with all its members,
+#: which costs less than branching all of them once more.
+SMALL = 128
 FILTER_WORDS = 1 << 21
 CACHED = 100_000
 MASK = (1 << 64) - 1
 #: The lowest bits of a node are its tree.
 TREE = np.uint64(0xFF)
-MEMBERS = "node long, doc_id long, n_shingles long, stretch binary"
-SETS = "doc_id long, n_shingles long, set_key binary, sketch binary, signature binary"
+BITS = [f"bits{k}" for k in range(SKETCH // 64)]
+CARRIED = ["node", "doc_id", "n_shingles", "n_shared", *BITS]
+ROOTS = ", ".join(f"{c} long" for c in CARRIED)
+MEMBERS = f"{ROOTS}, stretch binary"
+SIGNED = f"set_key binary, sketch binary, signature binary, {', '.join(f'{c} long' for c in BITS)}"
 
 
 class Shingles:
@@ -110,24 +121,70 @@ class Signatures:
         return (least >> np.uint64(24)).astype("<u2").tobytes()
 
 
-def shingle_sets(docs: DataFrame, words: int, trees: int) -> DataFrame:
-    """Set size, set key, sketch and signature of every whole text; null key where the set is empty."""
+def _key(found: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
+
+
+def _short(key: bytes | None) -> int | None:
+    return key and int.from_bytes(key[:8], "little", signed=True)
+
+
+def _drawn(found: np.ndarray) -> np.ndarray:
+    return found[found % np.uint64(DRAWN) == 0]
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """Set size, number of drawn shingles, set key and the key's first half of every whole text; null keys where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, signature = Shingles(words), Signatures(trees)
+        shingles = Shingles(words)
         for batch in slices(batches):
-            n, keys, signatures = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = shingles(text)
-                n.append(len(found))
-                keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                signatures.append(signature(found) if len(found) else None)
-            sketches = [s and s[:2 * SKETCH] for s in signatures]
+            found = [shingles(text) for text in batch.column(1).to_pylist()]
+            keys = [_key(f) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, sketches, signatures))],
-                names=["doc_id", "n_shingles", "set_key", "sketch", "signature"])
+                [batch.column(0), *(pa.array([len(f) for f in part], pa.int64()) for part in (found, map(_drawn, found))),
+                 pa.array(keys, pa.binary()), pa.array(map(_short, keys), pa.int64())],
+                names=["doc_id", "n_shingles", "n_drawn", "set_key", "short_key"])
+
+    return _narrow(docs).mapInArrow(run, "doc_id long, n_shingles long, n_drawn long, set_key binary, short_key long")
+
+
+def own_shingles(docs: DataFrame, words: int, drawn: bool = False) -> DataFrame:
+    """(short_key, n_own): of each set the number of (drawn) shingles that no other set holds, where there are any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
+        for batch in slices(batches, 64):
+            found = [f for f in map(shingles, batch.column(1).to_pylist()) if len(f)]
+            if found:
+                keys = np.array([_short(_key(f)) for f in found], np.int64)
+                found = [_drawn(f) for f in found] if drawn else found
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(keys, [len(f) for f in found]))],
+                    names=["shingle", "short_key"])
 
-    return _narrow(docs).mapInArrow(run, SETS)
+    held = _narrow(docs).where("doc_id IS NOT NULL").mapInArrow(run, "shingle long, short_key long")
+    alone = held.groupBy("shingle").agg(F.min("short_key").alias("short_key"), F.max("short_key").alias("most")).where("short_key = most")
+    return alone.groupBy("short_key").agg(F.count("*").alias("n_own"))
+
+
+def signed(docs: DataFrame, classes: DataFrame, words: int, trees: int) -> DataFrame:
+    """``classes`` (set_key, doc_id and more) with sketch, signature and the sketch's bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, signature = Shingles(words), Signatures(trees)
+        for batch in slices(batches):
+            found = [f for f in map(shingles, batch.column(1).to_pylist()) if len(f)]
+            if found:
+                signatures = [signature(f) for f in found]
+                sketches = [s[:2 * SKETCH] for s in signatures]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c, pa.binary()) for c in ([_key(f) for f in found], sketches, signatures)), *(pa.array(b) for b in _bits(sketches).T)],
+                    names=["set_key", "sketch", "signature", *BITS])
+
+    found = _with_ids_of(_narrow(docs), classes.select(F.col("doc_id").alias("id"))).mapInArrow(run, SIGNED)
+    once = found.groupBy("set_key").agg(*(F.min(c).alias(c) for c in ("sketch", "signature", *BITS)))
+    return classes.join(once, "set_key")
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -151,6 +208,12 @@ def _children(nodes: np.ndarray, signatures: np.ndarray, rows: np.ndarray) -> tu
     return at, _mixed(_mixed(nodes[at]) + token) & ~TREE | nodes[at] & TREE
 
 
+def _bits(sketches: list[bytes]) -> np.ndarray:
+    """The lowest bit of each place of sketches, 64 to a number."""
+    places = np.frombuffer(b"".join(sketches), "<u2").reshape(-1, SKETCH)
+    return np.ascontiguousarray(np.packbits((places & 1).astype(bool), axis=1)).view("<i8")
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
 
@@ -160,7 +223,7 @@ def _roots(trees: int) -> np.ndarray:
 
 
 def branch_roots(classes: DataFrame, trees: int) -> DataFrame:
-    """(node, doc_id, n_shingles) for every class and tree: the children of the roots."""
+    """``CARRIED`` for every class and tree: the children of the roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = _roots(trees)
@@ -168,39 +231,39 @@ def branch_roots(classes: DataFrame, trees: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = np.repeat(np.arange(batch.num_rows), trees)
-            at, nodes = _children(np.tile(roots, batch.num_rows), _matrix(batch.column(2)), rows)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), *(batch.column(k).take(pa.array(rows[at])) for k in (0, 1))],
-                                             names=["node", "doc_id", "n_shingles"])
+            at, nodes = _children(np.tile(roots, batch.num_rows), _matrix(batch.column(len(CARRIED) - 1)), rows)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), *(batch.column(k).take(pa.array(rows[at])) for k in range(len(CARRIED) - 1))],
+                                             names=CARRIED)
 
-    return classes.select("doc_id", "n_shingles", "signature").mapInArrow(run, "node long, doc_id long, n_shingles long")
+    return classes.select(*CARRIED[1:], "signature").mapInArrow(run, ROOTS)
 
 
 def with_stretches(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members (node, doc_id, n_shingles) with the stretch of the signature that their own tree reads, for all further levels."""
+    """Members (``CARRIED``) with the stretch of the signature that their own tree reads, for all further levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tree = (batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & TREE).astype(int).tolist()
-            own = [s[2 * PLACES * t:2 * PLACES * (t + 1)] for t, s in zip(tree, batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary())], names=["node", "doc_id", "n_shingles", "stretch"])
+            own = [s[2 * PLACES * t:2 * PLACES * (t + 1)] for t, s in zip(tree, batch.column(len(CARRIED)).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own, pa.binary())], names=[*CARRIED, "stretch"])
 
-    joined = members.select("node", "doc_id", "n_shingles").join(classes.select("doc_id", "signature"), "doc_id")
-    return joined.select("node", "doc_id", "n_shingles", "signature").mapInArrow(run, MEMBERS)
+    joined = members.select(*CARRIED).join(classes.select("doc_id", "signature"), "doc_id")
+    return joined.select(*CARRIED, "signature").mapInArrow(run, MEMBERS)
 
 
 def branch(members: DataFrame) -> DataFrame:
-    """The next level: children of nodes for each of their members (node, doc_id, n_shingles, stretch)."""
+    """The next level: children of nodes for each of their members (``CARRIED`` and stretch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             nodes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            at, children = _children(nodes, _matrix(batch.column(3)), np.arange(len(nodes)))
-            yield pa.RecordBatch.from_arrays([pa.array(children.view(np.int64)), *(batch.column(k).take(pa.array(at)) for k in (1, 2, 3))],
-                                             names=["node", "doc_id", "n_shingles", "stretch"])
+            at, children = _children(nodes, _matrix(batch.column(len(CARRIED))), np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(children.view(np.int64)), *(batch.column(k).take(pa.array(at)) for k in range(1, len(CARRIED) + 1))],
+                                             names=[*CARRIED, "stretch"])
 
-    return members.select("node", "doc_id", "n_shingles", "stretch").mapInArrow(run, MEMBERS)
+    return members.select(*CARRIED, "stretch").mapInArrow(run, MEMBERS)
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -239,22 +302,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = _with_ids_of(_narrow(docs), pairs).mapInArrow(sets, "doc_id long, found binary")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    full = _with_ids_of(_narrow(docs), ids).mapInArrow(sets, "doc_id long, found binary")
     joined = pairs.join(full.toDF("a", "found_a"), "a").join(full.toDF("b", "found_b"), "b")
     return joined.select("a", "b", "found_a", "found_b").mapInArrow(check, "a long, b long")
 
 
-def _with_ids_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``docs`` whose id may occur in ``pairs``: a bit for each hashed id, so that texts need no shuffle.
+def _with_ids_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` whose id may occur in ``ids`` (id): a bit for each hashed id, so that texts need no shuffle.
 
     The table of bits has at most ``FILTER_WORDS`` rows whatever the input, which bounds its broadcast.
-    Other ids that share a bit pass as well; they meet no pair.
+    Other ids that share a bit pass as well.
     """
     def hashed(name: str) -> tuple[Column, Column]:
         return (F.expr(f"pmod(shiftright(xxhash64({name}), 6), {FILTER_WORDS}) AS word"),
                 F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({name}), 64) AS INT)) AS bit"))
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     bits = ids.select(*hashed("id")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     word, bit = hashed("doc_id")
     marked = docs.where("doc_id IS NOT NULL").select("*", word, bit).join(F.broadcast(bits), "word")
@@ -264,11 +327,11 @@ def _with_ids_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
     """Members with their component, in nodes that still hold more than one."""
     named = members.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        *members.columns, F.coalesce("component", "doc_id").alias("component"))
+        *members.columns, F.coalesce("component", "doc_id").alias("component")).repartition("node")
     counted = named.groupBy("node", "component").agg(F.count("*").alias("n"))
     mixed = counted.groupBy("node").agg(
         F.sum("n").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("common"))
-    mixed = mixed.where("kinds > 1").selectExpr("node", f"size <= {SMALL} OR size - common.n <= {FEW} AS small", "common.component AS common")
+    mixed = mixed.where("kinds > 1").selectExpr("node", f"size - common.n <= {SMALL} AS small", "common.component AS common")
     return named.join(mixed, "node")
 
 
@@ -280,24 +343,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     component and is kept.  Other columns are not read.  ``recall`` is what the trees are counted for.
     """
     trees = trees_for(percent, recall)
-    sets = written(shingle_sets(docs, words, trees), "sets")
+    sets = written(shingle_sets(docs, words), "sets")
     usable = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    first = written(usable.groupBy("set_key").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"),
-        F.min("signature").alias("signature")), "classes")
-
-    roots = written(branch_roots(first, trees), "members")
-    nodes = roots.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n_shingles")).alias("leader")).where("size > 1")
+    all_classes = written(usable.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("n_shingles", "n_drawn", "short_key"))), "classes")
+    counted = all_classes.join(own_shingles(docs, words, drawn=True), "short_key", "left")
+    most, spread = (100 - percent) / 100, SURE * (percent * (100 - percent)) ** 0.5 / 100
+    likely = written(counted.where(f"coalesce(n_own, 0) <= {most}D * n_drawn + {spread}D * sqrt(n_drawn)").drop("n_own", "n_drawn"), "likely")
+    read = _with_ids_of(_narrow(docs), likely.select(F.col("doc_id").alias("id")))
+    counted = likely.join(own_shingles(read, words), "short_key", "left").withColumn("n_shared", F.expr("n_shingles - coalesce(n_own, 0)"))
+    linkable = written(counted.where(f"100 * n_shared >= {percent} * n_shingles").drop("short_key", "n_own"), "linkable")
+    first = written(signed(docs, linkable, words, trees), "classes")
+
+    roots = branch_roots(first, trees).repartition("node")
+    nodes = roots.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct(*CARRIED[1:])).alias("leader")).where("size > 1")
     members = written(roots.join(nodes, "node"), "members")
-    discard(roots)
-    stars = members.where("doc_id <> leader.doc_id").where(_sized("n_shingles", "leader.n_shingles", percent)).select(
+    stars = members.where("doc_id <> leader.doc_id").where(_near("", "leader.", percent)).select(
         F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     alike = written(_alike(stars, first, percent), "pairs")
     links = written(confirmed(alike, docs, words, percent), "links")
     discard(alike)
     components = written(connected_components(links), "components")
 
-    open_nodes = written(_labelled(members.select("node", "doc_id", "n_shingles"), components), "open")
+    open_nodes = written(_labelled(members.select(*CARRIED), components), "open")
     discard(members)
     large, found = written(with_stretches(open_nodes.where("NOT small"), first), "members"), []
     for level in range(DEPTH + 1):
@@ -312,7 +379,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
         discard(large)
         open_nodes = written(_labelled(grown, components), "open")
         discard(grown)
-        large = written(open_nodes.where("NOT small").select("node", "doc_id", "n_shingles", "stretch"), "members")
+        large = written(open_nodes.where("NOT small").select(*CARRIED, "stretch"), "members")
     if found:
         pairs = found[0]
         for more in found[1:]:
@@ -323,7 +390,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
         for table in (*found, alike):
             discard(table)
 
-    classes = first.select("set_key", F.col("doc_id").alias("first_id"))
+    classes = all_classes.select("set_key", F.col("doc_id").alias("first_id"))
     placed = (sets.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
               .join(components.withColumnRenamed("node", "first_id"), "first_id", "left"))
     smallest = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first_id", "doc_id"))
@@ -331,22 +398,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _sized(one: str, other: str, percent: int) -> str:
-    """Whether sets of these sizes can be as alike."""
-    return f"100 * least({one}, {other}) >= {percent} * greatest({one}, {other})"
+def _near(one: str, other: str, percent: int) -> str:
+    """Whether sets with these sizes and bits (columns behind the prefixes ``one`` and ``other``) can be as alike.
+
+    They share no more than either shares with any set at all.  Bits of a place agree where the sets' tokens do, and else by half.
+    """
+    differ = (1 - percent / 100) / 2
+    most = int(SKETCH * differ + DEVIATIONS * (SKETCH * differ * (1 - differ)) ** 0.5)
+    apart = " + ".join(f"bit_count({one}{c} ^ {other}{c})" for c in BITS)
+    both = f"least({one}n_shared, {other}n_shared)"
+    return (f"100 * {both} >= {percent} * ({one}n_shingles + {other}n_shingles - {both}) AND "
+            f"{apart} <= {most}")
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one node whose components differ and whose sets are near enough in size.
+    """Pairs (a, b) of one node whose components differ and whose sets are near enough in size and bits.
 
     One side leaves out the node's commonest component, so a node that is one large component and a
     few others costs its size times the others.
     """
-    left = members.select("node", F.col("doc_id").alias("a"), F.col("component").alias("one"), F.col("n_shingles").alias("n_a"), "common")
-    right = members.where("component <> common").select(
-        "node", F.col("doc_id").alias("b"), F.col("component").alias("other"), F.col("n_shingles").alias("n_b"))
-    met = left.join(right, "node").where(f"one <> other AND (one = common OR one < other) AND {_sized('n_a', 'n_b', percent)}")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    side = members.select("node", F.struct("doc_id", "component", *CARRIED[2:]).alias("x"), "common")
+    left, right = side.withColumnRenamed("x", "a"), side.where("x.component <> common").select("node", F.col("x").alias("b"))
+    met = left.join(right, "node").where(
+        f"a.component <> b.component AND (a.component = common OR a.component < b.component) AND {_near('a.', 'b.', percent)}")
+    return met.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
