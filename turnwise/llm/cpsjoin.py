@@ -53,6 +53,7 @@ BITS = [f"bits{k}" for k in range(SKETCH // 64)]
 CARRIED = ["node", "doc_id", "n_shingles", "n_shared", *BITS]
 ROOTS = ", ".join(f"{c} long" for c in CARRIED)
 MEMBERS = f"{ROOTS}, stretch binary"
+HELD = "shingle long, short_key long"
 SIGNED = f"set_key binary, sketch binary, signature binary, {', '.join(f'{c} long' for c in BITS)}"
 
 
@@ -134,7 +135,7 @@ def _drawn(found: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """Set size, number of drawn shingles, set key and the key's first half of every whole text; null keys where the set is empty."""
+    """Set size, set key, the key's first half and the drawn shingles of every whole text; null keys where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
@@ -142,28 +143,42 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             found = [shingles(text) for text in batch.column(1).to_pylist()]
             keys = [_key(f) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([len(f) for f in part], pa.int64()) for part in (found, map(_drawn, found))),
-                 pa.array(keys, pa.binary()), pa.array(map(_short, keys), pa.int64())],
-                names=["doc_id", "n_shingles", "n_drawn", "set_key", "short_key"])
+                [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(keys, pa.binary()),
+                 pa.array(map(_short, keys), pa.int64()), pa.array([_drawn(f).tobytes() for f in found], pa.binary())],
+                names=["doc_id", "n_shingles", "set_key", "short_key", "drawn"])
 
-    return _narrow(docs).mapInArrow(run, "doc_id long, n_shingles long, n_drawn long, set_key binary, short_key long")
+    return _narrow(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, short_key long, drawn binary")
 
 
-def own_shingles(docs: DataFrame, words: int, drawn: bool = False) -> DataFrame:
-    """(short_key, n_own): of each set the number of (drawn) shingles that no other set holds, where there are any."""
+def own_shingles(docs: DataFrame, words: int) -> DataFrame:
+    """(short_key, n_own): of each set the number of shingles that no other set holds, where there are any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for batch in slices(batches, 64):
-            found = [f for f in map(shingles, batch.column(1).to_pylist()) if len(f)]
-            if found:
-                keys = np.array([_short(_key(f)) for f in found], np.int64)
-                found = [_drawn(f) for f in found] if drawn else found
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(keys, [len(f) for f in found]))],
-                    names=["shingle", "short_key"])
+            found = [shingles(t) for t in batch.column(1).to_pylist()]
+            yield _held(found, [_short(_key(f)) for f in found])
+
+    return _counted_own(_narrow(docs).where("doc_id IS NOT NULL").mapInArrow(run, HELD))
+
+
+def own_drawn(sets: DataFrame) -> DataFrame:
+    """(short_key, n_own) of the drawn shingles of ``shingle_sets``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield _held([np.frombuffer(d, np.uint64) for d in batch.column(1).to_pylist()], batch.column(0).to_pylist())
+
+    return _counted_own(sets.where("set_key IS NOT NULL").select("short_key", "drawn").mapInArrow(run, HELD))
+
+
+def _held(found: list[np.ndarray], keys: list[int | None]) -> pa.RecordBatch:
+    full = [(f, k) for f, k in zip(found, keys, strict=True) if len(f)]
+    columns = (np.concatenate([f for f, _ in full]).view(np.int64), np.repeat(np.array([k for _, k in full], np.int64), [len(f) for f, _ in full])) if full else ([], [])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shingle", "short_key"])
+
 
-    held = _narrow(docs).where("doc_id IS NOT NULL").mapInArrow(run, "shingle long, short_key long")
+def _counted_own(held: DataFrame) -> DataFrame:
     alone = held.groupBy("shingle").agg(F.min("short_key").alias("short_key"), F.max("short_key").alias("most")).where("short_key = most")
     return alone.groupBy("short_key").agg(F.count("*").alias("n_own"))
 
@@ -345,8 +360,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     trees = trees_for(percent, recall)
     sets = written(shingle_sets(docs, words), "sets")
     usable = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    all_classes = written(usable.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("n_shingles", "n_drawn", "short_key"))), "classes")
-    counted = all_classes.join(own_shingles(docs, words, drawn=True), "short_key", "left")
+    all_classes = written(usable.groupBy("set_key").agg(
+        *(F.min(c).alias(c) for c in ("doc_id", "n_shingles", "short_key")), F.min(F.expr("length(drawn) div 8")).alias("n_drawn")), "classes")
+    counted = all_classes.join(own_drawn(sets), "short_key", "left")
     most, spread = (100 - percent) / 100, SURE * (percent * (100 - percent)) ** 0.5 / 100
     likely = written(counted.where(f"coalesce(n_own, 0) <= {most}D * n_drawn + {spread}D * sqrt(n_drawn)").drop("n_own", "n_drawn"), "likely")
     read = _with_ids_of(_narrow(docs), likely.select(F.col("doc_id").alias("id")))
