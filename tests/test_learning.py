@@ -472,6 +472,29 @@ def test_shared_trees_stop_by_held_out_rows_and_take_odd_rows(spark):
     assert empty.count() == 0
 
 
+def test_equal_rows_are_one_cell_and_equal_runs_grow_once(spark, monkeypatch):
+    rows = [(i, *r) for i, r in enumerate(boosting_rows() * 8)]  # equal rows in plenty
+    frame = LN.cut(spark.createDataFrame([(*r, r[1], (r[1] + 1) % 3) for r in rows], "id long, side int, label double, a double, b double, again int, other int").repartition(3))
+    how = BO.Trees(rounds=4, rate=0.3, leaves=5, bins=6, least_rows=12, patience=None, row_share=0.7)
+    runs = [BO.Run(f"{s}|{f}", s, f, ("a", "b")) for s in ("side", "again", "other") for f in range(3)]
+    own, place = BO.alike(frame, runs)
+    assert place == [0, 1, 2, 0, 1, 2, 3, 4, 5] and [r.assignment for r in own] == ["side"] * 3 + ["other"] * 3
+    table, forest, _ = BO.prepared(frame, "id", runs, how)
+    monkeypatch.setattr(BO, "BLOCK_ROWS", 300)
+    blocks = [b for batch in BO.packed(table, forest.base).toArrow().to_batches() for b in BO._opened(batch, 2)]
+    assert len(blocks) > 3 and sum(len(b[4]) for b in blocks) == len(rows)
+    assert all(len({tuple(c) for c in b[0].T}) == b[0].shape[1] < len(b[2]) and b[1].shape == (6, b[0].shape[1]) for b in blocks)
+    preds = []
+    for least in (32 << 20, 0):  # summed by the driver, and in tasks
+        monkeypatch.setattr(BO, "DIRECT_BYTES", least)
+        out, forest = BO.boost(frame, "id", runs, how)
+        assert forest.runs == runs and forest.trees[0] is forest.trees[3] and len(forest.losses) == 9
+        preds.append({(r.run, r.id): r.pred for r in out.collect()})
+        assert {k for k in preds[-1] if k[0] == "again|1"} == {("again|1", r[0]) for r in rows if r[1] == 1}
+        assert all(preds[-1][f"again|{r[1]}", r[0]] == preds[-1][f"side|{r[1]}", r[0]] for r in rows if r[1] >= 0)
+    assert preds[0].keys() == preds[1].keys() and all(abs(p - preds[1][k]) < 1e-12 for k, p in preds[0].items())
+
+
 def test_tree_ablation_and_stress_share_their_passes(matrix):
     how = BO.Trees(rounds=3, rate=0.5, least_rows=5, bins=8)
     out = by_key(LN.tree_ablation(matrix.drop("fold"), {"x": ["f1"], "y": ["f2"]}, (0, 1), 2, how), "name")
