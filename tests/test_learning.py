@@ -171,6 +171,27 @@ def test_grams_hash_as_spark_does_and_are_counted_in_stretches(spark, monkeypatc
         assert got == pytest.approx({b: c / length for b, c in counts.items()})
 
 
+def test_blocks_of_texts_equal_their_counted_grams(spark):
+    from turnwise.operators import grams as GR
+
+    words = ["abc", "ab", "Éé", "x", "😀x", "İstan", "abcde", "hello", "held", "a\tb\x0bc", "d\u00a0e\x1cf"]
+    rows = [(i, i % 4, float(i % 2), "  ".join(words[i % 7:] * (1 + i % 5) + words[:i % 3] + words[-(i % 3):])) for i in range(60)] + [(60, 0, 1.0, ""), (61, 1, 0.0, None)]
+    texts = LN.cut(spark.createDataFrame([(i, "s", f, y, t) for i, f, y, t in rows], "response_id int, session_id string, fold int, label double, text string").repartition(3))
+    blocks = LN.packed_grams(texts, "text", 61, entries=150, dense=40)
+    assert "text" not in blocks.columns and blocks.count() > 6
+    plain = SP.packed(LN.hashed_grams(texts, buckets=61).selectExpr("fold", "label", "1D AS weight", "buckets", "values"))
+    weights = np.random.default_rng(3).normal(size=(123, 3))
+    residual = SP.outside_folds(range(3))
+    assert np.allclose(SP.gradients(blocks, residual, weights, opened=GR.opened_grams(61)), SP.gradients(plain, residual, weights), atol=1e-12)
+    scored = by_key(SP.score_elastic(LN.hashed_grams(texts, buckets=61).where("fold < 3"), weights, range(3)), "response_id")
+    got = by_key(SP.score_blocks(blocks, GR.opened_grams(61, True), weights, range(3), texts.drop("text").schema), "response_id")
+    assert got.keys() == scored.keys() and all(abs(got[i]["pred"] - r["pred"]) < 1e-12 and got[i]["label"] == r["label"] for i, r in scored.items())
+    out = by_key(LN.text_out_of_fold(texts, range(3), steps=5, buckets=61), "response_id")
+    want = SP.fit_elastic(LN.hashed_grams(texts, buckets=61), range(3), 122, steps=5)
+    want = by_key(SP.score_elastic(LN.hashed_grams(texts, buckets=61).where("fold < 3"), want, range(3)), "response_id")
+    assert out.keys() == want.keys() and all(abs(out[i]["pred"] - r["pred"]) < 1e-12 for i, r in want.items())
+
+
 def test_trees_route_columns_of_codes_as_a_walk_does():
     from turnwise.operators.boosting import Node, Shape
 

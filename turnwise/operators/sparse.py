@@ -17,12 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut, discard
 from .ordered import aggregate
 
 #: Most bytes of coefficients of all models together.
 MODEL_BYTES = 64 << 20
+#: Most bytes of sums that the driver adds up itself; more are added up in tasks.
+DIRECT_BYTES = 64 << 20
 #: Buckets whose sums travel together.
 STRETCH = 4096
 
@@ -48,10 +51,23 @@ class Block:
 
     def by_row(self, entries: np.ndarray) -> np.ndarray:
         """Sums of entries for every row."""
-        out, held = np.zeros(len(self.sizes)), np.flatnonzero(self.sizes)
-        if len(held):
-            out[held] = np.add.reduceat(entries, (self.sizes.cumsum() - self.sizes)[held])
-        return out
+        return sums_of(entries, self.sizes)
+
+    def margins(self, weights: np.ndarray, scale: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray]]:
+        return _margins(self, weights, scale)
+
+    def add(self, sums: np.ndarray, own: np.ndarray, held: list[np.ndarray]) -> None:
+        """Add each model's residuals (rows x models) times the rows to ``sums``, models x buckets."""
+        for k in range(len(sums)):
+            sums[k] += np.bincount(self.buckets, held[k] * np.repeat(own[:, k], self.sizes), sums.shape[1])
+
+
+def sums_of(entries: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of stretches of ``sizes`` entries, one after another."""
+    out, held = np.zeros(len(sizes)), np.flatnonzero(sizes)
+    if len(held):
+        out[held] = np.add.reduceat(entries, (sizes.cumsum() - sizes)[held])
+    return out
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,6 +128,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 Residual = Callable[[np.ndarray, Block], np.ndarray]
+#: Blocks of a batch; besides ``Block`` any that has fold, label, weight, ``margins`` and ``add``.
+Opened = Callable[[pa.RecordBatch], Iterator[Block]]
 
 
 def outside_folds(folds: Seq[int]) -> Residual:
@@ -134,10 +152,10 @@ def of_classes(z: np.ndarray, block: Block) -> np.ndarray:
     return share * block.weight[:, None]
 
 
-def gradients(blocks: DataFrame, residual: Residual, weights: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
+def gradients(blocks: DataFrame, residual: Residual, weights: np.ndarray, scale: np.ndarray | None = None, opened: Opened = _blocks) -> np.ndarray:
     """Sum over rows of each model's residual times the row: buckets + 1 x models.
 
-    Sums travel as packed stretches of ``STRETCH`` buckets, added up stretch by stretch.
+    Sums travel as packed stretches of ``STRETCH`` buckets, added up stretch by stretch, from as many tasks as there are cores.
     """
     context, shape = blocks.sparkSession.sparkContext, weights.shape
     sent = context.broadcast(tuple(None if x is None else np.ascontiguousarray(x.T) for x in (weights, scale)))
@@ -145,11 +163,10 @@ def gradients(blocks: DataFrame, residual: Residual, weights: np.ndarray, scale:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (at, scales), sums = sent.value, np.zeros(shape[::-1])
         for batch in batches:
-            for block in _blocks(batch):
-                z, held = _margins(block, at, scales)
+            for block in opened(batch):
+                z, held = block.margins(at, scales)
                 own = residual(z, block)
-                for k in range(shape[1]):
-                    sums[k, :-1] += np.bincount(block.buckets, held[k] * np.repeat(own[:, k], block.sizes), shape[0] - 1)
+                block.add(sums[:, :-1], own, held)
                 sums[:, -1] += own.sum(axis=0)
         sums = np.ascontiguousarray(sums.T)
         for start in range(0, len(sums), STRETCH):
@@ -163,12 +180,13 @@ def gradients(blocks: DataFrame, residual: Residual, weights: np.ndarray, scale:
             yield _stretch(start, sum(np.frombuffer(payload) for _, payload in own))
 
     kinds = "start long, sums binary"
-    parts = blocks.select(*PARTS).mapInArrow(partial, kinds)
-    whole = parts.repartition("start").sortWithinPartitions("start").mapInArrow(added, kinds).toArrow()
+    parts = blocks.coalesce(context.defaultParallelism).mapInArrow(partial, kinds)
+    few = context.defaultParallelism * weights.nbytes <= DIRECT_BYTES
+    whole = (parts if few else parts.repartition("start").sortWithinPartitions("start").mapInArrow(added, kinds)).toArrow()
     out = np.zeros(shape)
     for start, payload in zip(whole.column("start").to_pylist(), whole.column("sums").to_pylist(), strict=True):
         own = np.frombuffer(payload).reshape(-1, shape[1])
-        out[start:start + len(own)] = own
+        out[start:start + len(own)] += own
     sent.destroy()
     return out
 
@@ -177,8 +195,13 @@ def _stretch(start: int, sums: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([start]), pa.array([sums.tobytes()], pa.binary())], names=["start", "sums"])
 
 
-def descend(rows: DataFrame, residual: Residual, total: np.ndarray, size: int, reg: np.ndarray, elastic: float, steps: int,
-            tolerance: float, square: float, curvature: float, scale: np.ndarray | None = None) -> np.ndarray:
+def bounded(size: int, models: int) -> None:
+    if size * models * 8 > MODEL_BYTES:
+        raise ValueError(f"{size} buckets for {models} models exceed {MODEL_BYTES} bytes")
+
+
+def descend(blocks: DataFrame, residual: Residual, total: np.ndarray, size: int, reg: np.ndarray, elastic: float, steps: int,
+            tolerance: float, square: float, curvature: float, scale: np.ndarray | None = None, opened: Opened = _blocks) -> np.ndarray:
     """Accelerated proximal steps for all models (columns): one pass over the rows a step.
 
     Minimises the residuals' loss over ``total`` plus ``reg * (elastic * |w| + (1 - elastic) / 2 * w^2)``,
@@ -187,17 +210,15 @@ def descend(rows: DataFrame, residual: Residual, total: np.ndarray, size: int, r
     no more than ``tolerance`` is done, so no model depends on how the others fare.
     """
     models = len(total)
-    if size * models * 8 > MODEL_BYTES:
-        raise ValueError(f"{size} buckets for {models} models exceed {MODEL_BYTES} bytes")
     rate = 1.0 / (curvature * (square + 1.0) + reg * (1.0 - elastic))
     free = np.ones((size + 1, 1))
     free[-1] = 0.0
     weights = before = np.zeros((size + 1, models))
-    age, moving, blocks = np.ones(models), np.ones(models, bool), packed(rows)
+    age, moving = np.ones(models), np.ones(models, bool)
     for _ in range(steps):
         older, age = age, (1.0 + np.sqrt(1.0 + 4.0 * age * age)) / 2.0
         ahead = weights + (older - 1.0) / age * (weights - before)
-        slope = gradients(blocks, residual, ahead, scale) / total + reg * (1.0 - elastic) * free * ahead
+        slope = gradients(blocks, residual, ahead, scale, opened) / total + reg * (1.0 - elastic) * free * ahead
         moved = ahead - rate * slope
         fresh = np.sign(moved) * np.maximum(np.abs(moved) - rate * reg * elastic * free, 0.0)
         before, weights = weights, np.where(moving, fresh, weights)
@@ -205,7 +226,6 @@ def descend(rows: DataFrame, residual: Residual, total: np.ndarray, size: int, r
         moving &= np.abs(weights - before).max(axis=0) > tolerance
         if not moving.any():
             break
-    discard(blocks)
     return weights
 
 
@@ -216,19 +236,34 @@ def fit_elastic(rows: DataFrame, folds: Seq[int], size: int, reg: float | None =
     ``rows(fold, label, buckets, values)``, buckets below ``size``, and ``weight`` where rows count
     otherwise than one.  ``reg`` None: one over the weight of the rows outside.
     """
+    bounded(size, len(folds))
     ready = rows if "weight" in rows.columns else rows.withColumn("weight", F.lit(1.0))
     held = {r["fold"]: r["w"] for r in aggregate(ready, ["fold"], "sum(weight) AS w").collect()}
+    blocks = packed(ready)
+    weights = fit_folds(blocks, _blocks, held, folds, size, reg, elastic, steps, tolerance, square, scale)
+    discard(blocks)
+    return weights
+
+
+def fit_folds(blocks: DataFrame, opened: Opened, held: dict[int, float], folds: Seq[int], size: int, reg: float | None = 1e-3, elastic: float = 0.05,
+              steps: int = 60, tolerance: float = 1e-4, square: float = 2.0, scale: np.ndarray | None = None) -> np.ndarray:
+    """``fit_elastic`` over ready blocks; ``held`` is the weight of each fold's rows."""
+    bounded(size, len(folds))
     total = np.array([max(1e-9, sum(held.values()) - held.get(f, 0.0)) for f in folds], float)
     strength = 1.0 / total if reg is None else np.full(len(folds), reg)
-    return descend(ready, outside_folds(folds), total, size, strength, elastic, steps, tolerance, square, 0.25, scale)
+    return descend(blocks, outside_folds(folds), total, size, strength, elastic, steps, tolerance, square, 0.25, scale, opened)
 
 
 def fit_classes(rows: DataFrame, classes: int, size: int, reg: float, steps: int = 60, tolerance: float = 1e-3,
                 square: float = 1.0, scale: np.ndarray | None = None) -> np.ndarray:
     """One ridge model of ``classes`` columns over ``rows(label, buckets, values)``; intercepts last."""
+    bounded(size, classes)
     ready = rows.selectExpr("0 AS fold", "CAST(label AS DOUBLE) AS label", "1D AS weight", "buckets", "values")
     total = np.full(classes, float(max(1, ready.count())))
-    return descend(ready, of_classes, total, size, np.full(classes, reg), 0.0, steps, tolerance, square, 0.5, scale)
+    blocks = packed(ready)
+    weights = descend(blocks, of_classes, total, size, np.full(classes, reg), 0.0, steps, tolerance, square, 0.5, scale)
+    discard(blocks)
+    return weights
 
 
 def score_elastic(rows: DataFrame, weights: np.ndarray, folds: Seq[int], name: str = "pred") -> DataFrame:
@@ -245,3 +280,18 @@ def score_elastic(rows: DataFrame, weights: np.ndarray, folds: Seq[int], name: s
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pred], names=[*kept, name])
 
     return rows.mapInArrow(run, out)
+
+
+def score_blocks(blocks: DataFrame, opened: Opened, weights: np.ndarray, folds: Seq[int], kept: T.StructType, name: str = "pred") -> DataFrame:
+    """``score_elastic`` of the rows in blocks, whose columns ``kept`` a block tells as ``rows``; rows of other folds are left out."""
+    sent, place = blocks.sparkSession.sparkContext.broadcast(np.ascontiguousarray(weights.T)), {f: k for k, f in enumerate(folds)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in (b for batch in batches for b in opened(batch)):
+            z = _sigmoid(block.margins(sent.value, None)[0])
+            own = np.array([place.get(f, -1) for f in block.fold.tolist()])
+            mine = np.flatnonzero(own >= 0)
+            rows = block.rows.take(pa.array(mine))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(z[mine, own[mine]])], names=[*kept.names, name])
+
+    return blocks.mapInArrow(run, T.StructType([*kept.fields, T.StructField(name, T.DoubleType())]))

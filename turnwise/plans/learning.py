@@ -30,14 +30,14 @@ from ..functions.text import with_bigrams
 from ..operators.boosting import Forest, Run, Trees, boost
 from ..operators.compare import paired_delta, summarize
 from ..operators.encoding import encoding_for, fold_sums, objective_sums
-from ..operators.grams import gram_cells
+from ..operators.grams import PARTS, gram_blocks, gram_cells, opened_grams
 from ..operators.isotonic import PER_TASK, interpolated, isotonic_blocks
 from ..operators.metrics import probability_bin
 from ..operators.moments import fold_components, projected
 from ..operators.newton import fit_logistic
 from ..operators.folds import deal, purged_training, session_folds
 from ..operators.ordered import aggregate, small_side
-from ..operators.sparse import fit_elastic, score_elastic
+from ..operators.sparse import fit_folds, score_blocks
 from ..operators.vocabulary import TermModel, fit_class_terms, fit_fold_terms
 from ..session import cut
 
@@ -240,32 +240,54 @@ def hashed_grams(texts: DataFrame, column: str = "text", buckets: int = 2**16) -
     Character grams take the second ``buckets`` numbers.  Rows move once, before they are taken apart; a
     word's character grams are hashed once for each batch of rows, and a row's grams are counted where it is.
     """
+    words = f"split(_low, {lit(chr(92) + 's+')})"
+    parts = word_numbers(texts, column, buckets).selectExpr(
+        *texts.columns, "_numbers", f"transform(filter({words}, w -> w <> ''), w -> concat(' ', w, ' ')) AS _words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, rows, cells, values in gram_cells(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), buckets):
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, rows) for c in batch.columns[:-2]), cells, values],
+                                                 names=[*batch.schema.names[:-2], "buckets", "values"])
+
+    kinds = [T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))]
+    return parts.mapInArrow(run, T.StructType([*texts.schema.fields, *kinds]))
+
+
+def word_numbers(texts: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Rows, moved once, with the hashed word 1-2 grams (``_numbers``) and the text in lower case (``_low``)."""
     low = f"translate(lower({column}), '{ACCENTED}', '{PLAIN}')"
     tokens = f"regexp_extract_all({low}, {lit(TOKEN)}, 0)"
-    padded = f"transform(filter(split(lower({column}), {lit(chr(92) + 's+')}), w -> w <> ''), w -> concat(' ', w, ' '))"
     spark = texts.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     placed = texts.repartition(tasks, "response_id").selectExpr("*", f"coalesce({tokens}, array()) AS _tokens")
     number = f"CAST(pmod(hash(g), {buckets}) AS INT)"
-    parts = placed.selectExpr(*texts.columns, f"transform({with_bigrams('_tokens')}, g -> {number}) AS _numbers", f"coalesce({padded}, array()) AS _words")
+    return placed.selectExpr(*texts.columns, f"transform({with_bigrams('_tokens')}, g -> {number}) AS _numbers", f"coalesce(lower({column}), '') AS _low")
+
+
+def packed_grams(texts: DataFrame, column: str, buckets: int, **limits: int) -> DataFrame:
+    """Blocks of texts (``grams.PARTS``) with the grams of ``hashed_grams``, written once; the text itself is left out."""
+    parts = word_numbers(texts, column, buckets).drop(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, rows, cells, values in gram_cells(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), buckets):
-                yield pa.RecordBatch.from_arrays([*(c.slice(start, rows) for c in batch.columns[:-2]), cells, values],
-                                                 names=[*batch.schema.names[:-2], "buckets", "values"])
+            rows = pa.RecordBatch.from_arrays(batch.columns[:-2], names=batch.schema.names[:-2])
+            yield from gram_blocks(rows, batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), buckets, **limits)
 
-    kinds = [T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))]
-    return parts.mapInArrow(run, T.StructType([*texts.schema.fields, *kinds]))
+    kinds = "kinds string, " + ", ".join(f"{c} binary" for c in PARTS)
+    # read in every pass, so in a form that is quick to read
+    return cut(parts.mapInArrow(run, kinds), **{"compression": "snappy", "parquet.block.row.count.limit": "2"})
 
 
 def text_out_of_fold(texts: DataFrame, folds: Sequence[int], column: str = "text", reg: float = 1e-3, elastic: float = 0.05,
                      steps: int = 60, buckets: int = 2**16) -> DataFrame:
     """Hashed text model of every fold, fitted together; each row is scored by the model that did not see its fold."""
-    rows = hashed_grams(texts.select("response_id", "session_id", "fold", "label", column), column, buckets)
-    rows = cut(rows.select("response_id", "session_id", "fold", "label", "buckets", "values"))
-    weights = fit_elastic(rows, folds, 2 * buckets, reg, elastic, steps)
-    return score_elastic(rows.where(f"fold IN ({', '.join(map(str, folds))})"), weights, folds)
+    rows = texts.select("response_id", "session_id", "fold", "label", column)
+    blocks = packed_grams(rows, column, buckets)
+    held = {r["fold"]: r["n"] for r in aggregate(rows, ["fold"], "count(1) AS n").collect()}
+    read = blocks.drop("rows").selectExpr("*", "CAST(NULL AS BINARY) AS rows")
+    weights = fit_folds(read, opened_grams(buckets), held, folds, 2 * buckets, reg, elastic, steps)
+    return score_blocks(blocks, opened_grams(buckets, True), weights, folds, rows.drop(column).schema)
 
 
 def word_grams(texts: DataFrame, column: str, name: str = "grams") -> DataFrame:
